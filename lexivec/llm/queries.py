@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, secrets, sharding, token_ids
+from . import embeddings, jaccard, media, secrets, sharding, token_ids
 
 QUERIES = {
     "op1_token_ids": token_ids.op1_token_ids,
     "op3_sharding": sharding.op3_sharding,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op5_media": media.op5_media,
+    "op6_jaccard": jaccard.op6_jaccard,
+    "op9_embedding_dedup": embeddings.op9_embedding_dedup,
 }
 SQL: dict[str, str] = {}
