@@ -39,6 +39,11 @@ MISS = 0.001
 WIDTH = 6.0
 BLOCK = 2048
 BUCKET = 8
+#: Buckets up to SMALL rows are paired side by side; PAIRS of them are compared at a time.
+SMALL = 64
+PAIRS = 1 << 15
+#: Rows of a task, about.
+TASK = 20_000
 SEED = 20240607
 
 
@@ -67,12 +72,10 @@ def codes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return signs, (signs * turned).sum(axis=1) / math.sqrt(turned.shape[1])
 
 
-def estimates(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated cosines of coded rows with turned rows, half width of each coded row's confidence interval)."""
-    dim = signs.shape[1]
+def error_bound(factor: np.ndarray, dim: int) -> np.ndarray:
+    """Half the width of the confidence interval of each coded row's estimates."""
     safe = np.maximum(factor, 1e-9)
-    width = WIDTH * np.sqrt(np.maximum(0, 1 - safe**2) / safe**2 / max(1, dim - 1))
-    return (signs @ turned.T) / (safe[:, None] * math.sqrt(dim)), width
+    return WIDTH * np.sqrt(np.maximum(0, 1 - safe**2) / safe**2 / max(1, dim - 1))
 
 
 def _names(turned_by: list[np.ndarray], bits: int) -> np.ndarray:
@@ -110,21 +113,52 @@ def _bucketed(bits: int, rotations: int):
 BUCKETED = "cls long, label long, dim long, turn long, bucket long, names binary, vector binary"
 
 
+def _pairs(cut: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket, some at a time; bucket i holds the rows cut[i] to cut[i + 1]. A bucket that has a right
+    side (2) is a pair of blocks and pairs its left rows with these; any other pairs each two rows once."""
+    length = np.diff(cut)
+    small = np.repeat(length <= SMALL, length) & (side == 0)
+    bucket = np.repeat(np.arange(len(length)), length)
+    rows = np.arange(len(side))
+    for shift in range(1, SMALL):
+        x = rows[:-shift][small[:-shift] & (bucket[shift:] == bucket[:-shift])]
+        if not len(x):
+            break
+        for i in range(0, len(x), PAIRS):
+            yield x[i : i + PAIRS], x[i : i + PAIRS] + shift
+    for at, end in zip(cut[:-1][~small[cut[:-1]]].tolist(), cut[1:][~small[cut[:-1]]].tolist()):
+        inside = rows[at:end]
+        if (side[at:end] == 0).all():
+            for i in inside:
+                yield np.full(end - i - 1, i), rows[i + 1 : end]
+        else:
+            left, right = inside[side[at:end] == 1], inside[side[at:end] == 2]
+            for i in left:
+                yield np.full(len(right), i), right
+
+
 def _linked(threshold: float):
-    """For one pair of blocks of a bucket: how many links each class has to others there, and a forest of the links."""
+    """For many buckets under one rotation: how many links each class has to others there, and a forest of the links."""
 
     def run(table: pa.Table) -> pa.Table:
         dim, turn = table.column("dim")[0].as_py(), table.column("turn")[0].as_py()
-        order = np.argsort(np.asarray(table.column("cls")), kind="stable")
-        cls, side = np.asarray(table.column("cls"))[order], np.asarray(table.column("side"))[order]
-        weight = np.asarray(table.column("weight"))[order]
-        one = table.column("vector").combine_chunks()
-        vectors = np.frombuffer(b"".join(one.to_pylist()), np.float64).reshape(-1, dim)[order]
+        column = {c: np.asarray(table.column(c)) for c in ("cls", "label", "bucket", "low", "high", "side", "weight")}
+        order = np.lexsort([column[c] for c in ("cls", "high", "low", "bucket", "label")])
+        cls, side, weight = (column[c][order] for c in ("cls", "side", "weight"))
+        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(-1, dim)[order]
         names = np.frombuffer(b"".join(table.column("names").to_pylist()), np.int64).reshape(len(cls), -1)[order]
-        signs, factor = codes(vectors @ rotation(dim, 0).T)
+        change = np.zeros(len(cls), dtype=bool)
+        change[0] = True
+        for c in ("label", "bucket", "low", "high"):
+            ordered = column[c][order]
+            change[1:] |= ordered[1:] != ordered[:-1]
+        cut = np.append(np.flatnonzero(change), len(cls))
         turned = vectors @ rotation(dim, 0).T
+        signs, factor = codes(turned)
+        width = error_bound(factor, dim)
+        scale = 1 / (np.maximum(factor, 1e-9) * math.sqrt(dim))
         count = np.zeros(len(cls), dtype=np.int64)
-        parent = np.arange(len(cls))
+        parent = list(range(len(cls)))
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -132,28 +166,21 @@ def _linked(threshold: float):
                 i = parent[i]
             return i
 
-        left = np.flatnonzero(side != 2)
-        right = np.flatnonzero(side != 1)
-        for a in range(0, len(left), 512):
-            rows = left[a : a + 512]
-            guess, width = estimates(signs[rows], factor[rows], turned[right])
-            i, j = np.nonzero(guess + width[:, None] >= threshold)
-            x, y = rows[i], right[j]
-            # Inside one block each pair stands once; between two blocks the sides differ.
-            keep = (x < y) if not (side == 2).any() else np.ones(len(x), dtype=bool)
-            x, y = x[keep], y[keep]
-            for b in range(0, len(x), 1 << 16):
-                p, q = x[b : b + (1 << 16)], y[b : b + (1 << 16)]
-                ok = np.einsum("ij,ij->i", vectors[p], vectors[q]) >= threshold
-                if turn:
-                    ok &= ~(names[p, :turn] == names[q, :turn]).any(axis=1)
-                p, q = p[ok], q[ok]
-                np.add.at(count, p, weight[q])
-                np.add.at(count, q, weight[p])
-                for s, t in zip(p.tolist(), q.tolist()):
-                    s, t = root(s), root(t)
-                    if s != t:
-                        parent[max(s, t)] = min(s, t)
+        for x, y in _pairs(cut, side):
+            guess = np.einsum("ij,ij->i", signs[x], turned[y]) * scale[x]
+            near = guess + width[x] >= threshold
+            x, y = x[near], y[near]
+            if turn:
+                first = ~(names[x, :turn] == names[y, :turn]).any(axis=1)
+                x, y = x[first], y[first]
+            linked = np.einsum("ij,ij->i", vectors[x], vectors[y]) >= threshold
+            x, y = x[linked], y[linked]
+            np.add.at(count, x, weight[y])
+            np.add.at(count, y, weight[x])
+            for s, t in zip(x.tolist(), y.tolist()):
+                s, t = root(s), root(t)
+                if s != t:
+                    parent[max(s, t)] = min(s, t)
         roots = np.array([root(i) for i in range(len(cls))], dtype=np.int64)
         kept = np.flatnonzero((count > 0) | (roots != np.arange(len(cls))))
         return pa.table({"cls": pa.array(cls[kept]), "n": pa.array(count[kept]), "to": pa.array(cls[roots[kept]])})
@@ -181,8 +208,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # A vector of block i goes to the tasks (i, j) with j >= i, as the left side, and (j, i) with j < i, as the right one.
     spread = placed.join(size.drop("size"), key).withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("side", F.when(F.col("low") == F.col("high"), 0).when(F.col("block") == F.col("low"), 1).otherwise(2))
-    # Small buckets travel together: a task takes whole buckets and goes through them one by one.
-    found = spread.groupBy(*key, "low", "high").applyInArrow(_linked(threshold), "cls long, n long, to long")
+    # Small buckets travel together; a pair of blocks is a task by itself.
+    tasks = max(1, -(-placed.count() // (TASK * rotations)))
+    spread = spread.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label", "bucket"), F.lit(tasks))).otherwise(F.xxhash64("label", "bucket", "low", "high")))
+    found = spread.groupBy("dim", "turn", "task").applyInArrow(_linked(threshold), "cls long, n long, to long")
     found = materialize(found, "vector-links", "lz4")
     count = found.groupBy("cls").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select(F.col("cls").alias("a"), F.col("to").alias("b")))

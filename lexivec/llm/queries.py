@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, media, secrets, sharding, token_ids
+from . import embeddings, jaccard, media, pieces, secrets, sharding, token_ids
 
 QUERIES = {
     "op1_token_ids": token_ids.op1_token_ids,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_media": media.op5_media,
     "op6_jaccard": jaccard.op6_jaccard,
     "op9_embedding_dedup": embeddings.op9_embedding_dedup,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 SQL: dict[str, str] = {}
