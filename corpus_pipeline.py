@@ -1,10 +1,71 @@
-"""Cleaning and packing a corpus of documents in stages."""
+"""Cleaning and packing a corpus: `documents` goes through STAGES in turn, each written as Parquet and read again.
+
+toxicity       documents that the calibrated trees score at 0.5 or more go
+line dedup     repeated content-defined chunks of lines go; a document that loses every line goes with them
+n-gram join    of documents linked by 5-word shingles at a Jaccard index of 0.8 the one with the smallest id stays
+mixing         sources are mixed to target weights; a document comes once for each epoch that takes it
+sentencepiece  what is left, as piece ids
+
+All stages but the last return the columns of `documents`. Each takes any DataFrame with doc_id, text and source; the cases
+of nulls, empty and repeated rows are those of the operators.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexivec.llm import jaccard, line_dedup, mixing, pieces, shared, toxicity
+
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+REJECT = 0.5
+
+#: The trees and the piece search are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit_contract(docs, shared.read_table(spark, sf_dir, "labels"))
+    score = shared.free_name(docs, "score")
+    return toxicity.score(docs, model, score_col=score).filter(F.col(score) < REJECT).drop(score)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs)
+    removed = out.columns[-1]
+    touched = F.col(removed) > 0
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(touched, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.filter(~(touched & (F.length("text") == 0))).select(*docs.columns)
+
+
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    gone = shared.materialize(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "similar", "lz4")
+    return jaccard.some(docs, "doc_id", gone, "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_similar),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", to_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = shared.materialize(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -79,10 +79,8 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
             out.append(one[np.r_[True, one[1:] != one[:-1]]])
         elif n:
             # Fewer words than a shingle: the whole sequence is one.
-            short = np.uint64(0)
-            for i in range(n):
-                short += mix(word[at + i : at + i + 1] * factor[i])[0]
-            out.append(mix(np.array([short + factor[size] * np.uint64(n)])))
+            some = np.append(mix(word[at : at + n] * factor[:n]), factor[size : size + 1] * np.uint64(n))
+            out.append(mix(np.add.reduce(some, keepdims=True)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -322,7 +320,7 @@ def _overlaps(percent: int):
     return run
 
 
-def _some(rows: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
+def some(rows: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
     """Rows whose `column` is (left_semi) or isn't (left_anti) among `ids`, broadcast only when they are few."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, column, how)
 
@@ -337,7 +335,7 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
     if not classes.groupBy("node").count().filter("count > 1").isEmpty():
         raise RuntimeError("two different sets share a 64-bit fingerprint")
     copies = rows.filter("n > 0").select("doc_id", "node").join(classes.select("node", "rep"), "node").filter("doc_id is null or doc_id <> rep").select("doc_id").distinct()
-    own = _some(rows.filter("n > 0"), "doc_id", materialize(copies, "copies", "lz4"), "left_anti")
+    own = some(rows.filter("n > 0"), "doc_id", materialize(copies, "copies", "lz4"), "left_anti")
     # A doc_id that has several texts may stand for one class and be a copy in another; its other classes come back here.
     lost = classes.select("node").join(own.select("node").distinct(), "node", "left_anti")
     if not lost.isEmpty():
@@ -351,14 +349,14 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
     unknown = known.filter("prefix is null").select("doc_id").distinct()
     prefixes = known.filter("prefix is not null")
     if not unknown.isEmpty():
-        whole = _some(texts, "doc_id", unknown, "left_semi").mapInArrow(_sets(size, percent, True), SETS).filter("n > 0")
+        whole = some(texts, "doc_id", unknown, "left_semi").mapInArrow(_sets(size, percent, True), SETS).filter("n > 0")
         more = whole.mapInArrow(_prefixes(order, percent), PREFIXES).join(known.filter("prefix is null").select("node").distinct(), "node", "left_semi").select(*prefixes.columns)
         prefixes = materialize(prefixes.unionByName(more.dropDuplicates(["node"])), "prefixes", "lz4")
 
     groups = materialize(prefixes.groupBy("n", "fold").agg(F.min("node").alias("group"), F.count("*").alias("members")), "groups", "lz4")
     member = prefixes.select("n", "fold", "node").join(groups.filter("members > 1"), ["n", "fold"]).select("group", "node").distinct()
     member = materialize(member, "members", "lz4")
-    heads = _some(prefixes, "node", member.filter("node <> group").select("node"), "left_anti")
+    heads = some(prefixes, "node", member.filter("node <> group").select("node"), "left_anti")
     postings = heads.select("n", "node", "prefix").mapInArrow(_postings(buckets), POSTINGS)
     meetings = postings.groupBy("bucket").applyInArrow(_meet(percent), MEETINGS).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("long").alias("long"))
     sizes = classes.select("node", "n")
@@ -375,7 +373,7 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
     todo = materialize(met.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared").groupBy("a", "b").agg(F.max("shared").alias("shared")), "pairs", "lz4")
     nodes = todo.select(F.col("a").alias("node")).union(todo.select("b")).union(lists.select("node")).distinct()
     reps = materialize(nodes.join(classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted", "lz4")
-    sets = _some(texts, "doc_id", reps.select("doc_id").distinct(), "left_semi").mapInArrow(_sets(size, percent, True), SETS)
+    sets = some(texts, "doc_id", reps.select("doc_id").distinct(), "left_semi").mapInArrow(_sets(size, percent, True), SETS)
     sets = materialize(sets.select("node", F.col("tokens").alias("set")), "sets", "lz4")
 
     def verify(pairs: DataFrame) -> DataFrame:

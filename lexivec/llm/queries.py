@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, media, pieces, secrets, sharding, token_ids
+from . import embeddings, jaccard, line_dedup, media, mixing, pieces, secrets, sharding, token_ids, toxicity
 
 QUERIES = {
     "op1_token_ids": token_ids.op1_token_ids,
+    "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op5_media": media.op5_media,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_embedding_dedup": embeddings.op9_embedding_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL}
