@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,24 +38,26 @@ def fold_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(ACCENTED, PLAIN)))
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once a row, however often the body, or a lambda in it, names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def places(toks: Column, hit) -> Column:
+    """Places (from 0) of the tokens for which `hit` holds."""
+    return F.filter(F.transform(toks, lambda t, i: F.when(hit(t), i)), lambda i: i.isNotNull())
+
+
 def phrase_starts(toks: Column, words: list[str], prefix: bool = False) -> Column:
     """Places (from 0) at which the words stand one after another; with `prefix` the last one may go on."""
-    n = len(words)
+    last = len(words) - 1
 
-    def here(i: Column) -> Column:
-        hit = F.lit(True)
-        for k, word in enumerate(words):
-            at = F.get(toks, i + k)
-            hit = hit & (at.startswith(word) if prefix and k == n - 1 else at == word)
-        return F.coalesce(hit, F.lit(False))
+    def starts(k: int) -> Column:
+        word = words[k]
+        at = places(toks, (lambda t: t.startswith(word)) if prefix and k == last else (lambda t: t == word))
+        return F.transform(at, lambda p: p - k) if k else at
 
-    # array_position finds the first word fast; most rows end there.
-    places = F.filter(F.sequence(F.lit(0), F.size(toks) - n), here)
-    none = F.array().cast("array<int>")
-    possible = F.size(toks) >= n
-    if not (prefix and n == 1):
-        possible = possible & F.array_contains(toks, words[0])
-    return F.when(possible, places).otherwise(none)
+    return reduce(F.array_intersect, map(starts, range(len(words))))
 
 
 def identifiers(text: Column) -> Column:
@@ -74,13 +78,16 @@ def content_snippet(text: Column, lines: int = 3, most: int = 200) -> Column:
 
 def match_snippet(text: Column, words: list[str], size: int = 10) -> Column:
     """The first window of `size` tokens with the most hits; hits in brackets, cut ends marked by an ellipsis."""
-    toks, shown = tokens(text), surface_tokens(text)
-    hits = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.get(toks, i).isin(words))
-    counted = F.transform(hits, lambda s: F.struct(F.size(F.filter(hits, lambda p: (p >= s) & (p < s + size))).alias("n"), (-s).alias("minus")))
-    start = -F.array_max(counted)["minus"]
-    window = F.slice(F.transform(F.arrays_zip(shown.alias("s"), toks.alias("t")), lambda z: F.when(z["t"].isin(words), F.concat(F.lit("["), z["s"], F.lit("]"))).otherwise(z["s"])), start + 1, size)
-    body = F.array_join(window, " ")
-    return F.when(
-        (F.size(toks) > 0) & (F.size(hits) > 0),
-        F.concat(F.when(start > 0, F.lit("…")).otherwise(F.lit("")), body, F.when(start + size < F.size(toks), F.lit("…")).otherwise(F.lit(""))),
-    )
+
+    def window(x: Column) -> Column:
+        toks, shown, start = x["t"], x["s"], x["at"]
+        marked = F.zip_with(F.slice(shown, start + 1, size), F.slice(toks, start + 1, size), lambda s, t: F.when(t.isin(words), F.concat(F.lit("["), s, F.lit("]"))).otherwise(s))
+        before, after = F.when(start > 0, F.lit("…")).otherwise(F.lit("")), F.when(start + size < F.size(toks), F.lit("…")).otherwise(F.lit(""))
+        return F.when(start.isNotNull(), F.concat(before, F.array_join(marked, " "), after))
+
+    def first_best(hits: Column) -> Column:
+        counted = F.transform(hits, lambda s: F.struct(F.size(F.filter(hits, lambda p: (p >= s) & (p < s + size))).alias("n"), (-s).alias("minus")))
+        return -F.array_max(counted)["minus"]
+
+    at = let(places(tokens(text), lambda t: t.isin(words)), first_best)
+    return let(F.struct(tokens(text).alias("t"), surface_tokens(text).alias("s"), at.alias("at")), window)

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_path, path_prefix
-from ..functions.text import fold_words, match_snippet, phrase_starts, tokens
+from ..functions.text import fold_words, let, match_snippet, phrase_starts, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 NEAR_DEFAULT = 10
@@ -161,17 +162,26 @@ def _matches(node: Node, starts: dict[int, Column]) -> Column:
     return out
 
 
+def _within(last: Column, reach: int, p: Column) -> Column:
+    return (p <= last) & (p >= last - reach)
+
+
 def _clumps(node: Node, starts: dict[int, Column]) -> Column:
     """Places of the last phrase of each clump: every phrase starts at most its length plus the distance before it."""
-    own = [(p.phrase, starts[id(p.phrase)]) for p in node.parts]
+    own = [p.phrase for p in node.parts]
+    held = F.struct(*[starts[id(p)].alias(f"p{i}") for i, p in enumerate(own)])
 
-    def holds(last: Column) -> Column:
-        out = F.lit(True)
-        for phrase, at in own:
-            out = out & F.exists(at, lambda p: (p <= last) & (p >= last - len(phrase.words) - node.distance))
-        return out
+    def clumps(s: Column) -> Column:
+        def holds(last: Column) -> Column:
+            out = F.lit(True)
+            for i, phrase in enumerate(own):
+                reach = len(phrase.words) + node.distance
+                out = out & F.exists(s[f"p{i}"], partial(_within, last, reach))
+            return out
 
-    return F.filter(F.array_distinct(F.concat(*[at for _, at in own])), holds)
+        return F.filter(F.array_distinct(F.concat(*[s[f"p{i}"] for i in range(len(own))])), holds)
+
+    return let(held, clumps)
 
 
 def bm25(count: Column, length: Column, n: Column, total: Column, average: Column) -> Column:
@@ -186,19 +196,22 @@ def scored(chunks: DataFrame, node: Node, keep: list[str] | None = None) -> Data
     found = phrases_of(node)
     if not found or not all(p.words for p in found):
         return chunks.select(*keep).withColumn("score", F.lit(0.0)).filter(F.lit(False))
-    base = chunks.select(*keep, tokens(F.col("content")).alias("_tokens"))
-    starts, columns = {}, []
-    for i, p in enumerate(found):
-        at = phrase_starts(F.col("_tokens"), p.words, p.prefix)
-        columns.append((F.filter(at, lambda x: x == 0) if p.first else at).alias(f"_p{i}"))
-        starts[id(p)] = F.col(f"_p{i}")
-    wide = base.select(*keep, F.size("_tokens").alias("_length"), *columns)
-    sums = [F.sum(F.when(F.size(f"_p{i}") > 0, 1).otherwise(0)).alias(f"_n{i}") for i in range(len(found))]
-    stats = wide.agg(F.count("*").alias("_total"), F.avg("_length").alias("_average"), *sums)  # one row
+
+    def counted(toks: Column) -> Column:
+        starts = {}
+        for p in found:
+            at = phrase_starts(toks, p.words, p.prefix)
+            starts[id(p)] = F.filter(at, lambda x: x == 0) if p.first else at
+        return F.struct(F.size(toks).alias("length"), _matches(node, starts).alias("hit"), *[F.size(starts[id(p)]).alias(f"f{i}") for i, p in enumerate(found)])
+
+    # The tokens of a row are made once, and only counts leave the expression.
+    wide = chunks.select(*keep, let(tokens(F.col("content")), counted).alias("_c"))
+    sums = [F.sum(F.when(F.col(f"_c.f{i}") > 0, 1).otherwise(0)).alias(f"_n{i}") for i in range(len(found))]
+    stats = wide.agg(F.count("*").alias("_total"), F.avg("_c.length").alias("_average"), *sums)  # one row
     score = F.lit(0.0)
     for i in range(len(found)):
-        score = score + bm25(F.size(f"_p{i}"), F.col("_length"), F.col(f"_n{i}"), F.col("_total"), F.col("_average"))
-    hits = wide.filter(_matches(node, starts))
+        score = score + bm25(F.col(f"_c.f{i}"), F.col("_c.length"), F.col(f"_n{i}"), F.col("_total"), F.col("_average"))
+    hits = wide.filter("_c.hit")
     return hits.crossJoin(F.broadcast(stats)).select(*keep, score.alias("score"))
 
 

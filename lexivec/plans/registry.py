@@ -1,6 +1,338 @@
-"""All queries over the driver's tables, and their SQL."""
+"""All queries over the driver's tables. Their SQL stands in `oracles`.
+
+`documents` plays the part of files and chunks, `benchmark` of a query workload, `embeddings` of a vector collection
+(vec_id is doc_id), `pages` of markup, `events` of an access log, and the TPC-H keys of a graph.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import DeepConfig, QueryConfig
+from ..functions import paths as P
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import analytics, chunking, fusion, graph, index, lexical, trace, vector
+from .oracles import SQL as SQL
+
+AND, OR, PHRASE, PREFIX, NOT, NEAR = "that with", "idiot OR clown OR trash", '"of the"', "clow* OR disg*", "the NOT of", "NEAR(the idiot, 5)"
+SEED_QUERY = "idiot clown"
+#: The moment of the directory vote, in unix seconds.
+NOW = 1_706_745_600
+#: Paths for predicates on names, dealt out by the length of a text.
+SAMPLE_PATHS = ["src/main.rs", "pkg/service_test.go", "web/app.test.ts", "tests/a.py", "contest.go", "docs/readme.md", "node_modules/x.js", "pkg/node_modules/y.jsx", "lib/specification.go", "img/logo.png", "integration_test/b.TSX", "a.spec.js", "vendor/z.go", "Makefile"]
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents")
+    return docs.select(F.col("doc_id").alias("chunk_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("language"), F.lit(1).cast("long").alias("start_line"), F.regexp_extract("text", T.IDENTIFIER, 0).alias("symbol"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content"), "source")
+
+
+def collection(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of documents, by content."""
+    vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    return vectors.join(corpus(spark, sf).select("chunk_id", "content_hash"), "chunk_id")
+
+
+def query_vector(spark: SparkSession, sf: str) -> list[float]:
+    return [float(x) for x in _t(spark, sf, "embeddings").filter("vec_id = 0").first().embedding]
+
+
+def similarities(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    q = F.array(*[F.lit(x) for x in query_vector(spark, sf)])
+    return rows.select("chunk_id", F.round(V.similarity(V.normalize(F.col("vector")), V.normalize(q)), 6).alias("score"))
+
+
+def _search(query: str, literal: bool = False, **more):
+    return lambda spark, sf: lexical.search(corpus(spark, sf), query, 50, literal=literal, digits=6, **more)
+
+
+def tokenize_stats(spark, sf):
+    each = corpus(spark, sf).select("language", T.tokens(F.col("content")).alias("t"))
+    docs = each.groupBy("language").agg(F.count("*").alias("n_docs"), F.sum(F.size("t")).cast("long").alias("n_tokens"))
+    terms = each.select("language", F.explode("t").alias("term")).groupBy("language").agg(F.countDistinct("term").alias("n_terms"))
+    return docs.join(terms, "language")
+
+
+def bm25_batch_benchmark(spark, sf):
+    asked = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return lexical.search_batch(corpus(spark, sf), asked, 5)
+
+
+def snippet_window(spark, sf):
+    rows = corpus(spark, sf).select("chunk_id", T.match_snippet(F.col("content"), ["idiot", "clown"]).alias("snippet"))
+    return rows.filter("snippet is not null")
+
+
+def content_snippet(spark, sf):
+    return corpus(spark, sf).select("chunk_id", T.content_snippet(F.col("content")).alias("snippet"))
+
+
+def _windows(spark, sf):
+    return chunking.windows(corpus(spark, sf), 4, 1)
+
+
+def chunk_windows(spark, sf):
+    return _windows(spark, sf).select("path", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
+
+
+def chunk_sections(spark, sf):
+    headed = F.array_join(F.transform(F.split("content", "\n"), lambda s, i: F.when(i % 3 == 2, F.concat(F.lit("## "), s)).otherwise(s)), "\n")
+    return chunking.sections(corpus(spark, sf).select("path", headed.alias("content"))).select("path", "start_line", "end_line", "symbol", F.sha2("content", 256).alias("content_hash"))
+
+
+def chunk_covering_line(spark, sf):
+    lines = corpus(spark, sf).select("path", F.explode(F.array(*[F.lit(i).cast("long") for i in (2, 4, 9)])).alias("line"))
+    chunks = _windows(spark, sf).withColumn("chunk_id", F.concat_ws(":", "path", "start_line"))
+    return lexical.covering_line(chunks, lines).select("path", "line", "start_line", "end_line")
+
+
+def _dealt_paths(spark, sf):
+    names = F.array(*[F.lit(p) for p in SAMPLE_PATHS])
+    return _t(spark, sf, "documents").select("doc_id", F.element_at(names, (F.col("n_chars") % len(SAMPLE_PATHS) + 1).cast("int")).alias("path"))
+
+
+def test_path_filter(spark, sf):
+    return _dealt_paths(spark, sf).select("doc_id", "path", P.is_test_path(F.col("path")).alias("is_test"))
+
+
+def language_classify(spark, sf):
+    return _dealt_paths(spark, sf).groupBy("path").agg(F.count("*").alias("n")).select("path", "n", P.language(F.col("path")).alias("language"), P.is_binary_name(F.col("path")).alias("is_binary"))
+
+
+def exclude_prefix(spark, sf):
+    return _dealt_paths(spark, sf).filter(~P.is_excluded(F.col("path")))
+
+
+def _scan_and_files(spark, sf):
+    docs = _t(spark, sf, "documents")
+    base = docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.col("doc_id").alias("mtime"), F.sha2("text", 256).alias("content_hash"), "lang", "source")
+    german, touched = F.col("lang") == "de", F.col("source") == "src0"
+    files = base.filter("lang <> 'es'").select("path", (F.col("size") + german.cast("int")).alias("size"), (F.col("mtime") - touched.cast("int")).alias("mtime"), F.when(german, F.lit("old")).otherwise(F.col("content_hash")).alias("content_hash"))
+    return base.filter("lang <> 'fr'").select("path", "size", "mtime", "content_hash"), files
+
+
+def index_incremental_plan(spark, sf):
+    return index.plan(*_scan_and_files(spark, sf))
+
+
+def index_stats(spark, sf):
+    actions = index.plan(*_scan_and_files(spark, sf))
+    return index.stats(actions, _windows(spark, sf))
+
+
+def content_dedup_representative(spark, sf):
+    return vector.representatives(corpus(spark, sf))
+
+
+def missing_hashes(spark, sf):
+    return vector.missing(corpus(spark, sf), collection(spark, sf))
+
+
+def orphan_hashes(spark, sf):
+    return vector.orphans(corpus(spark, sf).filter("language = 'en'"), collection(spark, sf).select("content_hash").distinct())
+
+
+def vector_topk(spark, sf):
+    held = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return vector.top_k(held, query_vector(spark, sf), 20, key="vec_id", digits=6)
+
+
+def vector_topk_filtered(spark, sf):
+    held = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return vector.top_k(held, query_vector(spark, sf), 20, key="vec_id", where=F.col("label").isin(1, 2), digits=6)
+
+
+def vector_search(spark, sf):
+    held = collection(spark, sf).groupBy("content_hash").agg(F.min_by("vector", "chunk_id").alias("vector"))
+    return vector.vector_search(corpus(spark, sf), held, query_vector(spark, sf), 20, languages=["en", "fr"], digits=6)
+
+
+def vector_normalize(spark, sf):
+    rows = _t(spark, sf, "embeddings").select("vec_id", V.normalize(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))
+    return rows.select("vec_id", F.round(F.get("v", 0), 6).alias("first"), F.round(V.norm(F.col("v")), 6).alias("length"))
+
+
+def rrf_fusion(spark, sf):
+    lists = [(w, fusion.ranked(lexical.search(corpus(spark, sf), q, 200, digits=6))) for w, q in ((1.0, "the"), (0.6, "of"))]
+    return fusion.rrf(lists, digits=9)
+
+
+def hybrid_query(spark, sf):
+    return fusion.hybrid(corpus(spark, sf), similarities(spark, sf), SEED_QUERY, digits=6)
+
+
+def prf_terms(spark, sf):
+    chunks = corpus(spark, sf)
+    seeds = lexical.search(chunks, SEED_QUERY, 10, digits=6).select("chunk_id").join(chunks, "chunk_id")
+    return fusion.prf_terms(seeds, SEED_QUERY, symbol="symbol")
+
+
+def deep_query(spark, sf):
+    return fusion.deep(corpus(spark, sf), similarities(spark, sf), SEED_QUERY, QueryConfig(), DeepConfig(), digits=6)
+
+
+def deterministic_rerank(spark, sf):
+    chunks, near = corpus(spark, sf), similarities(spark, sf)
+    words = lexical.search(chunks, SEED_QUERY, 200, digits=6)
+    fused = fusion.hybrid(chunks, near, SEED_QUERY, digits=6)
+    return fusion.deterministic_rerank(fused, words, near, chunks, SEED_QUERY, top=30)
+
+
+def external_rerank(spark, sf):
+    """The outside scorer stands in as a rule that SQL has too: the share of vowels among the first 500 characters."""
+    chunks = corpus(spark, sf)
+    fused = fusion.hybrid(chunks, similarities(spark, sf), SEED_QUERY, digits=6)
+    candidates = chunks.join(fused.select("chunk_id"), "chunk_id", "left_semi")
+    cache = candidates.filter("language = 'fr'").select("content_hash").distinct().withColumn("score", F.lit(0.5))
+    head = F.substring("content", 1, 500)
+    fresh = fusion.unscored(candidates, cache).select("content_hash", F.round((F.length(head) - F.length(F.translate(head, "aeiou", ""))) / F.greatest(F.length(head), F.lit(1)), 6).alias("score"))
+    return fusion.scored_rerank(fused, chunks, cache.unionByName(fresh), top=30)
+
+
+def _by_source(spark, sf):
+    hits = lexical.search(corpus(spark, sf), "the", 200, digits=6)
+    return hits.select("chunk_id", F.regexp_extract("path", "^([^/]*)/", 1).alias("path"), "score")
+
+
+def guide_best_per_file(spark, sf):
+    return analytics.guide(_by_source(spark, sf))
+
+
+def _frecency(spark, sf, path: Column):
+    return _t(spark, sf, "events").select(path.alias("path"), F.unix_timestamp("ts").alias("at")).groupBy("path").agg(F.count("*").cast("double").alias("rank"), F.max("at").alias("last_accessed"))
+
+
+def cd_directory_vote(spark, sf):
+    hits = lexical.search(corpus(spark, sf), "the", 200, digits=6)
+    seen = _frecency(spark, sf, F.concat(F.lit("src"), (F.col("user_id") % 40).cast("string")))
+    return analytics.directory_vote(hits, seen, F.lit(NOW), None, digits=6)
+
+
+def frecency_decay(spark, sf):
+    events = _t(spark, sf, "events")
+    now = events.agg(F.max(F.unix_timestamp("ts")).alias("now"))
+    seen = _frecency(spark, sf, F.col("event_type")).crossJoin(F.broadcast(now))  # one row
+    return seen.select("path", F.round(analytics.decayed(F.col("rank") / 100, F.col("last_accessed"), F.col("now") + 86400 * 7), 6).alias("frecency"))
+
+
+def extract_call_edges(spark, sf):
+    rows = _t(spark, sf, "pages").select("page_id", "html")
+    found = graph.line_matches(rows, "html", graph.CALL, ["page_id"])
+    return found.filter(~F.col("name").isin(graph.NOT_CALLS)).groupBy("page_id", "line", "name").agg(F.count("*").alias("n"))
+
+
+def extract_sql_edges(spark, sf):
+    rows = corpus(spark, sf).select("chunk_id", "content")
+    parts = [graph.line_matches(rows, "content", pattern, ["chunk_id"]).withColumn("edge_kind", F.lit(kind)).withColumn("confidence", F.lit(c)) for kind, pattern, c in (graph.SQL[0], graph.SQL[1], graph.SQL[4])]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("chunk_id", "edge_kind", "line", "name").agg(F.max("confidence").alias("confidence"))
+
+
+def extract_links(spark, sf):
+    rows = _t(spark, sf, "pages").select("page_id", "html")
+    return graph.line_matches(rows, "html", 'href="([^"]*)"', ["page_id"]).groupBy("page_id", "name").agg(F.count("*").alias("n"))
+
+
+def _named_edges(spark, sf):
+    rows = corpus(spark, sf).select("chunk_id", "path", "content")
+    found = graph.line_matches(rows, "content", graph.SQL[0][1], ["chunk_id", "path"])
+    return found.select("chunk_id", "path", "line", F.col("name").alias("dst_name")).distinct()
+
+
+def _doc_symbols(spark, sf):
+    return corpus(spark, sf).filter("symbol <> ''").select(F.col("chunk_id").cast("string").alias("symbol_id"), "chunk_id", "path", "start_line", F.concat("path", F.lit("::"), "symbol").alias("fq_name"), F.lower("symbol").alias("short_name"))
+
+
+def resolve_names(spark, sf):
+    return graph.resolve(_named_edges(spark, sf), _doc_symbols(spark, sf)).select("chunk_id", "line", "dst_name", "dst_symbol_id")
+
+
+def symbol_roots(spark, sf):
+    hits = lexical.search(corpus(spark, sf), "the", 200, digits=6)
+    return graph.roots(hits, _doc_symbols(spark, sf)).select("symbol_id", "score")
+
+
+def fallback_roots(spark, sf):
+    return graph.fallback_roots(_doc_symbols(spark, sf), "the on er").select("symbol_id", "score")
+
+
+def _graph(spark, sf):
+    """Vertices and edges of region, nation, customer and orders; confidence comes from a number of the lower row."""
+    region, nation, customer, orders = (_t(spark, sf, n) for n in ("region", "nation", "customer", "orders"))
+    node = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    symbols = (
+        region.select(node("R", "r_regionkey").alias("symbol_id"), F.col("r_name").alias("short_name"))
+        .union(nation.select(node("N", "n_nationkey"), "n_name"))
+        .union(customer.select(node("C", "c_custkey"), "c_name"))
+        .union(orders.select(node("O", "o_orderkey"), "o_orderpriority"))
+    ).select("symbol_id", "short_name", F.lit("graph/tpch.rs").alias("path"), F.lit(1).cast("long").alias("start_line"))
+    edge = lambda src, dst, name, kind, line, confidence, evidence: (src.alias("src_symbol_id"), dst.alias("dst_symbol_id"), name.alias("dst_name"), F.lit(kind).alias("edge_kind"), F.lit("graph/tpch.rs").alias("path"), F.col(line).cast("long").alias("line"), confidence.alias("confidence"), evidence.alias("evidence"), dst.alias("edge_id"))
+    edges = (
+        nation.select(*edge(node("R", "n_regionkey"), node("N", "n_nationkey"), F.col("n_name"), "call", "n_nationkey", F.lit(0.62), F.col("n_name")))
+        .union(customer.select(*edge(node("N", "c_nationkey"), node("C", "c_custkey"), F.col("c_name"), "route", "c_custkey", F.round(F.abs("c_acctbal") / 20000, 6), F.col("c_mktsegment"))))
+        .union(orders.select(*edge(node("C", "o_custkey"), node("O", "o_orderkey"), F.col("o_orderpriority"), "sql_read", "o_orderkey", F.round(F.col("o_totalprice") / 1000000, 6), F.col("o_orderstatus"))))
+    )
+    roots = region.select(node("R", "r_regionkey").alias("symbol_id"), F.round(F.col("r_regionkey") * 0.01 + 0.5, 6).alias("score"))
+    return roots, symbols, edges
+
+
+def outgoing_ranked(spark, sf):
+    _, _, edges = _graph(spark, sf)
+    return graph.outgoing(edges, 3).select("src_symbol_id", "dst_symbol_id", "edge_rank")
+
+
+BEAM_TERMS, BEAM_HOPS, BEAM = ["building", "urgent"], 3, 4
+
+
+def _beam(spark, sf):
+    roots, symbols, edges = _graph(spark, sf)
+    return trace.beam_trace(roots, symbols, edges, BEAM_TERMS, BEAM_HOPS, BEAM, digits=6)
+
+
+def beam_trace(spark, sf):
+    last = F.element_at("steps", -1)
+    return _beam(spark, sf).select("root", "depth", F.col("last"), "score", last["from_symbol"].alias("from_symbol"), last["target_name"].alias("target"))
+
+
+def _chosen(spark, sf):
+    return trace.diverse(_beam(spark, sf), 12)
+
+
+def diverse_paths(spark, sf):
+    return _chosen(spark, sf).select("root", "depth", "score", "root_rank", F.element_at("steps", -1)["line"].alias("line"))
+
+
+def flow_tree(spark, sf):
+    return trace.flow_tree(_beam(spark, sf)).select("root", "depth", "node", "count", "best_score", "best_confidence")
+
+
+def trace_citations(spark, sf):
+    _, symbols, _ = _graph(spark, sf)
+    return trace.citations(_chosen(spark, sf), symbols)
+
+
+QUERIES = {
+    "tokenize_stats": tokenize_stats,
+    "bm25_and": _search(AND, literal=True),
+    "bm25_or": _search(OR),
+    "bm25_phrase": _search(PHRASE),
+    "bm25_prefix": _search(PREFIX),
+    "bm25_not": _search(NOT),
+    "bm25_near": _search(NEAR),
+    "bm25_lang_path_filter": _search("of", literal=True, languages=["en", "de"], prefixes=["SRC1", "src_"]),
+} | {
+    f.__name__: f
+    for f in (bm25_batch_benchmark, snippet_window, content_snippet, chunk_windows, chunk_sections, chunk_covering_line, test_path_filter, language_classify, exclude_prefix, index_incremental_plan, index_stats, content_dedup_representative, missing_hashes, orphan_hashes)
+} | {
+    f.__name__: f
+    for f in (vector_topk, vector_topk_filtered, vector_search, vector_normalize, rrf_fusion, hybrid_query, prf_terms, deep_query, deterministic_rerank, external_rerank, guide_best_per_file, cd_directory_vote, frecency_decay)
+} | {
+    f.__name__: f for f in (extract_call_edges, extract_sql_edges, extract_links, resolve_names, symbol_roots, fallback_roots, outgoing_ranked, beam_trace, diverse_paths, flow_tree, trace_citations)
+}
