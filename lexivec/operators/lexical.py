@@ -131,7 +131,7 @@ class _Parser:
         words: list[str] = []
         while True:
             kind, value = self.peek()
-            if kind not in ("string", "word"):
+            if kind not in ("string", "word") or kind == "word" and value in ("AND", "OR", "NOT"):
                 raise QueryError(f"expected a term, found {value or 'the end'}")
             self.take()
             words += fold_words(value[1:-1].replace('""', '"') if kind == "string" else value)

@@ -76,7 +76,7 @@ def test_filters_keep_statistics(chunks):
 
 
 def test_snippet_brackets_hits(chunks):
-    assert lexical.search(chunks, "lazy dog", snippets=True).first().snippet == "the [lazy] Café [dog] the end"
+    assert lexical.search(chunks, "lazy dog", snippets=True).first().snippet == "…[lazy] Café [dog] the end"
 
 
 def test_postings(chunks):
