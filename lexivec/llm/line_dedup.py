@@ -25,46 +25,48 @@ from .shared import free_name, materialize, read_table
 DIVISOR = 2
 LONG_WORDS = 50
 BROADCAST_ROWS = 300_000
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
+
+
+CHUNK = "struct<lines:array<string>,long:boolean>"
+
+
+def _words(line: F.Column) -> F.Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _chunks(text: F.Column) -> F.Column:
-    """array<struct<first long, lines array<string>>>: the text's chunks in order."""
-    lines = F.split(text, "\n", -1)
-    marked = F.transform(lines, lambda s: F.struct(s.alias("line"), F.conv(F.substring(F.md5(s.cast("binary")), 1, 7), 16, 10).cast("long").alias("h"), (F.length(s) - F.length(F.translate(s, " ", "")) + 1 >= LONG_WORDS).alias("long")))
+    """array<CHUNK>: the text's chunks in order, `long` for one that a long line makes alone."""
+    marked = F.transform(F.split(text, "\n", -1), lambda s: F.struct(s.alias("line"), F.conv(F.substring(F.md5(s.cast("binary")), 1, 7), 16, 10).cast("long").alias("h"), (_words(s) >= LONG_WORDS).alias("long")))
+    chunk = lambda lines, long: F.array(F.struct(lines.alias("lines"), long.alias("long")))
 
     def step(state: F.Column, x: F.Column) -> F.Column:
         """`open`: lines of the chunk that isn't ended yet; `done`: those before it."""
         flush = x["long"] & (F.size(state["open"]) > 0)
-        done = F.when(flush, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
+        done = F.when(flush, F.concat(state["done"], chunk(state["open"], F.lit(False)))).otherwise(state["done"])
         now = F.when(flush, F.array(x["line"])).otherwise(F.concat(state["open"], F.array(x["line"])))
         ends = x["long"] | ((x["h"] + 31 * state["before"]) % DIVISOR == 0)
         return F.struct(
-            F.when(ends, F.concat(done, F.array(now))).otherwise(done).alias("done"),
+            F.when(ends, F.concat(done, chunk(now, x["long"]))).otherwise(done).alias("done"),
             F.when(ends, F.array().cast("array<string>")).otherwise(now).alias("open"),
             x["h"].alias("before"),
         )
 
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).cast("long").alias("before"))
-    return F.aggregate(marked, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
-
-
-def _counts(chunk: F.Column) -> F.Column:
-    text = F.array_join(chunk, "\n")
-    return (F.size(chunk) >= 2) | (F.length(text) - F.length(F.translate(text, " ", "")) + 1 >= LONG_WORDS)
+    start = F.struct(F.array().cast(f"array<{CHUNK}>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).cast("long").alias("before"))
+    return F.aggregate(marked, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], chunk(s["open"], F.lit(False)))).otherwise(s["done"]))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with repeated chunks taken out of the text, and a column `removed` (or a longer name) with their number."""
     text = F.col(text_col)
     keyed = docs.filter(text.isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order_id"), F.xxhash64(text).alias("th"), _chunks(text).alias("chunks"))
-    each = keyed.select("id", "order_id", "th", F.posexplode("chunks").alias("at", "chunk")).filter(_counts(F.col("chunk"))).select("id", "order_id", "th", "at", F.array_join("chunk", "\n").alias("chunk"))
+    each = keyed.select("id", "order_id", "th", F.posexplode("chunks").alias("at", "c")).filter((F.size("c.lines") >= 2) | F.col("c.long")).select("id", "order_id", "th", "at", F.array_join("c.lines", "\n").alias("chunk"))
     each = each.withColumn("h1", F.xxhash64("chunk")).withColumn("h2", F.crc32(F.col("chunk").cast("binary")))
     place = F.struct("order_id", "th", "at")
     repeated = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
     repeated = materialize(repeated, "repeated", "lz4")
     few = repeated.count() <= BROADCAST_ROWS
-    hit = each.join(F.broadcast(repeated) if few else repeated, ["h1", "h2"])
+    hit = materialize(each.join(F.broadcast(repeated) if few else repeated, ["h1", "h2"]), "repeats")
     is_first = place.eqNullSafe(F.col("first"))
     held = hit.filter(is_first).groupBy("h1", "h2").agg(F.first("chunk").alias("held"))
     held = materialize(held, "held-chunks")
@@ -77,7 +79,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     joined = docs.join(side, F.col(id_col).cast("string").eqNullSafe(F.col(names["_id"])) & (F.xxhash64(text) == F.col(names["_th"])), "left")
     flags = F.col(names["_gone"])
-    kept = F.flatten(F.filter(_chunks(text), lambda c, i: ~F.array_contains(flags, i)))
+    kept = F.flatten(F.transform(F.filter(_chunks(text), lambda c, i: ~F.array_contains(flags, i)), lambda c: c["lines"]))
     columns = [F.when(flags.isNotNull(), F.array_join(kept, "\n")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.coalesce(F.size(flags), F.lit(0)).cast("long").alias(names["removed"]))
 
