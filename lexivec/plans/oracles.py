@@ -94,15 +94,15 @@ GRAPH = """symbols AS (
   UNION ALL SELECT 'C' || c_custkey, c_name FROM customer UNION ALL SELECT 'O' || o_orderkey, o_orderpriority FROM orders),
 edges AS (
   SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst, 'call' AS kind, n_nationkey::BIGINT AS line, 0.62::DOUBLE AS confidence, n_name AS evidence, 1.0::DOUBLE AS weight FROM nation
-  UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 'route', c_custkey, round(abs(c_acctbal) / 20000, 6), c_mktsegment, 0.9 FROM customer
-  UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, 'sql_read', o_orderkey, round(o_totalprice / 1000000, 6), o_orderstatus, 0.8 FROM orders),
+  UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey, 'route', c_custkey, round(abs(c_acctbal) / 20000, 9), c_mktsegment, 0.9 FROM customer
+  UNION ALL SELECT 'C' || o_custkey, 'O' || o_orderkey, 'sql_read', o_orderkey, round(o_totalprice / 1000000, 9), o_orderstatus, 0.8 FROM orders),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, line, dst) AS ord FROM edges),
 ahead AS (SELECT ranked.*, name, weight * confidence + least(0.25, (contains(lower(name), 'building'))::INT * 0.08 + (contains(lower(evidence), 'building'))::INT * 0.04
   + (contains(lower(name), 'urgent'))::INT * 0.08 + (contains(lower(evidence), 'urgent'))::INT * 0.04) AS gain FROM ranked JOIN symbols ON symbols.id = dst WHERE ord <= 4),
 s0 AS (SELECT 'R' || r_regionkey AS root, 'R' || r_regionkey AS current, r_name AS from_symbol, round(r_regionkey * 0.01 + 0.5, 6) AS score, 0::BIGINT AS state_ord, ''::VARCHAR AS node FROM region)"""
 for _d in (1, 2, 3):
     GRAPH += f""",
-e{_d} AS (SELECT root, {_d}::BIGINT AS depth, dst AS last, round(score + gain - 0.06 * {_d}, 6) AS score, from_symbol, name AS target, state_ord, ord, line, kind, confidence,
+e{_d} AS (SELECT root, {_d}::BIGINT AS depth, dst AS last, round(score + gain - 0.06 * {_d}, 12) AS score, from_symbol, name AS target, state_ord, ord, line, kind, confidence,
   node || (CASE WHEN node = '' THEN '' ELSE ' > ' END) || concat_ws(':', kind, from_symbol, name, 'graph/tpch.rs', line) AS node FROM s{_d - 1} JOIN ahead ON src = current),
 s{_d} AS (SELECT root, last AS current, target AS from_symbol, score, n AS state_ord, node FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, state_ord, ord) AS n FROM e{_d}) WHERE n <= 4)"""
 BEAM = GRAPH + ",\nbeam AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3)"
@@ -185,7 +185,7 @@ SELECT chunk_id, score, row_number() OVER (ORDER BY tail, CASE WHEN tail THEN pl
 placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM hybrid),
 wanted AS (SELECT content_hash, any_value(content) AS content, bool_or(language = 'fr') AS cached FROM chunks JOIN hybrid USING (chunk_id) GROUP BY 1),
 given AS (SELECT content_hash, CASE WHEN cached THEN 0.5 ELSE round((length(substring(content, 1, 500)) - length(translate(substring(content, 1, 500), 'aeiou', ''))) / greatest(length(substring(content, 1, 500)), 1), 6) END AS given FROM wanted),
-scored AS (SELECT chunk_id, place > 30 AS tail, placed.score, CASE WHEN place <= 30 THEN given END AS given FROM placed JOIN chunks USING (chunk_id) JOIN given USING (content_hash))
+scored AS (SELECT chunk_id, place > 30 AS tail, placed.score, CASE WHEN place <= 30 THEN given END AS given FROM placed LEFT JOIN chunks USING (chunk_id) LEFT JOIN given USING (content_hash))
 SELECT chunk_id, coalesce(given, score) AS score, row_number() OVER (ORDER BY tail, given DESC NULLS LAST, score DESC, chunk_id) AS position FROM scored""",
     "guide_best_per_file": f"""WITH {TOK},\n{hits('a', [phrase(['the'])], 'f0', 200)},
 s AS (SELECT split_part(path, '/', 1) AS path, chunk_id, score, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY score DESC, chunk_id) AS n FROM a)

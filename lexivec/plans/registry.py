@@ -276,8 +276,8 @@ def _graph(spark, sf):
     edge = lambda src, dst, name, kind, line, confidence, evidence: (src.alias("src_symbol_id"), dst.alias("dst_symbol_id"), name.alias("dst_name"), F.lit(kind).alias("edge_kind"), F.lit("graph/tpch.rs").alias("path"), F.col(line).cast("long").alias("line"), confidence.alias("confidence"), evidence.alias("evidence"), dst.alias("edge_id"))
     edges = (
         nation.select(*edge(node("R", "n_regionkey"), node("N", "n_nationkey"), F.col("n_name"), "call", "n_nationkey", F.lit(0.62), F.col("n_name")))
-        .union(customer.select(*edge(node("N", "c_nationkey"), node("C", "c_custkey"), F.col("c_name"), "route", "c_custkey", F.round(F.abs("c_acctbal") / 20000, 6), F.col("c_mktsegment"))))
-        .union(orders.select(*edge(node("C", "o_custkey"), node("O", "o_orderkey"), F.col("o_orderpriority"), "sql_read", "o_orderkey", F.round(F.col("o_totalprice") / 1000000, 6), F.col("o_orderstatus"))))
+        .union(customer.select(*edge(node("N", "c_nationkey"), node("C", "c_custkey"), F.col("c_name"), "route", "c_custkey", F.round(F.abs("c_acctbal") / 20000, 9), F.col("c_mktsegment"))))
+        .union(orders.select(*edge(node("C", "o_custkey"), node("O", "o_orderkey"), F.col("o_orderpriority"), "sql_read", "o_orderkey", F.round(F.col("o_totalprice") / 1000000, 9), F.col("o_orderstatus"))))
     )
     roots = region.select(node("R", "r_regionkey").alias("symbol_id"), F.round(F.col("r_regionkey") * 0.01 + 0.5, 6).alias("score"))
     return roots, symbols, edges
@@ -293,7 +293,7 @@ BEAM_TERMS, BEAM_HOPS, BEAM = ["building", "urgent"], 3, 4
 
 def _beam(spark, sf):
     roots, symbols, edges = _graph(spark, sf)
-    return trace.beam_trace(roots, symbols, edges, BEAM_TERMS, BEAM_HOPS, BEAM, digits=6)
+    return trace.beam_trace(roots, symbols, edges, BEAM_TERMS, BEAM_HOPS, BEAM, digits=12)
 
 
 def beam_trace(spark, sf):
