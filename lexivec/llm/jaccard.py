@@ -7,7 +7,9 @@
    Classes with identical prefixes and size form one group; groups meet in buckets of shingles, where each bucket counts
    shared prefix shingles. A group pair stays if sizes allow the threshold and shared shingles plus the longer rest of a
    set still reach the overlap that it needs.
-4. Group pairs are expanded to members and verified on whole sets. Links are only needed between components that are not
+4. Group pairs are expanded to members. A bitmap of the parity of a set's shingles in MAP_BITS cells differs between two sets
+   in no more places than the sets do, so it rules out nearly all false pairs without loss; the others are verified on
+   whole sets. Links are only needed between components that are not
    joined yet, so the best pairs go first and what they join is never compared again: large groups of near copies cost
    about a pair for each member, not all pairs. A shingle with over LONG groups starts with neighbours by size; later its
    members meet where their components still differ.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import flat, hashes, mix, multipliers, slices
 from .components import connected_components
-from .shared import materialize, read_table
+from .shared import arrow_rows, materialize, read_table
 
 COMMON = 64
 COMMON_KEPT = 1 << 17
@@ -36,7 +38,10 @@ COMMON_KEPT = 1 << 17
 SPARE = 24
 LONG = 32
 BROADCAST_ROWS = 400_000
-CHUNK = 8 << 20
+CHUNK = 2 << 20
+MAP_BITS = 2048
+#: Rows of a batch for Python; one may hold two whole sets.
+BATCH_ROWS = 1000
 BUCKET_ROWS = 100_000
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -98,6 +103,21 @@ def _node(one: np.ndarray) -> tuple[int, int]:
     return int(pair[0]), int(pair[1])
 
 
+def parity_map(one: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((one & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS).astype(np.uint8) & 1).tobytes()
+
+
+def _maps(column) -> np.ndarray:
+    """Rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64)
+
+
+def most_different(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """In how many shingles two sets may differ and still reach the threshold."""
+    both = na + nb
+    return both - 2 * -(-percent * both // (100 + percent))
+
+
 def _sets(size: int, percent: int, whole: bool):
     """Rows for `documents`: whole sets, or those of their shingles with the least hashes."""
 
@@ -108,14 +128,21 @@ def _sets(size: int, percent: int, whole: bool):
                 nodes = [_node(one) for one in sets]
                 kept = sets if whole else [one[: prefix_length(len(one), percent) + SPARE] if len(one) else one for one in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(one) for one in sets], pa.int64()), pa.array([x for x, _ in nodes], pa.int64()), pa.array([y for _, y in nodes], pa.int64()), pa.array([one.tobytes() for one in kept], pa.binary())],
-                    names=["doc_id", "n", "node", "check", "tokens"],
+                    [
+                        ids,
+                        pa.array([len(one) for one in sets], pa.int64()),
+                        pa.array([x for x, _ in nodes], pa.int64()),
+                        pa.array([y for _, y in nodes], pa.int64()),
+                        pa.array([one.tobytes() for one in kept], pa.binary()),
+                        pa.array([parity_map(one) for one in sets] if whole else [None] * len(sets), pa.binary()),
+                    ],
+                    names=["doc_id", "n", "node", "check", "tokens", "map"],
                 )
 
     return run
 
 
-SETS = "doc_id long, n long, node long, check long, tokens binary"
+SETS = "doc_id long, n long, node long, check long, tokens binary, map binary"
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +226,7 @@ def _prefixes(common, percent: int):
         order = _Order(common.value)
         for batch in batches:
             rows = []
-            for doc_id, n, node, check, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, n, node, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 got = order.prefix(np.frombuffer(tokens, np.uint64), n, percent)
                 fold = None if got is None else int(mix(np.array([np.bitwise_xor.reduce(mix(got + np.uint64(n)))])).view(np.int64)[0])
                 rows.append([doc_id, n, node, fold, None if got is None else got.tobytes()])
@@ -208,6 +235,7 @@ def _prefixes(common, percent: int):
     return run
 
 
+BY_ORDER = ("doc_id", "n", "node", "tokens")
 PREFIXES = "doc_id long, n long, node long, fold long, prefix binary"
 POSTINGS = "bucket long, tokens binary, groups binary, sizes binary"
 
@@ -226,12 +254,15 @@ def _sized(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray:
     return 100 * small.astype(np.int64) >= percent * large.astype(np.int64)
 
 
-MEETINGS = "a long, b long, shared long, long boolean"
+FOUND = "is_list boolean, a long, b long, n long, long boolean"
 
 
 def _meet(percent: int):
-    """Pairs of groups that share prefix shingles of a bucket, with how many. Long lists give neighbours by size and, as
-    rows without b, their own members."""
+    """What the groups of a bucket of shingles have to do with each other.
+
+    Pairs (a, b) that share its shingles, n of them; and lists with over LONG groups, as rows (list, group, size of the
+    group). Such a list gives only pairs of neighbours by size, marked `long`. Lists with equal members are one.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         token, group, n = _gather(table, "tokens", np.uint64), _gather(table, "groups", np.int64), _gather(table, "sizes", np.int32)
@@ -241,9 +272,15 @@ def _meet(percent: int):
         token, group, n = token[fresh], group[fresh], n[fresh]
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
         length = np.diff(np.r_[first, len(token)])
+        lists, seen = [], set()
+        for at, k in zip(first[length > LONG].tolist(), length[length > LONG].tolist()):
+            name = int(mix(np.bitwise_xor.reduce(mix(group[at : at + k].view(np.uint64)), keepdims=True)).view(np.int64)[0])
+            if name not in seen:
+                seen.add(name)
+                lists.append((np.full(k, name), group[at : at + k], n[at : at + k].astype(np.int64)))
         keep = np.repeat(length > 1, length)
-        token, group, n = token[keep], group[keep], n[keep]
         long = np.repeat(length > LONG, length)[keep]
+        token, group, n = token[keep], group[keep], n[keep]
         a, b, far = [], [], []
         for shift in range(1, LONG):
             if shift >= len(token):
@@ -262,41 +299,33 @@ def _meet(percent: int):
         head = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(low) else np.zeros(0, np.int64)
         shared = np.diff(np.r_[head, len(low)])
         any_far = np.logical_or.reduceat(far, head) if len(head) else np.zeros(0, bool)
-        return pa.table({"a": pa.array(low[head]), "b": pa.array(high[head]), "shared": pa.array(shared.astype(np.int64)), "long": pa.array(any_far)})
+        lists = [np.concatenate(x) for x in zip(*lists)] if lists else [np.zeros(0, np.int64)] * 3
+        return pa.table(
+            {
+                "is_list": pa.array(np.r_[np.zeros(len(head), bool), np.ones(len(lists[0]), bool)]),
+                "a": pa.array(np.r_[low[head], lists[0]]),
+                "b": pa.array(np.r_[high[head], lists[1]]),
+                "n": pa.array(np.r_[shared, lists[2]].astype(np.int64)),
+                "long": pa.array(np.r_[any_far, np.zeros(len(lists[0]), bool)]),
+            }
+        )
 
     return run
 
 
-def _long_lists(table: pa.Table) -> pa.Table:
-    """Members of the lists with over LONG groups. Lists with the same members are one."""
-    token, group, n = _gather(table, "tokens", np.uint64), _gather(table, "groups", np.int64), _gather(table, "sizes", np.int32)
-    order = np.lexsort((group, n, token))
-    token, group, n = token[order], group[order], n[order]
-    fresh = np.r_[True, (token[1:] != token[:-1]) | (group[1:] != group[:-1])] if len(token) else np.zeros(0, bool)
-    token, group, n = token[fresh], group[fresh], n[fresh]
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-    length = np.diff(np.r_[first, len(token)])
-    seen, rows = set(), []
-    for at, k in zip(first[length > LONG].tolist(), length[length > LONG].tolist()):
-        name = int(np.bitwise_xor.reduce(mix(group[at : at + k].view(np.uint64))).view(np.int64))
-        if name not in seen:
-            seen.add(name)
-            rows.append((np.full(k, name), group[at : at + k], n[at : at + k].astype(np.int64)))
-    cat = lambda i: np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64)
-    return pa.table({"list": pa.array(cat(0)), "node": pa.array(cat(1)), "n": pa.array(cat(2))})
-
-
 def _cross(percent: int):
-    """Pairs of a list whose components differ and whose sizes allow the threshold."""
+    """Pairs of a list whose components differ, whose sizes allow the threshold and whose maps don't rule it out."""
 
     def run(table: pa.Table) -> pa.Table:
         n, node, part = (np.asarray(table.column(c)) for c in ("n", "node", "part"))
         order = np.lexsort((node, n))
+        maps = _maps(table.column("map"))[order]
         n, node, part = n[order], node[order], part[order]
         a, b = [], []
         for i in range(len(n)):
             end = int(np.searchsorted(n, 100 * int(n[i]) // percent, side="right"))
             at = np.flatnonzero(part[i + 1 : end] != part[i]) + i + 1
+            at = at[np.bitwise_count(maps[at] ^ maps[i]).sum(axis=1) <= most_different(n[i], n[at], percent)]
             a.append(np.full(len(at), node[i]))
             b.append(node[at])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -305,6 +334,19 @@ def _cross(percent: int):
     return run
 
 
+def _possible(percent: int):
+    """Pairs (with whatever comes after their maps) that the maps don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
+            apart = np.bitwise_count(_maps(batch.column("ma")) ^ _maps(batch.column("mb"))).sum(axis=1)
+            keep = pa.array(apart <= most_different(na, nb, percent))
+            yield batch.select(["a", "b", "shared"]).filter(keep)
+
+    return run
+
+
 def _overlaps(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,9 +370,15 @@ def some(rows: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
 def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked by a Jaccard index of `percent` hundredths or more on word
     shingles of `size` words, and the smallest doc_id that links reach."""
+    # All steps with Python run and are written inside; what is returned only joins narrow tables.
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _components(docs, size, percent, id_col, text_col)
+
+
+def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = materialize(texts.mapInArrow(_sets(size, percent, False), SETS), "shingles", "lz4")
+    rows = materialize(texts.mapInArrow(_sets(size, percent, False), SETS).drop("map"), "shingles", "lz4")
     classes = materialize(rows.filter("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep")), "classes", "lz4")
     if not classes.groupBy("node").count().filter("count > 1").isEmpty():
         raise RuntimeError("two different sets share a 64-bit fingerprint")
@@ -345,20 +393,21 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
     common = own.select("n", "tokens").mapInArrow(_token_counts(buckets, percent), "bucket long, tokens binary, times binary").groupBy("bucket").applyInArrow(_common(COMMON), "token long, times long")
     kept = np.array([r.token for r in common.orderBy(F.desc("times"), "token").limit(COMMON_KEPT).collect()], dtype=np.int64).view(np.uint64)
     order = spark.sparkContext.broadcast(kept)
-    known = materialize(own.mapInArrow(_prefixes(order, percent), PREFIXES), "prefixes", "lz4")
+    known = materialize(own.select(*BY_ORDER).mapInArrow(_prefixes(order, percent), PREFIXES), "prefixes", "lz4")
     unknown = known.filter("prefix is null").select("doc_id").distinct()
     prefixes = known.filter("prefix is not null")
     if not unknown.isEmpty():
         whole = some(texts, "doc_id", unknown, "left_semi").mapInArrow(_sets(size, percent, True), SETS).filter("n > 0")
-        more = whole.mapInArrow(_prefixes(order, percent), PREFIXES).join(known.filter("prefix is null").select("node").distinct(), "node", "left_semi").select(*prefixes.columns)
-        prefixes = materialize(prefixes.unionByName(more.dropDuplicates(["node"])), "prefixes", "lz4")
+        more = whole.select(*BY_ORDER).mapInArrow(_prefixes(order, percent), PREFIXES).join(known.filter("prefix is null").select("node").distinct(), "node", "left_semi").select(*prefixes.columns)
+        prefixes = prefixes.unionByName(materialize(more.dropDuplicates(["node"]), "prefixes", "lz4"))
 
     groups = materialize(prefixes.groupBy("n", "fold").agg(F.min("node").alias("group"), F.count("*").alias("members")), "groups", "lz4")
     member = prefixes.select("n", "fold", "node").join(groups.filter("members > 1"), ["n", "fold"]).select("group", "node").distinct()
     member = materialize(member, "members", "lz4")
     heads = some(prefixes, "node", member.filter("node <> group").select("node"), "left_anti")
     postings = heads.select("n", "node", "prefix").mapInArrow(_postings(buckets), POSTINGS)
-    meetings = postings.groupBy("bucket").applyInArrow(_meet(percent), MEETINGS).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("long").alias("long"))
+    found = materialize(postings.groupBy("bucket").applyInArrow(_meet(percent), FOUND), "found")
+    meetings = found.filter("not is_list").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.max("long").alias("long"))
     sizes = classes.select("node", "n")
     rest = lambda n: F.expr(f"floor({percent} * {n} / 100)")  # noqa: E731  what a set has beyond its prefix, at most
     met = (
@@ -367,17 +416,24 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
         .filter(F.col("long") | (F.col("shared") + F.greatest(rest("na"), rest("nb")) + 1 >= F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))))
     )
     met = materialize(met.select("a", "b", "shared"), "meetings", "lz4")
-    lists = materialize(postings.groupBy("bucket").applyInArrow(_long_lists, "list long, node long, n long").distinct(), "long-lists", "lz4")
+    lists = found.filter("is_list").select(F.col("a").alias("list"), F.col("b").alias("node"), "n").distinct()
+    lists = materialize(lists.join(member.toDF("node", "each"), "node", "left").select("list", F.coalesce("each", "node").alias("node"), "n"), "long-lists", "lz4")
 
     stars = member.filter("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b"), F.lit(1 << 40).alias("shared"))
     todo = materialize(met.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared").groupBy("a", "b").agg(F.max("shared").alias("shared")), "pairs", "lz4")
     nodes = todo.select(F.col("a").alias("node")).union(todo.select("b")).union(lists.select("node")).distinct()
     reps = materialize(nodes.join(classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted", "lz4")
     sets = some(texts, "doc_id", reps.select("doc_id").distinct(), "left_semi").mapInArrow(_sets(size, percent, True), SETS)
-    sets = materialize(sets.select("node", F.col("tokens").alias("set")), "sets", "lz4")
+    sets = materialize(sets.select("node", "n", "map", F.col("tokens").alias("set")), "sets", "lz4")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """(a, b, shared) of the pairs that maps don't rule out."""
+        both = pairs.join(sets.select("node", "n", "map").toDF("a", "na", "ma"), "a").join(sets.select("node", "n", "map").toDF("b", "nb", "mb"), "b")
+        return both.select("a", "b", "shared", "na", "nb", "ma", "mb").mapInArrow(_possible(percent), "a long, b long, shared long").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        held = sets.select("node", "set")
+        both = pairs.select("a", "b").join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return materialize(both.mapInArrow(_overlaps(percent), "a long, b long, linked boolean").distinct(), "verified", "lz4")
 
     links = None
@@ -396,16 +452,22 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
         links = new if links is None else links.unionByName(new)
         parts = connected_components(links)
 
+    todo = materialize(possible(todo), "pairs", "lz4")
     # The best pair of each node first: what it joins need not be compared again.
     best = todo.select("a", "shared", "b").union(todo.select(F.col("b").alias("a"), "shared", F.col("a").alias("b"))).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     checked = verify(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     absorb(checked)
-    left = apart(todo.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-    later = left.select("a", "b")
+    rest_of = materialize(apart(todo.join(checked.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b"), "rest", "lz4")
+    if not rest_of.isEmpty():
+        # All pairs that are known are done before lists are crossed: by then most members of a list lie together.
+        more_checked = verify(rest_of)
+        absorb(more_checked)
+        checked = checked.unionByName(more_checked)
+    later = checked.select("a", "b").limit(0)
     if not lists.isEmpty():
         placed = lists.join(parts.toDF("node", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
         mixed = placed.groupBy("list").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("list")
-        later = later.unionByName(placed.join(mixed, "list", "left_semi").groupBy("list").applyInArrow(_cross(percent), "a long, b long")).distinct()
+        later = later.unionByName(placed.join(mixed, "list", "left_semi").join(sets.select("node", "map").dropDuplicates(["node"]), "node").groupBy("list").applyInArrow(_cross(percent), "a long, b long")).distinct()
     if not member.isEmpty():
         # Members of met groups, and of one group, that the pairs of their heads have not joined. Groups that lie in one
         # component together are done; only the others are expanded.
@@ -419,7 +481,8 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
         for side in "ab":
             wide = wide.join(member.toDF(side, "each"), side, "left").withColumn(side, F.coalesce("each", side)).drop("each")
         later = later.unionByName(apart(wide.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("a", "b"))
-    later = materialize(later.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "later", "lz4")
+    later = later.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    later = materialize(possible(later.withColumn("shared", F.lit(0).cast("long"))), "later", "lz4")
     if not later.isEmpty():
         absorb(verify(later))
 
