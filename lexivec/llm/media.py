@@ -142,7 +142,7 @@ def pcm_features(pcm: np.ndarray) -> str:
     crossings = int(np.count_nonzero(below[1:] != below[:-1]))
     peak = max(int(pcm.max(initial=0)), -int(pcm.min(initial=0)))
     # Squares of 16-bit samples are whole numbers that doubles add up exactly to 2**53, some 8 million samples at least.
-    power = sum(int(np.dot(part, part)) for part in (pcm[i : i + (1 << 22)].astype(np.float64) for i in range(0, len(pcm), 1 << 22)))
+    power = sum(int(np.einsum("i,i->", part, part)) for part in (pcm[i : i + (1 << 22)].astype(np.float64) for i in range(0, len(pcm), 1 << 22)))
     return f"{len(pcm)}:{peak}:{power // max(1, len(pcm))}:{crossings}:{zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
 
 
