@@ -1,7 +1,7 @@
 """Cleaning and packing a corpus: `documents` goes through STAGES in turn, each written as Parquet and read again.
 
 toxicity       documents that the calibrated trees score at 0.5 or more go
-line dedup     repeated content-defined chunks of lines go; a document that loses every line goes with them
+line dedup     repeated runs of two lines or more and repeated long lines go; a document that loses every line goes with them
 n-gram join    of documents linked by 5-word shingles at a Jaccard index of 0.8 the one with the smallest id stays
 mixing         sources are mixed to target weights; a document comes once for each epoch that takes it
 sentencepiece  what is left, as piece ids
@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_passages(docs)
     removed = out.columns[-1]
     touched = F.col(removed) > 0
     if "n_chars" in docs.columns:

@@ -1,6 +1,12 @@
-"""Operator 7, line dedup [native]: content-defined chunks of lines.
+"""Operator 7, line dedup [native]: repeated runs of lines (`dedup_passages`), and content-defined chunks (`dedup_lines`).
 
-A text's lines are hashed; a rolling value over each line and the one before it ends a chunk where it falls on a multiple
+`dedup_passages` takes out each run of two lines or more, and each line of LONG_WORDS words or more, that stands at an
+earlier place (by id, then place) too. A run repeats where each two neighbouring lines of it do, so it compares all pairs of
+neighbours and all long lines of the corpus; what surrounds a passage makes no difference. The pipeline uses it. A pair that
+overlaps its own first occurrence stays. As places are those of the texts before the cut, a run may go whose first
+occurrence loses lines to a still earlier one; the first occurrence of each line stays.
+
+`dedup_lines` compares chunks alone, as its SQL does, and leaves repeated runs that chunk ends cut differently. A text's lines are hashed; a rolling value over each line and the one before it ends a chunk where it falls on a multiple
 of DIVISOR, so boundaries depend on nearby content alone and come back after lines are put in or taken out. A line of
 LONG_WORDS words or more is a chunk by itself, as a passage that fills one line would else hang on to its neighbours.
 
@@ -9,7 +15,7 @@ hashes, with a partial count before the shuffle. Of those that repeat, the first
 bytes; every other occurrence is compared with them and taken out if it is equal. Texts move only for chunks that repeat,
 and tables of repeated chunks are broadcast only when they are small; otherwise the joins shuffle.
 
-Defined results: a null text stays null and has no chunks; an empty text, or one of a single short line, stays as it is;
+Defined results of both: a null text stays null and has no chunks; an empty text, or one of a single short line, stays as it is;
 rows with equal id and text are treated alike, so a first occurrence stays in all of them; chunks whose hashes agree but
 whose bytes differ from the first stay; a null id comes first; an empty table gives no rows; other columns are carried
 along, and columns of this operator give way to theirs in name.
@@ -17,6 +23,8 @@ along, and columns of this operator give way to theirs in name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +64,9 @@ def _chunks(text: F.Column) -> F.Column:
     return F.aggregate(marked, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], chunk(s["open"], F.lit(False)))).otherwise(s["done"]))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with repeated chunks taken out of the text, and a column `removed` (or a longer name) with their number."""
-    text = F.col(text_col)
-    keyed = docs.filter(text.isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order_id"), F.xxhash64(text).alias("th"), _chunks(text).alias("chunks"))
-    each = keyed.select("id", "order_id", "th", F.posexplode("chunks").alias("at", "c")).filter((F.size("c.lines") >= 2) | F.col("c.long")).select("id", "order_id", "th", "at", F.array_join("c.lines", "\n").alias("chunk"))
+def _repeated(each: DataFrame, send_held: bool = True) -> DataFrame:
+    """Of (id, order_id, th, at, chunk) the places but the first of each text that repeats, and `first`, the first one.
+    First occurrences are broadcast where they are few, unless `send_held` is off."""
     each = each.withColumn("h1", F.xxhash64("chunk")).withColumn("h2", F.crc32(F.col("chunk").cast("binary")))
     place = F.struct("order_id", "th", "at")
     repeated = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
@@ -70,24 +76,64 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     is_first = place.eqNullSafe(F.col("first"))
     held = hit.filter(is_first).groupBy("h1", "h2").agg(F.first("chunk").alias("held"))
     held = materialize(held, "held-chunks")
-    small = (held.agg(F.sum(F.octet_length("held"))).first()[0] or 0) <= BROADCAST_BYTES
-    gone = hit.filter(~is_first).join(F.broadcast(held) if small and few else held, ["h1", "h2"]).filter("chunk = held").select("id", "th", "at")
-    gone = materialize(gone.groupBy("id", "th").agg(F.collect_set("at").alias("gone")), "removed", "lz4")
+    small = send_held and (held.agg(F.sum(F.octet_length("held"))).first()[0] or 0) <= BROADCAST_BYTES
+    return hit.filter(~is_first).join(F.broadcast(held) if small and few else held, ["h1", "h2"]).filter("chunk = held")
+
 
+def _without(docs: DataFrame, gone: DataFrame, parts: F.Column, lines: Callable[[F.Column], F.Column], id_col: str, text_col: str) -> DataFrame:
+    """`docs` without the parts that `gone` (id, th, places) numbers, and a column `removed` (or a longer name)."""
+    text = F.col(text_col)
     names = {n: free_name(docs, n) for n in ("removed", "_id", "_th", "_gone")}
     gone = gone.toDF(names["_id"], names["_th"], names["_gone"])
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     joined = docs.join(side, F.col(id_col).cast("string").eqNullSafe(F.col(names["_id"])) & (F.xxhash64(text) == F.col(names["_th"])), "left")
     flags = F.col(names["_gone"])
-    kept = F.flatten(F.transform(F.filter(_chunks(text), lambda c, i: ~F.array_contains(flags, i)), lambda c: c["lines"]))
+    kept = lines(F.filter(parts, lambda c, i: ~F.array_contains(flags, i)))
     columns = [F.when(flags.isNotNull(), F.array_join(kept, "\n")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.coalesce(F.size(flags), F.lit(0)).cast("long").alias(names["removed"]))
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _keyed(docs: DataFrame, parts: F.Column, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.filter(text.isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order_id"), F.xxhash64(text).alias("th"), F.posexplode(parts).alias("at", "c"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with repeated chunks taken out of the text, and a column `removed` (or a longer name) with their number."""
+    chunks = _chunks(F.col(text_col))
+    each = _keyed(docs, chunks, id_col, text_col).filter((F.size("c.lines") >= 2) | F.col("c.long")).select("id", "order_id", "th", "at", F.array_join("c.lines", "\n").alias("chunk"))
+    gone = _repeated(each).groupBy("id", "th").agg(F.collect_set("at").alias("gone"))
+    lines = lambda kept: F.flatten(F.transform(kept, lambda c: c["lines"]))
+    return _without(docs, materialize(gone, "removed", "lz4"), chunks, lines, id_col, text_col)
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with every repeated run of lines taken out of the text, and a column `removed` (or a longer name) with the
+    number of lines taken out."""
+    lines = F.split(F.col(text_col), "\n", -1)
+    each = _keyed(docs, F.arrays_zip(lines.alias("line"), F.slice(lines, 2, F.size(lines)).alias("next")), id_col, text_col)
+    line, following = F.col("c.line"), F.col("c.next")
+    units = F.array(F.concat(line, F.lit("\n"), following), F.when(_words(line) >= LONG_WORDS, line))
+    each = each.select("id", "order_id", "th", "at", F.explode(units).alias("chunk")).filter("chunk is not null")
+    pair = F.col("chunk").contains("\n")
+    # The lines of a pair that begins where its first occurrence ends are that occurrence's own.
+    overlaps = pair & F.col("order_id").eqNullSafe(F.col("first.order_id")) & (F.col("th") == F.col("first.th")) & (F.col("at") == F.col("first.at") + 1)
+    places = F.when(pair, F.array("at", F.col("at") + 1)).otherwise(F.array("at"))
+    gone = _repeated(each, send_held=False).filter(~overlaps).groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_set(places))).alias("gone"))
+    return _without(docs, materialize(gone, "removed", "lz4"), lines, lambda kept: kept, id_col, text_col)
+
+
+def _query(spark: SparkSession, sf_dir: str, dedup: Callable[[DataFrame], DataFrame]) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").cast("long").alias("n_before"))
-    out = dedup_lines(docs)
-    return out.select("doc_id", "n_before", F.length("text").cast("long").alias("n_after"), "removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return dedup(docs).select("doc_id", "n_before", F.length("text").cast("long").alias("n_after"), "removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query(spark, sf_dir, dedup_lines)
+
+
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query(spark, sf_dir, dedup_passages)
 
 
 # Chunks are found line by line from the ends: a running count of ended chunks numbers them.
@@ -113,3 +159,23 @@ WITH line AS (
 SELECT d.doc_id, length(d.text)::BIGINT AS n_before, length(k.text)::BIGINT AS n_after, coalesce(k.removed, 0)::BIGINT AS removed, sha256(k.text) AS text_sha256
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
+
+# Each pair of neighbouring lines, and each long line, looks for its first occurrence; lines under a later one go.
+PASSAGES_SQL = f"""
+WITH line AS (
+  SELECT doc_id, i, ls[i] AS line, ls[i + 1] AS following
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+), unit AS (
+  SELECT doc_id, i, 2 AS n, line || chr(10) || following AS unit FROM line WHERE following IS NOT NULL
+  UNION ALL SELECT doc_id, i, 1, line FROM line WHERE length(line) - length(replace(line, ' ', '')) + 1 >= {LONG_WORDS}
+), placed AS (
+  SELECT *, first_value(doc_id) OVER u AS first_doc, first_value(i) OVER u AS first_i FROM unit WINDOW u AS (PARTITION BY unit ORDER BY doc_id, i)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM placed WHERE doc_id <> first_doc OR i >= first_i + n
+), kept AS (
+  SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text, count(g.i) AS removed
+  FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, length(d.text)::BIGINT AS n_before, length(k.text)::BIGINT AS n_after, coalesce(k.removed, 0)::BIGINT AS removed, sha256(k.text) AS text_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""

@@ -12,8 +12,9 @@ QUERIES = {
     "op5_media": media.op5_media,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op7_passage_dedup": line_dedup.op7_passage_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_embedding_dedup": embeddings.op9_embedding_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-SQL: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL}
+SQL: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL, "op7_passage_dedup": line_dedup.PASSAGES_SQL}

@@ -341,6 +341,31 @@ def test_line_dedup_takes_out_repeated_passages(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_passage_dedup_sql(spark, duck):
+    got, want = queries.QUERIES["op7_passage_dedup"](spark, DATA).toPandas(), duck.sql(queries.SQL["op7_passage_dedup"]).df()
+    assert normal(got) == normal(want)
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6])
+def test_passages_go_whole_in_any_surroundings(spark, empty, n):
+    rows, kept = [], {}
+    for k in range(8):
+        passage = [f"p{k} " + " ".join(f"w{k}x{i}x{j}" for j in range(60 // n)) for i in range(n)]
+        for copy in range(3):
+            own = [f"own {k} {copy} {i}" for i in range(2 + copy)]
+            rows.append((10 * k + copy, "\n".join(own[:1] + passage + own[1:])))
+            kept[rows[-1][0]] = ("\n".join(own), n) if copy else (rows[-1][1], 0)
+    got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == kept
+    assert line_dedup.dedup_passages(empty).count() == 0
+
+
+def test_passage_edge_cases(spark):
+    rows = [(1, "a\na\na"), (2, None), (3, ""), (4, f"x\n{LONG}\ny"), (5, f"z\n{LONG}\nx"), (6, "a\nb"), (None, "c\nd"), (7, "e\nc\nd\nc\nd")]
+    got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("a\na\na", 0), 2: (None, 0), 3: ("", 0), 4: (rows[3][1], 0), 5: ("z\nx", 1), 6: ("a\nb", 0), None: ("c\nd", 0), 7: ("e", 4)}
+
+
 # --- 8 toxicity ---
 
 
