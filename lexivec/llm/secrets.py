@@ -1,9 +1,9 @@
-"""Operator 4, secret scans [native]: candidates judged by how many owners hold them.
+"""Operator 4, secret scans [native]: candidates judged by how many owners and repositories hold them.
 
 Every whole text is searched for the three base kinds (assign, access, hex) and for `opaque` runs: long mixed-case runs of
 letters and digits. Each candidate's value is hashed, and over the whole corpus the hash's distinct repositories and owners
-are counted. A value that COPIED_OWNERS owners or more hold is an example that people copy (kind `copied`); one that fewer
-hold and that looks live is a credential (kind `live`). The spans of these values are added to the base spans, which stay.
+are counted. A value that COPIED_OWNERS owners or COPIED_REPOSITORIES repositories or more hold is an example that people
+copy (kind `copied`); one that fewer hold and that looks live is a credential (kind `live`). The spans of these values are added to the base spans, which stay.
 
 Counting takes distinct (hash, owner, repository) rows first, so a value that stands in a third of all documents is one
 row for each repository before any shuffle by hash; the join back is an inner equi-join whose hot side adaptive execution
@@ -31,6 +31,7 @@ ADDED = ("copied", "live")
 #: Runs shorter than the least length are no candidates, so a test for one of that length spares most texts the rest.
 NEEDED = {"access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "opaque": r"[A-Za-z0-9+/_-]{32}"}
 COPIED_OWNERS = 3
+COPIED_REPOSITORIES = 3
 PLACEHOLDER = r"(?i)example|changeme|placeholder|your[_-]|xxxx|\*\*\*|1234567|abcdef"
 LEAST_DISTINCT = 8
 
@@ -60,8 +61,9 @@ def _joined(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"]))), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: F.Column | None = None, repository: F.Column | None = None, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """(doc_id, base, added): both arrays of (start, kind, end), the kinds numbered as in BASE and then ADDED."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: F.Column | None = None, repository: F.Column | None = None, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
+    """(doc_id, base, added, max_repositories): two arrays of (start, kind, end), the kinds numbered as in BASE and then
+    ADDED, and the most repositories that hold one of the row's candidates, 0 without any."""
     owner = F.col("source") if owner is None else owner
     repository = F.col("source") if repository is None else repository
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("="), owner.cast("string")), F.lit("")).alias("owner"), F.coalesce(F.concat(F.lit("="), repository.cast("string")), F.lit("")).alias("repository"))
@@ -74,13 +76,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     holders = candidates.select("h1", "h2", "owner", "repository").distinct().groupBy("h1", "h2", "owner").agg(F.count("*").alias("repositories")).groupBy("h1", "h2").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"))
     value = F.col("value")
     live = (F.size(F.array_distinct(F.split(value, ""))) >= LEAST_DISTINCT) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
-    copied = F.col("n_owners") >= copied_owners
+    copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories)
     verdict = F.when(copied, F.lit(len(BASE))).when(live, F.lit(len(BASE) + 1))
     # The value ends where its match ends.
-    spans = candidates.join(holders, ["h1", "h2"]).withColumn("verdict", verdict).filter("verdict is not null").select("row", F.struct((F.col("end") - F.length("value")).alias("start"), F.col("verdict").alias("kind"), F.col("end").alias("end")).alias("span"))
-    added = spans.groupBy("row").agg(F.array_distinct(F.collect_list("span")).alias("added"))
+    span = F.struct((F.col("end") - F.length("value")).alias("start"), F.col("verdict").alias("kind"), F.col("end").alias("end"))
+    judged = candidates.join(holders, ["h1", "h2"]).withColumn("verdict", verdict).select("row", "n_repositories", F.when(F.col("verdict").isNotNull(), span).alias("span"))
+    added = judged.groupBy("row").agg(F.array_distinct(F.collect_list("span")).alias("added"), F.max("n_repositories").alias("max_repositories"))
     slim = rows.select("row", "doc_id", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"))
-    return slim.join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:long,kind:int,end:long>>")).alias("added"))
+    return slim.join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:long,kind:int,end:long>>")).alias("added"), F.coalesce("max_repositories", F.lit(0)).cast("long").alias("max_repositories"))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +91,4 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(read_table(spark, sf_dir, "documents"), owner=F.col("source"), repository=F.col("lang"))
     n = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{BASE[i][0]}")
     kind = lambda k: F.size(F.filter("added", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", n(0), n(1), n(2), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), kind(len(BASE)).alias("n_copied"), kind(len(BASE) + 1).alias("n_live"))
+    return found.select("doc_id", n(0), n(1), n(2), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), kind(len(BASE)).alias("n_copied"), kind(len(BASE) + 1).alias("n_live"), "max_repositories")

@@ -213,6 +213,14 @@ def test_ownership_tells_copies_from_live(spark):
     assert got == {0: [(3, 6, 18)], 1: [(3, 6, 18)], 2: [(3, 6, 18)], 9: [(4, 6, 18)], 10: []}
 
 
+def test_repositories_take_part_in_the_verdict(spark):
+    many, two = "q7Zk29dLwX81", "b8Yt36pQsV54"
+    rows = [(i, f"token={many}", lang, "s1") for i, lang in enumerate(["en", "fr", "de"])] + [(3, f"token={two}", "en", "s1"), (4, f"token={two}", "fr", "s1"), (5, f"token={two}", "fr", "s1"), (6, "none", "en", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: ([s.kind for s in r.added], r.max_repositories) for r in secrets.scan(df, repository=F.col("lang")).collect()}
+    assert got == {0: ([3], 3), 1: ([3], 3), 2: ([3], 3), 3: ([4], 2), 4: ([4], 2), 5: ([4], 2), 6: ([], 0)}
+
+
 def test_secret_edge_cases(docs, empty):
     assert secrets.scan(docs).count() == len(ROWS) and secrets.scan(empty).count() == 0
 
