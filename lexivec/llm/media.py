@@ -182,6 +182,6 @@ def decode(files: DataFrame, keep_pcm: bool = True) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The PCM is four times the payload; the query keeps its features and checksum in `feature`."""
+    """Files and PCM are stored in turn; the rows are those of the PCM table without the samples."""
     files = materialize(store(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "media")
-    return decode(files, keep_pcm=False)
+    return materialize(decode(files), "pcm").drop("pcm")

@@ -262,6 +262,15 @@ def test_media_round_trip(spark, docs, empty):
         assert r.media_bytes > len(data) and len(r.pcm) % 2 == 0
 
 
+def test_media_query_stores_the_pcm(spark, monkeypatch):
+    stored = {}
+    keep = media.materialize
+    monkeypatch.setattr(media, "materialize", lambda df, name, *more: stored.setdefault(name, keep(df, name, *more)))
+    rows = {r.doc_id: r.feature for r in queries.QUERIES["op5_media"](spark, DATA).collect()}
+    held = stored["pcm"].select("doc_id", "feature", "pcm").collect()
+    assert len(held) == len(rows) and all(r.feature == rows[r.doc_id] and r.feature.endswith(media.pcm_features(np.frombuffer(r.pcm, "<i2"))) for r in held)
+
+
 # --- 6 Jaccard ---
 
 
