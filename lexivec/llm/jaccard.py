@@ -15,7 +15,7 @@
    members meet where their components still differ.
 
 Defined results: null texts, and texts without words, have no shingles and link with nothing; equal doc_ids count as one
-document, its smallest id standing for the class; a null doc_id is kept and is no representative if its class has others;
+document, its smallest id standing for the class; a null doc_id is kept, links like any other and is no representative if its component has others;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -397,7 +397,10 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     unknown = known.filter("prefix is null").select("doc_id").distinct()
     prefixes = known.filter("prefix is not null")
     if not unknown.isEmpty():
-        whole = some(texts, "doc_id", unknown, "left_semi").mapInArrow(_sets(size, percent, True), SETS).filter("n > 0")
+        whole = some(texts, "doc_id", unknown, "left_semi")
+        if not unknown.filter("doc_id is null").isEmpty():
+            whole = whole.unionByName(texts.filter("doc_id is null"))
+        whole = whole.mapInArrow(_sets(size, percent, True), SETS).filter("n > 0")
         more = whole.select(*BY_ORDER).mapInArrow(_prefixes(order, percent), PREFIXES).join(known.filter("prefix is null").select("node").distinct(), "node", "left_semi").select(*prefixes.columns)
         prefixes = prefixes.unionByName(materialize(more.dropDuplicates(["node"]), "prefixes", "lz4"))
 
@@ -424,6 +427,11 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     nodes = todo.select(F.col("a").alias("node")).union(todo.select("b")).union(lists.select("node")).distinct()
     reps = materialize(nodes.join(classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted", "lz4")
     sets = some(texts, "doc_id", reps.select("doc_id").distinct(), "left_semi").mapInArrow(_sets(size, percent, True), SETS)
+    bare = reps.filter("doc_id is null").select("node")
+    if not bare.isEmpty():
+        # Joins by doc_id never meet null: sets of classes without any id come from all texts without one.
+        without = texts.filter("doc_id is null").mapInArrow(_sets(size, percent, True), SETS)
+        sets = sets.unionByName(without.join(bare, "node", "left_semi").dropDuplicates(["node"]))
     sets = materialize(sets.select("node", "n", "map", F.col("tokens").alias("set")), "sets", "lz4")
 
     def possible(pairs: DataFrame) -> DataFrame:

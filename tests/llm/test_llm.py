@@ -335,6 +335,15 @@ def test_jaccard_edge_cases(docs, empty):
     assert jaccard.jaccard_components(empty, 4, 85).count() == 0
 
 
+def test_jaccard_links_rows_without_id(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(3)]
+    rows = [(5, texts[0]), (None, texts[0] + " more"), (None, texts[1]), (None, texts[1] + " more"), (None, texts[1] + " more"), (7, texts[1] + " other"), (9, texts[2]), (None, "some text of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(5, 5), (None, 5), (None, 7), (None, 7), (None, 7), (7, 7), (9, 9), (None, None)], key=repr)
+    got = jaccard.jaccard_components(df, 4, 85).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
