@@ -185,17 +185,25 @@ def deterministic_rerank(spark, sf):
     return fusion.deterministic_rerank(fused, words, near, chunks, SEED_QUERY, top=30)
 
 
-def external_rerank(spark, sf):
-    """The outside scorer stands in as a rule that SQL has too: the share of vowels among the first 500 characters."""
+def _external_rerank(spark, sf, scored: Column):
+    """The outside scorer stands in as a rule that SQL has too: the share of vowels in `scored`."""
     chunks = corpus(spark, sf)
     fused = fusion.hybrid(chunks, similarities(spark, sf), SEED_QUERY, digits=6)
     candidates = chunks.join(fused.select("chunk_id"), "chunk_id", "left_semi")
     cache = candidates.filter("language = 'fr'").select("content_hash").distinct().withColumn("score", F.lit(0.5))
-    head = F.substring("content", 1, 500)
-    fresh = fusion.unscored(candidates, cache).select("content_hash", F.round((F.length(head) - F.length(F.translate(head, "aeiou", ""))) / F.greatest(F.length(head), F.lit(1)), 6).alias("score"))
+    fresh = fusion.unscored(candidates, cache).select("content_hash", F.round((F.length(scored) - F.length(F.translate(scored, "aeiou", ""))) / F.greatest(F.length(scored), F.lit(1)), 6).alias("score"))
     return fusion.scored_rerank(fused, chunks, cache.unionByName(fresh), top=30)
 
 
+def external_rerank(spark, sf):
+    """Scores the first 500 characters, as its SQL does."""
+    return _external_rerank(spark, sf, F.substring("content", 1, 500))
+
+
+def external_rerank_whole(spark, sf):
+    return _external_rerank(spark, sf, F.col("content"))
+
+
 def _by_source(spark, sf):
     hits = lexical.search(corpus(spark, sf), "the", 200, digits=6)
     return hits.select("chunk_id", F.regexp_extract("path", "^([^/]*)/", 1).alias("path"), "score")
@@ -332,7 +340,7 @@ QUERIES = {
     for f in (bm25_batch_benchmark, snippet_window, content_snippet, chunk_windows, chunk_sections, chunk_covering_line, test_path_filter, language_classify, exclude_prefix, index_incremental_plan, index_stats, content_dedup_representative, missing_hashes, orphan_hashes)
 } | {
     f.__name__: f
-    for f in (vector_topk, vector_topk_filtered, vector_search, vector_normalize, rrf_fusion, hybrid_query, prf_terms, deep_query, deterministic_rerank, external_rerank, guide_best_per_file, cd_directory_vote, frecency_decay)
+    for f in (vector_topk, vector_topk_filtered, vector_search, vector_normalize, rrf_fusion, hybrid_query, prf_terms, deep_query, deterministic_rerank, external_rerank, external_rerank_whole, guide_best_per_file, cd_directory_vote, frecency_decay)
 } | {
     f.__name__: f for f in (extract_call_edges, extract_sql_edges, extract_links, resolve_names, symbol_roots, fallback_roots, outgoing_ranked, beam_trace, diverse_paths, flow_tree, trace_citations)
 }
