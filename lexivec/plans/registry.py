@@ -243,6 +243,13 @@ def extract_sql_edges(spark, sf):
     return every.groupBy("chunk_id", "edge_kind", "line", "name").agg(F.max("confidence").alias("confidence"))
 
 
+def extract_edges(spark, sf):
+    """Calls, imports, routes and all SQL patterns over whole chunks; patterns may cross lines."""
+    end = F.col("start_line") + F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    chunks = corpus(spark, sf).withColumn("end_line", end).withColumn("kind", F.lit("text"))
+    return graph.edges(chunks)
+
+
 def extract_links(spark, sf):
     rows = _t(spark, sf, "pages").select("page_id", "html")
     return graph.line_matches(rows, "html", 'href="([^"]*)"', ["page_id"]).groupBy("page_id", "name").agg(F.count("*").alias("n"))
@@ -344,3 +351,5 @@ QUERIES = {
 } | {
     f.__name__: f for f in (extract_call_edges, extract_sql_edges, extract_links, resolve_names, symbol_roots, fallback_roots, outgoing_ranked, beam_trace, diverse_paths, flow_tree, trace_citations)
 }
+#: Queries beyond SQL; tests compare them with brute force.
+BRUTE_FORCE = {"extract_edges": extract_edges}

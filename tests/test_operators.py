@@ -1,9 +1,13 @@
+import collections
+
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from lexivec.config import load
 from lexivec.functions import paths
 from lexivec.operators import analytics, chunking, fusion, graph, index, trace, vector
+from lexivec.plans import registry
 
 
 def rows(df, *order):
@@ -143,3 +147,33 @@ def test_config_defaults_and_file(tmp_path):
     assert load(tmp_path / "none").query.rrf_k == 60
     (tmp_path / "c.toml").write_text("[query]\nrrf_k = 10.0\n[index]\nmax_file_bytes = 8\n")
     assert load(tmp_path / "c.toml").query.rrf_k == 10 and load(tmp_path / "c.toml").index.max_file_bytes == 8
+
+
+def brute_edges(docs):
+    import re
+
+    name = r"([A-Za-z_][A-Za-z0-9_]*)"
+    patterns = [("call", rf"\b{name}\s*\(", 0.62)]
+    patterns += [("sql_read", rf"(?i)\b{head}\s+{name}", 0.77) for head in ("from", "join", r"select\s+.+?\bfrom")]
+    patterns += [("sql_write", rf"(?i)\b{head}\s+{name}", 0.82) for head in (r"insert\s+into", "update", r"delete\s+from")]
+    out = collections.Counter()
+    for path, text in docs:
+        symbol = re.search("[A-Za-z_][A-Za-z0-9_]*", text or "")
+        for kind, pattern, confidence in patterns:
+            for m in re.finditer(pattern, text or ""):
+                if kind == "call" and m[1] in graph.NOT_CALLS:
+                    continue
+                key = (path, kind, text.count("\n", 0, m.start(1)) + 1, m[1])
+                out[key] = max(out[key], 0.45 if kind == "call" and m[1] == symbol[0] else confidence)
+    return dict(out)
+
+
+def test_extract_edges_equals_brute_force(spark, tmp_path):
+    planted = ["x insert into alpha values", "x delete\nfrom beta where", "x update gamma set y", "x select a,\nb from delta join\neps", "x insert\n  into\nzeta", "x select a from eta", "run call(1) and run(2) if (3)", "", None]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(planted)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for sf in (str(tmp_path), DATA):
+        docs = [(f"{r.source}/{r.doc_id}", r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+        got = {(r.path, r.edge_kind, r.line, r.dst_name): r.confidence for r in registry.BRUTE_FORCE["extract_edges"](spark, sf).collect()}
+        assert got == brute_edges(docs)
+        assert sf == DATA or {n for _, k, _, n in got if k == "sql_write"} == {"alpha", "beta", "gamma", "zeta"}
