@@ -1,36 +1,53 @@
 """Operator 8, toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features of a text, all computed from it alone: densities of four lexicons, the share of lexicon words that stand within
-NEAR words of a word of the second person, and rates of capitals, punctuation, repeated letters and obfuscated words (as
-`id1ot`, `i-d-i-o-t`, `iiidiot` read after folding). Trees of depth DEPTH are boosted on the logistic loss over binned
-features; a quarter of the training rows, chosen by a hash of the text, is kept from the trees to calibrate their margin.
-
-The model is fitted on the driver on at most SAMPLE labelled rows, those with the least md5 of their id, of which only the
-features travel. Everything else runs on the executors, text by text.
+Features of a text, all computed from it alone: densities of four fixed lexicons and of one learned from the training rows,
+the share of lexicon words that stand within NEAR words of a word of the second person, and rates of capitals, punctuation,
+repeated letters and obfuscated words (as `id1ot`, `i-d-i-o-t`, `iiidiot` read after folding). Trees of depth DEPTH are
+boosted on the logistic loss over binned features; a quarter of the training rows, chosen by a hash of the text, is kept
+from lexicon and trees to calibrate their margin.
+
+The learned lexicon holds whole words and beginnings of words (so that new inflections count) with the smoothed log-odds of
+standing in a toxic document. Its features are the density and number of findings, the same of the clearest ones (STRONG),
+how many different words these are, and the weight of the fullest window of WINDOW words. Training rows get these features
+from a lexicon that was counted on other rows (FOLDS parts by a hash of the text), so the trees see them as they are on
+unseen texts.
+
+The model is fitted on at most SAMPLE labelled rows, those with the least md5 of their id, and has at most LEXICON units.
+Units are counted on the executors; units that a hundredth of the toxic rows or more hold, counts and features come to the
+driver, never texts. Everything else runs on the executors, text by text.
 
 Defined results: a null text counts as empty; empty texts get the score of a text without any finding; rows with a null
-label don't train; without any labelled row every score is 0; equal texts get equal scores; an empty table gives no rows;
-other columns are not read.
+label don't train; without any labelled row every score is 0; equal texts get equal scores; a text is scored whole, however
+long, one at a time; an empty table gives no rows; other columns are not read by the model and stay as they are, and the
+score's column takes a longer name where the table has its name.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import free_name, materialize, read_table
 
 #: Bound on labelled rows that train.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, RIDGE = 60, 3, 0.2, 64, 8, 1.0
 #: A split by chance gains about as much as the largest of many chi-square values; only clearer ones are made.
-LEAST_GAIN = 14.0
+LEAST_GAIN = 3.0
 NEAR = 6
+#: Parts of the training rows; a row's learned features come from the lexicon of the other parts.
+FOLDS = 4
+#: Bound on the learned lexicon, the letters that a beginning of a word has, and what a unit must show to be in it.
+LEXICON, BEGINNINGS, LEAST_ODDS, LEAST_Z = 4096, range(4, 10), 1.5, 3.0
+STRONG, WINDOW = 3.0, 32
+#: Bounds of what a worker remembers: weights of words, and counts that are not sent yet.
+REMEMBERED, HELD_COUNTS = 100_000, 200_000
 SEED = "toxicity"
 
 # Common insults and abuse of four languages, by strength, and words of the second person. Short words that
@@ -63,7 +80,7 @@ _KNOWN = _STRONG | THREATS | SECOND
 # Signs that stand for letters.
 FOLD = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 
-FEATURES = ("insults", "slurring", "profane", "threats", "strong_count", "strong_kinds", "near_second", "second", "capital_letters", "capital_words", "exclaiming", "punctuation", "repeats", "obfuscated", "log_words")
+FEATURES = ("insults", "slurring", "profane", "threats", "strong_count", "strong_kinds", "near_second", "second", "capital_letters", "capital_words", "exclaiming", "punctuation", "repeats", "obfuscated", "log_words", "learned", "learned_count", "learned_strong", "learned_strong_count", "learned_kinds", "learned_window")
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKED = re.compile(r"(?<![^\W_])(?=[\w@$!|*.-]*[^\W\d_])[^\W_](?:[@$!|*.0-9-]*[^\W_]|[@$!|])+")
@@ -90,7 +107,56 @@ def _unmasked(text: str) -> int:
     return found
 
 
-def features(text: str) -> list[float]:
+def units(word: str) -> list[str]:
+    """What the lexicon may hold of a word: the word itself (after a space) and its beginnings."""
+    return [f" {word}", *(word[:k] for k in BEGINNINGS if k <= len(word))]
+
+
+def _units_of(text: str) -> set[str]:
+    return set().union(*map(units, set(_WORD.findall(text.lower()))))
+
+
+class Lexicon:
+    """Log-odds of units; a word has that of its clearest unit, 0 without any."""
+
+    def __init__(self, odds: dict[str, float] | None = None):
+        self.odds = odds or {}
+        self.seen: dict[str, float] = {}
+
+    def __reduce__(self):
+        return Lexicon, (self.odds,)
+
+    def weight(self, word: str) -> float:
+        got = self.seen.get(word)
+        if got is None:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            got = self.seen[word] = max(self.odds.get(u, 0.0) for u in units(word)) if self.odds else 0.0
+        return got
+
+    def features(self, words: list[str]) -> list[float]:
+        kinds = {w: self.weight(w) for w in set(words)}
+        if not any(kinds.values()):
+            return [0.0] * 6
+        v = np.fromiter(map(kinds.__getitem__, words), float, len(words))
+        n, strong = len(v), int(np.count_nonzero(v >= STRONG))
+        along = np.r_[0.0, np.cumsum(v)]
+        width = min(WINDOW, n)
+        return [1000 * along[-1] / n, float(np.count_nonzero(v)), 1000 * strong / n, float(strong), float(sum(x >= STRONG for x in kinds.values())), float((along[width:] - along[:-width]).max())]
+
+
+def log_odds(with_it: dict[str, tuple[int, int]], toxic: int, clean: int) -> Lexicon:
+    """The lexicon of units that so many (toxic, clean) documents hold, out of all `toxic` and `clean` ones."""
+    found = []
+    for unit, (p, n) in with_it.items():
+        odds = float(np.log((p + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1)))
+        z = odds / float(np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)))
+        if p >= 3 and odds > LEAST_ODDS and z > LEAST_Z:
+            found.append((-z, unit, odds))
+    return Lexicon({unit: odds for _, unit, odds in sorted(found)[:LEXICON]})
+
+
+def features(text: str, lexicon: Lexicon = Lexicon()) -> list[float]:
     lower = text.lower()
     words = _WORD.findall(lower)
     n = len(words)
@@ -101,8 +167,8 @@ def features(text: str) -> list[float]:
     if any(hits):
         for i in np.flatnonzero(hits).tolist():
             w = words[i]
-            for k, lexicon in enumerate(LEXICONS):
-                counts[k] += w in lexicon
+            for k, fixed in enumerate(LEXICONS):
+                counts[k] += w in fixed
             if w in _STRONG:
                 strong.append(i)
                 kinds.add(w)
@@ -136,6 +202,7 @@ def features(text: str) -> list[float]:
         float(np.count_nonzero((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]))) / size,
         float(masked),
         float(np.log1p(n)),
+        *lexicon.features(words),
     ]
 
 
@@ -213,27 +280,78 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Model:
-    def __init__(self, trees: Trees | None, at: np.ndarray, share: np.ndarray):
-        self.trees, self.at, self.share = trees, at, share
+    def __init__(self, trees: Trees | None, at: np.ndarray, share: np.ndarray, lexicon: Lexicon | None = None):
+        self.trees, self.at, self.share, self.lexicon = trees, at, share, lexicon or Lexicon()
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, kept_back: np.ndarray) -> Model:
+    def fit(cls, x: np.ndarray, y: np.ndarray, kept_back: np.ndarray, lexicon: Lexicon | None = None) -> Model:
         if not len(y):
             return cls(None, np.zeros(1), np.zeros(1))
         if kept_back.all() or not kept_back.any():
             kept_back = np.arange(len(y)) % 4 == 3
         trees = Trees.fit(x[~kept_back], y[~kept_back])
         margin = trees.margin(x[kept_back]) if kept_back.any() else trees.margin(x)
-        return cls(trees, *isotonic(margin, y[kept_back] if kept_back.any() else y))
+        return cls(trees, *isotonic(margin, y[kept_back] if kept_back.any() else y), lexicon)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.trees.margin(x), self.at, self.share) if self.trees is not None else np.zeros(len(x))
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = [features(t.as_py() or "") for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "back"])
+def _counted(wanted: frozenset[str] | None):
+    """Rows (unit, fold, n): how many texts of the task hold a unit, of all units or of those in `wanted`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Counter[str]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for fold, counts in held.items():
+                if counts:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([fold] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["unit", "fold", "n"])
+            held.clear()
+
+        for batch in batches:
+            for text, fold in zip(batch.column(0), batch.column(1).to_pylist()):
+                found = _units_of(text.as_py() or "")
+                held.setdefault(fold, Counter()).update(found if wanted is None else found & wanted)
+                if sum(map(len, held.values())) > HELD_COUNTS:
+                    yield from sent()
+        yield from sent()
+
+    return run
+
+
+def _unit_counts(rows: DataFrame, least: int = 0, wanted: frozenset[str] | None = None) -> dict[str, list[int]]:
+    """Of units that `least` texts hold or more, the number of texts of each fold."""
+    each = rows.select("text", "fold").mapInArrow(_counted(wanted), "unit string, fold int, n long")
+    folds = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"f{f}") for f in range(FOLDS)]
+    got = each.groupBy("unit").agg(*folds, F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    return dict(zip(got.column("unit").to_pylist(), zip(*(got.column(f"f{f}").to_pylist() for f in range(FOLDS)))))
+
+
+def learn(rows: DataFrame) -> list[Lexicon]:
+    """Lexicons of (text, y, fold): for each fold that of the others, and last the one of all."""
+    sizes = {(r.fold, r.y > 0.5): r["count"] for r in rows.groupBy("fold", "y").count().collect()}
+    toxic, clean = ([sizes.get((f, y), 0) for f in range(FOLDS)] for y in (True, False))
+    if not sum(toxic):
+        return [Lexicon()] * (FOLDS + 1)
+    least = max(4, sum(toxic) // 100)
+    p = _unit_counts(rows.filter("y > 0.5"), least)
+    n = _unit_counts(rows.filter("y <= 0.5"), wanted=frozenset(p))
+    out, none = [], (0,) * FOLDS
+    for without in range(FOLDS + 1):
+        folds = [f for f in range(FOLDS) if f != without]
+        counts = {u: (sum(p[u][f] for f in folds), sum(n.get(u, none)[f] for f in folds)) for u in p}
+        out.append(log_odds(counts, sum(toxic[f] for f in folds), sum(clean[f] for f in folds)))
+    return out
+
+
+def _featured(lexicons: list[Lexicon]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [features(t.as_py() or "", lexicons[FOLDS if back else fold]) for t, fold, back in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2), batch.column(3)], names=["x", "y", "back"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: F.Column | None = None, sample: int = SAMPLE) -> Model:
@@ -242,28 +360,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.filter(train) if train is not None else labels
     chosen = usable.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y is not null").groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(key, "_id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")  # `sample` rows at most
-    back = F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.col("text")).cast("binary")), 1, 1).isin(*"0123")
-    got = rows.select("text", F.col("_y").alias("y"), back.alias("back")).mapInArrow(_featured, "x array<double>, y double, back boolean").toArrow()
+    digest = F.md5(F.concat(F.lit(f"{SEED}:"), F.col("text")).cast("binary"))
+    fold = (F.conv(F.substring(digest, 2, 1), 16, 10).cast("int") % FOLDS).alias("fold")
+    rows = materialize(rows.select("text", fold, F.col("_y").alias("y"), F.substring(digest, 1, 1).isin(*"0123").alias("back")), "toxicity-sample")
+    lexicons = learn(rows.filter("not back"))
+    got = rows.mapInArrow(_featured(lexicons), "x array<double>, y double, back boolean").toArrow()
     x = np.asarray(got.column("x").combine_chunks().flatten(), dtype=float).reshape(-1, len(FEATURES))
     y, kept_back = np.asarray(got.column("y")), np.asarray(got.column("back"))
     # Rows come in any order; sums of the same rows in one order are the same everywhere.
     order = np.lexsort([*x.T, y, kept_back]) if len(y) else np.zeros(0, np.int64)
-    return Model.fit(x[order], y[order], kept_back[order].astype(bool))
+    return Model.fit(x[order], y[order], kept_back[order].astype(bool), lexicons[FOLDS])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with the score of each text in column `score_col`."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """`docs` with the score of each text in a last column, named `score_col` or, if there is one, longer."""
     columns = docs.columns
+    new = free_name(docs, score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index(text_col)
         for batch in batches:
-            x = np.array([features(t.as_py() or "") for t in batch.column(at)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.score(x))], names=[*columns, score_col])
+            x = np.array([features(t.as_py() or "", model.lexicon) for t in batch.column(at)]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*columns, new])
 
     schema = docs.schema
-    return docs.mapInArrow(run, type(schema)([*schema.fields]).add(score_col, "double"))
+    return docs.mapInArrow(run, type(schema)([*schema.fields]).add(new, "double"))
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -407,11 +407,62 @@ def test_features_find_masked_words():
     assert toxicity.features("") == [0.0] * len(toxicity.FEATURES)
 
 
+def test_learned_lexicon_equals_brute_force(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("vilebad vilest ok fine word thing plain".split()) if y or i % 5 == 0 else rng.choice("ok fine word thing plain".split()) for _ in range(12)) for i in range(120) for y in [i % 3 == 0]]
+    rows = [(t, float(i % 3 == 0), i % toxicity.FOLDS) for i, t in enumerate(texts)]
+    got = toxicity.learn(spark.createDataFrame(rows, "text string, y double, fold int"))
+    for without in range(toxicity.FOLDS + 1):
+        own = [(t, y) for t, y, f in rows if f != without]
+        sizes = sum(y > 0 for _, y in own), sum(y == 0 for _, y in own)
+        every = {u for t, _ in own for w in t.split() for u in [" " + w] + [w[:k] for k in range(4, 10) if len(w) >= k]}
+        has = lambda t, u: any(w == u[1:] if u[0] == " " else w.startswith(u) for w in t.split())
+        for u in every:
+            p, n = (sum(has(t, u) for t, y in own if (y > 0) == kind) for kind in (True, False))
+            odds = math.log((p + 0.5) / (sizes[0] + 1)) - math.log((n + 0.5) / (sizes[1] + 1))
+            wanted = odds > toxicity.LEAST_ODDS and odds / math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)) > toxicity.LEAST_Z
+            assert (u in got[without].odds) == wanted and (not wanted or abs(got[without].odds[u] - odds) < 1e-12)
+    assert "vile" in got[-1].odds and " ok" not in got[-1].odds
+
+
+def test_learned_features():
+    lexicon = toxicity.Lexicon({" vile": 4.0, "nast": 2.0})
+    at = toxicity.FEATURES.index("learned")
+    words = ["ok"] * 40 + ["vile"] * 2 + ["nastier"] + ["vilely"] + ["ok"] * 36 + ["vile"]
+    f = toxicity.features(" ".join(words), lexicon)[at:]
+    weights = [4.0 if w == "vile" else 2.0 if w.startswith("nast") else 0.0 for w in words]
+    fullest = max(sum(weights[i : i + toxicity.WINDOW]) for i in range(len(words) - toxicity.WINDOW + 1))
+    assert f == pytest.approx([1000 * 14 / 81, 4, 3000 / 81, 3, 1, fullest])
+    assert toxicity.features("vile", lexicon)[at:] == [4000.0, 1, 1000.0, 1, 1, 4.0]
+
+
 def test_toxicity_on_held_out_rows(spark):
-    sf = DATA.replace("sf0.001", "sf0.01")
+    sf = DATA.replace("sf0.001", "sf0.1")
     rows = queries.QUERIES["op8_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
-    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
-    assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.9
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    toxic = [r.predicted for r in rows if r.toxic]
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    assert sum(toxic) / len(toxic) >= 0.9 and sum(clean) / len(clean) <= 0.01
+
+
+def test_toxicity_scores_equal_the_model_row_by_row(spark, real):
+    model = toxicity.fit_contract(real, spark.read.parquet(f"{DATA}/labels.parquet"))
+    for r in toxicity.score(real.select("doc_id", "text"), model).collect():
+        assert r.score == model.score(np.array([toxicity.features(r.text or "", model.lexicon)]))[0]
+
+
+def test_toxicity_of_clashing_null_long_and_repeated_rows(spark, docs):
+    some = spark.createDataFrame([(1, 1), (2, 0), (4, 0), (6, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, some)
+    table = docs.withColumn("score", F.lit("own")).withColumn("_score", F.lit(7))
+    out = toxicity.score(table.union(table.limit(1).withColumn("text", F.lit("you idiot " * 300_000))), model)
+    assert out.columns == [*table.columns, "__score"]
+    rows = out.collect()
+    assert {r.score for r in rows} == {"own"} and len(rows) == len(ROWS) + 1
+    by_text = collections.defaultdict(set)
+    for r in rows:
+        by_text[r.text or ""].add(r["__score"])
+    assert all(len(v) == 1 for v in by_text.values())
 
 
 def test_toxicity_edge_cases(spark, docs, empty):
