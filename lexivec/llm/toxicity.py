@@ -116,33 +116,41 @@ def _units_of(text: str) -> set[str]:
     return set().union(*map(units, set(_WORD.findall(text.lower()))))
 
 
+class _Weights(dict):
+    """Weights of words, worked out when they are first asked for."""
+
+    def __init__(self, odds: dict[str, float]):
+        super().__init__()
+        self.odds, self.stems = odds, {u[: BEGINNINGS[0]] for u in odds if u[0] != " "}
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        own = self.odds.get(f" {word}", 0.0)
+        got = self[word] = max(own, *(self.odds.get(u, 0.0) for u in units(word))) if word[: BEGINNINGS[0]] in self.stems else own
+        return got
+
+
 class Lexicon:
     """Log-odds of units; a word has that of its clearest unit, 0 without any."""
 
     def __init__(self, odds: dict[str, float] | None = None):
         self.odds = odds or {}
-        self.seen: dict[str, float] = {}
+        self.weights = _Weights(self.odds)
 
     def __reduce__(self):
         return Lexicon, (self.odds,)
 
-    def weight(self, word: str) -> float:
-        got = self.seen.get(word)
-        if got is None:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            got = self.seen[word] = max(self.odds.get(u, 0.0) for u in units(word)) if self.odds else 0.0
-        return got
-
     def features(self, words: list[str]) -> list[float]:
-        kinds = {w: self.weight(w) for w in set(words)}
-        if not any(kinds.values()):
+        n = len(words)
+        v = np.fromiter(map(self.weights.__getitem__, words), float, n) if self.odds else np.zeros(n)
+        if not v.any():
             return [0.0] * 6
-        v = np.fromiter(map(kinds.__getitem__, words), float, len(words))
-        n, strong = len(v), int(np.count_nonzero(v >= STRONG))
+        strong = np.flatnonzero(v >= STRONG)
         along = np.r_[0.0, np.cumsum(v)]
         width = min(WINDOW, n)
-        return [1000 * along[-1] / n, float(np.count_nonzero(v)), 1000 * strong / n, float(strong), float(sum(x >= STRONG for x in kinds.values())), float((along[width:] - along[:-width]).max())]
+        kinds = len({words[i] for i in strong.tolist()})
+        return [1000 * along[-1] / n, float(np.count_nonzero(v)), 1000 * len(strong) / n, float(len(strong)), float(kinds), float((along[width:] - along[:-width]).max())]
 
 
 def log_odds(with_it: dict[str, tuple[int, int]], toxic: int, clean: int) -> Lexicon:
@@ -156,16 +164,32 @@ def log_odds(with_it: dict[str, tuple[int, int]], toxic: int, clean: int) -> Lex
     return Lexicon({unit: odds for _, unit, odds in sorted(found)[:LEXICON]})
 
 
+# What stands for a letter (1; `?` is any character beyond ASCII), for a sign in place of one (2), for a separator (4).
+_LETTERISH, _SIGN, _BETWEEN = 1, 2, 4
+_KIND = np.zeros(256, np.uint8)
+for _chars, _kind in (("?abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", _LETTERISH), ("0123456789@$|*", _SIGN), (".*-", _BETWEEN)):
+    _KIND[list(_chars.encode())] |= _kind
+
+
+def _may_mask(raw: np.ndarray) -> bool:
+    """Can `_unmasked` find anything? A test on bytes that spares most texts its searches."""
+    kind = _KIND[raw]
+    letter, sign = kind & _LETTERISH, (kind & _SIGN) >> 1
+    if (letter[:-1] & sign[1:]).any() or (sign[:-1] & letter[1:]).any() or ((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (letter[2:] > 0)).any():
+        return True
+    between = kind & _BETWEEN
+    return bool(((between[:-2] > 0) & (between[2:] > 0)).any())
+
+
 def features(text: str, lexicon: Lexicon = Lexicon()) -> list[float]:
     lower = text.lower()
     words = _WORD.findall(lower)
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    hits = list(map(_KNOWN.__contains__, words))
     counts, strong, second, kinds = [0, 0, 0, 0], [], [], set()
-    if any(hits):
-        for i in np.flatnonzero(hits).tolist():
+    if not _KNOWN.isdisjoint(words):
+        for i in np.flatnonzero(list(map(_KNOWN.__contains__, words))).tolist():
             w = words[i]
             for k, fixed in enumerate(LEXICONS):
                 counts[k] += w in fixed
@@ -180,15 +204,15 @@ def features(text: str, lexicon: Lexicon = Lexicon()) -> list[float]:
         j = np.searchsorted(at, s)
         gap = np.minimum(np.abs(at[np.minimum(j, len(at) - 1)] - s), np.abs(at[np.maximum(j - 1, 0)] - s))
         near = float((gap <= NEAR).mean())
-    ascii_text = text.encode("ascii", "replace")
     size = len(text)
-    raw = np.frombuffer(ascii_text, np.uint8)
+    raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
     seen = np.bincount(raw, minlength=128)
     capitals, letters = int(seen[65:91].sum()), int(seen[65:91].sum() + seen[97:123].sum())
     signs = int(seen[33:48].sum() + seen[58:65].sum() + seen[91:97].sum() + seen[123:127].sum())
     big = (raw >= 65) & (raw <= 90)
     shouted = int(np.count_nonzero(big[1:] & big[:-1]))
-    masked = _unmasked(lower)
+    tripled = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])
+    masked = _unmasked(lower) if _may_mask(np.frombuffer(lower.encode("ascii", "replace"), np.uint8)) else 0
     return [
         *(1000 * c / n for c in counts),
         float(len(strong)),
@@ -199,7 +223,7 @@ def features(text: str, lexicon: Lexicon = Lexicon()) -> list[float]:
         shouted / max(1, letters),
         (int(seen[33]) + int(seen[63])) / size,
         signs / size,
-        float(np.count_nonzero((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]))) / size,
+        float(np.count_nonzero(tripled)) / size,
         float(masked),
         float(np.log1p(n)),
         *lexicon.features(words),

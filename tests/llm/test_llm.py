@@ -425,6 +425,14 @@ def test_learned_lexicon_equals_brute_force(spark):
     assert "vile" in got[-1].odds and " ok" not in got[-1].odds
 
 
+def test_masked_words_pass_the_test_on_bytes():
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("idt1o0@$|*.-é IKaA ß") for _ in range(rng.randint(0, 14))) + rng.choice(["", " id1ot", " i-d-i-o-t", " iIIdiot", " m*ron"])
+        lower = text.lower()
+        assert toxicity._may_mask(np.frombuffer(lower.encode("ascii", "replace"), np.uint8)) or not toxicity._unmasked(lower)
+
+
 def test_learned_features():
     lexicon = toxicity.Lexicon({" vile": 4.0, "nast": 2.0})
     at = toxicity.FEATURES.index("learned")
