@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of `edges` (a long, b long); the component is its least node.
 
     Loops and repeated edges don't matter; rows with a null end are left out; no edges give no rows.
+    The table is written in the shared folder, where the caller may discard it.
     """
     edge = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges", "lz4")
     hooks = []
@@ -28,11 +29,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooks.append(hook)
         first = hook.select(F.col("node").alias("a"), F.col("to").alias("p"))
         second = hook.select(F.col("node").alias("b"), F.col("to").alias("q"))
-        edge = materialize(edge.join(first, "a").join(second, "b").filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges", "lz4")
+        left = materialize(edge.join(first, "a").join(second, "b").filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges", "lz4")
+        discard(edge)
+        edge = left
     if not hooks:
-        return edge.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return materialize(edge.select(F.col("a").alias("node"), F.col("b").alias("component")), "components", "lz4")
     out = hooks[0].select("node", F.col("to").alias("component"))
     for hook in hooks[1:]:
         step = hook.select(F.col("node").alias("component"), "to")
         out = out.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return materialize(out, "components", "lz4")
+    out = materialize(out, "components", "lz4")
+    discard(edge, *hooks)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -10,12 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one is set only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one is set if all runs in this
+    process; on a cluster that folder would not be shared, so there it is an error."""
     path = spark.conf.get(CHECKPOINT_DIR, None)
     if not path:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_DIR} has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexivec-")
         spark.conf.set(CHECKPOINT_DIR, path)
     return path.rstrip("/")
@@ -30,7 +36,41 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote. Whatever was made from them has to be written by now."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+class Scratch:
+    """Tables of one job, deleted together when its result is written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
+        return self.add(materialize(df, name, codec))
+
+    def add(self, table: DataFrame) -> DataFrame:
+        self.tables.append(table)
+        return table
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables.clear()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python hold at most BATCH_BYTES from now on, so that a few long texts don't fill a worker's memory."""
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(ARROW_BYTES)) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
 @contextmanager

@@ -309,25 +309,61 @@ def test_jaccard_equals_brute_force(real, size, percent):
     assert got == brute_components([(r.doc_id, r.text) for r in real.collect()], size, percent)
 
 
-def test_jaccard_large_groups_and_common_passages(spark):
+def straddling_rows():
+    """Near copies of which many lie just beyond the threshold of each other, and texts that share a passage."""
     random.seed(2)
     word = lambda: f"w{random.randrange(10**6)}"
     passage = [f"p{i}" for i in range(60)]
     base = [word() for _ in range(150)]
     rows = []
-    for _ in range(90):  # near copies, some beyond the threshold of each other
+    for _ in range(90):
         copy = list(base)
         for _ in range(random.randrange(5)):
             copy[random.randrange(len(copy))] = word()
         rows.append(" ".join(copy))
     rows += [" ".join(passage + [word() for _ in range(random.choice([0, 3, 8, 60]))]) for _ in range(80)]
     rows += [" ".join(base)] * 40
-    rows = list(enumerate(rows))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("hot, block, shingles", [(None, None, None), (20, 8, 1 << 20), (20, 64, 500)])
+def test_jaccard_large_groups_and_common_passages(spark, monkeypatch, hot, block, shingles):
+    rows = straddling_rows()
+    if hot:
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 4, 85).collect()}
     assert got == brute_components(rows, 4, 85)
 
 
+def test_jaccard_where_fingerprints_clash(spark, real):
+    rows = straddling_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 4, 85, node_bits=5).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_jaccard_of_long_texts_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " and more"), (3, " ".join(f"v{i}" for i in range(60_000))), (4, "x " * 200_000), (5, "x x x x x")]
+    df = spark.createDataFrame([(d, t, 1, 2, 3, "n") for d, t in rows], "doc_id long, text string, node long, component_id long, list int, n string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 4, 85).collect())
+    assert got == [(1, 59_997, 1), (2, 59_999, 1), (3, 59_997, 3), (4, 1, 4), (5, 1, 4)]
+
+
+def test_jaccard_leaves_only_its_result(spark):
+    import glob
+    import os
+
+    folder = shared.shared_dir(spark).removeprefix("file://") + "/lexivec/*"
+    before = set(glob.glob(folder))
+    out = jaccard.jaccard_components(spark.createDataFrame(straddling_rows(), "doc_id long, text string"), 4, 85)
+    left = set(glob.glob(folder)) - before
+    assert len(left) == 1 and os.path.basename(left.pop()).startswith("jaccard-") and out.count() == 210
+
+
 def test_jaccard_edge_cases(docs, empty):
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, 4, 85).collect()), key=str)
     assert [g for g in got if g[0] in (1, 2, 5)] == [(1, 2, 1), (2, 2, 1), (2, 2, 1), (5, 2, 1)]
