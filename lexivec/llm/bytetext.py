@@ -67,17 +67,29 @@ def ragged(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return pool[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(total, dtype=np.int64)]
 
 
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
+def heads(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of each piece as a number; shorter pieces end in zero bytes."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(raw) + 1, 8), (1, 1))[starts]
+    return np.ascontiguousarray(eight).view("<u8")[:, 0] & _HEAD[np.minimum(lens, 8)]
+
+
 class PieceCache:
     """Codes of pieces by their hash, in tables of fixed size: at a clash of slots the newer piece stays, and a full pool
-    starts anew. It only saves time; what it returns doesn't depend on what it holds."""
+    starts anew. It only saves time; what it returns doesn't depend on what it holds. A hit also has the length and the
+    first 8 bytes of its piece, so pieces of up to 8 bytes are told apart for certain."""
 
-    def __init__(self, code: Callable[[list[bytes]], list[np.ndarray]], dtype, slots: int = 1 << 21, pool: int = 1 << 24):
+    def __init__(self, code: Callable[[list[bytes]], list[np.ndarray]], dtype, slots: int = 1 << 19, pool: int = 1 << 22):
         self.code, self.dtype, self.mask, self.limit = code, dtype, np.uint64(slots - 1), pool
         self.clear()
 
     def clear(self) -> None:
         n = int(self.mask) + 1
-        self.key = np.zeros(n, np.uint64)
+        self.key, self.head = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.size = np.zeros(n, np.int64)  # no piece has the length 0
         self.off = np.zeros(n, np.int32)
         self.len = np.zeros(n, np.int32)
         self.pool = np.zeros(1 << 16, self.dtype)
@@ -98,17 +110,20 @@ class PieceCache:
         """(place in self.pool, length) of each piece's codes, good until the next call."""
         if self.used > self.limit:
             self.clear()
-        slot = (key & self.mask).astype(np.int64)
-        hit = self.key[slot] == key
+        head = heads(raw, starts, lens)
+        # Equal keys go on to mean equal pieces within this call, with their first bytes and length in them.
+        full = mix(key ^ mix(head + lens.astype(np.uint64)))
+        slot = (full & self.mask).astype(np.int64)
+        hit = (self.key[slot] == full) & (self.head[slot] == head) & (self.size[slot] == lens)
         off, length = self.off[slot].astype(np.int64), self.len[slot].astype(np.int64)
         missed = np.flatnonzero(~hit)
         if len(missed):
-            fresh, first, back = np.unique(key[missed], return_index=True, return_inverse=True)
+            fresh, first, back = np.unique(full[missed], return_index=True, return_inverse=True)
             at = missed[first]
             data = raw.tobytes() if len(at) > 1000 else raw
             cut = (lambda s, n: data[s : s + n]) if isinstance(data, bytes) else (lambda s, n: data[s : s + n].tobytes())
             new_off, new_len = self._append(self.code([cut(s, n) for s, n in zip(starts[at].tolist(), lens[at].tolist())]))
             off[missed], length[missed] = new_off[back], new_len[back]
             to = (fresh & self.mask).astype(np.int64)
-            self.key[to], self.off[to], self.len[to] = fresh, new_off, new_len
+            self.key[to], self.head[to], self.size[to], self.off[to], self.len[to] = fresh, head[at], lens[at], new_off, new_len
         return off, length

@@ -13,6 +13,21 @@ from pyspark.sql import functions as F
 from .shared import discard, materialize
 
 
+HUB = 1000
+BROADCAST_ROWS = 400_000
+
+
+def _looked_up(rows: DataFrame, hook: DataFrame, end: str, to: str, spread: str, how: str = "inner") -> DataFrame:
+    """`rows` with what `hook` says of the column `end` as `to`. Nodes with over HUB edges are broadcast where they are few,
+    so that no task gets all rows of one; in the join of the others their rows go by the column `spread`."""
+    plain = hook.select(F.col("node").alias("key"), F.col("to").alias("plain"))
+    hubs = hook.filter(F.col("degree") > HUB).select(F.col("node").alias(end), F.col("to").alias("hub"))
+    if not 0 < hubs.count() <= BROADCAST_ROWS:
+        return rows.join(plain.withColumnsRenamed({"key": end, "plain": to}), end, how)
+    marked = rows.join(F.broadcast(hubs), end, "left").withColumn("key", F.when(F.col("hub").isNull(), F.col(end)).otherwise(F.col(spread)))
+    return marked.join(plain, "key", how).withColumn(to, F.coalesce("hub", "plain")).drop("key", "hub", "plain")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of `edges` (a long, b long); the component is its least node.
 
@@ -22,22 +37,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edge = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges", "lz4")
     hooks = []
     while not edge.isEmpty():
-        near = edge.select("a", "b").union(edge.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
-        hook = near.select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
-        further = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        hook = materialize(hook.join(further, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "hooks", "lz4")
+        near = edge.select("a", "b").union(edge.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("degree"))
+        near = materialize(near.select(F.col("a").alias("node"), F.least("a", "b").alias("to"), "degree"), "hooks", "lz4")
+        further = _looked_up(near.drop("degree"), near, "to", "next", "node").select("node", F.col("next").alias("to"))
+        hook = materialize(further.join(near.select("node", "degree"), "node"), "hooks", "lz4")
         hooks.append(hook)
-        first = hook.select(F.col("node").alias("a"), F.col("to").alias("p"))
-        second = hook.select(F.col("node").alias("b"), F.col("to").alias("q"))
-        left = materialize(edge.join(first, "a").join(second, "b").filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges", "lz4")
-        discard(edge)
+        ends = _looked_up(_looked_up(edge, hook, "a", "p", "b"), hook, "b", "q", "a")
+        left = materialize(ends.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges", "lz4")
+        discard(edge, near)
         edge = left
     if not hooks:
         return materialize(edge.select(F.col("a").alias("node"), F.col("b").alias("component")), "components", "lz4")
     out = hooks[0].select("node", F.col("to").alias("component"))
     for hook in hooks[1:]:
-        step = hook.select(F.col("node").alias("component"), "to")
-        out = out.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        out = _looked_up(out, hook, "component", "next", "node", "left").select("node", F.coalesce("next", "component").alias("component"))
     out = materialize(out, "components", "lz4")
     discard(edge, *hooks)
     return out

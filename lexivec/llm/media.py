@@ -4,12 +4,15 @@ mu-law and A-law bytes expand through tables of 256 values, built from the rule
 with the first sample and the step index, then two samples a byte, low half first) are decoded side by side: sample by
 sample, all blocks of a batch at once. PCM is resampled by linear interpolation between neighbours.
 
-`store` writes coded samples as WAV files in a binary column; `decode` reads such files back and gives the PCM at the
-target rate. Files are decoded some
-megabytes at a time, so memory is bounded by the longest file.
+`store` writes coded samples as WAV files in a binary column. `decode` reads such files back and gives the PCM at the
+target rate, losslessly coded for storing: its even samples, then what its odd ones differ from the mean of their
+neighbours (the prediction step of an integer wavelet by lifting, modulo 2**16). `restore` gives the samples back, and
+`described` computes features from them. Files are handled some megabytes at a time, so memory is bounded by the longest
+file (some 40 bytes for each of its bytes).
 
 Defined results: a null payload counts as empty and is padded to one unit of 64 zero bytes; equal payloads give equal
-files and features; equal rows stay separate; an empty table gives no rows; other columns are not read.
+files and features; equal rows stay separate; a payload of 4 GiB or more, which no WAV file holds, is an error; an empty
+table gives no rows; other columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import slices
-from .shared import materialize, read_table
+from .shared import Scratch, materialize, read_table, small_batches
 
 UNIT = 64
+#: How the tables of files and PCM are written: long pages and a high level, as neighbouring samples are much alike.
+STORING = {"parquet.page.size": str(8 << 20), "parquet.compression.codec.zstd.level": "9"}
 RATE, TARGET_RATE = 8000, 16000
 #: Bytes of files that are decoded at once.
 CHUNK = 2 << 20
@@ -91,6 +96,8 @@ def resample(pcm: np.ndarray, rate: int = RATE, target: int = TARGET_RATE) -> np
 
 def wav(codec: str, data: bytes, rate: int = RATE) -> bytes:
     """A mono WAV file; the payload's length is a multiple of UNIT, so chunks are even."""
+    if len(data) >= 1 << 32:
+        raise ValueError("a WAV file holds less than 4 GiB")
     samples = len(data) if codec != "adpcm" else len(data) // UNIT * (2 * (UNIT - 4) + 1)
     if codec == "adpcm":
         form = struct.pack("<HHIIHHHH", TAGS[codec], 1, rate, rate * UNIT // (2 * (UNIT - 4) + 1), UNIT, 4, 2, 2 * (UNIT - 4) + 1)
@@ -158,30 +165,78 @@ def decode_many(codecs: list[str], data: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _decoded(keep_pcm: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, ns, medias in slices(batch, CHUNK, 2):
-                files = medias.to_pylist()
-                parsed = [parse_wav(m) for m in files]
-                pcms = decode_many([c for c, _, _ in parsed], [np.frombuffer(d, np.uint8) for _, _, d in parsed])
-                rows = []
-                for doc_id, n, media, (codec, rate, data), samples in zip(ids.to_pylist(), ns.to_pylist(), files, parsed, pcms):
-                    pcm = resample(samples, rate)
-                    rows.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), f"{codec}:{pcm_features(pcm)}", *([pcm.astype("<i2").tobytes()] if keep_pcm else [])))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"][: 8 + keep_pcm]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)
+def lifted(pcm: np.ndarray) -> bytes:
+    """PCM as even samples and the odd ones' differences from the mean of their neighbours."""
+    even, odd = pcm[0::2], pcm[1::2]
+    return even.astype("<i2").tobytes() + (odd - _predicted(even, len(odd))).astype("<i2").tobytes()
 
-    return run
 
+def _predicted(even: np.ndarray, n: int) -> np.ndarray:
+    after = np.append(even[1:], even[-1:])
+    return ((even.astype(np.int32) + after) >> 1).astype(np.int16)[:n]
 
-def decode(files: DataFrame, keep_pcm: bool = True) -> DataFrame:
-    """Files read back: what they hold, features of the resampled PCM, and the PCM itself as 16-bit samples if wanted."""
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(_decoded(keep_pcm), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * keep_pcm)
+
+def restore(coded: bytes) -> np.ndarray:
+    """The samples that `lifted` coded."""
+    both = np.frombuffer(coded, "<i2").astype(np.int16)
+    half = (len(both) + 1) // 2
+    out = np.empty(len(both), np.int16)
+    out[0::2] = both[:half]
+    out[1::2] = both[half:] + _predicted(both[:half], len(both) - half)
+    return out
+
+
+FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+DECODED = f"{FACTS}, codec string, rate int, pcm binary"
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, ns, medias in slices(batch, CHUNK, 2):
+            files = medias.to_pylist()
+            parsed = [parse_wav(m) for m in files]
+            pcms = decode_many([c for c, _, _ in parsed], [np.frombuffer(d, np.uint8) for _, _, d in parsed])
+            rows = []
+            for doc_id, n, media, (codec, rate, data), samples in zip(ids.to_pylist(), ns.to_pylist(), files, parsed, pcms):
+                facts = (doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest())
+                rows.append((*facts, codec, TARGET_RATE, lifted(resample(samples, rate))))
+            yield _rows(rows, DECODED)
+
+
+def decode(files: DataFrame) -> DataFrame:
+    """Files read back: what they hold, and the PCM at the target rate as `lifted` codes it."""
+    return files.select("doc_id", "n_bytes", "media").mapInArrow(_decoded, DECODED)
+
+
+DESCRIBED = f"{FACTS}, feature string"
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for cut in slices(batch, 4 * CHUNK, batch.schema.get_field_index("pcm")):
+            *facts, codec, _, pcm = (c.to_pylist() for c in cut)
+            yield _rows([(*f, f"{c}:{pcm_features(restore(coded))}") for *f, c, coded in zip(*facts, codec, pcm)], DESCRIBED)
+
+
+def described(decoded: DataFrame) -> DataFrame:
+    """Stored PCM read back, with its features in its place."""
+    return decoded.mapInArrow(_described, DESCRIBED)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files and PCM are stored in turn; the rows are those of the PCM table without the samples."""
-    files = materialize(store(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "media")
-    return materialize(decode(files), "pcm").drop("pcm")
+    """Files are stored, read back, decoded and resampled; the PCM is stored, read back and described. The PCM stays in the
+    shared folder, the files don't."""
+    small_batches(spark)
+    scratch = Scratch()
+    files = scratch.keep(store(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "media", "zstd", STORING)
+    pcm = materialize(decode(files), "pcm", "zstd", STORING)
+    scratch.clear()
+    return described(pcm)

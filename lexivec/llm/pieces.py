@@ -8,10 +8,12 @@ the last that many places can still be extended. When the backpointer paths from
 ids before it are committed and leave the window.
 
 Whole columns go through the same search in units: between two characters that stand side by side in no piece, as a word's
-end and the space after it, all paths meet. Each distinct unit is searched once while it is remembered
-(told apart by 64-bit hashes), and the ids of a text are gathered from its units.
+end and the space after it, or two characters that the vocabulary doesn't hold, all paths meet. Each distinct unit is
+searched once while it is remembered (told apart by 64-bit hashes, lengths and first bytes), and the ids of a text are
+gathered from its units. A unit may be as long as a text; the search goes through it STEP characters at a time and commits
+after each, so lattice and window stay within 2 * STEP places.
 
-Defined results: a null or empty text has no ids and decodes to an empty text; U+2581 reads as a space, as the model's own
+Defined results: a null or empty text has no ids and decodes to an empty text; a text is encoded whole, however long; U+2581 reads as a space, as the model's own
 encoder does; unknown characters fall back to bytes; equal rows stay separate; an empty table gives no rows; other columns
 are not read.
 """
@@ -33,8 +35,9 @@ from .shared import read_table
 SPACE = "▁"
 # Types of pieces in the model file.
 NORMAL, BYTE = 1, 6
-CHUNK = 4 << 20
-REMEMBERED_PAIRS = 1 << 20
+CHUNK = 1 << 20
+REMEMBERED_PAIRS = 1 << 16
+STEP = 1024
 
 
 class Model:
@@ -61,13 +64,16 @@ class Model:
         #: Lengths, longest first, of the pieces that end in two characters.
         self.tails = {tail: tuple(sorted(n - {1}, reverse=True)) for tail, n in tails.items()}
         self.surface = [p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else b"" for p in proto.pieces]
-        # Which ASCII characters stand side by side in some piece. All others are cut apart; non-ASCII ones never are.
-        self.joined = np.ones((256, 256), dtype=bool)
-        self.joined[:0x80, :0x80] = False
+        # Which characters stand side by side in some piece. All others are cut apart.
+        self.joined = np.zeros((128, 128), dtype=bool)
+        wide = set()
         for piece in self.ids:
             for a, b in zip(plain := piece.replace(SPACE, " "), plain[1:]):
                 if a < "\x80" and b < "\x80":
                     self.joined[ord(a), ord(b)] = True
+                else:
+                    wide.add(ord(a) << 21 | ord(b))
+        self.wide = np.array(sorted(wide), dtype=np.int64)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.cache = PieceCache(self._code, np.dtype("<u2") if len(self.surface) <= 1 << 16 else np.dtype("<u4"))
         lens = np.array([len(s) for s in self.surface], dtype=np.int64)
@@ -106,10 +112,35 @@ class Model:
         out = []
         for unit in units:
             stream = Stream(self)
-            pieces = stream.feed(unit.decode().replace(" ", SPACE)) + stream.finish()
-            out.append(np.array([i for p in pieces for i in self.ids_of(p)], dtype=self.cache.dtype))
+            ids = [i for p in stream.feed(unit.decode().replace(" ", SPACE)) for i in self.ids_of(p)]
+            out.append(np.array(ids + [i for p in stream.finish() for i in self.ids_of(p)], dtype=self.cache.dtype))
         return out
 
+    def _cuts(self, raw: np.ndarray) -> np.ndarray:
+        """Which bytes of UTF-8 begin a character that stands in no piece after the one before it."""
+        start = np.zeros(len(raw), dtype=bool)
+        plain = raw < 0x80
+        start[1:] = plain[1:] & plain[:-1]
+        at = np.flatnonzero(start)
+        start[at] = ~self.joined[raw[at - 1], raw[at]]
+        if plain.all():
+            return start
+        lead = np.flatnonzero((raw & 0xC0) != 0x80)
+        near = np.flatnonzero(~(plain[lead[1:]] & plain[lead[:-1]])) + 1
+        padded = np.concatenate([raw, np.zeros(3, np.uint8)])
+
+        def codes(at: np.ndarray) -> np.ndarray:
+            b = [padded[at + k].astype(np.int64) for k in range(4)]
+            low = [x & 0x3F for x in b]
+            two, three, four = (b[0] & 0x1F) << 6 | low[1], (b[0] & 0x0F) << 12 | low[1] << 6 | low[2], (b[0] & 0x07) << 18 | low[1] << 12 | low[2] << 6 | low[3]
+            return np.select([b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0], [b[0], two, three], four)
+
+        pair = codes(lead[near - 1]) << 21 | codes(lead[near])
+        found = np.searchsorted(self.wide, pair)
+        found[found == len(self.wide)] = 0
+        start[lead[near]] = self.wide[found] != pair if len(self.wide) else True
+        return start
+
     def encode_batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
         raw, offsets = flat(pc.replace_substring(column, SPACE, " "))
@@ -120,8 +151,7 @@ class Model:
         offsets = offsets + np.r_[0, np.cumsum(filled)]
         if not len(raw):
             return np.zeros(0, self.cache.dtype), np.zeros(n, np.int64)
-        start = np.zeros(len(raw), dtype=bool)
-        start[1:] = ~self.joined[raw[:-1], raw[1:]]
+        start = self._cuts(raw)
         start[offsets[:-1][filled]] = True
         starts = np.flatnonzero(start)
         lens = np.diff(np.append(starts, len(raw)))
@@ -147,10 +177,15 @@ class Stream:
         self.text = ""  # the window
         self.last: list[str] = [""]  # the last piece of the path to each place in the window
 
-    def feed(self, part: str) -> list[str]:
-        """Extend the lattice; returns the pieces that are committed by now."""
+    def feed(self, part: str) -> Iterator[str]:
+        """Extend the lattice; gives the pieces that are committed on the way."""
+        for at in range(0, len(part), STEP):
+            self._extend(part[at : at + STEP])
+            if len(self.text) > STEP:
+                yield from self._commit()
+
+    def _extend(self, part: str) -> None:
         model, last = self.model, self.last
-        done: list[str] = []
         before = len(self.text)
         self.text += part
         text, ids, pairs, tails = self.text, model.ids, model.pairs, model.tails
@@ -164,9 +199,6 @@ class Stream:
                         chosen = piece
                         break
             last.append(chosen)
-        if len(self.text) > 8 * model.longest:
-            done = self._commit()
-        return done
 
     def _commit(self) -> list[str]:
         """Pieces before the boundary at which the paths from all open places meet."""
@@ -212,10 +244,8 @@ def encode_parts(path: str, parts: Iterable[str]) -> Iterator[int]:
     stream, first = Stream(m), True
     for part in parts:
         if part:
-            part = part.replace(" ", SPACE)
-            for at in range(0, len(part), 1024):
-                for piece in stream.feed(SPACE * (first and at == 0) + part[at : at + 1024]):
-                    yield from m.ids_of(piece)
+            for piece in stream.feed(SPACE * first + part.replace(" ", SPACE)):
+                yield from m.ids_of(piece)
             first = False
     for piece in stream.finish():
         yield from m.ids_of(piece)

@@ -31,11 +31,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexivec/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage is cut, and no executor holds the only copy."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -55,8 +55,8 @@ class Scratch:
     def __init__(self):
         self.tables: list[DataFrame] = []
 
-    def keep(self, df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
-        return self.add(materialize(df, name, codec))
+    def keep(self, df: DataFrame, name: str, codec: str = "lz4", options: dict[str, str] | None = None) -> DataFrame:
+        return self.add(materialize(df, name, codec, options))
 
     def add(self, table: DataFrame) -> DataFrame:
         self.tables.append(table)

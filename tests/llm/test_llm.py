@@ -252,23 +252,91 @@ def test_resample():
     assert len(media.resample(np.zeros(0, np.int16))) == 0
 
 
-def test_media_round_trip(spark, docs, empty):
-    rows = media.decode(media.store(docs, "doc_id", "text")).collect()
-    assert len(rows) == len(ROWS) and media.decode(media.store(empty, "doc_id", "text")).count() == 0
-    for r in rows:
-        text = next((x[1] for x in ROWS if x[0] == r.doc_id), None) or ""
-        data = media.padded(text.encode())
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text.encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
-        assert r.media_bytes > len(data) and len(r.pcm) % 2 == 0
-
-
-def test_media_query_stores_the_pcm(spark, monkeypatch):
+def slow_law(codec, code):
+    """One code by the recommendation's own words: sign, segment, interval; no tables."""
+    if codec == "mulaw":
+        code ^= 0xFF
+        size = ((2 * (code & 15) + 33) << ((code >> 4) & 7)) - 33
+        return -4 * size if code & 0x80 else 4 * size
+    code ^= 0x55
+    segment, interval = (code >> 4) & 7, code & 15
+    size = 2 * interval + 1 if segment == 0 else (2 * interval + 33) << (segment - 1)
+    return 8 * size if code & 0x80 else -8 * size
+
+
+@pytest.mark.parametrize("codec, table", [("mulaw", media.mulaw_table()), ("alaw", media.alaw_table())])
+def test_law_tables_equal_brute_force(codec, table):
+    assert table.tolist() == [slow_law(codec, c) for c in range(256)]
+
+
+def slow_pcm(codec, data):
+    """Samples at twice the rate, one by one."""
+    if codec == "adpcm":
+        out = []
+        for at in range(0, len(data), 64):
+            block = data[at : at + 64]
+            value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+            out.append(value)
+            for byte in block[4:]:
+                for code in (byte & 15, byte >> 4):
+                    step = int(media.STEPS[index])
+                    change = (step >> 3) + sum(step >> k for k, bit in ((0, 4), (1, 2), (2, 1)) if code & bit)
+                    value = max(-32768, min(32767, value + (-change if code & 8 else change)))
+                    index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][code & 7]))
+                    out.append(value)
+    else:
+        out = [slow_law(codec, c) for c in data]
+    after = out[1:] + out[-1:]
+    return [x for v, w in zip(out, after) for x in (v, (v + w) >> 1)]
+
+
+def slow_feature(codec, pcm):
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+    raw = b"".join(x.to_bytes(2, "little", signed=True) for x in pcm)
+    return f"{codec}:{len(pcm)}:{max(map(abs, pcm))}:{sum(x * x for x in pcm) // len(pcm)}:{crossings}:{zlib.crc32(raw):08x}"
+
+
+def slow_wav(codec, data):
+    """The bytes of a WAV file: fmt, fact and data chunks."""
+    n = lambda x, k=4: x.to_bytes(k, "little")
+    form = {"mulaw": n(7, 2) + n(1, 2) + n(8000) + n(8000) + n(1, 2) + n(8, 2) + n(0, 2), "alaw": n(6, 2) + n(1, 2) + n(8000) + n(8000) + n(1, 2) + n(8, 2) + n(0, 2), "adpcm": n(17, 2) + n(1, 2) + n(8000) + n(8000 * 64 // 121) + n(64, 2) + n(4, 2) + n(2, 2) + n(121, 2)}[codec]
+    body = b"WAVEfmt " + n(len(form)) + form + b"fact" + n(4) + n(len(data) // 64 * 121 if codec == "adpcm" else len(data)) + b"data" + n(len(data)) + data
+    return b"RIFF" + n(len(body)) + body
+
+
+def media_by_hand(text):
+    raw = (text or "").encode()
+    data = raw + bytes(-len(raw) % 64 if raw else 64)
+    codec = ("mulaw", "alaw", "adpcm")[zlib.crc32(data) % 3]
+    pcm, file = slow_pcm(codec, data), slow_wav(codec, data)
+    return len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(file), hashlib.sha256(file).hexdigest(), slow_feature(codec, pcm)
+
+
+def test_media_equals_brute_force(spark, docs, empty):
+    table = docs.union(docs.limit(1).withColumn("text", F.lit("a long recording " * 40_000))).withColumn("media", F.lit(1)).withColumn("pcm", F.lit("x"))
+    stored = media.decode(media.store(table, "doc_id", "text"))
+    got = sorted((tuple(r) for r in media.described(stored).collect()), key=repr)
+    assert got == sorted(((r[0], *media_by_hand(r.text)) for r in table.collect()), key=repr) and {r[-1].split(":")[0] for r in got} == set(media.CODECS)
+    for r in stored.collect():
+        codec, n = r.codec, r.payload_bytes
+        text = next(x.text for x in table.collect() if media_by_hand(x.text)[2] == r.payload_sha256)
+        assert media.restore(r.pcm).tolist() == slow_pcm(codec, (text or "").encode().ljust(n, b"\0")) and r.rate == 16000
+    assert media.described(media.decode(media.store(empty, "doc_id", "text"))).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 1000])
+def test_lifting_restores_any_samples(n):
+    pcm = np.random.default_rng(n).integers(-32768, 32768, n).astype(np.int16)
+    assert media.restore(media.lifted(pcm)).tolist() == pcm.tolist() and len(media.lifted(pcm)) == 2 * n
+
+
+def test_media_query_reads_stored_pcm(spark, monkeypatch):
     stored = {}
     keep = media.materialize
     monkeypatch.setattr(media, "materialize", lambda df, name, *more: stored.setdefault(name, keep(df, name, *more)))
-    rows = {r.doc_id: r.feature for r in queries.QUERIES["op5_media"](spark, DATA).collect()}
-    held = stored["pcm"].select("doc_id", "feature", "pcm").collect()
-    assert len(held) == len(rows) and all(r.feature == rows[r.doc_id] and r.feature.endswith(media.pcm_features(np.frombuffer(r.pcm, "<i2"))) for r in held)
+    rows = {tuple(r) for r in queries.QUERIES["op5_media"](spark, DATA).collect()}
+    assert rows == {(r.doc_id, *media_by_hand(r.text)) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert stored["pcm"].filter("octet_length(pcm) >= 4 * payload_bytes").count() == len(rows)
 
 
 # --- 6 Jaccard ---
@@ -386,6 +454,24 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 5)
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 40)] + [(900, i) for i in range(300, 340)] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(120)] + [(39, 300)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
 # --- 7 line dedup ---
 
 
@@ -586,9 +672,32 @@ def test_stream_window_stays_bounded():
     m = pieces.model(P.path("piece_bpe_32k.model"))
     stream, most = pieces.Stream(m), 0
     for _ in range(200):
-        stream.feed("abc=def▁the")
+        assert all(stream.feed("abc=def▁the"))
         most = max(most, len(stream.text))
-    assert most <= 10 * m.longest
+    assert 0 < most <= 2 * pieces.STEP
+
+
+def sentencepiece_library(path):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def test_long_texts_stay_within_the_window(monkeypatch):
+    """What queries call, on texts of half a megabyte: one of characters that no piece joins, one without any place to cut."""
+    path = P.path("piece_bpe_32k.model")
+    rng = random.Random(6)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(170_000)), "".join(rng.choice("aeinrst") for _ in range(200_000)), "的一是不了人我在有他" * 5000]
+    m, most, units = pieces.Model(path), [], []
+    extend, code = pieces.Stream._extend, m._code
+    monkeypatch.setattr(pieces.Stream, "_extend", lambda self, part: (extend(self, part), most.append(len(self.last)))[0])
+    m.cache.code = lambda new: (units.extend(map(len, new)), code(new))[1]
+    ids, counts = m.encode_batch(pa.array(texts))
+    assert max(most) <= 2 * pieces.STEP + m.longest
+    library = sentencepiece_library(path)
+    assert [x.tolist() for x in np.split(ids.astype(int), np.cumsum(counts)[:-1])] == [library.encode(t) for t in texts]
+    assert sorted(units)[-2] < 100  # only the second text is one unit
+    assert [b.decode() for b in m.decode_batch(ids, counts)] == texts
 
 
 def test_encode_and_decode_frames(docs, empty):
