@@ -32,7 +32,7 @@ from .shared import Scratch, materialize, read_table, small_batches
 
 UNIT = 64
 #: How the tables of files and PCM are written: long pages and a high level, as neighbouring samples are much alike.
-STORING = {"parquet.page.size": str(8 << 20), "parquet.compression.codec.zstd.level": "9"}
+STORING = {"parquet.page.size": str(8 << 20), "parquet.compression.codec.zstd.level": "12"}
 RATE, TARGET_RATE = 8000, 16000
 #: Bytes of files that are decoded at once.
 CHUNK = 2 << 20
