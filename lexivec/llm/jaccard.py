@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import flat, hashes, mix, multipliers, slices
 from .components import connected_components
-from .shared import Scratch, arrow_rows, discard, materialize, read_table, small_batches
+from .shared import Scratch, arrow_rows, discard, free_name, materialize, read_table, small_batches
 
 COMMON = 64
 COMMON_KEPT = 1 << 17
@@ -148,7 +148,7 @@ def _sets(size: int, percent: int, whole: bool, bits: int = 64, clash: frozenset
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in slices(batch, CHUNK):
+            for ids, texts, th in slices(batch, CHUNK):
                 sets = shingle_sets(texts, size)
                 nodes = _named(sets, bits, clash)
                 kept = sets if whole else [one[: prefix_length(len(one), percent) + SPARE] if len(one) else one for one in sets]
@@ -160,14 +160,15 @@ def _sets(size: int, percent: int, whole: bool, bits: int = 64, clash: frozenset
                         pa.array([y for _, y in nodes], pa.int64()),
                         pa.array([one.tobytes() for one in kept], pa.binary()),
                         pa.array([None if whole else parity_map(one) for one in sets], pa.binary()),
+                        th,
                     ],
-                    names=["doc_id", "n", "node", "check", "tokens", "map"],
+                    names=["doc_id", "n", "node", "check", "tokens", "map", "th"],
                 )
 
     return run
 
 
-SETS = "doc_id long, n long, node long, check long, tokens binary, map binary"
+SETS = "doc_id long, n long, node long, check long, tokens binary, map binary, th long"
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -537,11 +538,12 @@ def jaccard_components(docs: DataFrame, size: int, percent: int, id_col: str = "
         return _components(docs, size, percent, id_col, text_col, node_bits)
 
 
-def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, node_bits: int) -> DataFrame:
+def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, node_bits: int, with_hash: bool = False) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     scratch = Scratch()
     keep = scratch.keep
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     clash: frozenset[int] = frozenset()
     while True:
         rows = materialize(texts.mapInArrow(_sets(size, percent, False, node_bits, clash), SETS), "shingles", "lz4")
@@ -660,12 +662,28 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     least = part.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = part.join(least, "component").select("node", "component_id")
     answer = classes.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    narrow = rows.select("doc_id", F.col("n").alias("n_shingles"), "node")
-    out = narrow.filter("n_shingles > 0").join(answer, "node").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = materialize(out.unionByName(narrow.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "jaccard", "lz4")
+    narrow = rows.select("doc_id", F.col("n").alias("n_shingles"), "node", "th")
+    columns = ["doc_id", "n_shingles", "component_id", *["th"] * with_hash]
+    out = narrow.filter("n_shingles > 0").join(answer, "node").withColumn("component_id", F.coalesce("component_id", "doc_id")).select(columns)
+    out = materialize(out.unionByName(narrow.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(columns)), "jaccard", "lz4")
     scratch.clear()
     return out
 
 
+def one_of_each(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one document of each component: the one whose id is the component's. Rows are told apart by id and text,
+    so of two texts under one id only that goes which is a copy; equal rows stay together. Rows without an id go where
+    links reach one that has an id, else they stay. Other columns are carried along, whatever their names."""
+    small_batches(docs.sparkSession)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        found = _components(docs, size, percent, id_col, text_col, 64, True)
+    gone = found.filter("component_id is not null and not (component_id <=> doc_id)").select("doc_id", "th").distinct()
+    names = {n: free_name(docs, n) for n in ("_id", "_th")}
+    gone = materialize(gone.toDF(*names.values()), "similar", "lz4")
+    discard(found)
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(side, F.col(id_col).cast("long").eqNullSafe(F.col(names["_id"])) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(names["_th"])), "left_anti")
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), size=4, percent=85)

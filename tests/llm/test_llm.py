@@ -421,6 +421,14 @@ def test_jaccard_of_long_texts_and_clashing_names(spark):
     assert got == [(1, 59_997, 1), (2, 59_999, 1), (3, 59_997, 3), (4, 1, 4), (5, 1, 4)]
 
 
+def test_one_of_each_tells_rows_by_id_and_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a), (2, a + " z"), (2, b), (2, b), (3, b + " y"), (None, a), (None, "alone " + b[:30]), (4, None), (5, ""), (6, a.upper())]
+    df = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(rows)], "doc_id long, text string, th int, _id string")
+    out = jaccard.one_of_each(df, 5, 80)
+    assert out.columns == df.columns and sorted(r.th for r in out.collect()) == [0, 2, 3, 6, 7, 8]
+
+
 def test_jaccard_leaves_only_its_result(spark):
     import glob
     import os
@@ -489,11 +497,6 @@ def test_line_dedup_takes_out_repeated_passages(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_passage_dedup_sql(spark, duck):
-    got, want = queries.QUERIES["op7_passage_dedup"](spark, DATA).toPandas(), duck.sql(queries.SQL["op7_passage_dedup"]).df()
-    assert normal(got) == normal(want)
-
-
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 6])
 def test_passages_go_whole_in_any_surroundings(spark, empty, n):
     rows, kept = [], {}
@@ -503,17 +506,81 @@ def test_passages_go_whole_in_any_surroundings(spark, empty, n):
             own = [f"own {k} {copy} {i}" for i in range(2 + copy)]
             rows.append((10 * k + copy, "\n".join(own[:1] + passage + own[1:])))
             kept[rows[-1][0]] = ("\n".join(own), n) if copy else (rows[-1][1], 0)
-    got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == kept
-    assert line_dedup.dedup_passages(empty).count() == 0
+    assert line_dedup.dedup_lines(empty).count() == 0
 
 
 def test_passage_edge_cases(spark):
     rows = [(1, "a\na\na"), (2, None), (3, ""), (4, f"x\n{LONG}\ny"), (5, f"z\n{LONG}\nx"), (6, "a\nb"), (None, "c\nd"), (7, "e\nc\nd\nc\nd")]
-    got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("a\na\na", 0), 2: (None, 0), 3: ("", 0), 4: (rows[3][1], 0), 5: ("z\nx", 1), 6: ("a\nb", 0), None: ("c\nd", 0), 7: ("e", 4)}
 
 
+def by_pairs(rows):
+    """What stays of each text, and the lines that go: pairs of neighbours and long lines that stand earlier."""
+    first, gone = {}, collections.defaultdict(set)
+    for d, t in sorted(rows):
+        lines = t.split("\n")
+        for i in range(len(lines)):
+            for unit in [tuple(lines[i : i + 2])] * (i + 1 < len(lines)) + [(lines[i],)] * (len(lines[i].split(" ")) >= 50):
+                e, j = first.setdefault((len(unit), unit), (d, i))
+                if e != d or i >= j + len(unit):
+                    gone[d] |= set(range(i, i + len(unit)))
+    return {d: ("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]), len(gone[d])) for d, t in rows}
+
+
+def runs_of_lines(seed, n=60):
+    """Texts made of few different lines, long shared stretches, and lines put into and taken out of them."""
+    rng = random.Random(seed)
+    shared_ = [[f"s{k} {i} {'w ' * (60 if (i + k) % 7 == 0 else 2)}" for i in range(40)] for k in range(3)]
+    rows = []
+    for d in range(n):
+        lines = [rng.choice(["a", "b", "", f"own {d} {i}"]) for i in range(rng.randrange(12))]
+        for _ in range(rng.randrange(3)):
+            run = list(rng.choice(shared_))
+            a, b = sorted((rng.randrange(40), rng.randrange(40)))
+            run = run[a : b + 1]
+            if rng.random() < 0.5 and run:
+                run[rng.randrange(len(run))] = f"edit {d}"
+            at = rng.randrange(len(lines) + 1)
+            lines[at:at] = run
+        rows.append((d, "\n".join(lines)))
+    return rows
+
+
+@pytest.mark.parametrize("seed, few", [(1, None), (2, None), (3, 0)])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, seed, few):
+    if few is not None:
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", few)
+    rows = runs_of_lines(seed)
+    got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == by_pairs(rows)
+
+
+def test_chunks_are_cut_alike_in_any_surroundings(spark):
+    """Chunks between the first and the last boundary of a shared stretch are the same, and they do find most of it."""
+    rng = random.Random(5)
+    stretch = [f"line {i} {rng.random()}" for i in range(400)]
+    rows = [(d, "\n".join([f"before {d} {i}" for i in range(d * 3)] + stretch + [f"after {d} {i}" for i in range(5)])) for d in range(3)]
+    keyed = line_dedup._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    each = collections.defaultdict(set)
+    for r in line_dedup._chunk_units(keyed).collect():
+        each[r.order_id].add((r.h1, r.h2, r.n))
+    common = set.intersection(*each.values())
+    assert sum(n for _, _, n in common) > 0.7 * len(stretch) and max(n for _, _, n in common) > 4
+
+
+def test_line_dedup_of_very_long_texts_is_linear(spark):
+    import time
+
+    one = [f"line {i}" for i in range(200_000)]
+    rows = [(1, "\n".join(one)), (2, "\n".join(["new"] + one[50_000:150_000] + ["end"])), (3, "x y " * 500_000)]
+    began = time.time()
+    got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("new\nend", 100_000), 3: (rows[2][1], 0)} and time.time() - began < 60
+
+
 # --- 8 toxicity ---
 
 
@@ -729,6 +796,46 @@ def test_stages(spark, docs, empty):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage on what its predecessor kept, against plain Python, with repeated, empty and null rows and other columns."""
+    import corpus_pipeline
+
+    real = spark.read.parquet(f"{DATA}/documents.parquet")
+    more = [(None, "no id at all", "en", "src1", 1), (90_001, None, "en", None, None), (90_002, "", "en", "src1", 0), (90_003, LONG + "\nx", "en", "src2", 1), (90_004, "y\n" + LONG, "en", "src2", 1)]
+    docs = real.union(real.limit(3)).union(spark.createDataFrame(more, DOCS)).withColumn("score", F.lit(1)).withColumn("removed", F.lit("r")).withColumn("tokens", F.lit("t"))
+    docs = shared.materialize(docs, "test-docs")
+    before = docs.collect()
+    text_of = lambda r: r.text or ""
+
+    model = toxicity.fit_contract(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    kept = shared.materialize(corpus_pipeline.drop_toxic(spark, docs, DATA), "test-docs")
+    toxic = lambda t: model.score(np.array([toxicity.features(t, model.lexicon)]))[0] >= 0.5
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in before if not toxic(text_of(r)))
+
+    lines = shared.materialize(corpus_pipeline.dedup_lines(spark, kept, DATA), "test-docs")
+    stays = by_pairs([(-1 if r.doc_id is None else r.doc_id, r.text) for r in kept.collect() if r.text is not None])
+    want = [(r.doc_id, r.text if r.text is None else stays[-1 if r.doc_id is None else r.doc_id][0]) for r in kept.collect()]
+    lost = {d for d, (t, n) in stays.items() if n and not t}
+    assert lines.columns == docs.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in lines.collect()))) == sorted(repr(x) for x in want if x[0] not in lost)
+    assert all(r.n_chars == len(r.text) for r in lines.collect() if r.doc_id in stays and stays[r.doc_id][1])
+
+    single = shared.materialize(corpus_pipeline.drop_similar(spark, lines, DATA), "test-docs")
+    parts = brute_components([(r.doc_id, r.text) for r in lines.collect() if r.doc_id is not None], 5, 80)
+    assert single.columns == docs.columns
+    assert sorted(map(repr, single.collect())) == sorted(repr(r) for r in lines.collect() if r.doc_id is None or parts[r.doc_id][1] == r.doc_id)
+
+    mixed = shared.materialize(corpus_pipeline.mix_sources(spark, single, DATA), "test-docs")
+    assert mixed.columns == docs.columns and {repr(r) for r in mixed.collect()} <= {repr(r) for r in single.collect()}
+    times = collections.Counter(repr((r.doc_id, r.epoch)) for r in mixing.mix(single).collect())
+    assert len(times) and mixed.count() == sum(times.values())
+
+    library = sentencepiece_library(P.path("piece_bpe_32k.model"))
+    got = sorted(repr((r.doc_id, r.ids)) for r in corpus_pipeline.to_pieces(spark, mixed, DATA).collect())
+    assert got == sorted(repr((r.doc_id, library.encode(text_of(r)))) for r in mixed.collect())
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
