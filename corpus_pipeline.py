@@ -6,8 +6,18 @@ n-gram join    of documents linked by 5-word shingles at a Jaccard index of 0.8
 mixing         sources are mixed to target weights; a document comes once for each epoch that takes it
 sentencepiece  what is left, as piece ids
 
-All stages but the last return the columns of `documents`. Each takes any DataFrame with doc_id, text and source; the cases
-of nulls, empty and repeated rows are those of the operators.
+All stages but the last return the columns of `documents`, and carry other columns along, whatever their names. Each takes
+any DataFrame with doc_id, text and source. Defined results, stage by stage:
+
+* an empty table gives no rows in any stage
+* null and empty texts: they score like a text without findings, lose no lines, link with nothing, belong to whole epochs
+  of their source, and have no ids
+* a null id is carried along; it comes first among places of equal lines; linked to a document that has an id, its row goes
+* equal rows are one document: they stay or go together, and each is drawn by itself in the mixture
+* two texts under one id are two documents
+* a null source is a source of its own
+* a very long text is worked on whole; its lines and shingles count like any other's
+* ties: of equal lines the one of the smallest id and place stays, of similar documents the one of the smallest id
 """
 
 from __future__ import annotations
@@ -25,13 +35,14 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shared.small_batches(spark)
     model = toxicity.fit_contract(docs, shared.read_table(spark, sf_dir, "labels"))
-    score = shared.free_name(docs, "score")
-    return toxicity.score(docs, model, score_col=score).filter(F.col(score) < REJECT).drop(score)
+    scored = toxicity.score(docs, model)
+    return scored.filter(scored[scored.columns[-1]] < REJECT).drop(scored.columns[-1])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_passages(docs)
+    out = line_dedup.dedup_lines(docs)
     removed = out.columns[-1]
     touched = F.col(removed) > 0
     if "n_chars" in docs.columns:
@@ -40,9 +51,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = shared.materialize(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "similar", "lz4")
-    return jaccard.some(docs, "doc_id", gone, "left_anti")
+    return jaccard.one_of_each(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    shared.small_batches(spark)
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -65,7 +75,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.read_table(spark, sf_dir, "documents")
+    docs, before = shared.read_table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = shared.materialize(stage(spark, docs, sf_dir), "stage")
+        shared.discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
