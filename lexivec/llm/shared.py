@@ -95,6 +95,24 @@ def seeded_key(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+#: Copies of a row that one task writes, about.
+COPIES = 1 << 16
+
+
+def with_copies(counted: DataFrame, times: str = "times", name: str = "copy") -> DataFrame:
+    """Each row of `counted` as often as its column `times` says, numbered from 0 in `name`. Rows with very many copies are
+    dealt to many tasks first."""
+    at, most = F.col(times), F.lit(COPIES).cast("long")
+    few = counted.filter(at <= most).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), at - 1)))
+    many = counted.filter(at > most)
+    if many.isEmpty():
+        return few.drop(times)
+    part = free_name(counted, "_part")
+    many = many.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((at - 1) / most)))).repartition(*counted.columns, part)
+    many = many.withColumn(name, F.explode(F.sequence(F.col(part) * most, F.least(at, (F.col(part) + 1) * most) - 1))).drop(part)
+    return few.unionByName(many).drop(times)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that `df` doesn't have yet."""
     taken = {c.lower() for c in df.columns}

@@ -102,51 +102,96 @@ def test_token_files(spark, docs, empty):
 # --- 2 mixing ---
 
 
-def test_exponent_meets_targets():
-    shares = np.array([0.7, 0.2, 0.1])
-    own, even = mixing.entropy(shares), math.log(3)
-    a = mixing.exponent(shares, mixing.Target(0.5, None))
-    assert mixing.entropy(mixing.weights(shares, a)) == pytest.approx((own + even) / 2, abs=1e-6)
-    a = mixing.exponent(shares, mixing.Target(None, 1.5))
-    assert (mixing.weights(shares, a) / shares).max() == pytest.approx(1.5, abs=1e-6)
-    assert mixing.exponent(shares, mixing.Target(None, None)) == 1
-
-
-def _mix_by_hand(rows, target):
-    tokens = lambda t: len(t) - len(t.replace(" ", "")) + 1 if t else 0
+def by_bisection(shares, target):
+    """The exponent by plain bisection over numpy sums."""
+    weights = lambda a: shares**a / (shares**a).sum()
+    entropy = lambda p: float(-(p * np.log(p)).sum())
+    goal = None if target.entropy is None else entropy(shares) + target.entropy * (math.log(len(shares)) - entropy(shares))
+    low = lambda a: goal is not None and entropy(weights(a)) > goal + 1e-13 or target.repetition is not None and (weights(a) / shares).max() * min(target.budget, target.repetition) > target.repetition * (1 + 1e-13)
+    if goal is None and target.repetition is None:
+        return 1.0
+    if not low(0.0):
+        return 0.0
+    a, b = 0.0, 1.0
+    for _ in range(60):
+        m = (a + b) / 2
+        a, b = (m, b) if low(m) else (a, m)
+    return b
+
+
+@pytest.mark.parametrize("target", [mixing.Target(0.5, None), mixing.Target(None, 1.5), mixing.Target(None, None), mixing.Target(0.9, 1.2), mixing.Target(0.5, 4.0, 2.0), mixing.Target(1.0, None)])
+@pytest.mark.parametrize("shares", [[0.7, 0.2, 0.1], [0.25] * 4, [1.0]])
+def test_exponent_equals_plain_bisection(spark, shares, target):
+    a, z = mixing.exponent(spark.createDataFrame([(x,) for x in shares], "share double"), target)
+    p = np.array(shares)
+    if len(set(shares)) > 1:
+        assert a == pytest.approx(by_bisection(p, target), abs=1e-9)
+        if target.entropy is None and target.repetition == 1.5:
+            assert (p**a / z / p).max() == pytest.approx(1.5, abs=1e-9)
+    assert z == pytest.approx((p**a).sum())
+
+
+def test_many_sources_need_no_list_on_the_driver(spark):
+    sizes = spark.range(150_000).select(F.col("id").cast("string").alias("source"), F.lit(1).cast("long").alias("n"), (F.col("id") % 7 + 1).alias("tokens"))
+    got = mixing.plan(sizes, mixing.Target(0.5, None)).agg(F.sum("budget").alias("budget"), F.sum("all_tokens").alias("tokens"), F.sum("weight").alias("weight")).first()
+    assert got.weight == pytest.approx(1) and abs(got.budget / got.tokens - 1) < 0.1
+
+
+def _mix_by_hand(spark, rows, target):
+    """(id, epoch) of rows (id, text, source), all different; `th` is the hash that the operator takes."""
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    coder.encode_special_tokens = True
+    tokens = lambda t: len(coder.encode(t or "", add_special_tokens=False).ids)
     key = lambda *p: int(hashlib.md5(":".join(map(str, p)).encode()).hexdigest()[:15], 16)
+    hashed = [r.th for r in spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).select(F.xxhash64("doc_id", "text", "source").alias("th")).collect()]
     by = collections.defaultdict(list)
-    for doc_id, text, source in rows:
-        by["" if source is None else "=" + source].append((doc_id, tokens(text)))
-    plan = mixing.plan({s: sum(t for _, t in d) for s, d in by.items()}, target)
+    for (doc_id, text, source), th in zip(rows, hashed):
+        by["" if source is None else "=" + source].append((doc_id, th, tokens(text)))
+    whole = {s: sum(t for *_, t in d) for s, d in by.items()}
+    p = np.array([whole[s] / sum(whole.values()) for s in sorted(whole)])
+    a = by_bisection(p[p > 0], target)
+    weight = dict(zip(sorted(whole), p**a / (p[p > 0] ** a).sum()))
     out = []
     for s, d in by.items():
-        used, budget, blocks = 0, plan[s][0], math.ceil(math.sqrt(len(d)))
-        whole = sum(t for _, t in d)
-        for epoch in range(math.ceil(budget / max(1, whole))):
-            order = sorted(range(blocks), key=lambda b: (key("mix", s, epoch, b), b))
-            for b in order:
-                for doc_id, t in sorted((x for x in d if key("mix", epoch, x[0]) % blocks == b), key=lambda x: (key("mix", epoch, x[0]), str(x[0]))):
+        used, blocks = 0, math.ceil(math.sqrt(len(d)))
+        budget = (round(weight[s] * 1e12) * round(sum(whole.values()) * target.tokens) + 5 * 10**11) // 10**12
+        for epoch in range(math.ceil(budget / max(1, whole[s]))):
+            for b in sorted(range(blocks), key=lambda b: (key("mix", s, epoch, b), b)):
+                mine = [(key("mix", epoch, i, th, 0), i, t) for i, th, t in d]
+                for _, doc_id, t in sorted(x for x in mine if x[0] % blocks == b):
                     if used < budget:
                         out.append((doc_id, epoch))
                     used += t
     return sorted(out)
 
 
-def test_mixing_equals_brute_force(spark, real):
+@pytest.mark.parametrize("target", [mixing.Target(), mixing.Target(0.8, 2.0, 5.0)])
+def test_mixing_equals_brute_force(spark, real, target):
     rows = [(r.doc_id, r.text, r.source) for r in real.collect()]
-    got = sorted((r.doc_id, r.epoch) for r in mixing.mix(real).collect())
-    assert got == _mix_by_hand(rows, mixing.Target())
-    assert max(e for _, e in got) >= 0
+    got = sorted((r.doc_id, r.epoch) for r in mixing.mix(real.select("doc_id", "text", "source"), target).collect())
+    assert got == _mix_by_hand(spark, rows, target)
+    assert max(e for _, e in got) < (target.repetition or 1)
 
 
-def test_mixing_edge_cases(docs, empty):
-    out = mixing.mix(docs.withColumn("epoch", F.lit("mine")))
-    assert out.columns[:6] == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "epoch"] and "_epoch" in out.columns
+def test_mixing_edge_cases(spark, docs, empty):
+    out = mixing.mix(docs.withColumn("epoch", F.lit("mine")).withColumn("_key", F.lit(1)).withColumn("_kept", F.lit(2)).withColumn("__mix_id", F.lit(3)).withColumn("m", F.create_map(F.lit("a"), F.lit(1))))
+    assert out.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "epoch", "_key", "_kept", "__mix_id", "m", "_epoch", "block_rank", "in_block", "tokens"]
     assert {r.doc_id for r in out.collect()} <= {1, 2, 3, 4, 5, 6, 7, None}
     assert mixing.mix(empty).count() == 0
     blank = docs.withColumn("text", F.lit(None).cast("string"))
-    assert mixing.mix(blank).count() == len(ROWS)
+    assert sorted(str(r.doc_id) for r in mixing.mix(blank).collect()) == sorted(str(r[0]) for r in ROWS)
+
+
+def test_equal_and_unlike_rows_are_drawn_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(shared, "COPIES", 50)
+    rows = [(None, "the same words", "a", 1)] * 300 + [(7, "another text", "a", i) for i in range(40)] + [(8, "b text", "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, x long")
+    got = collections.Counter((r.doc_id, r.x, r.epoch) for r in mixing.mix(df, mixing.Target(None, None)).collect())
+    assert got == collections.Counter((d, x, 0) for d, _, _, x in rows)
+    twice = mixing.mix(df, mixing.Target(0.0, None, 2.0))
+    assert sorted(twice.collect(), key=repr) == sorted(mixing.mix(df.repartition(5), mixing.Target(0.0, None, 2.0)).collect(), key=repr)
 
 
 # --- 3 sharding ---
@@ -161,7 +206,8 @@ def test_interleave_matches_mixture(real):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(k))
     per, whole = collections.Counter((r.shard, r.source) for r in rows), collections.Counter(r.source for r in rows)
     assert all(abs(per[s, src] - whole[src] / 7) < 2 for s in sizes for src in whole)
-    key = lambda d: (int(hashlib.md5(f"interleave:{d}".encode()).hexdigest()[:15], 16), d)
+    crc = {r.doc_id: r.text_crc32 for r in rows}
+    key = lambda d: (int(hashlib.md5(f"interleave:{d}:{crc[d]}:0".encode()).hexdigest()[:15], 16), d)
     rank = {d: i for src in whole for i, d in enumerate(sorted((r.doc_id for r in rows if r.source == src), key=key))}
     order = sorted(rows, key=lambda r: ((2 * rank[r.doc_id] + 1) / (2 * whole[r.source]), r.source, key(r.doc_id)))
     assert [r.doc_id for r in order] == [r.doc_id for r in sorted(rows, key=lambda r: r.place)]
@@ -174,6 +220,16 @@ def test_interleave_edge_cases(docs, empty):
     assert sharding.interleave(empty, 4).count() == 0
 
 
+def test_interleave_spreads_rows_that_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(shared, "COPIES", 50)
+    rows = [(None, "same", "a", 1)] * 400 + [(None, None, None, 2)] * 3 + [(5, "long " * 300_000, "b", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard long").withColumn("copy", F.lit(0)).withColumn("key", F.lit(0))
+    got = sharding.interleave(df, 8).collect()
+    assert sorted(r.place for r in got) == list(range(404)) and collections.Counter(r.size for r in got) == {20: 400, 16: 3, 1_500_016: 1}
+    bins = spark.createDataFrame([(r.source, int(r.fraction * 20)) for r in got], "source string, f int").groupBy("source", "f").count().filter("source = '=a'").collect()
+    assert {r["count"] for r in bins} == {20}
+
+
 # --- 4 secrets ---
 
 BASE = {"assign": re.compile(secrets.BASE[0][1], re.A), "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
