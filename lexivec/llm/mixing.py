@@ -122,7 +122,7 @@ def mix(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     small_batches(docs.sparkSession)
     scratch = Scratch()
-    new = {n: free_name(docs, n) for n in ("epoch", "block_rank", "in_block", "tokens", "_key", "_kept", "_row")}
+    new = {n: free_name(docs, n) for n in ("epoch", "block_rank", "in_block", "tokens", "_key", "_kept", "_row", "_th")}
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
     source, row_id, key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(*hashed)
     counting = docs.select(source.alias("source"), row_id.alias("id"), key.alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -149,15 +149,15 @@ def mix(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text
 
     # Equal rows are one row here; `kept` has each time that one of them is taken.
     repeated = counted.filter("times > 1").select(F.xxhash64(*alike).alias(new["_key"])).distinct()
-    keyed = docs.withColumn(new["_key"], F.xxhash64(source, row_id, key))
+    keyed = docs.withColumn(new["_th"], key).withColumn(new["_key"], F.xxhash64(source, row_id, F.col(new["_th"])))
     if not repeated.isEmpty():
         some = materialize(repeated, "mix-repeated", "lz4")
         side = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
-        one = keyed.join(side, new["_key"], "left_semi").groupBy(new["_key"], *hashed).agg(*[F.first(F.col(f"`{f.name}`")).alias(f.name) for f in docs.schema if isinstance(f.dataType, MapType)], F.count("*").alias(new["_row"]))
+        one = keyed.join(side, new["_key"], "left_semi").groupBy(new["_key"], new["_th"], *hashed).agg(*[F.first(F.col(f"`{f.name}`")).alias(f.name) for f in docs.schema if isinstance(f.dataType, MapType)], F.count("*").alias(new["_row"]))
         keyed = keyed.join(side, new["_key"], "left_anti").unionByName(one.select(*keyed.columns))
     scratch.clear()
     kept_col = F.col(new["_kept"])
-    same = (source == kept_col["source"]) & (row_id == kept_col["id"]) & (key == kept_col["th"])
+    same = (source == kept_col["source"]) & (row_id == kept_col["id"]) & (F.col(new["_th"]) == kept_col["th"])
     back = keyed.join(kept, new["_key"]).filter(same)
     return back.select(*(F.col(f"`{c}`") for c in docs.columns), *(kept_col[n].alias(new[n]) for n in ("epoch", "block_rank", "in_block", "tokens")))
 
