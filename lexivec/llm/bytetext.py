@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +12,42 @@ import pyarrow as pa
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def give_back() -> None:
+    """Hand memory that is free here back to the system. Workers live on between tasks, and what they keep for themselves
+    an executor has to carry along."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that gives memory back now and then, and at the end of its task."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, out in enumerate(run(batches)):
+            yield out
+            if k % 16 == 15:
+                give_back()
+        give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for applyInArrow, after large groups."""
+
+    @functools.wraps(run)
+    def tidied(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes > 1 << 20:
+            give_back()
+        return out
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit values that spreads every input bit."""
     x = x ^ (x >> np.uint64(30))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .bytetext import tidy, tidy_group
 from .shared import materialize, read_table
 
 THRESHOLD = 0.98
@@ -201,7 +202,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, rotations = plan(largest, threshold)
 
-    placed = materialize(classes.select("cls", "label", "v").mapInArrow(_bucketed(bits, rotations), BUCKETED).join(classes.select("cls", "weight"), "cls"), "buckets", "lz4")
+    placed = materialize(classes.select("cls", "label", "v").mapInArrow(tidy(_bucketed(bits, rotations)), BUCKETED).join(classes.select("cls", "weight"), "cls"), "buckets", "lz4")
     key = ["label", "dim", "turn", "bucket"]
     size = placed.groupBy(*key).agg(F.count("*").alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
@@ -211,7 +212,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # Small buckets travel together; a pair of blocks is a task by itself.
     tasks = max(1, -(-placed.count() // (TASK * rotations)))
     spread = spread.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label", "bucket"), F.lit(tasks))).otherwise(F.xxhash64("label", "bucket", "low", "high")))
-    found = spread.groupBy("dim", "turn", "task").applyInArrow(_linked(threshold), "cls long, n long, to long")
+    found = spread.groupBy("dim", "turn", "task").applyInArrow(tidy_group(_linked(threshold)), "cls long, n long, to long")
     found = materialize(found, "vector-links", "lz4")
     count = found.groupBy("cls").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select(F.col("cls").alias("a"), F.col("to").alias("b")))

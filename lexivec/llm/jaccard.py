@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import flat, hashes, mix, multipliers, slices
+from .bytetext import flat, hashes, mix, multipliers, slices, tidy, tidy_group
 from .components import connected_components
 from .shared import Scratch, arrow_rows, discard, free_name, materialize, read_table, small_batches
 
@@ -546,7 +546,7 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     clash: frozenset[int] = frozenset()
     while True:
-        rows = materialize(texts.mapInArrow(_sets(size, percent, False, node_bits, clash), SETS), "shingles", "lz4")
+        rows = materialize(texts.mapInArrow(tidy(_sets(size, percent, False, node_bits, clash)), SETS), "shingles", "lz4")
         classes = materialize(rows.filter("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep")), "classes", "lz4")
         # By chance no two of some billion sets agree in 64 bits; at 10^10 there are a few such pairs.
         more = frozenset(r.node for r in classes.groupBy("node").count().filter("count > 1").select("node").collect())
@@ -566,30 +566,30 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
         own = own.unionByName(rows.join(lost, "node", "left_semi").dropDuplicates(["node"]))
 
     buckets = max(24, rows.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // (8 * BUCKET_ROWS) + 24
-    common = own.select("n", "tokens").mapInArrow(_token_counts(buckets, percent), "bucket long, tokens binary, times binary").groupBy("bucket").applyInArrow(_common(COMMON), "token long, times long")
+    common = own.select("n", "tokens").mapInArrow(tidy(_token_counts(buckets, percent)), "bucket long, tokens binary, times binary").groupBy("bucket").applyInArrow(tidy_group(_common(COMMON)), "token long, times long")
     often = common.orderBy(F.desc("times"), "token").limit(COMMON_KEPT).collect()
     kept = np.array([r.token for r in often], dtype=np.int64).view(np.uint64)
     # A shingle stands in no more prefixes of the final order than counted here.
     hottest = sorted((r.token & (1 << 64) - 1, -(-r.times // HOT)) for r in often if r.times > HOT)
     hot, hot_parts = np.array([t for t, _ in hottest], np.uint64), np.array([k for _, k in hottest], np.uint64)
     order = spark.sparkContext.broadcast(kept)
-    known = keep(own.select(*BY_ORDER).mapInArrow(_prefixes(order, percent), PREFIXES), "prefixes")
+    known = keep(own.select(*BY_ORDER).mapInArrow(tidy(_prefixes(order, percent)), PREFIXES), "prefixes")
     unknown = known.filter("prefix is null").select("doc_id").distinct()
     prefixes = known.filter("prefix is not null")
     if not unknown.isEmpty():
         whole = some(texts, "doc_id", unknown, "left_semi")
         if not unknown.filter("doc_id is null").isEmpty():
             whole = whole.unionByName(texts.filter("doc_id is null"))
-        whole = whole.mapInArrow(whole_sets, SETS).filter("n > 0")
-        more = whole.select(*BY_ORDER).mapInArrow(_prefixes(order, percent), PREFIXES).join(known.filter("prefix is null").select("node").distinct(), "node", "left_semi").select(*prefixes.columns)
+        whole = whole.mapInArrow(tidy(whole_sets), SETS).filter("n > 0")
+        more = whole.select(*BY_ORDER).mapInArrow(tidy(_prefixes(order, percent)), PREFIXES).join(known.filter("prefix is null").select("node").distinct(), "node", "left_semi").select(*prefixes.columns)
         prefixes = prefixes.unionByName(keep(more.dropDuplicates(["node"]), "prefixes"))
 
     groups = keep(prefixes.groupBy("n", "fold").agg(F.min("node").alias("group"), F.count("*").alias("members")), "groups")
     member = prefixes.select("n", "fold", "node").join(groups.filter("members > 1"), ["n", "fold"]).select("group", "node").distinct()
     member = keep(member, "members")
     heads = some(prefixes, "node", member.filter("node <> group").select("node"), "left_anti")
-    postings = heads.select("n", "node", "prefix").mapInArrow(_postings(buckets, hot, hot_parts), POSTINGS)
-    found = keep(postings.groupBy("bucket").applyInArrow(_meet(percent, hot), FOUND), "found")
+    postings = heads.select("n", "node", "prefix").mapInArrow(tidy(_postings(buckets, hot, hot_parts)), POSTINGS)
+    found = keep(postings.groupBy("bucket").applyInArrow(tidy_group(_meet(percent, hot)), FOUND), "found")
     meetings = found.filter("not is_list").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.max("long").alias("long"))
     sizes = classes.select("node", "n")
     rest = lambda n: F.expr(f"floor({percent} * {n} / 100)")  # noqa: E731  what a set has beyond its prefix, at most
@@ -601,7 +601,7 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     met = keep(met.select("a", "b", "shared"), "meetings")
     lists = found.filter("is_list").select(F.col("a").alias("list"), F.col("b").alias("node"), "n").distinct()
     if len(hot):
-        lists = lists.unionByName(heads.select("n", "node", "prefix").mapInArrow(_hot_lists(hot), "list long, node long, n long"))
+        lists = lists.unionByName(heads.select("n", "node", "prefix").mapInArrow(tidy(_hot_lists(hot)), "list long, node long, n long"))
     lists = keep(lists.join(member.toDF("node", "each"), "node", "left").select("list", F.coalesce("each", "node").alias("node"), "n"), "long-lists")
 
     stars = member.filter("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b"), F.lit(1 << 40).alias("shared"))
@@ -612,22 +612,22 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     def sets_of(nodes: DataFrame) -> DataFrame:
         """(node, set): the whole sets of some classes, from a text of each."""
         wanted = keep(nodes.distinct().join(classes, "node").select("node", F.col("rep").alias("doc_id")), "wanted")
-        sets = some(texts, "doc_id", wanted.select("doc_id").distinct(), "left_semi").mapInArrow(whole_sets, SETS)
+        sets = some(texts, "doc_id", wanted.select("doc_id").distinct(), "left_semi").mapInArrow(tidy(whole_sets), SETS)
         bare = wanted.filter("doc_id is null").select("node")
         if not bare.isEmpty():
             # Joins by doc_id never meet null: sets of classes without any id come from all texts without one.
-            without = texts.filter("doc_id is null").mapInArrow(whole_sets, SETS)
+            without = texts.filter("doc_id is null").mapInArrow(tidy(whole_sets), SETS)
             sets = sets.unionByName(without.join(bare, "node", "left_semi").dropDuplicates(["node"]))
         return keep(sets.select("node", F.col("tokens").alias("set")), "sets")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """(a, b, shared) of the pairs that maps don't rule out."""
         both = pairs.join(maps.toDF("a", "na", "ma"), "a").join(maps.toDF("b", "nb", "mb"), "b")
-        return both.select("a", "b", "shared", "na", "nb", "ma", "mb").mapInArrow(_possible(percent), "a long, b long, shared long").distinct()
+        return both.select("a", "b", "shared", "na", "nb", "ma", "mb").mapInArrow(tidy(_possible(percent)), "a long, b long, shared long").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return keep(both.mapInArrow(_overlaps(percent), "a long, b long, linked boolean").distinct(), "verified")
+        return keep(both.mapInArrow(tidy(_overlaps(percent)), "a long, b long, linked boolean").distinct(), "verified")
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs that links found so far don't join."""
@@ -652,11 +652,11 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     lists = keep(lists.unionByName(_wide(member, met, parts, classes)).distinct(), "all-lists") if not member.isEmpty() else lists
     tasks = _tasks(lists, parts, percent, scratch)
     if tasks is not None:
-        suspects = keep(tasks.join(maps.select("node", "map"), "node").groupBy("task").applyInArrow(_suspects(percent), TASKS), "suspects")
+        suspects = keep(tasks.join(maps.select("node", "map"), "node").groupBy("task").applyInArrow(tidy_group(_suspects(percent)), TASKS), "suspects")
         if not suspects.isEmpty():
             # A node comes twice where a doc_id of it has several texts.
             held = sets_of(suspects.select("node")).join(suspects.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-            links = links.unionByName(keep(suspects.join(held, "node").groupBy("task").applyInArrow(_forest(percent), "a long, b long"), "late-links"))
+            links = links.unionByName(keep(suspects.join(held, "node").groupBy("task").applyInArrow(tidy_group(_forest(percent)), "a long, b long"), "late-links"))
             parts = scratch.add(connected_components(links))
     part = classes.join(parts, "node")
     least = part.groupBy("component").agg(F.min("rep").alias("component_id"))

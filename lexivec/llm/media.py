@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import slices
+from .bytetext import slices, tidy
 from .shared import Scratch, materialize, read_table, small_batches
 
 UNIT = 64
@@ -140,7 +140,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(payloads: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """(doc_id, n_bytes, media): payloads as 8-bit samples (or ADPCM blocks) in WAV files, lossless to the byte."""
-    return payloads.select(F.col(id_col).cast("long").alias("doc_id"), F.col(payload_col).cast("binary").alias("payload")).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
+    return payloads.select(F.col(id_col).cast("long").alias("doc_id"), F.col(payload_col).cast("binary").alias("payload")).mapInArrow(tidy(_stored), "doc_id long, n_bytes long, media binary")
 
 
 def pcm_features(pcm: np.ndarray) -> str:
@@ -213,7 +213,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decode(files: DataFrame) -> DataFrame:
     """Files read back: what they hold, and the PCM at the target rate as `lifted` codes it."""
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(_decoded, DECODED)
+    return files.select("doc_id", "n_bytes", "media").mapInArrow(tidy(_decoded), DECODED)
 
 
 DESCRIBED = f"{FACTS}, feature string"
@@ -228,7 +228,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def described(decoded: DataFrame) -> DataFrame:
     """Stored PCM read back, with its features in its place."""
-    return decoded.mapInArrow(_described, DESCRIBED)
+    return decoded.mapInArrow(tidy(_described), DESCRIBED)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from .bytetext import slices
+from .bytetext import slices, tidy
 from .shared import Scratch, free_name, materialize, read_table, seeded_key, small_batches, with_copies
 
 SEED = "mix"
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text
     source, row_id, key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(*hashed)
     counting = docs.select(source.alias("source"), row_id.alias("id"), key.alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     alike = ["source", "id", "th"]
-    each = counting.mapInArrow(_counted(vocabulary, len(alike)), "source string, id string, th long, tokens long")
+    each = counting.mapInArrow(tidy(_counted(vocabulary, len(alike))), "source string, id string, th long, tokens long")
     counted = scratch.keep(each.groupBy(*alike).agg(F.count("*").alias("times"), F.max("tokens").alias("tokens")), "mix-rows")
     table = scratch.keep(plan(counted.groupBy("source").agg(F.sum("times").alias("n"), F.sum(F.col("tokens") * F.col("times")).alias("tokens")), target), "mix-plan")
     empty = not table.agg(F.max("all_tokens")).first()[0]

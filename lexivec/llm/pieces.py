@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import PieceCache, flat, hashes, ragged, slices
-from .shared import read_table
+from .bytetext import PieceCache, flat, hashes, ragged, slices, tidy
+from .shared import read_table, small_batches
 
 SPACE = "▁"
 # Types of pieces in the model file.
@@ -265,7 +265,7 @@ def _encoded(path: str):
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_encoded(path), "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidy(_encoded(path)), "doc_id long, ids array<int>")
 
 
 def _decoded(path: str):
@@ -282,7 +282,7 @@ def _decoded(path: str):
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text)."""
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(_decoded(path), "doc_id long, text string")
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(tidy(_decoded(path)), "doc_id long, text string")
 
 
 def _digest(path: str):
@@ -313,10 +313,11 @@ def _digest(path: str):
 
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the number and checksum of its ids, and whether they decode to its text again."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_digest(path), "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, restored boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tidy(_digest(path)), "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, restored boolean")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     import public_tokenizers
 
     return digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -10,11 +10,14 @@ row for each repository before any shuffle by hash; the join back is an inner eq
 splits. Only values and positions are shuffled, never texts.
 
 Defined results: a null text counts as empty; a null owner or repository is one of its own; rows with equal doc_id stay
-separate; an empty table gives no rows; other columns are not read.
+separate; a text of any length is searched whole, in time that grows with it; an empty table gives no rows; other columns
+are not read, so their names don't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +38,23 @@ COPIED_REPOSITORIES = 3
 PLACEHOLDER = r"(?i)example|changeme|placeholder|your[_-]|xxxx|\*\*\*|1234567|abcdef"
 LEAST_DISTINCT = 8
 
+#: Matches whose places are summed in one go; sums of whole groups come on top, so the work grows with the text.
+GROUP = 256
+
 SPAN = "struct<start:long,kind:int,end:long,value:string>"
 
 
+def _of(value: F.Column, f: Callable[[F.Column], F.Column]) -> F.Column:
+    """f(value), with `value` worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _found(text: F.Column, order: int, kind: tuple[str, str, int, int]) -> F.Column:
     """Matches as structs. What stands between them comes from a split by the same pattern, so lengths give places."""
     name, pattern, group, least = kind
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def step(state: F.Column, x: F.Column) -> F.Column:
         start = state["at"] + F.length(x["gap"])
@@ -51,8 +63,18 @@ def _found(text: F.Column, order: int, kind: tuple[str, str, int, int]) -> F.Col
         span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), x["value"].alias("value")))
         return F.struct(F.coalesce(end, start).cast("long").alias("at"), F.when(keep, F.concat(state["spans"], span)).otherwise(state["spans"]).cast(f"array<{SPAN}>").alias("spans"))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    spans = F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+    def grouped(all_matches: F.Column) -> F.Column:
+        """(at, spans) of each group of matches, places counted from the group's start."""
+        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_matches) - 1) / GROUP).cast("int")), lambda g: F.aggregate(F.slice(all_matches, g * GROUP + 1, GROUP), start, step))
+
+    def placed(groups: F.Column) -> F.Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("before"))
+        before = F.aggregate(groups, start, lambda state, g: F.struct((state["at"] + g["at"]).alias("at"), F.concat(state["before"], F.array(state["at"])).alias("before")), lambda state: state["before"])
+        moved = lambda g, by: F.transform(g["spans"], lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+        return F.flatten(F.zip_with(groups, before, moved))
+
+    spans = _of(_of(zipped, grouped), placed).cast(f"array<{SPAN}>")
     return F.when(text.rlike(NEEDED.get(name, pattern)), spans).otherwise(none)
 
 

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .bytetext import PieceCache, flat, hashes, ragged, slices
-from .shared import new_path, read_table
+from .bytetext import PieceCache, flat, hashes, ragged, slices, tidy
+from .shared import new_path, read_table, small_batches
 
 END_ID = 2
 SEGMENT = 1 << 19
@@ -206,7 +206,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .repartitionByRange(files, "doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(_packed(vocabulary, end_id), SEGMENT_SCHEMA)
+        .mapInArrow(tidy(_packed(vocabulary, end_id)), SEGMENT_SCHEMA)
         .write.option("compression", "zstd")
         .parquet(path)
     )
@@ -245,7 +245,7 @@ def _texts_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, ids array<long>), the end id included."""
-    return spark.read.schema(SEGMENT_SCHEMA).parquet(path).mapInArrow(_texts_of_ids, "doc_id long, ids array<long>")
+    return spark.read.schema(SEGMENT_SCHEMA).parquet(path).mapInArrow(tidy(_texts_of_ids), "doc_id long, ids array<long>")
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
@@ -254,11 +254,12 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     # One row for each file, so the running total below sees as many rows as there are files.
     size = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = size.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("base"))
-    docs = files.mapInArrow(_unpacked, "doc_id long, part long, at long, n_tokens long, ids_crc32 long")
+    docs = files.mapInArrow(tidy(_unpacked), "doc_id long, part long, at long, n_tokens long, ids_crc32 long")
     return docs.join(before, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     import public_tokenizers
 
     path = new_path(spark, "token-ids")

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialize, read_table
+from .bytetext import tidy
+from .shared import free_name, materialize, read_table, small_batches
 
 #: Bound on labelled rows that train.
 SAMPLE = 20_000
@@ -346,7 +347,7 @@ def _counted(wanted: frozenset[str] | None):
 
 def _unit_counts(rows: DataFrame, least: int = 0, wanted: frozenset[str] | None = None) -> dict[str, list[int]]:
     """Of units that `least` texts hold or more, the number of texts of each fold."""
-    each = rows.select("text", "fold").mapInArrow(_counted(wanted), "unit string, fold int, n long")
+    each = rows.select("text", "fold").mapInArrow(tidy(_counted(wanted)), "unit string, fold int, n long")
     folds = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"f{f}") for f in range(FOLDS)]
     got = each.groupBy("unit").agg(*folds, F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
     return dict(zip(got.column("unit").to_pylist(), zip(*(got.column(f"f{f}").to_pylist() for f in range(FOLDS)))))
@@ -388,7 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     fold = (F.conv(F.substring(digest, 2, 1), 16, 10).cast("int") % FOLDS).alias("fold")
     rows = materialize(rows.select("text", fold, F.col("_y").alias("y"), F.substring(digest, 1, 1).isin(*"0123").alias("back")), "toxicity-sample")
     lexicons = learn(rows.filter("not back"))
-    got = rows.mapInArrow(_featured(lexicons), "x array<double>, y double, back boolean").toArrow()
+    got = rows.mapInArrow(tidy(_featured(lexicons)), "x array<double>, y double, back boolean").toArrow()
     x = np.asarray(got.column("x").combine_chunks().flatten(), dtype=float).reshape(-1, len(FEATURES))
     y, kept_back = np.asarray(got.column("y")), np.asarray(got.column("back"))
     # Rows come in any order; sums of the same rows in one order are the same everywhere.
@@ -408,7 +409,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*columns, new])
 
     schema = docs.schema
-    return docs.mapInArrow(run, type(schema)([*schema.fields]).add(new, "double"))
+    return docs.mapInArrow(tidy(run), type(schema)([*schema.fields]).add(new, "double"))
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -421,6 +422,7 @@ def fit_contract(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     model = fit_contract(docs, read_table(spark, sf_dir, "labels"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -277,6 +277,57 @@ def test_repositories_take_part_in_the_verdict(spark):
     assert got == {0: ([3], 3), 1: ([3], 3), 2: ([3], 3), 3: ([4], 2), 4: ([4], 2), 5: ([4], 2), 6: ([], 0)}
 
 
+def secrets_by_hand(rows):
+    """The rows of the query for (doc_id, text, lang, source): base spans, and spans of copied and live values."""
+    opaque, found = re.compile(r"[A-Za-z0-9+/_-]{32,}"), []
+    for _, text, lang, source in rows:
+        spans = []
+        for k, (name, p) in enumerate([*BASE.items(), ("opaque", opaque)]):
+            for m in p.finditer(text or ""):
+                value = m[2] if name == "assign" else m[0]
+                if name == "opaque" and not all(re.search(c, value) for c in ("[0-9]", "[a-z]", "[A-Z]")):
+                    continue
+                if len(value) >= (6, 20, 24, 32)[k]:
+                    spans.append((m.start(), k, m.end(), value))
+        found.append(spans)
+    owners, places = collections.defaultdict(set), collections.defaultdict(set)
+    for (_, _, lang, source), spans in zip(rows, found):
+        for *_, value in spans:
+            owners[value].add(source)
+            places[value].add((source, lang))
+    out = []
+    for (doc_id, *_), spans in zip(rows, found):
+        added = set()
+        for start, k, end, value in spans:
+            live = len(set(value)) >= 8 and re.search("[0-9]", value) and re.search("[A-Za-z]", value) and not re.search(secrets.PLACEHOLDER, value)
+            kind = 3 if len(owners[value]) >= 3 or len(places[value]) >= 3 else 4 if live else None
+            if kind:
+                added.add((end - len(value), kind, end))
+        base = [s[:3] for s in spans if s[1] < 3]
+        text_of = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'copied', 'live')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        counts = [sum(k == i for _, k, _ in base) for i in range(3)]
+        more = [sum(k == i for _, k, _ in added) for i in (3, 4)]
+        out.append((doc_id, *counts, hashlib.sha256(text_of(base).encode()).hexdigest(), text_of([*base, *added]), *more, max((len(places[v]) for *_, v in spans), default=0)))
+    return sorted(out, key=repr)
+
+
+def test_secret_query_equals_brute_force(spark, real):
+    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_copied", "n_live", "max_repositories"]
+    got = sorted((tuple(r) for r in queries.QUERIES["op4_secret_scans"](spark, DATA).select(columns).collect()), key=repr)
+    assert got == secrets_by_hand([(r.doc_id, r.text, r.lang, r.source) for r in real.collect()])
+
+
+def test_secrets_in_a_very_long_text(spark):
+    import time
+
+    runs = [f"{i:024x}" for i in range(100_000)]
+    text = " ".join(runs[:50_000]) + " token=abcdef1 " + "é ".join(runs[50_000:])
+    df = spark.createDataFrame([(1, text, "en", "s", 5), (2, "x " * 700 + "token = q1w2e3r4t5", "en", "s", 6)], "doc_id long, text string, lang string, source string, row long").withColumn("h1", F.lit(0)).withColumn("base", F.lit("x"))
+    began = time.time()
+    got = {r.doc_id: sorted((s.start, s.kind, s.end) for s in r.base) for r in secrets.scan(df).collect()}
+    assert time.time() - began < 60 and got[1] == _base(text) and len(got[1]) == 100_001 and got[2] == [(1400, 0, 1418)]
+
+
 def test_secret_edge_cases(docs, empty):
     assert secrets.scan(docs).count() == len(ROWS) and secrets.scan(empty).count() == 0
 
