@@ -14,6 +14,8 @@ from .shared import discard, materialize
 
 
 HUB = 1000
+#: Rows of a file, at least: small tables of a round are written as few files, by few tasks.
+FILE_ROWS = 50_000
 BROADCAST_ROWS = 400_000
 
 
@@ -35,22 +37,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     The table is written in the shared folder, where the caller may discard it.
     """
     edge = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges", "lz4")
-    hooks = []
-    while not edge.isEmpty():
+    hooks, nodes = [], 0
+    while left := edge.count():
+        files = 1 + 2 * left // FILE_ROWS
         near = edge.select("a", "b").union(edge.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("degree"))
-        near = materialize(near.select(F.col("a").alias("node"), F.least("a", "b").alias("to"), "degree"), "hooks", "lz4")
+        near = materialize(near.select(F.col("a").alias("node"), F.least("a", "b").alias("to"), "degree").coalesce(files), "hooks", "lz4")
         further = _looked_up(near.drop("degree"), near, "to", "next", "node").select("node", F.col("next").alias("to"))
-        hook = materialize(further.join(near.select("node", "degree"), "node"), "hooks", "lz4")
+        hook = materialize(further.join(near.select("node", "degree"), "node").coalesce(files), "hooks", "lz4")
         hooks.append(hook)
+        nodes = max(nodes, 2 * left)
         ends = _looked_up(_looked_up(edge, hook, "a", "p", "b"), hook, "b", "q", "a")
-        left = materialize(ends.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "edges", "lz4")
+        contracted = materialize(ends.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().coalesce(files), "edges", "lz4")
         discard(edge, near)
-        edge = left
+        edge = contracted
     if not hooks:
         return materialize(edge.select(F.col("a").alias("node"), F.col("b").alias("component")), "components", "lz4")
     out = hooks[0].select("node", F.col("to").alias("component"))
     for hook in hooks[1:]:
         out = _looked_up(out, hook, "component", "next", "node", "left").select("node", F.coalesce("next", "component").alias("component"))
-    out = materialize(out, "components", "lz4")
+    out = materialize(out.coalesce(1 + nodes // FILE_ROWS), "components", "lz4")
     discard(edge, *hooks)
     return out

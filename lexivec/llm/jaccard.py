@@ -54,6 +54,8 @@ MAP_BITS = 2048
 #: Rows of a batch for Python; one may hold two whole sets.
 BATCH_ROWS = 1000
 BUCKET_ROWS = 100_000
+#: Pairs that a task verifies, at least.
+VERIFIED_PAIRS = 4000
 #: A shingle that stands in more prefixes is dealt to several tasks.
 HOT = 20_000
 #: Members of a block of a list, and shingles of their sets, at most (or one member).
@@ -627,7 +629,7 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return keep(both.mapInArrow(tidy(_overlaps(percent)), "a long, b long, linked boolean").distinct(), "verified")
+        return keep(both.mapInArrow(tidy(_overlaps(percent)), "a long, b long, linked boolean").distinct().coalesce(files), "verified")
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs that links found so far don't join."""
@@ -635,6 +637,7 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
         return named.filter(F.coalesce("pa", "a") != F.coalesce("pb", "b")).drop("pa", "pb")
 
     possibly = keep(possible(todo), "pairs")
+    files = 1 + possibly.count() // VERIFIED_PAIRS
     sets = sets_of(possibly.select(F.col("a").alias("node")).union(possibly.select("b")))
     discard(known, copies, groups, found)
     order.destroy()
@@ -643,7 +646,7 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     checked = verify(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = checked.filter("linked").select("a", "b")
     parts = scratch.add(connected_components(links))
-    rest_of = keep(apart(possibly.join(checked.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b"), "rest")
+    rest_of = keep(apart(possibly.join(checked.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b").coalesce(files), "rest")
     if not rest_of.isEmpty():
         # All pairs that are known are done before lists are compared: by then most members of a list lie together.
         links = links.unionByName(verify(rest_of).filter("linked").select("a", "b"))
