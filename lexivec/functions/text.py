@@ -69,11 +69,19 @@ def is_good_term(term: Column) -> Column:
     return (F.length(term) >= 3) & ~low.isin(STOP_WORDS) & ~low.rlike("^[0-9]+$")
 
 
+def cut_bytes(text: Column, most: int) -> Column:
+    """The start of a text that takes at most `most` bytes (four or more) of UTF-8 and ends with a whole character."""
+    raw = text.cast("binary")
+    inside = lambda n: F.conv(F.hex(F.substring(raw, n + 1, 1)), 16, 10).cast("int").bitwiseAND(F.lit(0xC0)) == 0x80
+    size = F.when(~inside(most), most).when(~inside(most - 1), most - 1).when(~inside(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(raw, F.lit(1), size).cast("string"))
+
+
 def content_snippet(text: Column, lines: int = 3, most: int = 200) -> Column:
-    """The first lines, trimmed, blank ones left out, joined by spaces and cut with an ellipsis."""
+    """The first lines, trimmed, blank ones left out, joined by spaces; what takes over `most` bytes is cut with an ellipsis."""
     head = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, lines), lambda s: F.trim(s)), lambda s: s != "")
     joined = F.array_join(head, " ")
-    return F.when(F.length(joined) > most, F.concat(F.substring(joined, 1, most), F.lit("…"))).otherwise(joined)
+    return F.when(F.octet_length(joined) > most, F.concat(cut_bytes(joined, most), F.lit("…"))).otherwise(joined)
 
 
 def match_snippet(text: Column, words: list[str], size: int = 10) -> Column:

@@ -86,27 +86,33 @@ def unscored(candidates: DataFrame, cache: DataFrame) -> DataFrame:
     return candidates.select("content_hash", "content").dropDuplicates(["content_hash"]).join(cache.select("content_hash"), "content_hash", "left_anti")
 
 
-def hybrid(chunks: DataFrame, similarities: DataFrame | None, query: str, config: QueryConfig = QueryConfig(), digits: int | None = None) -> DataFrame:
+def held(rows: DataFrame) -> DataFrame:
+    """A list of at most a few hundred rows, worked out once; what is built on it doesn't search again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def hybrid(chunks: DataFrame, similarities: DataFrame | None, query: str, config: QueryConfig = QueryConfig(), digits: int | None = None, index: lexical.Index | None = None) -> DataFrame:
     """(chunk_id, score): BM25 and vector lists fused. Without vectors it is BM25 alone."""
-    words = ranked(lexical.search(chunks, query, config.bm25_limit, digits=digits))
+    words = ranked(lexical.search(chunks, query, config.bm25_limit, digits=digits, index=index))
     lists = [(config.bm25_weight, words)]
     if similarities is not None:
         lists.append((config.vec_weight, ranked(similarities.orderBy(F.desc("score"), "chunk_id").limit(config.vec_limit))))
     return rrf(lists, config.rrf_k, digits).orderBy(F.desc("score"), "chunk_id").limit(config.limit)
 
 
-def deep(chunks: DataFrame, similarities: DataFrame | None, query: str, config: QueryConfig = QueryConfig(), settings: DeepConfig = DeepConfig(), expand=None, digits: int | None = None) -> DataFrame:
+def deep(chunks: DataFrame, similarities: DataFrame | None, query: str, config: QueryConfig = QueryConfig(), settings: DeepConfig = DeepConfig(), expand=None, digits: int | None = None, index: lexical.Index | None = None) -> DataFrame:
     """The hybrid query with expansion: terms of the best chunks, and queries of `expand` if given, add lists of their own.
     At most `max_terms` words come to the driver."""
-    first = lexical.search(chunks, query, config.bm25_limit, digits=digits)
+    first = held(lexical.search(chunks, query, config.bm25_limit, digits=digits, index=index))  # bm25_limit rows at most
     lists = [(config.bm25_weight, ranked(first))]
     if similarities is not None:
         lists.append((config.vec_weight, ranked(similarities.orderBy(F.desc("score"), "chunk_id").limit(config.vec_limit))))
-    seeds = first.orderBy(F.desc("score"), "chunk_id").limit(settings.seed_limit).select("chunk_id").join(chunks, "chunk_id")
+    seeds = first.orderBy(F.desc("score"), "chunk_id").limit(settings.seed_limit).select("chunk_id")
+    seeds = chunks.join(F.broadcast(seeds), "chunk_id")
     terms = [r.term for r in prf_terms(seeds, query, settings.max_terms, symbol="symbol" if "symbol" in chunks.columns else None).collect()]
     if not first.isEmpty():
         more = [or_query(terms)] if terms else []
         asked = [(t, False) for t in more] + [(t, True) for t in (expand(query, terms) if expand else [])]
         for text, literal in asked:
-            lists.append((config.expansion_bm25_weight, ranked(lexical.search(chunks, text, config.bm25_limit, literal=literal, digits=digits))))
+            lists.append((config.expansion_bm25_weight, ranked(lexical.search(chunks, text, config.bm25_limit, literal=literal, digits=digits, index=index))))
     return rrf(lists, config.rrf_k, digits).orderBy(F.desc("score"), "chunk_id").limit(config.limit)

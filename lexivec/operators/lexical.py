@@ -1,15 +1,17 @@
 """BM25 search with phrases, prefixes, boolean algebra and NEAR.
 
 A chunk table has the columns chunk_id, path, language, content (and symbol, start_line, end_line, kind where it is an
-index). A search needs no shuffle of postings: each phrase's count in a row is an expression over the row's tokens, corpus
-statistics are one aggregate of one row, and the best rows come from a top-k.
+index). `Index` keeps its postings with positions, sorted by term, and a row of statistics: a search reads the row groups of
+its own terms only, gathers the terms of a chunk, and takes phrases, prefixes and NEAR from positions. Without an index each
+phrase's count in a row is an expression over the row's tokens, and corpus statistics are one aggregate of one row. Both
+give the same rows; the best come from a top-k.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,15 +199,19 @@ def scored(chunks: DataFrame, node: Node, keep: list[str] | None = None) -> Data
     if not found or not all(p.words for p in found):
         return chunks.select(*keep).withColumn("score", F.lit(0.0)).filter(F.lit(False))
 
-    def counted(toks: Column) -> Column:
-        starts = {}
-        for p in found:
+    def placed(toks: Column) -> Column:
+        cells = []
+        for i, p in enumerate(found):
             at = phrase_starts(toks, p.words, p.prefix)
-            starts[id(p)] = F.filter(at, lambda x: x == 0) if p.first else at
-        return F.struct(F.size(toks).alias("length"), _matches(node, starts).alias("hit"), *[F.size(starts[id(p)]).alias(f"f{i}") for i, p in enumerate(found)])
+            cells.append((F.filter(at, lambda x: x == 0) if p.first else at).alias(f"s{i}"))
+        return F.struct(F.size(toks).alias("length"), *cells)
 
-    # The tokens of a row are made once, and only counts leave the expression.
-    wide = chunks.select(*keep, let(tokens(F.col("content")), counted).alias("_c"))
+    def counted(c: Column) -> Column:
+        own = {id(p): c[f"s{i}"] for i, p in enumerate(found)}
+        return F.struct(c["length"].alias("length"), _matches(node, own).alias("hit"), *[F.size(c[f"s{i}"]).alias(f"f{i}") for i in range(len(found))])
+
+    # The tokens of a row are made once, its phrases are searched once, and only counts leave the expression.
+    wide = chunks.select(*keep, let(let(tokens(F.col("content")), placed), counted).alias("_c"))
     sums = [F.sum(F.when(F.col(f"_c.f{i}") > 0, 1).otherwise(0)).alias(f"_n{i}") for i in range(len(found))]
     stats = wide.agg(F.count("*").alias("_total"), F.avg("_c.length").alias("_average"), *sums)  # one row
     score = F.lit(0.0)
@@ -215,39 +221,131 @@ def scored(chunks: DataFrame, node: Node, keep: list[str] | None = None) -> Data
     return hits.crossJoin(F.broadcast(stats)).select(*keep, score.alias("score"))
 
 
-def search(chunks: DataFrame, query: str, limit: int = 50, literal: bool = True, languages: list[str] | None = None, prefixes: list[str] | None = None, snippets: bool = False, digits: int | None = None) -> DataFrame:
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Few large input splits are dealt out before costly work on each row; many are left where they are."""
+    most = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(most, key) if rows.rdd.getNumPartitions() < most else rows
+
+
+class Index:
+    """The inverted index of a chunk table, in a folder.
+
+    `postings` (term, chunk_id, length, language, hidden, positions) is written in order of term and chunk, so readers skip
+    what is not asked for and a frequent term lies in many files; `hidden` marks test paths. `paths` has a row for each
+    chunk, `statistics` is one row.
+    """
+
+    def __init__(self, spark, folder: str):
+        self.postings, self.paths, self.statistics = (spark.read.parquet(f"{folder}/{name}") for name in ("postings", "paths", "statistics"))
+
+    @classmethod
+    def build(cls, chunks: DataFrame, folder: str) -> Index:
+        language = F.col("language") if "language" in chunks.columns else F.lit(None).cast("string")
+        toks = spread(chunks.select("chunk_id", "path", language.alias("language"), "content"), "chunk_id").select("chunk_id", "path", "language", tokens(F.col("content")).alias("t"))
+        each = toks.select("chunk_id", F.size("t").alias("length"), "language", is_test_path(F.col("path")).alias("hidden"), F.posexplode("t").alias("at", "term"))
+        held = each.groupBy("chunk_id", "term").agg(F.first("length").alias("length"), F.first("language").alias("language"), F.first("hidden").alias("hidden"), F.array_sort(F.collect_list("at")).alias("positions"))
+        held.select("term", "chunk_id", "length", "language", "hidden", "positions").repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
+        chunks.select("chunk_id", "path").write.parquet(f"{folder}/paths")
+        spark = chunks.sparkSession
+        # A chunk without a token has no posting, but counts.
+        lengths = spark.read.parquet(f"{folder}/postings").select("chunk_id", F.size("positions").cast("long").alias("tf"))
+        total = spark.read.parquet(f"{folder}/paths").agg(F.count("*").alias("_total")).crossJoin(lengths.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")))
+        total.select("_total", F.try_divide(F.col("n"), F.col("_total")).alias("_average")).coalesce(1).write.parquet(f"{folder}/statistics")
+        return cls(spark, folder)
+
+    def scored(self, node: Node) -> DataFrame:
+        """(chunk_id, language, hidden, score) of the chunks that match."""
+        found = phrases_of(node)
+        exact = sorted({w for p in found for i, w in enumerate(p.words) if not (p.prefix and i == len(p.words) - 1)})
+        begun = sorted({p.words[-1] for p in found if p.prefix})
+        wanted = reduce(lambda x, y: x | y, [F.col("term").startswith(w) for w in begun], F.col("term").isin(exact))
+        terms = F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("terms")
+        held = self.postings.filter(wanted).groupBy("chunk_id").agg(F.first("length").alias("length"), F.first("language").alias("language"), F.first("hidden").alias("hidden"), terms)
+        none = F.array().cast("array<int>")
+
+        def starts(phrase: Phrase) -> Column:
+            at = []
+            for k, word in enumerate(phrase.words):
+                if phrase.prefix and k == len(phrase.words) - 1:
+                    places = F.flatten(F.map_values(F.map_filter("terms", partial(_begins, word))))
+                else:
+                    places = F.coalesce(F.try_element_at("terms", F.lit(word)), none)
+                at.append(F.transform(places, partial(_earlier, k)) if k else places)
+            both = reduce(F.array_intersect, at)
+            return F.filter(both, lambda x: x == 0) if phrase.first else both
+
+        cells = F.struct(*[starts(p).alias(f"s{i}") for i, p in enumerate(found)])
+
+        def counted(c: Column) -> Column:
+            own = {id(p): c[f"s{i}"] for i, p in enumerate(found)}
+            return F.struct(_matches(node, own).alias("hit"), *[F.size(c[f"s{i}"]).alias(f"f{i}") for i in range(len(found))])
+
+        wide = held.select("chunk_id", "length", "language", "hidden", let(cells, counted).alias("_c"))
+        sums = [F.sum(F.when(F.col(f"_c.f{i}") > 0, 1).otherwise(0)).alias(f"_n{i}") for i in range(len(found))]
+        stats = wide.agg(*sums).crossJoin(self.statistics)  # one row
+        score = F.lit(0.0)
+        for i in range(len(found)):
+            score = score + bm25(F.col(f"_c.f{i}"), F.col("length"), F.col(f"_n{i}"), F.col("_total"), F.col("_average"))
+        return wide.filter("_c.hit").crossJoin(F.broadcast(stats)).select("chunk_id", "language", "hidden", score.alias("score"))
+
+
+def _earlier(k: int, place: Column) -> Column:
+    return place - k
+
+
+def _begins(word: str, term: Column, places: Column) -> Column:
+    return term.startswith(word)
+
+
+def search(chunks: DataFrame, query: str, limit: int = 50, literal: bool = True, languages: list[str] | None = None, prefixes: list[str] | None = None, snippets: bool = False, digits: int | None = None, index: Index | None = None) -> DataFrame:
     """The best chunks: (chunk_id, path, score), with a snippet if wanted. Filters don't touch the statistics; test paths are
-    hidden. `digits` rounds scores before ranking, for results that must be the same on any engine."""
-    keep = ["chunk_id", "path"] + (["language"] if languages else []) + (["content"] if snippets else [])
+    hidden. `digits` rounds scores before ranking, for results that must be the same on any engine. `index` is that of
+    `chunks`."""
     text = literal_query(query) if literal else query
+    none = chunks.select("chunk_id", "path", F.lit(0.0).alias("score")).filter(F.lit(False))
     if not text.strip():
-        return chunks.select("chunk_id", "path", F.lit(0.0).alias("score")).filter(F.lit(False))
-    hits = scored(chunks, parse(text), keep)
+        return none.withColumn("snippet", F.lit("")) if snippets else none
+    node = parse(text)
+    phrases = phrases_of(node)
+    whole = ["content"] if snippets else []
+    if index is not None:
+        if not phrases or not all(p.words for p in phrases):
+            return none.withColumn("snippet", F.lit("")) if snippets else none
+        hits = index.scored(node).filter(~F.col("hidden"))
+    else:
+        hits = scored(chunks, node, ["chunk_id", "path"] + (["language"] if languages else []) + whole).filter(~is_test_path(F.col("path")))
     if languages:
         hits = hits.filter(F.col("language").isin(languages))
     if prefixes:
+        hits = hits.join(index.paths, "chunk_id") if index is not None else hits
         hits = hits.filter(path_prefix(F.col("path"), prefixes))
-    hits = hits.filter(~is_test_path(F.col("path")))
     if digits is not None:
         hits = hits.withColumn("score", F.round("score", digits))
     best = hits.orderBy(F.desc("score"), "chunk_id").limit(max(limit, 0))
-    words = [w for p in phrases_of(parse(text)) for w in p.words]
+    if index is not None:
+        # At most `limit` rows look up what the index doesn't hold.
+        kept = best.select("chunk_id", "score")
+        best = (chunks.select("chunk_id", "path", "content") if snippets else index.paths).join(F.broadcast(kept), "chunk_id")
+    words = [w for p in phrases for w in p.words]
     return best.select("chunk_id", "path", "score", *([match_snippet(F.col("content"), words).alias("snippet")] if snippets else []))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, length): the inverted index, for many queries at once. Write it sorted by term to prune reads."""
-    toks = chunks.select("chunk_id", tokens(F.col("content")).alias("t"))
+    """(term, chunk_id, tf, length): the inverted index without positions."""
+    toks = spread(chunks.select("chunk_id", "content"), "chunk_id").select("chunk_id", tokens(F.col("content")).alias("t"))
     return toks.select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def search_batch(chunks: DataFrame, queries: DataFrame, limit: int, digits: int = 6) -> DataFrame:
+def search_batch(chunks: DataFrame, queries: DataFrame, limit: int, digits: int = 6, index: Index | None = None) -> DataFrame:
     """The best chunks for each of many queries (query_id, text), whose distinct words are alternatives: one join by term."""
     from pyspark.sql import Window
 
     words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    total = chunks.agg(F.count("*").alias("total"), F.avg(F.size(tokens(F.col("content")))).alias("average"))
-    wanted = postings(chunks).join(words.select("term").distinct(), "term", "left_semi")
+    if index is not None:
+        held, total = index.postings.select("term", "chunk_id", F.size("positions").alias("tf"), "length"), index.statistics.toDF("total", "average")
+    else:
+        held, total = postings(chunks), chunks.agg(F.count("*").alias("total"), F.avg(F.size(tokens(F.col("content")))).alias("average"))
+    wanted = held.join(words.select("term").distinct(), "term", "left_semi")
     n = wanted.groupBy("term").agg(F.count("*").alias("n"))
     each = wanted.join(n, "term").join(words, "term").crossJoin(F.broadcast(total))
     summed = each.groupBy("query_id", "chunk_id").agg(F.round(F.sum(bm25(F.col("tf"), F.col("length"), F.col("n"), F.col("total"), F.col("average"))), digits).alias("score"))

@@ -94,4 +94,4 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def slug(name: str) -> str:
     import re
 
-    return re.sub(r"[^A-Za-z0-9._-]", "_", name)
+    return re.sub(r"[^A-Za-z0-9._-]", "_", name) or "collection"

@@ -135,7 +135,7 @@ best AS (SELECT chunk_id, arg_max(pos, n * 1000000 - pos) AS s FROM counted GROU
 shown AS (SELECT chunk_id, regexp_extract_all(content, '[\\p{{L}}\\p{{N}}]+') AS raw, t, s FROM best JOIN chunks USING (chunk_id) JOIN toks USING (chunk_id))
 SELECT chunk_id, (CASE WHEN s > 1 THEN '…' ELSE '' END) || array_to_string(list_transform(range(s, least(s + 10, len(t) + 1)), lambda i: CASE WHEN t[i] IN ('idiot', 'clown') THEN '[' || raw[i] || ']' ELSE raw[i] END), ' ')
   || (CASE WHEN s + 9 < len(t) THEN '…' ELSE '' END) AS snippet FROM shown""",
-    "content_snippet": """SELECT doc_id AS chunk_id, CASE WHEN length(j) > 200 THEN substring(j, 1, 200) || '…' ELSE j END AS snippet
+    "content_snippet": """SELECT doc_id AS chunk_id, CASE WHEN strlen(j) > 200 THEN substring(j, 1, list_max(list_filter(range(50, 201), lambda k: strlen(substring(j, 1, k)) <= 200))) || '…' ELSE j END AS snippet
 FROM (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10))[1:3], lambda s: trim(s)), lambda s: s <> ''), ' ') AS j FROM documents)""",
     "chunk_windows": f"WITH {WINDOWS} SELECT path, start_line, end_line, sha256(content) AS content_hash FROM windows",
     "chunk_sections": f"""WITH {CHUNKS},
@@ -184,7 +184,7 @@ SELECT chunk_id, score, row_number() OVER (ORDER BY tail, CASE WHEN tail THEN pl
     "external_rerank": f"""WITH {FUSED},
 placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM hybrid),
 wanted AS (SELECT content_hash, any_value(content) AS content, bool_or(language = 'fr') AS cached FROM chunks JOIN hybrid USING (chunk_id) GROUP BY 1),
-given AS (SELECT content_hash, CASE WHEN cached THEN 0.5 ELSE round((length(substring(content, 1, 500)) - length(translate(substring(content, 1, 500), 'aeiou', ''))) / greatest(length(substring(content, 1, 500)), 1), 6) END AS given FROM wanted),
+given AS (SELECT content_hash, CASE WHEN cached THEN 0.5 ELSE round((length(content) - length(translate(content, 'aeiou', ''))) / greatest(length(content), 1), 6) END AS given FROM wanted),
 scored AS (SELECT chunk_id, place > 30 AS tail, placed.score, CASE WHEN place <= 30 THEN given END AS given FROM placed LEFT JOIN chunks USING (chunk_id) LEFT JOIN given USING (content_hash))
 SELECT chunk_id, coalesce(given, score) AS score, row_number() OVER (ORDER BY tail, given DESC NULLS LAST, score DESC, chunk_id) AS position FROM scored""",
     "guide_best_per_file": f"""WITH {TOK},\n{hits('a', [phrase(['the'])], 'f0', 200)},
@@ -202,7 +202,10 @@ SELECT page_id, line, name, count(*) AS n FROM m WHERE name NOT IN ('if','for','
     "extract_sql_edges": f"""WITH {LINES.format(key='doc_id AS chunk_id', text='text', table='documents')},
 m AS (SELECT chunk_id, line, 'sql_read' AS edge_kind, 0.77::DOUBLE AS confidence, unnest(regexp_extract_all(l, '(?i)\\bfrom\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name FROM lines
   UNION ALL SELECT chunk_id, line, 'sql_read', 0.77, unnest(regexp_extract_all(l, '(?i)\\bjoin\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) FROM lines
-  UNION ALL SELECT chunk_id, line, 'sql_write', 0.82, unnest(regexp_extract_all(l, '(?i)\\bupdate\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) FROM lines)
+  UNION ALL SELECT chunk_id, line, 'sql_read', 0.77, unnest(regexp_extract_all(l, '(?i)\\bselect\\s+.+?\\bfrom\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) FROM lines
+  UNION ALL SELECT chunk_id, line, 'sql_write', 0.82, unnest(regexp_extract_all(l, '(?i)\\binsert\\s+into\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) FROM lines
+  UNION ALL SELECT chunk_id, line, 'sql_write', 0.82, unnest(regexp_extract_all(l, '(?i)\\bupdate\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) FROM lines
+  UNION ALL SELECT chunk_id, line, 'sql_write', 0.82, unnest(regexp_extract_all(l, '(?i)\\bdelete\\s+from\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)) FROM lines)
 SELECT chunk_id, edge_kind, line, name, max(confidence) AS confidence FROM m GROUP BY 1, 2, 3, 4""",
     "extract_links": f"""WITH {LINES.format(key='page_id', text='html', table='pages')}, m AS (SELECT page_id, unnest(regexp_extract_all(l, 'href="([^"]*)"', 1)) AS name FROM lines) SELECT page_id, name, count(*) AS n FROM m GROUP BY 1, 2""",
     "resolve_names": f"""WITH {CHUNKS}, {SYMBOLS}, {LINES.format(key='chunk_id, path', text='content', table='chunks')},
@@ -224,4 +227,3 @@ told AS (SELECT 1::BIGINT AS line, p, 0 AS i FROM p UNION ALL
 first AS (SELECT line, min(p * 100 + i) AS o FROM told GROUP BY 1)
 SELECT 'graph/tpch.rs' AS path, line, row_number() OVER (ORDER BY o, line) AS place FROM first""",
 }
-SQL["external_rerank_whole"] = SQL["external_rerank"].replace("substring(content, 1, 500)", "content")

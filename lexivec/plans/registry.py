@@ -6,6 +6,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import analytics, chunking, fusion, graph, index, lexical, trace, vector
+from ..session import work_folder
 from .oracles import SQL as SQL
 
 AND, OR, PHRASE, PREFIX, NOT, NEAR = "that with", "idiot OR clown OR trash", '"of the"', "clow* OR disg*", "the NOT of", "NEAR(the idiot, 5)"
@@ -33,6 +37,17 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("chunk_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("language"), F.lit(1).cast("long").alias("start_line"), F.regexp_extract("text", T.IDENTIFIER, 0).alias("symbol"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content"), "source")
 
 
+_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+
+
+def held_index(spark: SparkSession, sf: str) -> lexical.Index:
+    """The index of the corpus, built by the first query that asks for it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.Index.build(corpus(spark, sf), f"{work_folder(spark)}/lexivec/index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def collection(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of documents, by content."""
     vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
@@ -50,19 +65,20 @@ def similarities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _search(query: str, literal: bool = False, **more):
-    return lambda spark, sf: lexical.search(corpus(spark, sf), query, 50, literal=literal, digits=6, **more)
+    return lambda spark, sf: lexical.search(corpus(spark, sf), query, 50, literal=literal, digits=6, index=held_index(spark, sf), **more)
 
 
 def tokenize_stats(spark, sf):
-    each = corpus(spark, sf).select("language", T.tokens(F.col("content")).alias("t"))
-    docs = each.groupBy("language").agg(F.count("*").alias("n_docs"), F.sum(F.size("t")).cast("long").alias("n_tokens"))
-    terms = each.select("language", F.explode("t").alias("term")).groupBy("language").agg(F.countDistinct("term").alias("n_terms"))
-    return docs.join(terms, "language")
+    rows = lexical.spread(corpus(spark, sf).select("chunk_id", "language", "content"), "chunk_id")
+    docs = rows.groupBy("language").agg(F.count("*").alias("n_docs"))
+    # Tokens are made once; a language's terms are counted from counts of each term.
+    counted = rows.select("language", F.explode(T.tokens(F.col("content"))).alias("term")).groupBy("language", "term").agg(F.count("*").alias("n"))
+    return docs.join(counted.groupBy("language").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_terms")), "language")
 
 
 def bm25_batch_benchmark(spark, sf):
     asked = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return lexical.search_batch(corpus(spark, sf), asked, 5)
+    return lexical.search_batch(corpus(spark, sf), asked, 5, index=held_index(spark, sf))
 
 
 def snippet_window(spark, sf):
@@ -160,52 +176,44 @@ def vector_normalize(spark, sf):
 
 
 def rrf_fusion(spark, sf):
-    lists = [(w, fusion.ranked(lexical.search(corpus(spark, sf), q, 200, digits=6))) for w, q in ((1.0, "the"), (0.6, "of"))]
+    lists = [(w, fusion.ranked(lexical.search(corpus(spark, sf), q, 200, digits=6, index=held_index(spark, sf)))) for w, q in ((1.0, "the"), (0.6, "of"))]
     return fusion.rrf(lists, digits=9)
 
 
 def hybrid_query(spark, sf):
-    return fusion.hybrid(corpus(spark, sf), similarities(spark, sf), SEED_QUERY, digits=6)
+    return fusion.hybrid(corpus(spark, sf), similarities(spark, sf), SEED_QUERY, digits=6, index=held_index(spark, sf))
 
 
 def prf_terms(spark, sf):
     chunks = corpus(spark, sf)
-    seeds = lexical.search(chunks, SEED_QUERY, 10, digits=6).select("chunk_id").join(chunks, "chunk_id")
+    seeds = lexical.search(chunks, SEED_QUERY, 10, digits=6, index=held_index(spark, sf)).select("chunk_id").join(chunks, "chunk_id")
     return fusion.prf_terms(seeds, SEED_QUERY, symbol="symbol")
 
 
 def deep_query(spark, sf):
-    return fusion.deep(corpus(spark, sf), similarities(spark, sf), SEED_QUERY, QueryConfig(), DeepConfig(), digits=6)
+    return fusion.deep(corpus(spark, sf), similarities(spark, sf), SEED_QUERY, QueryConfig(), DeepConfig(), digits=6, index=held_index(spark, sf))
 
 
 def deterministic_rerank(spark, sf):
     chunks, near = corpus(spark, sf), similarities(spark, sf)
-    words = lexical.search(chunks, SEED_QUERY, 200, digits=6)
-    fused = fusion.hybrid(chunks, near, SEED_QUERY, digits=6)
+    words = lexical.search(chunks, SEED_QUERY, 200, digits=6, index=held_index(spark, sf))
+    fused = fusion.hybrid(chunks, near, SEED_QUERY, digits=6, index=held_index(spark, sf))
     return fusion.deterministic_rerank(fused, words, near, chunks, SEED_QUERY, top=30)
 
 
-def _external_rerank(spark, sf, scored: Column):
-    """The outside scorer stands in as a rule that SQL has too: the share of vowels in `scored`."""
+def external_rerank(spark, sf):
+    """The outside scorer stands in as a rule that SQL has too: the share of vowels in the whole text."""
+    scored = F.col("content")
     chunks = corpus(spark, sf)
-    fused = fusion.hybrid(chunks, similarities(spark, sf), SEED_QUERY, digits=6)
+    fused = fusion.hybrid(chunks, similarities(spark, sf), SEED_QUERY, digits=6, index=held_index(spark, sf))
     candidates = chunks.join(fused.select("chunk_id"), "chunk_id", "left_semi")
     cache = candidates.filter("language = 'fr'").select("content_hash").distinct().withColumn("score", F.lit(0.5))
     fresh = fusion.unscored(candidates, cache).select("content_hash", F.round((F.length(scored) - F.length(F.translate(scored, "aeiou", ""))) / F.greatest(F.length(scored), F.lit(1)), 6).alias("score"))
     return fusion.scored_rerank(fused, chunks, cache.unionByName(fresh), top=30)
 
 
-def external_rerank(spark, sf):
-    """Scores the first 500 characters, as its SQL does."""
-    return _external_rerank(spark, sf, F.substring("content", 1, 500))
-
-
-def external_rerank_whole(spark, sf):
-    return _external_rerank(spark, sf, F.col("content"))
-
-
 def _by_source(spark, sf):
-    hits = lexical.search(corpus(spark, sf), "the", 200, digits=6)
+    hits = lexical.search(corpus(spark, sf), "the", 200, digits=6, index=held_index(spark, sf))
     return hits.select("chunk_id", F.regexp_extract("path", "^([^/]*)/", 1).alias("path"), "score")
 
 
@@ -218,7 +226,7 @@ def _frecency(spark, sf, path: Column):
 
 
 def cd_directory_vote(spark, sf):
-    hits = lexical.search(corpus(spark, sf), "the", 200, digits=6)
+    hits = lexical.search(corpus(spark, sf), "the", 200, digits=6, index=held_index(spark, sf))
     seen = _frecency(spark, sf, F.concat(F.lit("src"), (F.col("user_id") % 40).cast("string")))
     return analytics.directory_vote(hits, seen, F.lit(NOW), None, digits=6)
 
@@ -238,8 +246,8 @@ def extract_call_edges(spark, sf):
 
 def extract_sql_edges(spark, sf):
     rows = corpus(spark, sf).select("chunk_id", "content")
-    parts = [graph.line_matches(rows, "content", pattern, ["chunk_id"]).withColumn("edge_kind", F.lit(kind)).withColumn("confidence", F.lit(c)) for kind, pattern, c in (graph.SQL[0], graph.SQL[1], graph.SQL[4])]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [graph.line_matches(rows, "content", pattern, ["chunk_id"]).withColumn("edge_kind", F.lit(kind)).withColumn("confidence", F.lit(c)) for kind, pattern, c in graph.SQL]
+    every = reduce(DataFrame.unionByName, parts)
     return every.groupBy("chunk_id", "edge_kind", "line", "name").agg(F.max("confidence").alias("confidence"))
 
 
@@ -270,7 +278,7 @@ def resolve_names(spark, sf):
 
 
 def symbol_roots(spark, sf):
-    hits = lexical.search(corpus(spark, sf), "the", 200, digits=6)
+    hits = lexical.search(corpus(spark, sf), "the", 200, digits=6, index=held_index(spark, sf))
     return graph.roots(hits, _doc_symbols(spark, sf)).select("symbol_id", "score")
 
 
@@ -347,7 +355,7 @@ QUERIES = {
     for f in (bm25_batch_benchmark, snippet_window, content_snippet, chunk_windows, chunk_sections, chunk_covering_line, test_path_filter, language_classify, exclude_prefix, index_incremental_plan, index_stats, content_dedup_representative, missing_hashes, orphan_hashes)
 } | {
     f.__name__: f
-    for f in (vector_topk, vector_topk_filtered, vector_search, vector_normalize, rrf_fusion, hybrid_query, prf_terms, deep_query, deterministic_rerank, external_rerank, external_rerank_whole, guide_best_per_file, cd_directory_vote, frecency_decay)
+    for f in (vector_topk, vector_topk_filtered, vector_search, vector_normalize, rrf_fusion, hybrid_query, prf_terms, deep_query, deterministic_rerank, external_rerank, guide_best_per_file, cd_directory_vote, frecency_decay)
 } | {
     f.__name__: f for f in (extract_call_edges, extract_sql_edges, extract_links, resolve_names, symbol_roots, fallback_roots, outgoing_ranked, beam_trace, diverse_paths, flow_tree, trace_citations)
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +18,15 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") ->
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it. A temporary one stands in only where all runs
+    in this process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="lexivec-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")

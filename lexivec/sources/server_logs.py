@@ -56,5 +56,5 @@ def diagnostics(lines: DataFrame) -> DataFrame:
 def module_of(files: DataFrame, modules: DataFrame) -> DataFrame:
     """(path, module): the deepest module folder above each file, or none."""
     inside = F.col("path").startswith(F.concat("module", F.lit("/"))) | (F.col("module") == "")
-    found = files.join(F.broadcast(modules.limit(32)), inside, "left")  # a workspace lists at most 32 modules
+    found = files.join(F.broadcast(modules.orderBy("module").limit(32)), inside, "left")  # a workspace lists at most 32 modules
     return found.groupBy("path").agg(F.max_by("module", F.length("module")).alias("module"))

@@ -61,12 +61,10 @@ def is_binary(content: Column) -> Column:
     return F.hex(head).rlike("^(?:..)*00") | (bad / F.greatest(F.length(shown), F.lit(1)) > MOST_REPLACED)
 
 
-def scan(spark: SparkSession, root: str, config: IndexConfig = IndexConfig(), ignore_text: str = "", exclude: list[str] | None = None) -> DataFrame:
-    """(path, size, mtime, language, content, content_hash) of the text files under `root`, read by Spark's own reader.
-
-    Hidden files count; ignored, excluded, binary, oversized and test files don't.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _files(spark: SparkSession, root: str, config: IndexConfig, ignore_text: str, exclude: list[str] | None, only: list[str] | None) -> DataFrame:
+    """(path, size, mtime, raw) of files that names and sizes don't rule out. `raw` is read only where it is used."""
+    source = [f"{root.rstrip('/')}/{p}" for p in only] if only is not None else root
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
     # The reader gives whole addresses; the root's own form is whatever precedes the relative part.
     base = re.escape(PurePosixPath(re.sub(r"^[a-z]+:(//)?", "", root)).as_posix().rstrip("/"))
     rows = files.filter(F.col("length") <= config.max_file_bytes).select(F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//)?", ""), f"^{base}/", "").alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("content").alias("raw"))
@@ -80,7 +78,24 @@ def scan(spark: SparkSession, root: str, config: IndexConfig = IndexConfig(), ig
             return column.map(rules.ignores)
 
         rows = rows.filter(~ignored(path))
-    rows = rows.filter(~is_binary(F.col("raw")))
+    return rows
+
+
+def listing(spark: SparkSession, root: str, config: IndexConfig = IndexConfig(), ignore_text: str = "", exclude: list[str] | None = None) -> DataFrame:
+    """(path, size, mtime) of the files under `root` that may be text files, without opening any."""
+    return _files(spark, root, config, ignore_text, exclude, None).select("path", "size", "mtime")
+
+
+def scan(spark: SparkSession, root: str, config: IndexConfig = IndexConfig(), ignore_text: str = "", exclude: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """(path, size, mtime, language, content, content_hash) of the text files under `root`, read by Spark's own reader, or of
+    those in the list `only`.
+
+    Hidden files count; ignored, excluded, binary, oversized and test files don't.
+    """
+    if only is not None and not only:
+        return spark.createDataFrame([], "path string, size long, mtime long, language string, content string, content_hash string")
+    rows = _files(spark, root, config, ignore_text, exclude, only).filter(~is_binary(F.col("raw")))
+    path = F.col("path")
     content = F.make_valid_utf8(F.col("raw").cast("string"))
     return rows.select("path", "size", "mtime", paths.language(path).alias("language"), content.alias("content"), F.sha2(F.col("raw"), 256).alias("content_hash"))
 

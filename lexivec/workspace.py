@@ -1,7 +1,8 @@
 """A workspace: tables in one folder, brought up to date from a tree, and the commands that read them.
 
-Each table is a folder of snapshots; `CURRENT` names the one in use, written last, so a run that breaks off leaves the old
-state. The driver holds names and counts only.
+Each table is a folder of snapshots; `CURRENT` names those in use. It is replaced last, by a rename that takes effect whole or
+not at all, so a run that breaks off leaves the old state. Only files whose size or time changed are read, and only their
+edges are extracted. The driver holds names and counts only.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ VECTORS = "content_hash string, vector array<double>"
 SYMBOLS = "symbol_id string, chunk_id string, path string, start_line long, end_line long, language string, kind string, fq_name string, short_name string"
 EDGES = "src_symbol_id string, dst_symbol_id string, dst_name string, edge_kind string, path string, line long, confidence double, evidence string, edge_id string"
 FRECENCY = "path string, rank double, last_accessed long"
-SCHEMAS = {"files": FILES, "chunks": CHUNKS, "vectors": VECTORS, "symbols": SYMBOLS, "edges": EDGES, "frecency": FRECENCY}
+SCHEMAS = {"files": FILES, "references": graph.EDGE, "chunks": CHUNKS, "vectors": VECTORS, "symbols": SYMBOLS, "edges": EDGES, "frecency": FRECENCY}
 
 
 class Workspace:
@@ -41,7 +42,17 @@ class Workspace:
         return json.loads(self.spark.read.text(f"{self.folder}/CURRENT").first().value)
 
     def _save(self, state: dict) -> None:
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/CURRENT")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        conf = self.spark._jsc.hadoopConfiguration()
+        current, fresh = hadoop.Path(f"{self.folder}/CURRENT"), hadoop.Path(f"{self.folder}/.CURRENT-{uuid.uuid4().hex}")
+        out = fresh.getFileSystem(conf).create(fresh, True)
+        out.write(bytearray((json.dumps(state) + "\n").encode()))
+        out.close()
+        rename = getattr(hadoop, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        qualified = current.getFileSystem(conf).makeQualified
+        hadoop.FileContext.getFileContext(qualified(current).toUri(), conf).rename(qualified(fresh), qualified(current), how)
 
     def table(self, name: str) -> DataFrame:
         held = self.state()["tables"].get(name)
@@ -57,20 +68,32 @@ class Workspace:
     def index(self, root: str, ignore_text: str = "", exclude: list[str] | None = None, full: bool = False) -> dict:
         """Bring files, chunks, symbols and edges up to date; returns the counts of the run."""
         began, state = time.time(), self.state()
-        scan = tree.scan(self.spark, root, self.config.index, ignore_text, exclude)
         files = self.spark.createDataFrame([], FILES) if full else self.table("files")
+        listed = tree.listing(self.spark, root, self.config.index, ignore_text, exclude)
+        known = files.join(listed.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_semi")
+        open_paths = [r.path for r in listed.join(known, "path", "left_anti").select("path").collect()]
+        read = tree.scan(self.spark, root, self.config.index, ignore_text, exclude, open_paths if not files.isEmpty() else None).persist()
+        columns = [c.split()[0] for c in FILES.split(", ")]
+        scan = known.select(*columns).unionByName(read.select(*columns))
         actions = index.plan(scan, files).persist()
-        changed = scan.join(actions.filter(F.col("action").isin(index.CHANGED, index.NEW)).select("path"), "path", "left_semi")
-        old_chunks = self.spark.createDataFrame([], CHUNKS) if full else self.table("chunks")
-        fresh = chunking.chunk_files(changed, self.config.index)
+        moved = actions.filter(F.col("action").isin(index.CHANGED, index.NEW, index.REMOVED))
+        changed = read.join(actions.filter(F.col("action").isin(index.CHANGED, index.NEW)).select("path"), "path", "left_semi")
+        blank = lambda name: self.spark.createDataFrame([], SCHEMAS[name]) if full else self.table(name)
+        fresh = chunking.chunk_files(changed, self.config.index).persist()
+        old_chunks, old_references = blank("chunks"), blank("references")
         chunks = self._write(state, "chunks", index.replace_paths(old_chunks, fresh.select(*old_chunks.columns), actions))
+        references = self._write(state, "references", index.replace_paths(old_references, graph.edges(fresh).select(*old_references.columns), actions))
         self._write(state, "files", scan)
         # Edges are resolved against all symbols, so the result doesn't depend on the order of files.
         symbols = self._write(state, "symbols", graph.symbols(chunks))
-        edges = graph.resolve(graph.edges(chunks), symbols).withColumn("edge_id", graph.edge_id())
-        self._write(state, "edges", edges)
+        self._write(state, "edges", graph.resolve(references, symbols).withColumn("edge_id", graph.edge_id()))
+        if full or not moved.isEmpty() or "lexical" not in state["tables"]:
+            version = uuid.uuid4().hex
+            lexical.Index.build(chunks, f"{self.folder}/lexical/{version}")
+            state["tables"]["lexical"] = version
         counts = index.stats(actions, chunks).first().asDict()
-        actions.unpersist()
+        for held in (read, fresh, actions):
+            held.unpersist()
         state |= {"generation": state["generation"] + 1, "last_indexed_at": int(began)}
         self._save(state)
         return counts | {"duration_ms": int(1000 * (time.time() - began))}
@@ -82,8 +105,13 @@ class Workspace:
         self._save(state)
         return out
 
+    def lexical(self) -> lexical.Index | None:
+        """The inverted index of the chunks, once there is one."""
+        held = self.state()["tables"].get("lexical")
+        return lexical.Index(self.spark, f"{self.folder}/lexical/{held}") if held else None
+
     def search(self, query: str, **options) -> DataFrame:
-        return lexical.search(self.table("chunks"), query, **options)
+        return lexical.search(self.table("chunks"), query, index=self.lexical(), **options)
 
     def similarities(self, query: str) -> DataFrame | None:
         vectors = self.table("vectors")
@@ -94,15 +122,15 @@ class Workspace:
     def query(self, text: str, deep: bool = False, expand=None) -> DataFrame:
         chunks, near = self.table("chunks"), self.similarities(text)
         if not deep:
-            return fusion.hybrid(chunks, near, text, self.config.query)
-        fused = fusion.deep(chunks, near, text, self.config.query, self.config.deep, expand)
-        words = lexical.search(chunks, text, self.config.query.bm25_limit)
+            return fusion.hybrid(chunks, near, text, self.config.query, index=self.lexical())
+        fused = fusion.deep(chunks, near, text, self.config.query, self.config.deep, expand, index=self.lexical())
+        words = lexical.search(chunks, text, self.config.query.bm25_limit, index=self.lexical())
         return fusion.deterministic_rerank(fused, words, near if near is not None else words.limit(0).select("chunk_id", "score"), chunks, text, self.config.deep.rerank_top)
 
     def trace(self, text: str, deep: bool = False) -> tuple[DataFrame, DataFrame]:
         """(paths, citations) of one stage."""
         settings, symbols = self.config.trace, self.table("symbols")
-        hits = fusion.hybrid(self.table("chunks"), self.similarities(text), text, self.config.query).limit(settings.candidate_roots)
+        hits = fusion.hybrid(self.table("chunks"), self.similarities(text), text, self.config.query, index=self.lexical()).limit(settings.candidate_roots)
         roots = graph.roots(hits, symbols, settings.candidate_roots)
         if roots.isEmpty():
             roots = graph.fallback_roots(symbols, text, settings.candidate_roots)

@@ -82,3 +82,16 @@ def test_snippet_brackets_hits(chunks):
 def test_postings(chunks):
     got = {(r.term, r.chunk_id): (r.tf, r.length) for r in lexical.postings(chunks).collect()}
     assert got["the", "b"] == (2, 6) and ("", "f") not in got
+
+
+@pytest.mark.parametrize("query", ["quick OR lazy", "quick NOT brown", '"brown fox"', "brown + fox", "sto*", "^the", "(quick OR lazy) AND the", "quick brown", "NEAR(the fox, 2)", "NEAR(the dog end, 3)", "th* AND ^the", '"the end"', '"()"', "missing", "cafe OR qu*"])
+def test_index_gives_the_same_rows(spark, chunks, tmp_path, query):
+    index = lexical.Index.build(chunks, str(tmp_path / "index"))
+    for options in ({}, {"languages": ["rust", "go"]}, {"prefixes": ["src/"]}, {"snippets": True}):
+        plain, held = (sorted(map(tuple, lexical.search(chunks, query, literal=False, digits=9, index=i, **options).collect())) for i in (None, index))
+        assert plain == held
+
+
+def test_index_of_an_empty_table(spark, chunks, tmp_path):
+    index = lexical.Index.build(chunks.limit(0), str(tmp_path / "index"))
+    assert lexical.search(chunks.limit(0), "quick", index=index).count() == 0

@@ -38,6 +38,38 @@ def test_index_search_get_and_trace(spark, tmp_path):
     (root / "docs/readme.md").unlink()
     assert w.index(str(root), ignore_text="ignored.rs\n")["removed"] == 1
     assert w.embed().count() == 2 and w.check()["generation"] == 3
+    assert {r.path for r in w.search("missions").collect()} == {"src/driver.rs"}
+
+
+def test_unchanged_files_are_not_read(spark, tmp_path):
+    import os
+
+    root = tmp_path / "repo"
+    write(root, {"src/a.rs": "fn alpha() {\n    beta();\n}\n", "src/b.rs": "fn beta() {}\n"})
+    w = Workspace(spark, str(tmp_path / "ws"))
+    w.index(str(root))
+    a, stat = root / "src/a.rs", (root / "src/a.rs").stat()
+    a.write_text("fn gamma() {\n    beta();\n}\n")  # the same size, and below the same time
+    os.utime(a, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    write(root, {"src/c.rs": "fn delta() {\n    alpha();\n}\n"})
+    counts = w.index(str(root))
+    assert (counts["indexed"], counts["skipped"]) == (1, 2)
+    assert {r.short_name for r in w.table("symbols").collect()} == {"alpha", "beta", "delta"}
+    assert {r.dst_name for r in w.table("edges").filter("dst_symbol_id is not null").collect()} >= {"beta", "alpha"}
+    assert not [p for p in (tmp_path / "ws").iterdir() if p.name.startswith(".CURRENT-")]
+
+
+def test_a_broken_run_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    root = tmp_path / "repo"
+    write(root, {"src/a.rs": "fn alpha() {}\n"})
+    w = Workspace(spark, str(tmp_path / "ws"))
+    w.index(str(root))
+    before = w.state()
+    write(root, {"src/b.rs": "fn beta() {}\n"})
+    monkeypatch.setattr(Workspace, "_save", lambda self, state: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        w.index(str(root))
+    assert w.state() == before and w.search("alpha").count() == 1 and w.search("beta").count() == 0
 
 
 def test_ignore_rules():
