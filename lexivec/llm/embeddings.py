@@ -100,18 +100,17 @@ def _bucketed(bits: int, rotations: int):
                 values = unit(np.asarray(vectors.take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, dim))
                 turn.setdefault(dim, [rotation(dim, i) for i in range(rotations)])
                 names = _names([values @ r.T for r in turn[dim]], bits)
-                raw = [v.tobytes() for v in values]
                 own = [n.tobytes() for n in names]
                 for i in range(rotations):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cls[at]), label.take(pa.array(at)), pa.array(np.full(len(at), dim)), pa.array(np.full(len(at), i)), pa.array(names[:, i]), pa.array(own, pa.binary()), pa.array(raw, pa.binary())],
-                        names=["cls", "label", "dim", "turn", "bucket", "names", "vector"],
+                        [pa.array(cls[at]), label.take(pa.array(at)), pa.array(np.full(len(at), dim)), pa.array(np.full(len(at), i)), pa.array(names[:, i]), pa.array(own, pa.binary())],
+                        names=["cls", "label", "dim", "turn", "bucket", "names"],
                     )
 
     return run
 
 
-BUCKETED = "cls long, label long, dim long, turn long, bucket long, names binary, vector binary"
+BUCKETED = "cls long, label long, dim long, turn long, bucket long, names binary"
 
 
 def _pairs(cut: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,7 +145,7 @@ def _linked(threshold: float):
         column = {c: np.asarray(table.column(c)) for c in ("cls", "label", "bucket", "low", "high", "side", "weight")}
         order = np.lexsort([column[c] for c in ("cls", "high", "low", "bucket", "label")])
         cls, side, weight = (column[c][order] for c in ("cls", "side", "weight"))
-        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(-1, dim)[order]
+        vectors = unit(np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim))[order]
         names = np.frombuffer(b"".join(table.column("names").to_pylist()), np.int64).reshape(len(cls), -1)[order]
         change = np.zeros(len(cls), dtype=bool)
         change[0] = True
@@ -178,7 +177,10 @@ def _linked(threshold: float):
             x, y = x[linked], y[linked]
             np.add.at(count, x, weight[y])
             np.add.at(count, y, weight[x])
-            for s, t in zip(x.tolist(), y.tolist()):
+            # Pairs that are joined by now, most of those in a group of near copies, need no step of their own.
+            up = np.array(parent)
+            apart = up[x] != up[y]
+            for s, t in zip(x[apart].tolist(), y[apart].tolist()):
                 s, t = root(s), root(t)
                 if s != t:
                     parent[max(s, t)] = min(s, t)
@@ -212,6 +214,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # Small buckets travel together; a pair of blocks is a task by itself.
     tasks = max(1, -(-placed.count() // (TASK * rotations)))
     spread = spread.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label", "bucket"), F.lit(tasks))).otherwise(F.xxhash64("label", "bucket", "low", "high")))
+    # Vectors come along only from here on, for what shares its bucket with others.
+    spread = spread.join(classes.select("cls", "v"), "cls")
     found = spread.groupBy("dim", "turn", "task").applyInArrow(tidy_group(_linked(threshold)), "cls long, n long, to long")
     found = materialize(found, "vector-links", "lz4")
     count = found.groupBy("cls").agg(F.sum("n").alias("n"))
