@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, line_dedup, media, mixing, pieces, secrets, sharding, token_ids, toxicity
+from . import centroids, changepoints, embeddings, jaccard, line_dedup, media, mixing, pieces, secrets, sharding, token_ids, toxicity, word_bpe
 
 QUERIES = {
     "op1_token_ids": token_ids.op1_token_ids,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_embedding_dedup": embeddings.op9_embedding_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_word_bpe": word_bpe.op11_word_bpe,
+    "op12_change_points": changepoints.op12_change_points,
+    "op13_centroids": centroids.op13_centroids,
 }
-SQL: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL}
+SQL: dict[str, str] = {"op7_line_dedup": line_dedup.OP7_SQL, "op12_change_points": changepoints.OP12_SQL, "op13_centroids": centroids.OP13_SQL}
