@@ -9,18 +9,30 @@ give the same rows; the best come from a top-k.
 
 from __future__ import annotations
 
+import math
 import re
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import asdict, dataclass, field
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_path, path_prefix
 from ..functions.text import fold_words, let, match_snippet, phrase_starts, tokens
+from ..session import remove
+from .segments import Segment, SegmentedTable, joined
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 NEAR_DEFAULT = 10
+#: Postings of a term in tier 0, about, and steps of impact by which they are dealt.
+TIER, IMPACT_STEPS = 1024, 64
+PAGE_ROWS = 1024
+#: Postings of a search's words from which it goes by tiers.
+WORTH = 1 << 18
+#: Ids that are looked up by literals.
+LOOKED_UP = 4096
+TERMS = "term string, tier int, n long, most int, thinnest double"
 
 
 @dataclass
@@ -227,31 +239,128 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(most, key) if rows.rdd.getNumPartitions() < most else rows
 
 
-class Index:
-    """The inverted index of a chunk table, in a folder.
+@dataclass(frozen=True)
+class IndexSegment(Segment):
+    """`chunks` and `tokens`: what the segment added to their numbers, less what it took away."""
 
-    `postings` (term, chunk_id, length, language, hidden, positions) is written in order of term and chunk, so readers skip
-    what is not asked for and a frequent term lies in many files; `hidden` marks test paths. `paths` has a row for each
-    chunk, `statistics` is one row.
+    chunks: int = 0
+    tokens: int = 0
+
+
+@dataclass
+class Reading:
+    """What a search by tiers has read: postings, all postings of its words, passes."""
+
+    rows: int = 0
+    of: int = 0
+    passes: int = 0
+
+
+class Index(SegmentedTable):
+    """The inverted index of a chunk table, in segments.
+
+    A segment's postings (term, tier, chunk_id, length, language, hidden, positions) are written in that order, so readers skip
+    what is not asked for and a frequent term lies in many files; `hidden` marks test paths. Tiers order a term's postings
+    by impact (what the count in a chunk of that length adds to a score): tier 0 has about TIER of the best, each next one
+    twice as many. `terms` has a row for each term and tier with its number and bounds, `paths` one for each chunk. Chunks
+    that a run takes away are in `gone`; their terms are counted back in `terms` as tier -1.
     """
 
-    def __init__(self, spark, folder: str):
-        self.postings, self.paths, self.statistics = (spark.read.parquet(f"{folder}/{name}") for name in ("postings", "paths", "statistics"))
+    kind = IndexSegment
+
+    def __init__(self, spark, folder: str, id_type: str, segments: list[dict] | None = None):
+        postings = f"term string, tier int, chunk_id {id_type}, length int, language string, hidden boolean, positions array<int>"
+        super().__init__(spark, folder, postings, "chunk_id", segments, ["term", "tier", "chunk_id"])
+        self.id_type = id_type
+        self.total, self.tokens = (sum(getattr(s, n) for s in self.segments) for n in ("chunks", "tokens"))
+        self.average = self.tokens / self.total if self.total else None
+
+    def _with(self, segments: list[IndexSegment]) -> Index:
+        return Index(self.spark, self.folder, self.id_type, [asdict(s) for s in segments])
 
     @classmethod
     def build(cls, chunks: DataFrame, folder: str) -> Index:
-        language = F.col("language") if "language" in chunks.columns else F.lit(None).cast("string")
-        toks = spread(chunks.select("chunk_id", "path", language.alias("language"), "content"), "chunk_id").select("chunk_id", "path", "language", tokens(F.col("content")).alias("t"))
-        each = toks.select("chunk_id", F.size("t").alias("length"), "language", is_test_path(F.col("path")).alias("hidden"), F.posexplode("t").alias("at", "term"))
-        held = each.groupBy("chunk_id", "term").agg(F.first("length").alias("length"), F.first("language").alias("language"), F.first("hidden").alias("hidden"), F.array_sort(F.collect_list("at")).alias("positions"))
-        held.select("term", "chunk_id", "length", "language", "hidden", "positions").repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
-        chunks.select("chunk_id", "path").write.parquet(f"{folder}/paths")
-        spark = chunks.sparkSession
-        # A chunk without a token has no posting, but counts.
-        lengths = spark.read.parquet(f"{folder}/postings").select("chunk_id", F.size("positions").cast("long").alias("tf"))
-        total = spark.read.parquet(f"{folder}/paths").agg(F.count("*").alias("_total")).crossJoin(lengths.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")))
-        total.select("_total", F.try_divide(F.col("n"), F.col("_total")).alias("_average")).coalesce(1).write.parquet(f"{folder}/statistics")
-        return cls(spark, folder)
+        return cls(chunks.sparkSession, folder, dict(chunks.dtypes)["chunk_id"]).updated(chunks)
+
+    @property
+    def postings(self) -> DataFrame:
+        return joined(self.segments, self.folder, "rows", self.spark, self.schema)
+
+    @property
+    def paths(self) -> DataFrame:
+        return self.alive(joined(self.segments, self.folder, "paths", self.spark, f"chunk_id {self.id_type}, path string, length int")).select("chunk_id", "path")
+
+    @property
+    def terms(self) -> DataFrame:
+        return joined(self.segments, self.folder, "terms", self.spark, TERMS)
+
+    def updated(self, fresh: DataFrame, gone: DataFrame | None = None) -> Index:
+        """The index after chunks came and went; `gone` holds the rows that go, as they were."""
+        name, spark = uuid.uuid4().hex, self.spark
+        raw = f"{self.folder}/{name}/raw"
+        language = F.col("language") if "language" in fresh.columns else F.lit(None).cast("string")
+        # Texts are dealt out by chunk, so what a chunk's tokens are grouped by needs no second shuffle.
+        dealt = spread(fresh.select("chunk_id", "path", language.alias("language"), "content"), "chunk_id")
+        toks = dealt.select("chunk_id", "path", "language", tokens(F.col("content")).alias("t"))
+        toks = toks.select("chunk_id", "path", "language", F.size("t").alias("length"), is_test_path(F.col("path")).alias("hidden"), "t")
+        # One row for each chunk, with the places of its terms.
+        each = toks.select("chunk_id", "length", "language", "hidden", F.posexplode("t").alias("at", "term"))
+        first = [F.first(c).alias(c) for c in ("length", "language", "hidden")]
+        each.groupBy("chunk_id", "term").agg(*first, F.array_sort(F.collect_list("at")).alias("positions")).write.parquet(raw)
+        toks.select("chunk_id", "path", "length").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{self.folder}/{name}/paths")
+        sums = spark.read.parquet(f"{self.folder}/{name}/paths").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        keys, minus, lost = None, None, (0, 0)
+        if gone is not None and self.segments:
+            old = gone.select("chunk_id", tokens(F.col("content")).alias("t"))
+            lost = old.agg(F.count("*"), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
+            minus = old.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg((-F.count("*")).alias("n"))
+            keys = old.select("chunk_id")
+        segment = self._segment(name, spark.read.parquet(raw), keys, minus, 1 + max((s.seq for s in self.segments), default=0), sums[0] - lost[0], sums[1] - lost[1])
+        remove(spark, raw)
+        return self._with([*self.segments, segment])
+
+    def _segment(self, name: str, rows: DataFrame, gone: DataFrame | None, minus: DataFrame | None, seq: int, chunks: int, tokens_: int) -> IndexSegment:
+        """Write postings by impact, the bounds of their tiers, and the keys that go."""
+        spark, folder = self.spark, f"{self.folder}/{name}"
+        mean = (self.tokens + tokens_) / max(1, self.total + chunks) or 1.0
+        tf = F.size("positions")
+        rows = rows.withColumn("_step", F.floor(IMPACT_STEPS * tf / (tf + K1 * (1 - B + B * F.col("length") / mean))).cast("int"))
+        # At most IMPACT_STEPS rows for each term of more than TIER postings; all others stay in tier 0.
+        counted = rows.groupBy("term", "_step").agg(F.count("*").alias("n"))
+        by_term = Window.partitionBy("term")
+        above = F.sum("n").over(by_term.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1))
+        tiers = counted.select("term", "_step", F.coalesce(above, F.lit(0)).alias("above"), F.sum("n").over(by_term).alias("all")).filter(F.col("all") > TIER)
+        tiers = tiers.select("term", "_step", F.floor(F.log2(1 + F.col("above") / TIER)).cast("int").alias("tier")).filter("tier > 0")
+        placed = rows.join(tiers, ["term", "_step"], "left").withColumn("tier", F.coalesce("tier", F.lit(0)))
+        placed.select(*self.columns).repartitionByRange(*self.sort).sortWithinPartitions(*self.sort).write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{folder}/rows")
+        held = spark.read.schema(self.schema).parquet(f"{folder}/rows")
+        bounds = held.groupBy("term", "tier").agg(F.count("*").alias("n"), F.max(F.size("positions")).alias("most"), F.min(F.col("length") / F.size("positions")).alias("thinnest"))
+        if minus is not None:
+            bounds = bounds.unionByName(minus.filter("n <> 0").select("term", F.lit(-1).alias("tier"), "n", F.lit(0).alias("most"), F.lit(0.0).alias("thinnest")))
+        bounds.repartitionByRange("term").sortWithinPartitions("term", "tier").write.parquet(f"{folder}/terms")
+        gone = spark.createDataFrame([], self.key_schema) if gone is None else gone
+        gone.select("chunk_id").distinct().write.parquet(f"{folder}/gone")
+        n = spark.read.schema(TERMS).parquet(f"{folder}/terms").agg(F.coalesce(F.sum(F.when(F.col("tier") >= 0, F.col("n"))), F.lit(0))).first()[0]
+        return IndexSegment(name, seq, n, spark.read.schema(self.key_schema).parquet(f"{folder}/gone").count(), chunks, tokens_)
+
+    def compacted(self, full: bool = False) -> Index:
+        """The same index after merges that are due. What a run's segments counted for a term stays the same in sum."""
+        table = self
+        while run := (table.segments if full and len(table.segments) > 1 else [] if full else table._due()):
+            older = [s for s in table.segments if s not in run]
+            name = uuid.uuid4().hex
+            part = lambda what, schema: joined(run, table.folder, what, table.spark, schema)  # noqa: E731, B023
+            table.alive(part("paths", f"chunk_id {table.id_type}, path string, length int"), run).drop("_seq").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{table.folder}/{name}/paths")
+            rows = table.alive(part("rows", table.schema), run).drop("_seq", "tier")
+            minus = None
+            if older:
+                was = part("terms", TERMS).select("term", (-F.col("n")).alias("n"))
+                now = rows.groupBy("term").agg(F.count("*").alias("n"))
+                # terms: alive rows + minus = what the run's segments said.
+                minus = was.unionByName(now).groupBy("term").agg((-F.sum("n")).alias("n"))
+            merged = table._segment(name, rows, table.gone(run) if older else None, minus, run[-1].seq, sum(s.chunks for s in run), sum(s.tokens for s in run))
+            table = table._with([*older, merged])
+        return table
 
     def scored(self, node: Node) -> DataFrame:
         """(chunk_id, language, hidden, score) of the chunks that match."""
@@ -260,7 +369,7 @@ class Index:
         begun = sorted({p.words[-1] for p in found if p.prefix})
         wanted = reduce(lambda x, y: x | y, [F.col("term").startswith(w) for w in begun], F.col("term").isin(exact))
         terms = F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("terms")
-        held = self.postings.filter(wanted).groupBy("chunk_id").agg(F.first("length").alias("length"), F.first("language").alias("language"), F.first("hidden").alias("hidden"), terms)
+        held = self.alive(self.postings.filter(wanted)).groupBy("chunk_id").agg(F.first("length").alias("length"), F.first("language").alias("language"), F.first("hidden").alias("hidden"), terms)
         none = F.array().cast("array<int>")
 
         def starts(phrase: Phrase) -> Column:
@@ -282,12 +391,98 @@ class Index:
 
         wide = held.select("chunk_id", "length", "language", "hidden", let(cells, counted).alias("_c"))
         sums = [F.sum(F.when(F.col(f"_c.f{i}") > 0, 1).otherwise(0)).alias(f"_n{i}") for i in range(len(found))]
-        stats = wide.agg(*sums).crossJoin(self.statistics)  # one row
+        stats = wide.agg(*sums)  # one row
         score = F.lit(0.0)
         for i in range(len(found)):
-            score = score + bm25(F.col(f"_c.f{i}"), F.col("length"), F.col(f"_n{i}"), F.col("_total"), F.col("_average"))
+            score = score + bm25(F.col(f"_c.f{i}"), F.col("length"), F.col(f"_n{i}"), F.lit(self.total), F.lit(self.average))
         return wide.filter("_c.hit").crossJoin(F.broadcast(stats)).select("chunk_id", "language", "hidden", score.alias("score"))
 
+    def best_of_any(self, words: list[str], limit: int, digits: int | None = None, languages: list[str] | None = None, worth: int | None = None, reading: Reading | None = None) -> DataFrame | None:
+        """(chunk_id, score): the best chunks for words of which any may occur, read by tiers of impact; None where a plain
+        read is as good.
+
+        A pass reads the open tiers of each word. What it has seen of a chunk is at most its score, so the k-th best of these
+        is a bound that every row of the answer reaches. It ends when all that unread tiers could add to an unseen chunk stays
+        below it. Chunks that might still reach it with words from unread tiers are then looked up by their ids alone.
+        """
+        kinds = sorted(set(words))
+        rows = self.terms.filter(F.col("term").isin(kinds)).groupBy("term", "_seq", "tier").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("thinnest").alias("thinnest")).collect()  # segments x words x tiers
+        count = {w: sum(r.n for r in rows if r.term == w) for w in kinds}
+        size = {(w, t): sum(r.n for r in rows if r.term == w and r.tier == t) for w in kinds for t in {r.tier for r in rows if r.term == w and r.tier >= 0}}
+        if limit <= 0 or sum(size.values()) < (WORTH if worth is None else worth):
+            return None
+        margin = 10.0**-digits if digits is not None else 1e-9
+        weight = {}
+        for w in kinds:
+            idf = math.log((self.total - count[w] + 0.5) / (count[w] + 0.5))
+            weight[w] = words.count(w) * (idf if idf > 0 else LEAST_IDF)
+        # A score falls with 1 / count and with length / count, so the best of both bound a tier, whatever the mean length is.
+        ahead = lambda w, t: max((weight[w] * (K1 + 1) / (1 + K1 * (1 - B) / r.most + K1 * B * r.thinnest / self.average) for r in rows if r.term == w and r.tier > t), default=0.0) * (1 + 1e-9)
+        level, passes = dict.fromkeys(kinds, 0), 0
+        while True:
+            passes += 1
+            seen = self._seen(words, reduce(lambda x, y: x | y, [(F.col("term") == w) & (F.col("tier") <= level[w]) for w in kinds]), count, languages)
+            least = seen.orderBy(F.desc("score")).limit(limit).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+            open_ = {w: bound for w in kinds if (bound := ahead(w, level[w])) > 0}
+            least = least.least if least.n >= limit else None
+            if not open_ or least is not None and sum(open_.values()) < least - margin:
+                break
+            for w, bound in open_.items():
+                if bound >= sum(open_.values()) / len(open_):
+                    level[w] += 1
+        rest = {w: sum(n for (x, t), n in size.items() if x == w and t > level[w]) for w in kinds}
+        if reading is not None:
+            reading.passes, reading.of, reading.rows = passes, sum(size.values()), sum(size.values()) - sum(rest.values())
+        if open_:
+            hoped = F.col("score")
+            for w, bound in open_.items():
+                hoped = hoped + F.when(F.col(f"f{kinds.index(w)}") == 0, F.lit(bound)).otherwise(0.0)
+            likely = seen.filter(hoped >= least - margin)
+            unsure = likely.filter(reduce(lambda x, y: x | y, [F.col(f"f{kinds.index(w)}") == 0 for w in open_]))
+            if len(open_) == 1 and len(kinds) == 1 or unsure.isEmpty():
+                seen = likely
+            else:
+                unread = reduce(lambda x, y: x | y, [(F.col("term") == w) & (F.col("tier") > level[w]) for w in open_])
+                read = reduce(lambda x, y: x | y, [(F.col("term") == w) & (F.col("tier") <= level[w]) for w in kinds])
+                ids = likely.select("chunk_id")
+                some = [r.chunk_id for r in ids.orderBy("chunk_id").limit(LOOKED_UP + 1).collect()]
+                if len(some) <= LOOKED_UP:
+                    unread = unread & _ranges("chunk_id", some)
+                if reading is not None:
+                    reading.rows += self.postings.filter(unread).count()
+                seen = self._seen(words, read | unread, count, languages, ids)
+        return seen.select("chunk_id", "score")
+
+    def _seen(self, words: list[str], which: Column, count: dict[str, int], languages: list[str] | None, ids: DataFrame | None = None) -> DataFrame:
+        """(chunk_id, score, f0 ..) from some postings: counts by distinct word, and the score of what they show."""
+        kinds = sorted(set(words))
+        rows = self.alive(self.postings.filter(which)).filter(~F.col("hidden"))
+        rows = rows.filter(F.col("language").isin(languages)) if languages else rows
+        rows = rows.join(ids, "chunk_id", "left_semi") if ids is not None else rows
+        tf = [F.max(F.when(F.col("term") == w, F.size("positions")).otherwise(0)).alias(f"f{i}") for i, w in enumerate(kinds)]
+        held = rows.groupBy("chunk_id").agg(F.first("length").alias("length"), *tf)
+        score = F.lit(0.0)
+        for w in words:
+            score = score + bm25(F.col(f"f{kinds.index(w)}"), F.col("length"), F.lit(count[w]), F.lit(self.total), F.lit(self.average))
+        return held.select("chunk_id", score.alias("score"), *[f"f{i}" for i in range(len(kinds))])
+
+
+def _ranges(column: str, values: list, most: int = 16) -> Column:
+    """`column` is one of the sorted `values`, said so that readers can skip pages: at most `most` ranges around them."""
+    if not values:
+        return F.lit(False)
+    step = -(-len(values) // most)
+    parts = [values[i : i + step] for i in range(0, len(values), step)]
+    return reduce(lambda x, y: x | y, [F.col(column).between(p[0], p[-1]) for p in parts]) & F.col(column).isin(values)
+
+
+def _any_words(node: Node) -> list[str] | None:
+    """The words of a query that asks for any of some plain words."""
+    parts = node.parts if node.op == "or" else [node]
+    if all(p.op == "phrase" and len(p.phrase.words) == 1 and not p.phrase.prefix and not p.phrase.first for p in parts):
+        return [p.phrase.words[0] for p in parts]
+    return None
+
 
 def _earlier(k: int, place: Column) -> Column:
     return place - k
@@ -311,10 +506,14 @@ def search(chunks: DataFrame, query: str, limit: int = 50, literal: bool = True,
     if index is not None:
         if not phrases or not all(p.words for p in phrases):
             return none.withColumn("snippet", F.lit("")) if snippets else none
-        hits = index.scored(node).filter(~F.col("hidden"))
+        any_of = None if prefixes else _any_words(node)
+        hits = index.best_of_any(any_of, limit, digits, languages) if any_of else None
+        if hits is None:
+            hits = index.scored(node).filter(~F.col("hidden"))
+            hits = hits.filter(F.col("language").isin(languages)) if languages else hits
     else:
         hits = scored(chunks, node, ["chunk_id", "path"] + (["language"] if languages else []) + whole).filter(~is_test_path(F.col("path")))
-    if languages:
+    if languages and index is None:
         hits = hits.filter(F.col("language").isin(languages))
     if prefixes:
         hits = hits.join(index.paths, "chunk_id") if index is not None else hits
@@ -323,9 +522,11 @@ def search(chunks: DataFrame, query: str, limit: int = 50, literal: bool = True,
         hits = hits.withColumn("score", F.round("score", digits))
     best = hits.orderBy(F.desc("score"), "chunk_id").limit(max(limit, 0))
     if index is not None:
-        # At most `limit` rows look up what the index doesn't hold.
+        # At most `limit` rows; what the index doesn't hold of them is looked up by their ids.
         kept = best.select("chunk_id", "score")
-        best = (chunks.select("chunk_id", "path", "content") if snippets else index.paths).join(F.broadcast(kept), "chunk_id")
+        kept = kept.sparkSession.createDataFrame(kept.collect(), kept.schema)
+        ids = sorted(r.chunk_id for r in kept.collect())
+        best = (chunks.select("chunk_id", "path", "content") if snippets else index.paths).filter(_ranges("chunk_id", ids)).join(F.broadcast(kept), "chunk_id")
     words = [w for p in phrases for w in p.words]
     return best.select("chunk_id", "path", "score", *([match_snippet(F.col("content"), words).alias("snippet")] if snippets else []))
 
@@ -338,11 +539,10 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def search_batch(chunks: DataFrame, queries: DataFrame, limit: int, digits: int = 6, index: Index | None = None) -> DataFrame:
     """The best chunks for each of many queries (query_id, text), whose distinct words are alternatives: one join by term."""
-    from pyspark.sql import Window
-
     words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     if index is not None:
-        held, total = index.postings.select("term", "chunk_id", F.size("positions").alias("tf"), "length"), index.statistics.toDF("total", "average")
+        total = chunks.sparkSession.createDataFrame([(index.total, index.average)], "total long, average double")
+        held = index.alive(index.postings).select("term", "chunk_id", F.size("positions").alias("tf"), "length")
     else:
         held, total = postings(chunks), chunks.agg(F.count("*").alias("total"), F.avg(F.size(tokens(F.col("content")))).alias("average"))
     wanted = held.join(words.select("term").distinct(), "term", "left_semi")
@@ -359,8 +559,6 @@ def get_chunk(chunks: DataFrame, chunk_id) -> DataFrame:
 
 def covering_line(chunks: DataFrame, places: DataFrame) -> DataFrame:
     """For each (path, line) the narrowest chunk around it: an equi-join on the path with a range condition."""
-    from pyspark.sql import Window
-
     around = places.join(chunks, "path").filter((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
     narrow = Window.partitionBy("path", "line").orderBy(F.col("end_line") - F.col("start_line"), "start_line", "chunk_id")
     return around.withColumn("_n", F.row_number().over(narrow)).filter("_n = 1").drop("_n")

@@ -227,3 +227,5 @@ told AS (SELECT 1::BIGINT AS line, p, 0 AS i FROM p UNION ALL
 first AS (SELECT line, min(p * 100 + i) AS o FROM told GROUP BY 1)
 SELECT 'graph/tpch.rs' AS path, line, row_number() OVER (ORDER BY o, line) AS place FROM first""",
 }
+
+SQL["vector_topk_ivf"] = SQL["vector_topk"]

@@ -16,8 +16,8 @@ from ..config import DeepConfig, QueryConfig
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import analytics, chunking, fusion, graph, index, lexical, trace, vector
-from ..session import work_folder
+from ..operators import analytics, chunking, fusion, graph, index, ivf, lexical, trace, vector
+from ..session import file_state, work_folder
 from .oracles import SQL as SQL
 
 AND, OR, PHRASE, PREFIX, NOT, NEAR = "that with", "idiot OR clown OR trash", '"of the"', "clow* OR disg*", "the NOT of", "NEAR(the idiot, 5)"
@@ -37,15 +37,24 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("chunk_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("language"), F.lit(1).cast("long").alias("start_line"), F.regexp_extract("text", T.IDENTIFIER, 0).alias("symbol"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content"), "source")
 
 
-_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+_HELD: dict[tuple, object] = {}
+
+
+def _held(spark: SparkSession, sf: str, table: str, kind: str, build):
+    """What is built of a table once, by the first query that asks for it, and again when the table's files change."""
+    key = (spark.sparkContext.applicationId, kind, sf, file_state(spark, f"{sf}/{table}.parquet"))
+    if key not in _HELD:
+        _HELD[key] = build(f"{work_folder(spark)}/lexivec/{kind}-{uuid.uuid4().hex}")
+    return _HELD[key]
 
 
 def held_index(spark: SparkSession, sf: str) -> lexical.Index:
-    """The index of the corpus, built by the first query that asks for it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEXES:
-        _INDEXES[key] = lexical.Index.build(corpus(spark, sf), f"{work_folder(spark)}/lexivec/index-{uuid.uuid4().hex}")
-    return _INDEXES[key]
+    return _held(spark, sf, "documents", "index", lambda folder: lexical.Index.build(corpus(spark, sf), folder))
+
+
+def held_vectors(spark: SparkSession, sf: str) -> ivf.VectorIndex:
+    rows = lambda: _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return _held(spark, sf, "embeddings", "vectors", lambda folder: ivf.VectorIndex.build(rows(), folder, key="vec_id"))
 
 
 def collection(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,6 +169,11 @@ def vector_topk(spark, sf):
     return vector.top_k(held, query_vector(spark, sf), 20, key="vec_id", digits=6)
 
 
+def vector_topk_ivf(spark, sf):
+    """The rows of `vector_topk`, from the cells that can hold them."""
+    return held_vectors(spark, sf).top_k(query_vector(spark, sf), 20, digits=6).select(F.col("key").alias("vec_id"), "score")
+
+
 def vector_topk_filtered(spark, sf):
     held = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
     return vector.top_k(held, query_vector(spark, sf), 20, key="vec_id", where=F.col("label").isin(1, 2), digits=6)
@@ -355,7 +369,7 @@ QUERIES = {
     for f in (bm25_batch_benchmark, snippet_window, content_snippet, chunk_windows, chunk_sections, chunk_covering_line, test_path_filter, language_classify, exclude_prefix, index_incremental_plan, index_stats, content_dedup_representative, missing_hashes, orphan_hashes)
 } | {
     f.__name__: f
-    for f in (vector_topk, vector_topk_filtered, vector_search, vector_normalize, rrf_fusion, hybrid_query, prf_terms, deep_query, deterministic_rerank, external_rerank, guide_best_per_file, cd_directory_vote, frecency_decay)
+    for f in (vector_topk, vector_topk_ivf, vector_topk_filtered, vector_search, vector_normalize, rrf_fusion, hybrid_query, prf_terms, deep_query, deterministic_rerank, external_rerank, guide_best_per_file, cd_directory_vote, frecency_decay)
 } | {
     f.__name__: f for f in (extract_call_edges, extract_sql_edges, extract_links, resolve_names, symbol_roots, fallback_roots, outgoing_ranked, beam_trace, diverse_paths, flow_tree, trace_citations)
 }

@@ -30,3 +30,22 @@ def work_folder(spark: SparkSession) -> str:
         path = "file://" + tempfile.mkdtemp(prefix="lexivec-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files under a path: what is kept of a table is good as long as these stay."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders, on any file system that Spark knows."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
