@@ -12,9 +12,13 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -299,15 +303,13 @@ class Index(SegmentedTable):
         name, spark = uuid.uuid4().hex, self.spark
         raw = f"{self.folder}/{name}/raw"
         language = F.col("language") if "language" in fresh.columns else F.lit(None).cast("string")
-        # Texts are dealt out by chunk, so what a chunk's tokens are grouped by needs no second shuffle.
         dealt = spread(fresh.select("chunk_id", "path", language.alias("language"), "content"), "chunk_id")
         toks = dealt.select("chunk_id", "path", "language", tokens(F.col("content")).alias("t"))
         toks = toks.select("chunk_id", "path", "language", F.size("t").alias("length"), is_test_path(F.col("path")).alias("hidden"), "t")
-        # One row for each chunk, with the places of its terms.
-        each = toks.select("chunk_id", "length", "language", "hidden", F.posexplode("t").alias("at", "term"))
-        first = [F.first(c).alias(c) for c in ("length", "language", "hidden")]
-        each.groupBy("chunk_id", "term").agg(*first, F.array_sort(F.collect_list("at")).alias("positions")).write.parquet(raw)
-        toks.select("chunk_id", "path", "length").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{self.folder}/{name}/paths")
+        each = toks.select("chunk_id", "length", "language", "hidden", "path", "t")
+        each.mapInArrow(_by_term, f"chunk_id {self.id_type}, length int, language string, hidden boolean, term string, positions array<int>, path string").write.parquet(raw)
+        raw_rows = spark.read.parquet(raw)
+        raw_rows.filter("term is null").select("chunk_id", "path", "length").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{self.folder}/{name}/paths")
         sums = spark.read.parquet(f"{self.folder}/{name}/paths").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         keys, minus, lost = None, None, (0, 0)
         if gone is not None and self.segments:
@@ -315,7 +317,7 @@ class Index(SegmentedTable):
             lost = old.agg(F.count("*"), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
             minus = old.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg((-F.count("*")).alias("n"))
             keys = old.select("chunk_id")
-        segment = self._segment(name, spark.read.parquet(raw), keys, minus, 1 + max((s.seq for s in self.segments), default=0), sums[0] - lost[0], sums[1] - lost[1])
+        segment = self._segment(name, raw_rows.filter("term is not null").drop("path"), keys, minus, 1 + max((s.seq for s in self.segments), default=0), sums[0] - lost[0], sums[1] - lost[1])
         remove(spark, raw)
         return self._with([*self.segments, segment])
 
@@ -338,10 +340,9 @@ class Index(SegmentedTable):
         if minus is not None:
             bounds = bounds.unionByName(minus.filter("n <> 0").select("term", F.lit(-1).alias("tier"), "n", F.lit(0).alias("most"), F.lit(0.0).alias("thinnest")))
         bounds.repartitionByRange("term").sortWithinPartitions("term", "tier").write.parquet(f"{folder}/terms")
-        gone = spark.createDataFrame([], self.key_schema) if gone is None else gone
-        gone.select("chunk_id").distinct().write.parquet(f"{folder}/gone")
+        n_gone = self._write_gone(name, gone)
         n = spark.read.schema(TERMS).parquet(f"{folder}/terms").agg(F.coalesce(F.sum(F.when(F.col("tier") >= 0, F.col("n"))), F.lit(0))).first()[0]
-        return IndexSegment(name, seq, n, spark.read.schema(self.key_schema).parquet(f"{folder}/gone").count(), chunks, tokens_)
+        return IndexSegment(name, seq, n, n_gone, chunks, tokens_)
 
     def compacted(self, full: bool = False) -> Index:
         """The same index after merges that are due. What a run's segments counted for a term stays the same in sum."""
@@ -467,6 +468,30 @@ class Index(SegmentedTable):
         return held.select("chunk_id", score.alias("score"), *[f"f{i}" for i in range(len(kinds))])
 
 
+def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk and term, with its places, and one without a term for each chunk, with its path. Tokens are
+    grouped before anything is shuffled."""
+    names = ["chunk_id", "length", "language", "hidden", "term", "positions", "path"]
+    for batch in batches:
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32())), batch.column(4)], names=names)
+        lists = batch.column(5)
+        count = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        total = int(count.sum())
+        if not total:
+            continue
+        coded = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(lists)), count)
+        key = row * len(coded.dictionary) + np.asarray(coded.indices)
+        order = np.argsort(key, kind="stable")
+        at = (np.arange(total) - np.repeat(np.cumsum(count) - count, count))[order].astype(np.int32)
+        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        term = coded.dictionary.take(pa.array(np.asarray(coded.indices)[order[first]]))
+        places = pa.ListArray.from_arrays(pa.array(np.r_[first, total].astype(np.int32)), pa.array(at))
+        held = [batch.column(i).take(pa.array(row[order[first]])) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([*held, term, places, pa.nulls(len(first), pa.string())], names=names)
+
+
 def _ranges(column: str, values: list, most: int = 16) -> Column:
     """`column` is one of the sorted `values`, said so that readers can skip pages: at most `most` ranges around them."""
     if not values:

@@ -82,15 +82,19 @@ class SegmentedTable:
     def read(self) -> DataFrame:
         return self.alive(joined(self.segments, self.folder, "rows", self.spark, self.schema)).select(*self.columns)
 
-    def _write(self, rows: DataFrame, gone: DataFrame, seq: int) -> Segment:
+    def _write_gone(self, name: str, gone: DataFrame | None) -> int:
+        if gone is None:
+            return 0
+        gone.select(self.key).distinct().write.parquet(f"{self.folder}/{name}/gone")
+        return self.spark.read.schema(self.key_schema).parquet(f"{self.folder}/{name}/gone").count()
+
+    def _write(self, rows: DataFrame, gone: DataFrame | None, seq: int) -> Segment:
         name = uuid.uuid4().hex
         out = rows.select(*self.columns)
         if self.sort:
             out = out.repartitionByRange(*self.sort).sortWithinPartitions(*self.sort)
         out.write.parquet(f"{self.folder}/{name}/rows")
-        gone.select(self.key).distinct().write.parquet(f"{self.folder}/{name}/gone")
-        count = lambda part, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{part}").count()
-        return Segment(name, seq, count("rows", self.schema), count("gone", self.key_schema))
+        return Segment(name, seq, self.spark.read.schema(self.schema).parquet(f"{self.folder}/{name}/rows").count(), self._write_gone(name, gone))
 
     def _with(self, segments: list[Segment]) -> SegmentedTable:
         out = type(self)(self.spark, self.folder, self.schema, self.key, sort=self.sort)
@@ -99,9 +103,8 @@ class SegmentedTable:
 
     def appended(self, rows: DataFrame, gone: DataFrame | None = None) -> SegmentedTable:
         """The table after a run. Nothing of the older segments is written again."""
-        nothing = self.spark.createDataFrame([], self.key_schema)
         seq = 1 + max((s.seq for s in self.segments), default=0)
-        fresh = self._write(rows, nothing if gone is None or not self.segments else gone, seq)
+        fresh = self._write(rows, gone if self.segments else None, seq)
         return self._with([*self.segments, *([fresh] if fresh.rows or fresh.gone else [])])
 
     def _due(self) -> list[Segment]:
@@ -118,7 +121,7 @@ class SegmentedTable:
         while run := (table.segments if full and len(table.segments) > 1 else [] if full else table._due()):
             older = [s for s in table.segments if s not in run]
             rows = table.alive(joined(run, table.folder, "rows", table.spark, table.schema), run)
-            gone = table.gone(run) if older else table.spark.createDataFrame([], table.key_schema)
+            gone = table.gone(run) if older else None
             merged = table._write(rows, gone, run[-1].seq)
             table = table._with([*older, *([merged] if merged.rows or merged.gone else [])])
         return table
