@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,46 +89,72 @@ def _blanked(text: str) -> str:
     return _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
-def _end(plain: str, at: int) -> int:
-    """Where the definition that begins at `at` ends: its closing brace, or the first semicolon or blank end before any."""
-    depth = round_ = 0
-    for i in range(at, len(plain)):
-        c = plain[i]
-        if c in "([":
-            round_ += 1
-        elif c in ")]":
-            round_ -= 1
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth == 0:
-                return i + 1
-            if depth < 0:
+_SIGNS = re.compile(r"[()\[\]{};\n]")
+_GOES_ON = re.compile(r"\s*(?:[{.=|&(:]|where\b|extends\b|implements\b)")
+
+
+class _Nesting:
+    """Brackets of a text without comments and strings, matched in one pass: each opening brace knows its closing one, so a
+    definition's body is left in one step."""
+
+    def __init__(self, plain: str):
+        self.plain, self.at = plain, [m.start() for m in _SIGNS.finditer(plain)]
+        self.close, open_ = {}, []
+        for i in self.at:
+            if plain[i] == "{":
+                open_.append(i)
+            elif plain[i] == "}" and open_:
+                self.close[open_.pop()] = i
+
+    def end(self, at: int) -> int:
+        """Where the definition that begins at `at` ends: its closing brace, or the first semicolon or line end before any
+        after which it doesn't go on."""
+        plain, round_ = self.plain, 0
+        seen, before = "", at  # the last sign but spaces, and the place up to which the head was read
+        for k in range(bisect_left(self.at, at), len(self.at)):
+            i = self.at[k]
+            c, head = plain[i], plain[before:i].rstrip()
+            if head.strip():
+                seen = head.lstrip()[-2:]
+            before = i
+            if c == "{":
+                return self.close[i] + 1 if i in self.close else len(plain)
+            if c == "}":
                 return i
-        elif depth == 0 and round_ == 0 and (c == ";" or c == "\n" and plain[at:i].strip() and not re.match(r"\s*(?:[{.=|&(:]|where\b|extends\b|implements\b)", plain[i + 1 : i + 200]) and not re.search(r"[,=(|&:+]\s*$|=>\s*$", plain[at:i])):
-            return i + 1
-    return len(plain)
+            if c in "([":
+                round_ += 1
+            elif c in ")]":
+                round_ -= 1
+            elif round_ == 0 and (c == ";" or seen and not _GOES_ON.match(plain, i + 1, i + 200) and not (seen[-1] in ",=(|&:+" or seen == "=>")):
+                return i + 1
+        return len(plain)
 
 
 def braced_definitions(text: str, language: str) -> list[tuple[int, int, str, str | None]]:
     """(start line, end line, kind, symbol). In JavaScript and TypeScript what is nested in a function is left out."""
     plain, found = _blanked(text), []
+    nesting = _Nesting(plain)
     for kind, head in HEADS[language]:
         for m in head.finditer(plain):
             at = m.start() + len(m[0]) - len(m[0].lstrip())
-            found.append((at, _end(plain, at), kind, m[1] or None))
+            found.append((at, nesting.end(at), kind, m[1] or None))
     found.sort(key=lambda d: (d[0], -d[1]))
-    out, seen = [], set()
-    for at, end, kind, symbol in found:
+    breaks = [i for i in nesting.at if plain[i] == "\n"]
+    line = lambda place: bisect_left(breaks, place) + 1
+    out, seen, open_ = [], set(), []  # definitions that are open here, the innermost last
+    for d in found:
+        at, end, kind, symbol = d
+        while open_ and open_[-1][1] <= at:
+            open_.pop()
+        inside = [o for o in open_ if o[0] < at and end <= o[1]]
+        open_.append(d)
         if at in seen:
             continue
-        inside = [d for d in found if d[0] < at and end <= d[1]]
-        if language in ("js", "jsx", "ts", "tsx") and (any(d[2] in ("function", "method") for d in inside) or kind == "method" and not any(d[2] == "type" for d in inside)):
+        if language in ("js", "jsx", "ts", "tsx") and (any(o[2] in ("function", "method") for o in inside) or kind == "method" and not any(o[2] == "type" for o in inside)):
             continue
         seen.add(at)
         last = end - 1 if end > at and plain[end - 1 : end] == "\n" else end
-        out.append((text.count("\n", 0, at) + 1, text.count("\n", 0, max(at, last)) + 1, kind, symbol))
+        out.append((line(at), line(max(at, last)), kind, symbol))
     return out
 
 

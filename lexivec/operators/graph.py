@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_path
+from . import intervals
 
 # Patterns of edges with their confidence, and words before a bracket that are no calls.
 CALL = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("
@@ -107,6 +108,22 @@ def resolve(edge_rows: DataFrame, symbol_rows: DataFrame, key: str = "edge_id")
     return joined.select(*edge_rows.columns, F.coalesce("by_full", "by_path", "by_name").alias("dst_symbol_id"))
 
 
+def reference_id() -> Column:
+    """What tells a reference (columns of EDGE) from all others."""
+    return F.sha2(F.concat_ws("\x01", "src_symbol_id", "edge_kind", "path", F.col("line").cast("string"), F.coalesce("dst_name", F.lit("")), F.coalesce("evidence", F.lit(""))), 256)
+
+
+def last_name(name: Column) -> Column:
+    return F.element_at(F.split(name, "::"), -1)
+
+
+def touched_references(references: DataFrame, names: DataFrame, paths: DataFrame) -> DataFrame:
+    """References whose target may be another one now: those in `paths`, and those to a name (column name) of a symbol that
+    came or went."""
+    by_name = references.join(names.select(F.col("name").alias("_name")).distinct(), last_name(F.col("dst_name")) == F.col("_name"), "left_semi")
+    return by_name.unionByName(references.join(paths.select("path"), "path", "left_semi")).distinct()
+
+
 def edge_id(kind: Column | None = None) -> Column:
     return F.sha2(F.concat_ws("\x01", "src_symbol_id", F.coalesce("dst_symbol_id", F.lit("")), F.coalesce("dst_name", F.lit("")), "edge_kind", "path", F.col("line").cast("string"), "evidence"), 256)
 
@@ -134,8 +151,9 @@ def server_worthy(edge_rows: DataFrame, symbol_rows: DataFrame) -> DataFrame:
 
 
 def covering_symbols(symbol_rows: DataFrame, places: DataFrame) -> DataFrame:
-    """Symbols around each (path, line), the narrowest first."""
-    around = places.join(symbol_rows, "path").filter("start_line <= line and line <= end_line")
+    """Symbols around each (path, line), the narrowest first: each block of lines meets the places in it."""
+    around = places.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(intervals.LEVELS - 1)))).withColumn("_block", F.floor(F.col("line") / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
+    around = around.join(intervals.blocks(symbol_rows, "start_line", "end_line"), ["path", "_level", "_block"]).drop("_level", "_block")
     return around.withColumn("width_rank", F.row_number().over(Window.partitionBy("path", "line").orderBy(F.col("end_line") - F.col("start_line"), "start_line", "symbol_id")).cast("long"))
 
 
@@ -146,8 +164,14 @@ def query_terms(query: str) -> list[str]:
 
 
 def roots(hits: DataFrame, symbol_rows: DataFrame, most: int = 20) -> DataFrame:
-    """(symbol_id, score): the symbols of hit chunks, each with its best score."""
-    best = hits.select("chunk_id", "score").join(symbol_rows, "chunk_id").groupBy("symbol_id", "path").agg(F.max("score").alias("score"))
+    """(symbol_id, score): the symbols of hit chunks, each with its best score. A hit without a symbol stands for the narrowest
+    one around its first line, where `hits` have a path and start_line. There are a few hundred hits at most."""
+    own = hits.select("chunk_id", "score").join(symbol_rows.select("chunk_id", "symbol_id", "path"), "chunk_id").select("symbol_id", "path", "score")
+    if {"path", "start_line"} <= set(hits.columns):
+        bare = hits.join(symbol_rows.select("chunk_id"), "chunk_id", "left_anti").select("path", F.col("start_line").alias("line"), "score")
+        near = symbol_rows.select("path", F.col("start_line").alias("sline"), F.col("end_line").alias("eline"), "symbol_id").join(F.broadcast(bare.select("path").distinct()), "path", "left_semi")
+        own = own.unionByName(intervals.narrowest(near, bare, ["path"], "sline", "eline", "line", ["sline", "symbol_id"]).select("symbol_id", "path", "score"))
+    best = own.groupBy("symbol_id", "path").agg(F.max("score").alias("score"))
     return best.orderBy(F.desc("score"), "path", "symbol_id").limit(most)
 
 

@@ -12,11 +12,13 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from functools import partial, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_test_path, path_prefix
 from ..functions.text import fold_words, let, match_snippet, phrase_starts, tokens
 from ..session import remove
+from .intervals import narrowest
 from .segments import Segment, SegmentedTable, joined
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -468,6 +471,85 @@ class Index(SegmentedTable):
         return held.select("chunk_id", score.alias("score"), *[f"f{i}" for i in range(len(kinds))])
 
 
+_WORD = re.compile(r"[^\W_]+")
+FIRST_SEEN, SEEN_AGAIN, AT_START, AT_SENTENCE = 1000, 1, 120, 100
+
+
+def snippet_of(text: str, phrases: list[Phrase], size: int = 10, marks: tuple[str, str, str] = ("[", "]", "…")) -> str | None:
+    """The best window of `size` tokens, its text as it stands, phrase hits in brackets (overlapping ones in one pair), cut
+    ends marked; None without a hit.
+
+    Every hit offers a window around the hits that follow within `size` tokens, and one from the start of its sentence. Of a
+    phrase the first hit in a window counts most. The best score wins, of equals the first offered.
+    """
+    open_, close, more = marks
+    found = [*_WORD.finditer(text)]
+    words = [(fold_words(m[0]) or [""])[0] for m in found]
+    n, hits = len(words), []
+    for at in range(n):
+        for i, p in enumerate(phrases):
+            k = len(p.words)
+            if k and at + k <= n and words[at : at + k - 1] == p.words[:-1] and (words[at + k - 1].startswith(p.words[-1]) if p.prefix else words[at + k - 1] == p.words[-1]) and not (p.first and at):
+                hits.append((at, i, at + k))
+    if not hits:
+        return None
+    starts = [0]
+    for at in range(1, n):
+        gap = text[found[at - 1].end() : found[at].start()]
+        rest = gap.rstrip(" \t\n\r")
+        if rest != gap and rest[-1:] in (".", ":"):
+            starts.append(at)
+    begins = [h[0] for h in hits]
+
+    def scored(at: int) -> tuple[int, int]:
+        inside = hits[bisect_left(begins, at) : bisect_left(begins, at + size)]
+        seen = {h[1] for h in inside}
+        first, last = inside[0][0], inside[-1][2]
+        place = first - int((size - (last - first)) / 2)  # towards zero
+        return len(seen) * FIRST_SEEN + (len(inside) - len(seen)) * SEEN_AGAIN, max(0, min(place, n - size))
+
+    best, start = 0, 0
+    for at in dict.fromkeys(begins):
+        score, place = scored(at)
+        if score > best:
+            best, start = score, place
+        sentence = starts[bisect_right(starts, at) - 1]
+        if n > size and sentence < at:
+            inside = hits[bisect_left(begins, sentence) : bisect_left(begins, sentence + size)]
+            seen = {h[1] for h in inside}
+            score = len(seen) * FIRST_SEEN + (len(inside) - len(seen)) * SEEN_AGAIN + (AT_SENTENCE if sentence else AT_START)
+            if score > best:
+                best, start = score, sentence
+    end = min(start + size, n)
+    joined_hits: list[list[int]] = []
+    for a, _, b in hits:
+        if joined_hits and a < joined_hits[-1][1]:
+            joined_hits[-1][1] = max(joined_hits[-1][1], b)
+        else:
+            joined_hits.append([a, b])
+    out = [more if start else text[: found[0].start()]]
+    for at in range(start, end):
+        mine = next((h for h in joined_hits if h[0] <= at < h[1]), None)
+        out.append(open_ if mine and at == max(mine[0], start) else "")
+        out.append(found[at][0])
+        out.append(close if mine and at == min(mine[1], end) - 1 else "")
+        if at + 1 < end:
+            out.append(text[found[at].end() : found[at + 1].start()])
+    out.append(more if end < n else text[found[n - 1].end() :])
+    return "".join(out)
+
+
+def snippet(content: Column, node: Node) -> Column:
+    """`snippet_of` each text, for the few rows of a result."""
+    wanted = phrases_of(node)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: snippet_of(t, wanted) if t else None)
+
+    return cut(content)
+
+
 def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each chunk and term, with its places, and one without a term for each chunk, with its path. Tokens are
     grouped before anything is shuffled."""
@@ -517,8 +599,8 @@ def _begins(word: str, term: Column, places: Column) -> Column:
     return term.startswith(word)
 
 
-def search(chunks: DataFrame, query: str, limit: int = 50, literal: bool = True, languages: list[str] | None = None, prefixes: list[str] | None = None, snippets: bool = False, digits: int | None = None, index: Index | None = None) -> DataFrame:
-    """The best chunks: (chunk_id, path, score), with a snippet if wanted. Filters don't touch the statistics; test paths are
+def search(chunks: DataFrame, query: str, limit: int = 50, literal: bool = True, languages: list[str] | None = None, prefixes: list[str] | None = None, snippets: bool | str = False, digits: int | None = None, index: Index | None = None) -> DataFrame:
+    """The best chunks: (chunk_id, path, score), with a snippet if wanted (`phrases`: that of `snippet_of`). Filters don't touch the statistics; test paths are
     hidden. `digits` rounds scores before ranking, for results that must be the same on any engine. `index` is that of
     `chunks`."""
     text = literal_query(query) if literal else query
@@ -553,7 +635,7 @@ def search(chunks: DataFrame, query: str, limit: int = 50, literal: bool = True,
         ids = sorted(r.chunk_id for r in kept.collect())
         best = (chunks.select("chunk_id", "path", "content") if snippets else index.paths).filter(_ranges("chunk_id", ids)).join(F.broadcast(kept), "chunk_id")
     words = [w for p in phrases for w in p.words]
-    return best.select("chunk_id", "path", "score", *([match_snippet(F.col("content"), words).alias("snippet")] if snippets else []))
+    return best.select("chunk_id", "path", "score", *([(snippet(F.col("content"), node) if snippets == "phrases" else match_snippet(F.col("content"), words)).alias("snippet")] if snippets else []))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -583,10 +665,8 @@ def get_chunk(chunks: DataFrame, chunk_id) -> DataFrame:
 
 
 def covering_line(chunks: DataFrame, places: DataFrame) -> DataFrame:
-    """For each (path, line) the narrowest chunk around it: an equi-join on the path with a range condition."""
-    around = places.join(chunks, "path").filter((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
-    narrow = Window.partitionBy("path", "line").orderBy(F.col("end_line") - F.col("start_line"), "start_line", "chunk_id")
-    return around.withColumn("_n", F.row_number().over(narrow)).filter("_n = 1").drop("_n")
+    """For each (path, line) the narrowest chunk around it."""
+    return narrowest(chunks, places, ["path"], "start_line", "end_line", "line", ["start_line", "chunk_id"])
 
 
 def first_chunk(chunks: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EdgeWeights
+from ..functions.paths import is_test_path
+from ..session import exists
 
 # Shares of a query word in a target's name and in the evidence, their limit, and the cost of a step.
 TARGET_BONUS, EVIDENCE_BONUS, MOST_BONUS, STEP_COST = 0.08, 0.04, 0.25, 0.06
@@ -28,36 +30,86 @@ def bonus(target: Column, evidence: Column, terms: list[str]) -> Column:
     return F.least(F.lit(MOST_BONUS), out)
 
 
-def beam_trace(roots: DataFrame, symbols: DataFrame, edges: DataFrame, terms: list[str], hops: int, beam: int, weights: EdgeWeights = EdgeWeights(), digits: int | None = None, checkpoint_every: int = 4) -> DataFrame:
-    """(root, score, depth, last, steps): every extension of every state.
+EMITTED = f"root string, score double, depth long, last string, state_ord int, edge_ord int, steps array<{STEP}>"
+STATE = f"root string, current string, from_symbol string, score double, state_ord int, visited array<string>, steps array<{STEP}>"
 
-    All roots go on in lockstep. A state follows its first `beam` edges, and a root keeps its best `beam` new states at
-    each depth, so a level holds at most roots * beam states. Deep searches cut their lineage by checkpoints where the
-    session has a folder for them.
+
+class BeamSearch:
+    """A beam search that can go on: (root, score, depth, last, steps) of every extension of every state.
+
+    All roots go on in lockstep. A state follows its first `beam` edges, and a root keeps its best `beam` new states at each
+    depth, so a level holds at most roots * beam states. With a `folder` each depth's extensions and states are written
+    there; a later search in that folder goes on after the last depth instead of starting anew, and a lost executor costs
+    one depth. Without one the levels stay one plan, cut by checkpoints where the session has a folder for them.
     """
-    names = symbols.select(F.col("symbol_id").alias("dst_symbol_id"), F.col("short_name").alias("to_symbol"))
-    place = F.row_number().over(Window.partitionBy("src_symbol_id").orderBy(F.desc("confidence"), "line", "edge_id"))
-    ahead = edges.withColumn("edge_ord", place).filter(F.col("edge_ord") <= beam).join(names, "dst_symbol_id", "left")
-    ahead = ahead.select(F.col("src_symbol_id").alias("current"), "edge_ord", "edge_id", "dst_symbol_id", "to_symbol", F.coalesce("to_symbol", "dst_name").alias("target_name"), "edge_kind", "path", "line", "confidence", "evidence")
-    gain = edge_weight(F.col("edge_kind"), weights) * F.col("confidence") + bonus(F.coalesce("target_name", F.lit("")), F.coalesce("evidence", F.lit("")), terms)
-    ahead = ahead.withColumn("gain", gain)
-    state = roots.select(F.col("symbol_id").alias("root"), F.col("symbol_id").alias("current"), "score").join(symbols.select(F.col("symbol_id").alias("current"), F.col("short_name").alias("from_symbol")), "current", "left")
-    state = state.select("root", "current", "from_symbol", "score", F.lit(0).alias("state_ord"), F.array("root").alias("visited"), F.array().cast(f"array<{STEP}>").alias("steps"))
-    emitted = []
-    for depth in range(1, max(1, hops) + 1):
+
+    def __init__(self, roots: DataFrame, symbols: DataFrame, edges: DataFrame, terms: list[str], beam: int, weights: EdgeWeights = EdgeWeights(), digits: int | None = None, folder: str | None = None, checkpoint_every: int = 4):
+        names = symbols.select(F.col("symbol_id").alias("dst_symbol_id"), F.col("short_name").alias("to_symbol"))
+        place = F.row_number().over(Window.partitionBy("src_symbol_id").orderBy(F.desc("confidence"), "line", "edge_id"))
+        ahead = edges.withColumn("edge_ord", place).filter(F.col("edge_ord") <= beam).join(names, "dst_symbol_id", "left")
+        ahead = ahead.select(F.col("src_symbol_id").alias("current"), "edge_ord", "edge_id", "dst_symbol_id", "to_symbol", F.coalesce("to_symbol", "dst_name").alias("target_name"), "edge_kind", "path", "line", "confidence", "evidence")
+        gain = edge_weight(F.col("edge_kind"), weights) * F.col("confidence") + bonus(F.coalesce("target_name", F.lit("")), F.coalesce("evidence", F.lit("")), terms)
+        self.ahead, self.beam, self.digits, self.folder, self.checkpoint_every = ahead.withColumn("gain", gain), beam, digits, folder, checkpoint_every
+        self.spark, self.depth, self.emitted = roots.sparkSession, 0, []
+        state = roots.select(F.col("symbol_id").alias("root"), F.col("symbol_id").alias("current"), "score").join(symbols.select(F.col("symbol_id").alias("current"), F.col("short_name").alias("from_symbol")), "current", "left")
+        self.state = state.select("root", "current", "from_symbol", "score", F.lit(0).alias("state_ord"), F.array("root").alias("visited"), F.array().cast(f"array<{STEP}>").alias("steps"))
+        while folder and exists(self.spark, f"{folder}/{self.depth + 1}/state/_SUCCESS"):
+            self.depth += 1
+            self._take(self.depth)
+
+    def _take(self, depth: int) -> None:
+        read = lambda part, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{depth}/{part}")
+        self.emitted.append(read("emitted", EMITTED))
+        self.state = read("state", STATE)
+
+    def _extended(self) -> tuple[DataFrame, DataFrame]:
+        depth = self.depth
         step = F.struct("edge_kind", "from_symbol", "to_symbol", "target_name", "path", F.col("line").cast("long").alias("line"), "confidence", "evidence")
         score = F.col("score") + F.col("gain") - STEP_COST * depth
-        new = state.join(ahead, "current").select("root", "dst_symbol_id", "to_symbol", "state_ord", "edge_ord", "visited", (F.round(score, digits) if digits is not None else score).alias("score"), F.concat("steps", F.array(step)).cast(f"array<{STEP}>").alias("steps"))
-        emitted.append(new.select("root", "score", F.lit(depth).cast("long").alias("depth"), F.col("dst_symbol_id").alias("last"), "state_ord", "edge_ord", "steps"))
-        if depth == hops:
-            break
+        new = self.state.join(self.ahead, "current").select("root", "dst_symbol_id", "to_symbol", "state_ord", "edge_ord", "visited", (F.round(score, self.digits) if self.digits is not None else score).alias("score"), F.concat("steps", F.array(step)).cast(f"array<{STEP}>").alias("steps"))
+        emitted = new.select("root", "score", F.lit(depth).cast("long").alias("depth"), F.col("dst_symbol_id").alias("last"), "state_ord", "edge_ord", "steps")
         order = Window.partitionBy("root").orderBy(F.desc("score"), "state_ord", "edge_ord")
         going = new.filter(F.col("dst_symbol_id").isNotNull() & ~F.array_contains("visited", F.col("dst_symbol_id")))
-        state = going.withColumn("next_ord", F.row_number().over(order)).filter(F.col("next_ord") <= beam)
-        state = state.select("root", F.col("dst_symbol_id").alias("current"), F.col("to_symbol").alias("from_symbol"), "score", F.col("next_ord").alias("state_ord"), F.concat("visited", F.array("dst_symbol_id")).alias("visited"), "steps")
-        if depth % checkpoint_every == 0 and roots.sparkSession.conf.get("spark.checkpoint.dir", None):
-            state = state.checkpoint()
-    return reduce(DataFrame.unionByName, emitted)
+        state = going.withColumn("next_ord", F.row_number().over(order)).filter(F.col("next_ord") <= self.beam)
+        return emitted, state.select("root", F.col("dst_symbol_id").alias("current"), F.col("to_symbol").alias("from_symbol"), "score", F.col("next_ord").alias("state_ord"), F.concat("visited", F.array("dst_symbol_id")).alias("visited"), "steps")
+
+    def to(self, hops: int) -> DataFrame:
+        """All extensions up to `hops` steps, one at least."""
+        hops = max(1, hops)
+        while self.depth < hops:
+            self.depth += 1
+            emitted, state = self._extended()
+            if self.folder:
+                emitted.write.mode("overwrite").parquet(f"{self.folder}/{self.depth}/emitted")
+                state.write.mode("overwrite").parquet(f"{self.folder}/{self.depth}/state")  # last: it tells that the depth is whole
+                self._take(self.depth)
+            else:
+                self.emitted.append(emitted)
+                cut = self.depth % self.checkpoint_every == 0 and self.depth < hops and self.spark.conf.get("spark.checkpoint.dir", None)
+                self.state = state.checkpoint() if cut else state
+        return reduce(DataFrame.unionByName, self.emitted[:hops])
+
+
+def beam_trace(roots: DataFrame, symbols: DataFrame, edges: DataFrame, terms: list[str], hops: int, beam: int, weights: EdgeWeights = EdgeWeights(), digits: int | None = None) -> DataFrame:
+    """A beam search of `hops` steps from its start."""
+    return BeamSearch(roots, symbols, edges, terms, beam, weights, digits).to(hops)
+
+
+def merged(fast: DataFrame, deep: DataFrame) -> DataFrame:
+    """Paths of two stages, one for each endpoint: the better, of equals the shorter. Paths through test files are left out."""
+    order = Window.partitionBy("_key").orderBy(F.desc("score"), "depth", "steps")
+    both = fast.unionByName(deep.select(*fast.columns)).withColumn("_key", endpoint(F.col("root"), F.col("steps")))
+    return both.filter(~has_test_paths(F.col("steps"))).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_key", "_n")
+
+
+def best(paths: DataFrame, limit: int) -> DataFrame:
+    """At most `limit` of some shown paths, the best of each root first."""
+    rooted = paths.withColumn("root_rank", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("score"), "depth", "steps")).cast("long"))
+    return rooted.orderBy(F.col("root_rank") > 1, F.desc("score"), "root", "depth", "steps").limit(max(1, limit))
+
+
+def has_test_paths(steps: Column) -> Column:
+    return F.exists(steps, lambda s: F.coalesce(is_test_path(s["path"]), F.lit(False)))
 
 
 def endpoint(root: Column, steps: Column) -> Column:
@@ -93,8 +145,6 @@ def flow_tree(paths: DataFrame) -> DataFrame:
 
 def citations(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, line, place) in the order in which they are first told: roots of the paths first, then steps."""
-    from ..functions.paths import is_test_path
-
     order = Window.orderBy(F.desc("score"), "root", "depth")
     numbered = paths.withColumn("_p", F.row_number().over(order))  # a handful of chosen paths
     at_root = numbered.join(roots.select(F.col("symbol_id").alias("root"), F.col("path").alias("rpath"), F.col("start_line").alias("rline")), "root").select(F.col("rpath").alias("path"), F.col("rline").cast("long").alias("line"), F.struct("_p", F.lit(0).alias("i")).alias("o"))

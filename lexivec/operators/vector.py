@@ -59,9 +59,9 @@ def orphans(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(chunks.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
-def embed_missing(chunks: DataFrame, vectors: DataFrame, embed: Callable[[list[str]], list[list[float]]], max_chars: int = 8000, batch: int = 32) -> DataFrame:
-    """Vectors after an incremental run: orphans go, and each new content is embedded once, cut to `max_chars` characters."""
-    todo = chunks.join(missing(chunks, vectors), "content_hash", "left_semi").groupBy("content_hash").agg(F.min_by("content", F.struct("path", "start_line")).alias("content"))
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], max_chars: int = 8000, batch: int = 32) -> DataFrame:
+    """(content_hash, vector): each content of `chunks` embedded once, cut to `max_chars` characters."""
+    todo = chunks.groupBy("content_hash").agg(F.min_by("content", F.struct("path", "start_line")).alias("content"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -69,9 +69,21 @@ def embed_missing(chunks: DataFrame, vectors: DataFrame, embed: Callable[[list[s
                 part = frame.iloc[at : at + batch]
                 yield pd.DataFrame({"content_hash": part["content_hash"], "vector": embed([t[:max_chars] for t in part["content"]])})
 
-    fresh = todo.mapInPandas(run, "content_hash string, vector array<double>")
+    return todo.mapInPandas(run, "content_hash string, vector array<double>").select("content_hash", normalize(F.col("vector")).alias("vector"))
+
+
+def embed_missing(chunks: DataFrame, vectors: DataFrame, embed: Callable[[list[str]], list[list[float]]], max_chars: int = 8000, batch: int = 32) -> DataFrame:
+    """Vectors after an incremental run: orphans go, and each new content is embedded once."""
+    fresh = embedded(chunks.join(missing(chunks, vectors), "content_hash", "left_semi"), embed, max_chars, batch)
     kept = vectors.join(orphans(chunks, vectors).select("content_hash"), "content_hash", "left_anti")
-    return kept.select("content_hash", "vector").unionByName(fresh.select("content_hash", normalize(F.col("vector")).alias("vector")))
+    return kept.select("content_hash", "vector").unionByName(fresh)
+
+
+def cosines(rows: DataFrame, vectors: DataFrame, query: list[float]) -> DataFrame:
+    """(chunk_id, score): cosines with the query of the contents of `rows` (chunk_id, content_hash), a few hundred at most."""
+    q = normalize(F.array(*[F.lit(float(x)) for x in query]))
+    held = vectors.join(F.broadcast(rows), "content_hash").filter(F.size("vector") == len(query))
+    return held.select("chunk_id", similarity(normalize(F.col("vector")), q).alias("score"))
 
 
 def resolve_collection(collections: DataFrame, provider: str, model: str, dim: int | None) -> DataFrame:

@@ -54,7 +54,9 @@ def diagnostics(lines: DataFrame) -> DataFrame:
 
 
 def module_of(files: DataFrame, modules: DataFrame) -> DataFrame:
-    """(path, module): the deepest module folder above each file, or none."""
-    inside = F.col("path").startswith(F.concat("module", F.lit("/"))) | (F.col("module") == "")
-    found = files.join(F.broadcast(modules.orderBy("module").limit(32)), inside, "left")  # a workspace lists at most 32 modules
-    return found.groupBy("path").agg(F.max_by("module", F.length("module")).alias("module"))
+    """(path, module): the deepest module folder above each file, or none. Each folder above a file meets the modules in an
+    equi-join; the empty module is the root."""
+    parts = F.split("path", "/")
+    above = files.select("path").distinct().withColumn("module", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))))
+    found = above.join(modules.select("module").distinct(), "module").groupBy("path").agg(F.max_by("module", F.length("module")).alias("module"))
+    return files.select("path").distinct().join(found, "path", "left")
