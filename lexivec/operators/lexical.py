@@ -21,14 +21,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_path, path_prefix
 from ..functions.text import fold_words, let, match_snippet, phrase_starts, tokens
 from ..session import remove
 from .intervals import narrowest
-from .segments import Segment, SegmentedTable, joined
+from .segments import Segment, SegmentedTable, joined, ordered, written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 NEAR_DEFAULT = 10
@@ -310,21 +310,22 @@ class Index(SegmentedTable):
         toks = dealt.select("chunk_id", "path", "language", tokens(F.col("content")).alias("t"))
         toks = toks.select("chunk_id", "path", "language", F.size("t").alias("length"), is_test_path(F.col("path")).alias("hidden"), "t")
         each = toks.select("chunk_id", "length", "language", "hidden", "path", "t")
-        each.mapInArrow(_by_term, f"chunk_id {self.id_type}, length int, language string, hidden boolean, term string, positions array<int>, path string").write.parquet(raw)
-        raw_rows = spark.read.parquet(raw)
-        raw_rows.filter("term is null").select("chunk_id", "path", "length").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{self.folder}/{name}/paths")
-        sums = spark.read.parquet(f"{self.folder}/{name}/paths").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        each = each.mapInArrow(_by_term, f"chunk_id {self.id_type}, length int, language string, hidden boolean, term string, positions array<int>, path string")
+        sums, none = Observation(), F.col("term").isNull()
+        each.observe(sums, F.count(F.when(none, 1)).alias("chunks"), F.coalesce(F.sum(F.when(none, F.col("length"))), F.lit(0)).alias("tokens"), F.count("term").alias("postings")).write.parquet(raw)
+        came, raw_rows = sums.get, spark.read.parquet(raw)
+        ordered(raw_rows.filter("term is null").select("chunk_id", "path", "length"), ["chunk_id"], came["chunks"]).write.parquet(f"{self.folder}/{name}/paths")
         keys, minus, lost = None, None, (0, 0)
         if gone is not None and self.segments:
             old = gone.select("chunk_id", tokens(F.col("content")).alias("t"))
             lost = old.agg(F.count("*"), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
             minus = old.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg((-F.count("*")).alias("n"))
             keys = old.select("chunk_id")
-        segment = self._segment(name, raw_rows.filter("term is not null").drop("path"), keys, minus, 1 + max((s.seq for s in self.segments), default=0), sums[0] - lost[0], sums[1] - lost[1])
+        segment = self._segment(name, raw_rows.filter("term is not null").drop("path"), keys, minus, 1 + max((s.seq for s in self.segments), default=0), came["chunks"] - lost[0], came["tokens"] - lost[1], came["postings"])
         remove(spark, raw)
         return self._with([*self.segments, segment])
 
-    def _segment(self, name: str, rows: DataFrame, gone: DataFrame | None, minus: DataFrame | None, seq: int, chunks: int, tokens_: int) -> IndexSegment:
+    def _segment(self, name: str, rows: DataFrame, gone: DataFrame | None, minus: DataFrame | None, seq: int, chunks: int, tokens_: int, n: int) -> IndexSegment:
         """Write postings by impact, the bounds of their tiers, and the keys that go."""
         spark, folder = self.spark, f"{self.folder}/{name}"
         mean = (self.tokens + tokens_) / max(1, self.total + chunks) or 1.0
@@ -336,25 +337,24 @@ class Index(SegmentedTable):
         above = F.sum("n").over(by_term.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1))
         tiers = counted.select("term", "_step", F.coalesce(above, F.lit(0)).alias("above"), F.sum("n").over(by_term).alias("all")).filter(F.col("all") > TIER)
         tiers = tiers.select("term", "_step", F.floor(F.log2(1 + F.col("above") / TIER)).cast("int").alias("tier")).filter("tier > 0")
-        placed = rows.join(tiers, ["term", "_step"], "left").withColumn("tier", F.coalesce("tier", F.lit(0)))
-        placed.select(*self.columns).repartitionByRange(*self.sort).sortWithinPartitions(*self.sort).write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{folder}/rows")
+        # No term has over TIER postings if all together don't.
+        placed = rows.join(tiers, ["term", "_step"], "left").withColumn("tier", F.coalesce("tier", F.lit(0))) if n > TIER else rows.withColumn("tier", F.lit(0))
+        kept = written(ordered(placed.select(*self.columns), self.sort, n), f"{folder}/rows", **{"parquet.page.row.count.limit": PAGE_ROWS})
         held = spark.read.schema(self.schema).parquet(f"{folder}/rows")
         bounds = held.groupBy("term", "tier").agg(F.count("*").alias("n"), F.max(F.size("positions")).alias("most"), F.min(F.col("length") / F.size("positions")).alias("thinnest"))
         if minus is not None:
             bounds = bounds.unionByName(minus.filter("n <> 0").select("term", F.lit(-1).alias("tier"), "n", F.lit(0).alias("most"), F.lit(0.0).alias("thinnest")))
-        bounds.repartitionByRange("term").sortWithinPartitions("term", "tier").write.parquet(f"{folder}/terms")
-        n_gone = self._write_gone(name, gone)
-        n = spark.read.schema(TERMS).parquet(f"{folder}/terms").agg(F.coalesce(F.sum(F.when(F.col("tier") >= 0, F.col("n"))), F.lit(0))).first()[0]
-        return IndexSegment(name, seq, n, n_gone, chunks, tokens_)
+        ordered(bounds, ["term", "tier"], n).write.parquet(f"{folder}/terms")
+        return IndexSegment(name, seq, kept, self._write_gone(name, gone), chunks, tokens_)
 
     def compacted(self, full: bool = False) -> Index:
         """The same index after merges that are due. What a run's segments counted for a term stays the same in sum."""
         table = self
         while run := (table.segments if full and len(table.segments) > 1 else [] if full else table._due()):
             older = [s for s in table.segments if s not in run]
-            name = uuid.uuid4().hex
+            name, n = uuid.uuid4().hex, sum(s.rows for s in run)
             part = lambda what, schema: joined(run, table.folder, what, table.spark, schema)  # noqa: E731, B023
-            table.alive(part("paths", f"chunk_id {table.id_type}, path string, length int"), run).drop("_seq").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{table.folder}/{name}/paths")
+            table.alive(part("paths", f"chunk_id {table.id_type}, path string, length int"), run).drop("_seq").transform(lambda df: ordered(df, ["chunk_id"], n)).write.parquet(f"{table.folder}/{name}/paths")  # noqa: B023
             rows = table.alive(part("rows", table.schema), run).drop("_seq", "tier")
             minus = None
             if older:
@@ -362,7 +362,7 @@ class Index(SegmentedTable):
                 now = rows.groupBy("term").agg(F.count("*").alias("n"))
                 # terms: alive rows + minus = what the run's segments said.
                 minus = was.unionByName(now).groupBy("term").agg((-F.sum("n")).alias("n"))
-            merged = table._segment(name, rows, table.gone(run) if older else None, minus, run[-1].seq, sum(s.chunks for s in run), sum(s.tokens for s in run))
+            merged = table._segment(name, rows, table.gone(run) if older else None, minus, run[-1].seq, sum(s.chunks for s in run), sum(s.tokens for s in run), n)
             table = table._with([*older, merged])
         return table
 

@@ -16,7 +16,7 @@ import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 FANOUT = 4
@@ -24,6 +24,8 @@ FANOUT = 4
 LEAST_ROWS = 1024
 #: Keys of `gone` up to here are broadcast; more are joined by key.
 BROADCAST_KEYS = 200_000
+#: Rows that one task writes in order.
+FEW_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,18 @@ def joined(segments: list[Segment], folder: str, part: str, spark: SparkSession,
     return reduce(DataFrame.unionByName, tables) if tables else spark.createDataFrame([], schema).withColumn("_seq", F.lit(0).cast("long"))
 
 
+def ordered(rows: DataFrame, by: list[str], n: int | None) -> DataFrame:
+    """`rows` (about n of them) in order over all files; few rows make one file."""
+    return (rows.repartition(1) if n is not None and n <= FEW_ROWS else rows.repartitionByRange(*by)).sortWithinPartitions(*by)
+
+
+def written(rows: DataFrame, path: str, **options) -> int:
+    """Write rows as Parquet; returns their number, counted on the way."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.options(**options).parquet(path)
+    return seen.get["n"]
+
+
 class SegmentedTable:
     """Rows of `schema` that come and go by the column `key`. `sort` orders a segment's rows, so that readers can skip."""
 
@@ -85,16 +99,15 @@ class SegmentedTable:
     def _write_gone(self, name: str, gone: DataFrame | None) -> int:
         if gone is None:
             return 0
-        gone.select(self.key).distinct().write.parquet(f"{self.folder}/{name}/gone")
-        return self.spark.read.schema(self.key_schema).parquet(f"{self.folder}/{name}/gone").count()
+        return written(gone.select(self.key).distinct(), f"{self.folder}/{name}/gone")
 
-    def _write(self, rows: DataFrame, gone: DataFrame | None, seq: int) -> Segment:
+    def _write(self, rows: DataFrame, gone: DataFrame | None, seq: int, n: int | None = None) -> Segment:
+        """`n` tells about how many rows there are, for merges, which put them in order over all files."""
         name = uuid.uuid4().hex
         out = rows.select(*self.columns)
         if self.sort:
-            out = out.repartitionByRange(*self.sort).sortWithinPartitions(*self.sort)
-        out.write.parquet(f"{self.folder}/{name}/rows")
-        return Segment(name, seq, self.spark.read.schema(self.schema).parquet(f"{self.folder}/{name}/rows").count(), self._write_gone(name, gone))
+            out = out.sortWithinPartitions(*self.sort) if n is None else ordered(out, self.sort, n)
+        return Segment(name, seq, written(out, f"{self.folder}/{name}/rows"), self._write_gone(name, gone))
 
     def _with(self, segments: list[Segment]) -> SegmentedTable:
         out = type(self)(self.spark, self.folder, self.schema, self.key, sort=self.sort)
@@ -122,7 +135,7 @@ class SegmentedTable:
             older = [s for s in table.segments if s not in run]
             rows = table.alive(joined(run, table.folder, "rows", table.spark, table.schema), run)
             gone = table.gone(run) if older else None
-            merged = table._write(rows, gone, run[-1].seq)
+            merged = table._write(rows, gone, run[-1].seq, sum(s.rows for s in run))
             table = table._with([*older, *([merged] if merged.rows or merged.gone else [])])
         return table
 
