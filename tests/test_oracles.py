@@ -3,11 +3,12 @@
 import pytest
 from conftest import DATA, normal
 
-from lexivec.plans import registry
+from lexivec.plans import registry, structures
 
 
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.SQL)
+    assert set(structures.QUERIES) == set(structures.SQL) and not set(structures.QUERIES) & set(registry.QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -15,3 +16,10 @@ def test_query_equals_sql(spark, duck, name):
     got, want = registry.QUERIES[name](spark, DATA).toPandas(), duck.sql(registry.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert normal(got) == normal(want)
+
+
+@pytest.mark.parametrize("name", sorted(structures.QUERIES))
+def test_structure_equals_sql(spark, duck, name):
+    got, want = structures.QUERIES[name](spark, DATA).toPandas(), duck.sql(structures.SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert normal(got) == normal(want)
