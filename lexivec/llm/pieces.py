@@ -4,14 +4,14 @@ The vocabulary is a byte-pair one, where the best path is not a sum of scores: i
 neighbouring pieces stay as they are when their joined text is encoded alone (merging is local, so this holds for a whole
 text exactly if it holds for each pair, and the path of a text's start is the start of its path). So the lattice keeps, for
 every place in the window, the one last piece that ends there, with its backpointer. Pieces have a greatest length; only
-the last that many places can still be extended. When the backpointer paths from all of these meet at one boundary, the
-ids before it are committed and leave the window.
+places from which the text up to now begins some piece can still be extended. After every character the backpointer paths
+from all of these, and from the end, are followed to the boundary at which they meet; the pieces before it are committed
+and leave the window. So the window holds the longest piece and the paths that are still open, whatever a text's length.
 
 Whole columns go through the same search in units: between two characters that stand side by side in no piece, as a word's
 end and the space after it, or two characters that the vocabulary doesn't hold, all paths meet. Each distinct unit is
 searched once while it is remembered (told apart by 64-bit hashes, lengths and first bytes), and the ids of a text are
-gathered from its units. A unit may be as long as a text; the search goes through it STEP characters at a time and commits
-after each, so lattice and window stay within 2 * STEP places.
+gathered from its units. A unit may be as long as a text; within it the search commits as it goes on.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; a text is encoded whole, however long; U+2581 reads as a space, as the model's own
 encoder does; unknown characters fall back to bytes; equal rows stay separate; an empty table gives no rows; other columns
@@ -36,8 +36,7 @@ SPACE = "▁"
 # Types of pieces in the model file.
 NORMAL, BYTE = 1, 6
 CHUNK = 1 << 20
-REMEMBERED_PAIRS = 1 << 16
-STEP = 1024
+REMEMBERED_PAIRS = 1 << 17
 
 
 class Model:
@@ -58,6 +57,9 @@ class Model:
             if p.type == BYTE:
                 self.bytes[int(p.piece[1:-1], 16)] = i
         self.longest = max(map(len, self.ids))
+        #: Beginnings of pieces, without the pieces themselves unless longer ones go on from them.
+        self.begun = {piece[:n] for piece in self.ids for n in range(1, len(piece))}
+        self.commits, self.widest = 0, 0  # commits before a unit's end, and the most places that a window held
         tails: dict[str, set[int]] = {}
         for piece in self.ids:
             tails.setdefault(piece[-2:], set()).add(len(piece))
@@ -176,55 +178,68 @@ class Stream:
         self.model = model
         self.text = ""  # the window
         self.last: list[str] = [""]  # the last piece of the path to each place in the window
+        self.open: list[int] = []  # places before the end from which a piece may still go beyond it, in order
 
     def feed(self, part: str) -> Iterator[str]:
-        """Extend the lattice; gives the pieces that are committed on the way."""
-        for at in range(0, len(part), STEP):
-            self._extend(part[at : at + STEP])
-            if len(self.text) > STEP:
-                yield from self._commit()
-
-    def _extend(self, part: str) -> None:
-        model, last = self.model, self.last
-        before = len(self.text)
-        self.text += part
-        text, ids, pairs, tails = self.text, model.ids, model.pairs, model.tails
-        for end in range(before + 1, len(text) + 1):
-            chosen = text[end - 1 : end]  # a character alone ends a path when nothing longer does
-            for n in tails.get(text[end - 2 : end], ()) if end > 1 else ():
-                if n <= end and (piece := text[end - n : end]) in ids:
-                    left = last[end - n]
-                    holds = pairs.get((left, piece))
-                    if model.holds(left, piece) if holds is None else holds:
-                        chosen = piece
-                        break
+        """Extend the lattice; gives the pieces that are committed on the way. It has to be read to its end."""
+        model, ids, pairs, tails, begun = self.model, self.model.ids, self.model.pairs, self.model.tails, self.model.begun
+        text, last, open_ = self.text, self.last, self.open
+        for c in part:
+            text += c
+            end = len(text)
+            chosen = c  # a character alone ends a path when nothing longer does
+            if end > 1:
+                for n in tails.get(text[end - 2 : end], ()):
+                    if n <= end and (piece := text[end - n : end]) in ids:
+                        left = last[end - n]
+                        holds = pairs.get((left, piece))
+                        if model.holds(left, piece) if holds is None else holds:
+                            chosen = piece
+                            break
             last.append(chosen)
+            before = len(open_)
+            if open_:
+                open_ = [p for p in open_ if text[p:end] in begun]
+            if c in begun:
+                open_.append(end - 1)
+            # Paths can come to meet only where one of them has ended.
+            boundary = end if not open_ else self._meeting(last, open_, end) if len(open_) <= before else 0
+            if boundary:
+                if end > model.widest:
+                    model.widest = end
+                model.commits += 1
+                yield from self._path(last, boundary)
+                text, last = text[boundary:], last[boundary:]
+                if open_:
+                    open_ = [p - boundary for p in open_]
+        self.text, self.last, self.open = text, last, open_
+
+    @staticmethod
+    def _meeting(last: list[str], open_: list[int], end: int) -> int:
+        """The boundary at which the paths from all open places and the end meet."""
+        meet = open_[0]
+        for place in (*open_[1:], end):
+            while place != meet:
+                if place > meet:
+                    place -= len(last[place])
+                else:
+                    meet -= len(last[meet])
+            if not meet:
+                break
+        return meet
 
-    def _commit(self) -> list[str]:
-        """Pieces before the boundary at which the paths from all open places meet."""
-        end = len(self.text)
-        places = set(range(max(0, end - self.model.longest + 1), end + 1))
-        while len(places) > 1:
-            far = max(places)
-            places.remove(far)
-            places.add(far - len(self.last[far]))
-        boundary = places.pop()
-        out = self._path(boundary)
-        if boundary:
-            anchor = self.last[boundary]
-            self.text, self.last = self.text[boundary:], [anchor, *self.last[boundary + 1 :]]
-        return out
-
-    def _path(self, end: int) -> list[str]:
+    @staticmethod
+    def _path(last: list[str], end: int) -> list[str]:
         out = []
         while end > 0:
-            out.append(self.last[end])
-            end -= len(self.last[end])
+            out.append(last[end])
+            end -= len(last[end])
         return out[::-1]
 
     def finish(self) -> list[str]:
-        out = self._path(len(self.text))
-        self.text, self.last = "", [""]
+        self.model.widest = max(self.model.widest, len(self.text))
+        out = self._path(self.last, len(self.text))
+        self.text, self.last, self.open = "", [""], []
         return out
 
 

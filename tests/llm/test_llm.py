@@ -848,7 +848,18 @@ def test_stream_window_stays_bounded():
     for _ in range(200):
         assert all(stream.feed("abc=def▁the"))
         most = max(most, len(stream.text))
-    assert 0 < most <= 2 * pieces.STEP
+    assert 0 < most <= m.longest
+
+
+def test_the_query_commits_within_a_bounded_window():
+    """What the query runs on every batch, over all documents: ids leave the window as soon as the paths meet."""
+    import pyarrow.parquet as pq
+
+    path = P.path("piece_bpe_32k.model")
+    held = pieces._MODELS[path] = pieces.Model(path)
+    docs = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"])
+    rows = sum(b.num_rows for b in pieces._digest(path)(iter(docs.to_batches())))
+    assert rows == docs.num_rows and held.commits > rows and held.widest <= held.longest
 
 
 def sentencepiece_library(path):
@@ -857,17 +868,16 @@ def sentencepiece_library(path):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def test_long_texts_stay_within_the_window(monkeypatch):
+def test_long_texts_stay_within_the_window():
     """What queries call, on texts of half a megabyte: one of characters that no piece joins, one without any place to cut."""
     path = P.path("piece_bpe_32k.model")
     rng = random.Random(6)
     texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(170_000)), "".join(rng.choice("aeinrst") for _ in range(200_000)), "的一是不了人我在有他" * 5000]
-    m, most, units = pieces.Model(path), [], []
-    extend, code = pieces.Stream._extend, m._code
-    monkeypatch.setattr(pieces.Stream, "_extend", lambda self, part: (extend(self, part), most.append(len(self.last)))[0])
+    m, units = pieces.Model(path), []
+    code = m._code
     m.cache.code = lambda new: (units.extend(map(len, new)), code(new))[1]
     ids, counts = m.encode_batch(pa.array(texts))
-    assert max(most) <= 2 * pieces.STEP + m.longest
+    assert m.widest <= 2 * m.longest and m.commits > 100_000
     library = sentencepiece_library(path)
     assert [x.tolist() for x in np.split(ids.astype(int), np.cumsum(counts)[:-1])] == [library.encode(t) for t in texts]
     assert sorted(units)[-2] < 100  # only the second text is one unit
