@@ -108,7 +108,7 @@ def deep(chunks: DataFrame, similarities: DataFrame | None, query: str, config:
     if similarities is not None:
         lists.append((config.vec_weight, ranked(similarities.orderBy(F.desc("score"), "chunk_id").limit(config.vec_limit))))
     seeds = first.orderBy(F.desc("score"), "chunk_id").limit(settings.seed_limit).select("chunk_id")
-    seeds = chunks.join(F.broadcast(seeds), "chunk_id")
+    seeds = chunks.filter(lexical.among("chunk_id", sorted(r.chunk_id for r in seeds.collect())))  # seed_limit ids, by which readers can skip
     terms = [r.term for r in prf_terms(seeds, query, settings.max_terms, symbol="symbol" if "symbol" in chunks.columns else None).collect()]
     if not first.isEmpty():
         more = [or_query(terms)] if terms else []

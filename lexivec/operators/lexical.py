@@ -451,7 +451,7 @@ class Index(SegmentedTable):
                 ids = likely.select("chunk_id")
                 some = [r.chunk_id for r in ids.orderBy("chunk_id").limit(LOOKED_UP + 1).collect()]
                 if len(some) <= LOOKED_UP:
-                    unread = unread & _ranges("chunk_id", some)
+                    unread = unread & among("chunk_id", some)
                 if reading is not None:
                     reading.rows += self.postings.filter(unread).count()
                 seen = self._seen(words, read | unread, count, languages, ids)
@@ -574,7 +574,7 @@ def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*held, term, places, pa.nulls(len(first), pa.string())], names=names)
 
 
-def _ranges(column: str, values: list, most: int = 16) -> Column:
+def among(column: str, values: list, most: int = 16) -> Column:
     """`column` is one of the sorted `values`, said so that readers can skip pages: at most `most` ranges around them."""
     if not values:
         return F.lit(False)
@@ -633,7 +633,7 @@ def search(chunks: DataFrame, query: str, limit: int = 50, literal: bool = True,
         kept = best.select("chunk_id", "score")
         kept = kept.sparkSession.createDataFrame(kept.collect(), kept.schema)
         ids = sorted(r.chunk_id for r in kept.collect())
-        best = (chunks.select("chunk_id", "path", "content") if snippets else index.paths).filter(_ranges("chunk_id", ids)).join(F.broadcast(kept), "chunk_id")
+        best = (chunks.select("chunk_id", "path", "content") if snippets else index.paths).filter(among("chunk_id", ids)).join(F.broadcast(kept), "chunk_id")
     words = [w for p in phrases for w in p.words]
     return best.select("chunk_id", "path", "score", *([(snippet(F.col("content"), node) if snippets == "phrases" else match_snippet(F.col("content"), words)).alias("snippet")] if snippets else []))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_path, path_prefix
@@ -59,15 +59,20 @@ def orphans(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(chunks.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
+def embed_texts(chunks: DataFrame, max_chars: int = 8000) -> DataFrame:
+    """(content_hash, content): what an embedder gets, each content once by its first chunk, cut to `max_chars` characters."""
+    return chunks.groupBy("content_hash").agg(F.substring(F.min_by("content", F.struct("path", "start_line")), 1, max_chars).alias("content"))
+
+
 def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], max_chars: int = 8000, batch: int = 32) -> DataFrame:
     """(content_hash, vector): each content of `chunks` embedded once, cut to `max_chars` characters."""
-    todo = chunks.groupBy("content_hash").agg(F.min_by("content", F.struct("path", "start_line")).alias("content"))
+    todo = embed_texts(chunks, max_chars)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                yield pd.DataFrame({"content_hash": part["content_hash"], "vector": embed([t[:max_chars] for t in part["content"]])})
+                yield pd.DataFrame({"content_hash": part["content_hash"], "vector": embed(list(part["content"]))})
 
     return todo.mapInPandas(run, "content_hash string, vector array<double>").select("content_hash", normalize(F.col("vector")).alias("vector"))
 
@@ -103,6 +108,32 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def hash_key(content_hash: Column, salt: Column) -> Column:
+    """A number below 2**60 for a content, from its hash; with a salt above 0 another one."""
+    text = F.when(salt > 0, F.concat_ws("#", content_hash, salt.cast("string"))).otherwise(content_hash)
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+
+
+def surrogate_keys(hashes: DataFrame, key=hash_key) -> DataFrame:
+    """(content_hash, key) with one number for each distinct hash. Where two meet at a number, the first by hash keeps it and
+    the others try again with a salt; a round looks only at what is left."""
+    open_, done, salt = hashes.select("content_hash").distinct(), None, 0
+    while True:
+        tried = open_.withColumn("key", key(F.col("content_hash"), F.lit(salt)))
+        free = tried if done is None else tried.join(done.select("key"), "key", "left_anti").select("content_hash", "key")
+        first = free.groupBy("key").agg(F.min("content_hash").alias("content_hash")).select("content_hash", "key")
+        done = first if done is None else done.unionByName(first)
+        open_ = open_.join(first.select("content_hash"), "content_hash", "left_anti")
+        if open_.isEmpty():
+            return done
+        salt += 1
+
+
+def keys_of_chunks(chunks: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
+    """(chunk_id, key) of some chunks, by their content."""
+    return chunks.join(ids.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "content_hash").join(keys, "content_hash").select("chunk_id", "key")
+
+
 def slug(name: str) -> str:
     import re
 

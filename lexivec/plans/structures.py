@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.text import content_snippet
-from ..operators import analytics, cache, fusion, graph, intervals, lexical, trace
+from ..operators import analytics, cache, fusion, graph, intervals, lexical, output, trace, vector
 from ..operators.segments import SegmentedTable
 from ..session import work_folder
 from ..sources import server_logs, tree
@@ -138,7 +138,69 @@ def kept_scores(spark, sf):
     return wanted.join(values, "key").select("chunk_id", "value")
 
 
-QUERIES = {f.__name__: f for f in (bm25_snippets, query_hits, bm25_after_edits, ignored_urls, module_of_url, url_folders, covering_symbols, hit_roots, narrowest_order, first_chunks, frecency_upsert, server_edges, beam_trace_resumed, kept_scores)}
+def chunk_by_id(spark, sf):
+    return lexical.get_chunk(R.corpus(spark, sf), 7).select("chunk_id", "path", "content_hash")
+
+
+def chunk_keys(spark, sf):
+    """Numbers of contents, for the chunks of one language."""
+    docs = R.corpus(spark, sf)
+    return vector.keys_of_chunks(docs, docs.filter("language = 'en'"), vector.surrogate_keys(docs))
+
+
+def chosen_collection(spark, sf):
+    """The collection of a model with the wanted dimension, else its latest one."""
+    held = R._t(spark, sf, "clients").filter("updated_at is not null and segment is not null")
+    held = held.select(F.col("source").alias("provider"), F.col("segment").alias("model"), F.col("nation_id").alias("dim"), "updated_at", F.col("client_id").alias("collection"))
+    known = held.filter("provider is not null").groupBy("provider", "model").agg(F.min("dim").alias("dim")).orderBy("provider", "model").first()
+    return vector.resolve_collection(held, known.provider, known.model, known.dim).select("collection", "dim")
+
+
+def embed_texts(spark, sf):
+    docs = R.corpus(spark, sf)
+    return vector.embed_texts(docs.join(vector.missing(docs, R.collection(spark, sf)), "content_hash"), 300)
+
+
+def paths_by_root(spark, sf):
+    return trace.grouped(R._beam(spark, sf))
+
+
+def server_worthy(spark, sf):
+    _, symbols, edges = R._graph(spark, sf)
+    calls = edges.withColumn("dst_symbol_id", F.when(F.col("line") % 3 == 0, F.col("dst_symbol_id"))).withColumn("dst_name", F.when(F.col("line") % 2 == 0, F.concat(F.lit("pkg."), "dst_name")).otherwise(F.concat("dst_name", F.lit("?"))))
+    return graph.server_worthy(calls, symbols)
+
+
+def result_lines(spark, sf):
+    hits = R.hybrid_query(spark, sf).join(R.corpus(spark, sf), "chunk_id")
+    return output.as_tsv(hits.select("path", "start_line", F.col("start_line").alias("end_line"), "symbol", "score", F.lit(None).cast("string").alias("snippet")))
+
+
+def server_output(spark, sf):
+    """Lines of a language server, made of documents, in both forms of a place."""
+    docs = R.corpus(spark, sf)
+    number = F.length("content")
+    text = F.concat("path", F.lit(".go:"), number.cast("string"), F.lit(":"), (number % 80 + 1).cast("string"), F.lit("-"), F.when(number % 2 == 0, F.concat((number + 3).cast("string"), F.lit(":7"))).otherwise(F.lit("99")))
+    return server_logs.locations(docs.select(text.alias("value")))
+
+
+def identifier_columns(spark, sf):
+    """Where a document's second identifier first stands alone in its first line."""
+    docs = R.corpus(spark, sf).select("chunk_id", F.get(F.split("content", "\n"), F.lit(0)).alias("line"))
+    name = F.coalesce(F.get(F.regexp_extract_all("line", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), F.lit(1)), F.lit(""))
+    return docs.select("chunk_id", server_logs.identifier_column(F.col("line"), name).cast("long").alias("column"))
+
+
+def code_edges(spark, sf):
+    """Edges of source files that are made of documents' words: imports, routes, calls and queries."""
+    words = F.regexp_extract_all("content", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    w = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit("x"))
+    text = F.concat(F.lit("from "), w(0), F.lit("."), w(1), F.lit(" import y\nimport "), w(2), F.lit("\n@app.get('/"), w(3), F.lit("')\ndef run():\n  "), w(1), F.lit("(1); router.post('/"), w(2), F.lit("', "), w(4), F.lit(")\n  q = 'select a from "), w(0), F.lit(" join "), w(3), F.lit("'\n"))
+    chunks = R.corpus(spark, sf).select("chunk_id", "path", F.lit("python").alias("language"), text.alias("content"), w(1).alias("symbol"), F.lit(10).cast("long").alias("start_line"), F.lit(16).cast("long").alias("end_line"), F.lit("block").alias("kind"))
+    return graph.edges(chunks).select("path", "edge_kind", "line", "dst_name", "confidence", "evidence")
+
+
+QUERIES = {f.__name__: f for f in (bm25_snippets, query_hits, bm25_after_edits, ignored_urls, module_of_url, url_folders, covering_symbols, hit_roots, narrowest_order, first_chunks, frecency_upsert, server_edges, beam_trace_resumed, kept_scores, chunk_by_id, chunk_keys, chosen_collection, embed_texts, paths_by_root, server_worthy, result_lines, server_output, identifier_columns, code_edges)}
 
 
 def _instances(phrases: list[list[str]]) -> str:
@@ -195,4 +257,27 @@ SELECT src AS src_symbol_id, kind AS edge_kind, count(*) AS n, max(c) AS best FR
   UNION ALL SELECT src, kind, 0.96::DOUBLE FROM edges WHERE kind = 'call' AND line % 2 = 0) GROUP BY 1, 2""",
     "beam_trace_resumed": O.SQL["beam_trace"],
     "kept_scores": "SELECT doc_id AS chunk_id, CASE WHEN text IN (SELECT text FROM documents WHERE lang = 'fr') THEN 'kept:' ELSE '' END || length(text) AS value FROM documents",
+    "chunk_by_id": f"WITH {O.CHUNKS} SELECT chunk_id, path, content_hash FROM chunks WHERE chunk_id = 7",
+    "chunk_keys": f"WITH {O.CHUNKS} SELECT chunk_id, ('0x' || substr(sha256(content_hash), 1, 15))::BIGINT AS key FROM chunks WHERE language = 'en'",
+    "chosen_collection": """WITH held AS (SELECT * FROM clients WHERE updated_at IS NOT NULL AND segment IS NOT NULL), known AS (SELECT source, segment, min(nation_id) AS dim FROM held WHERE source IS NOT NULL GROUP BY ALL ORDER BY source, segment LIMIT 1)
+SELECT client_id AS collection, nation_id AS dim FROM held JOIN known USING (source, segment) ORDER BY (nation_id = dim) IS TRUE DESC, updated_at DESC, client_id LIMIT 1""",
+    "embed_texts": f"WITH {O.CHUNKS} SELECT content_hash, substring(arg_min(content, path), 1, 300) AS content FROM chunks WHERE content_hash NOT IN (SELECT content_hash FROM chunks JOIN embeddings ON vec_id = chunk_id) GROUP BY 1",
+    "paths_by_root": f"WITH {O.BEAM} SELECT root, max(score) AS best_score, count(*) AS paths FROM beam GROUP BY root",
+    "server_worthy": f"WITH {O.GRAPH} SELECT DISTINCT src AS symbol_id FROM edges JOIN symbols ON symbols.id = dst WHERE kind = 'call' AND (line % 3 = 0 OR line % 2 = 0)",
+    "result_lines": f"WITH {O.FUSED} SELECT printf('%.4f', score) || chr(9) || path || ':1-1' || chr(9) || symbol || chr(9) AS value FROM hybrid JOIN chunks USING (chunk_id)",
+    "server_output": f"WITH {O.CHUNKS} SELECT path || '.go' AS path, length(content) AS line, length(content) % 80 + 1 AS \"column\", length(content) + CASE WHEN length(content) % 2 = 0 THEN 3 ELSE 0 END AS end_line, CASE WHEN length(content) % 2 = 0 THEN 7 ELSE 99 END::BIGINT AS end_column FROM chunks",
+    "identifier_columns": f"""WITH {O.CHUNKS}, l AS (SELECT chunk_id, string_split(content, chr(10))[1] AS line FROM chunks), w AS (SELECT *, coalesce(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*')[2], '') AS name FROM l)
+SELECT chunk_id, CASE WHEN name <> '' AND regexp_matches(line, '(^|[^A-Za-z0-9_])' || name || '([^A-Za-z0-9_]|$)') THEN strlen(regexp_extract(line, '^(.*?(?:^|[^A-Za-z0-9_]))' || name || '(?:[^A-Za-z0-9_]|$)', 1)) + 1 END AS "column" FROM w""",
+    "code_edges": f"""WITH {O.CHUNKS}, w AS (SELECT path, regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*') AS ws FROM chunks),
+n AS (SELECT path, coalesce(ws[1], 'x') AS a, coalesce(ws[2], 'x') AS b, coalesce(ws[3], 'x') AS c, coalesce(ws[4], 'x') AS d, coalesce(ws[5], 'x') AS e FROM w),
+code AS (SELECT path, b, unnest(['from ' || a || '.' || b || ' import y', 'import ' || c, '@app.get(''/' || d || ''')', 'def run():', '  ' || b || '(1); router.post(''/' || c || ''', ' || e || ')', '  q = ''select a from ' || a || ' join ' || d || '''']) AS l, unnest(range(10, 16)) AS line FROM n),
+found AS (
+  SELECT path, 'call' AS edge_kind, line, unnest(regexp_extract_all(l, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)) AS dst_name, NULL::DOUBLE AS confidence, trim(l) AS evidence, b FROM code
+  UNION ALL SELECT path, 'import', line, unnest(regexp_extract_all(l, '^from ([A-Za-z0-9_.]+) import ', 1)), 0.75, trim(l), b FROM code
+  UNION ALL SELECT path, 'import', line, unnest(regexp_extract_all(l, '^import ([A-Za-z0-9_.]+)', 1)), 0.75, trim(l), b FROM code
+  UNION ALL SELECT path, 'route', line, b, 0.82, 'route ' || regexp_extract(l, '''([^'']+)''', 1) || ' -> ' || b, b FROM code WHERE starts_with(l, '@app.get')
+  UNION ALL SELECT path, 'route', line, regexp_extract(l, ''', ([A-Za-z0-9_]+)', 1), 0.86, 'route ' || regexp_extract(l, '''([^'']+)''', 1) || ' -> ' || regexp_extract(l, ''', ([A-Za-z0-9_]+)', 1), b FROM code WHERE contains(l, 'router.post')
+  UNION ALL SELECT path, 'sql_read', line, unnest(regexp_extract_all(l, '(?i)\\b(?:from|join)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)), 0.77, trim(l), b FROM code)
+SELECT path, edge_kind, line, dst_name, max(coalesce(confidence, CASE WHEN dst_name = b THEN 0.45 ELSE 0.62 END))::DOUBLE AS confidence, evidence FROM found
+WHERE edge_kind <> 'call' OR dst_name NOT IN ({", ".join(f"'{x}'" for x in graph.NOT_CALLS)}) GROUP BY path, edge_kind, line, dst_name, evidence""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOCATION = r"^(.+?):(\d+):(\d+)(?:-(?:(\d+):)?(\d+))?"
@@ -53,6 +53,13 @@ def diagnostics(lines: DataFrame) -> DataFrame:
     return rows.select(F.regexp_extract("value", pattern, 1).alias("path"), _number(pattern, 2).alias("line"), _number(pattern, 3).alias("column"), F.regexp_extract("value", pattern, 4).alias("message"))
 
 
+def identifier_column(line: Column, name: Column) -> Column:
+    """The place (bytes, from 1) at which a name first stands in a line as a whole word; null if it doesn't, or is blank."""
+    word = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), name, F.lit(r"\E(?![A-Za-z0-9_])"))
+    at = F.regexp_instr(line, word)
+    return F.when((F.trim(name) != "") & (at > 0), F.octet_length(F.substring(line, F.lit(1), at - 1)) + 1)
+
+
 def module_of(files: DataFrame, modules: DataFrame) -> DataFrame:
     """(path, module): the deepest module folder above each file, or none. Each folder above a file meets the modules in an
     equi-join; the empty module is the root."""

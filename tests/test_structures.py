@@ -206,3 +206,19 @@ def test_second_query_embeds_and_scores_nothing(spark, tmp_path):
     assert paths.count() and cited.count()
     failing = Workspace(spark, str(tmp_path / "ws"), embedder=embedder, scorer=lambda q, t: [])
     assert failing.query("beta", deep=True).first().score != 1.0
+
+
+def test_numbers_of_contents_that_meet(spark):
+    from lexivec.operators import vector
+
+    hashes = spark.createDataFrame([(f"h{i:02}",) for i in range(20)] + [("h01",)], "content_hash string")
+    few = lambda content, salt: F.pmod(vector.hash_key(content, salt), F.lit(24))
+    rows = vector.surrogate_keys(hashes, few).collect()
+    assert len(rows) == len({r.key for r in rows}) == len({r.content_hash for r in rows}) == 20
+    assert sorted(map(tuple, vector.surrogate_keys(hashes, few).collect())) == sorted(map(tuple, rows))
+
+
+def test_columns_of_names(spark):
+    rows = [("foo food foo", "foo", 1), ("food _foo foo", "foo", 11), ("é foo(1)", "foo", 4), ("afoo", "foo", None), ("a.b", "a.b", 1), ("axb a.b", "a.b", 5), ("x", " ", None), ("", "x", None), (None, "x", None)]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, line string, name string, want int").select("i", server_logs.identifier_column(F.col("line"), F.col("name")).alias("c"))
+    assert [r.c for r in got.orderBy("i").collect()] == [r[2] for r in rows]
