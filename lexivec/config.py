@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
@@ -89,3 +90,25 @@ def load(path: str | Path) -> Config:
     """Settings from a TOML file; what it leaves out keeps its default, and so does everything if there is no file."""
     path = Path(path)
     return _read(Config, tomllib.loads(path.read_text())) if path.exists() else Config()
+
+
+def _written(value) -> str:
+    return json.dumps(value) if isinstance(value, str | bool) else repr(value)
+
+
+def save(path: str | Path, config: Config) -> None:
+    """All settings as TOML, a table for each part; what `load` reads back."""
+    parts = []
+    for part in fields(config):
+        held = getattr(config, part.name)
+        parts.append("\n".join([f"[{part.name}]", *(f"{f.name.rstrip('_')} = {_written(getattr(held, f.name))}" for f in fields(held))]))
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("\n\n".join(parts) + "\n")
+
+
+def ensure(path: str | Path) -> Config:
+    """The settings in a file, which is made of the defaults where there is none."""
+    if not Path(path).exists():
+        save(path, Config())
+    return load(path)

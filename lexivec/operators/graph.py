@@ -157,6 +157,10 @@ def covering_symbols(symbol_rows: DataFrame, places: DataFrame) -> DataFrame:
     return around.withColumn("width_rank", F.row_number().over(Window.partitionBy("path", "line").orderBy(F.col("end_line") - F.col("start_line"), "start_line", "symbol_id")).cast("long"))
 
 
+def symbols_by_id(symbol_rows: DataFrame, ids: list[str]) -> DataFrame:
+    return symbol_rows.filter(F.col("symbol_id").isin(ids))
+
+
 def query_terms(query: str) -> list[str]:
     import re
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -165,3 +167,24 @@ def summary(paths: list[dict], cited: list[tuple[str, int]]) -> str:
     if cited:
         text += " Sources: " + ", ".join(f"{p}:{line}" for p, line in cited[:6]) + "."
     return text
+
+
+@dataclass(frozen=True)
+class Told:
+    """A summary, whether an outside writer made it (`written`) or the rule (`rule`), and what went wrong with the writer."""
+
+    text: str
+    source: str
+    error: str | None = None
+
+
+def told(query: str, paths: list[dict], cited: list[tuple[str, int]], write: Callable[[str, list[dict], list[tuple[str, int]]], str] | None = None) -> Told:
+    """What a writer says of the chosen paths; the rule's sentence where there is none, or it fails or says nothing."""
+    plain = summary(paths, cited)
+    if write is None or not paths:
+        return Told(plain, "rule")
+    try:
+        text = (write(query, paths, cited) or "").strip()
+    except (ValueError, OSError) as error:
+        return Told(plain, "rule", " ".join(str(error).split()) or type(error).__name__)
+    return Told(text, "written") if text else Told(plain, "rule", "the writer said nothing")

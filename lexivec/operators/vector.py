@@ -98,6 +98,30 @@ def resolve_collection(collections: DataFrame, provider: str, model: str, dim: i
     return rows.orderBy(exact.desc(), F.desc("updated_at"), "collection").limit(1)
 
 
+def wanted_dimension(preferred: int | None, collections: DataFrame, provider: str, model: str, chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> int:
+    """The preferred dimension, else that of the latest collection, else that of one chunk's vector."""
+    if preferred:
+        return preferred
+    held = resolve_collection(collections, provider, model, None).first()
+    if held is not None:
+        return held.dim
+    first = chunks.orderBy("path", "start_line").select("content").first()
+    if first is None:
+        raise ValueError("no chunk tells the dimension; index first")
+    return len(embed([first.content or ""])[0])
+
+
+def dropped(collections: DataFrame, vectors: DataFrame, collection) -> tuple[DataFrame, DataFrame]:
+    """Both tables without one collection (a column of each)."""
+    stays = ~F.col("collection").eqNullSafe(F.lit(collection))
+    return collections.filter(stays), vectors.filter(stays)
+
+
+def counted(vectors: DataFrame) -> DataFrame:
+    """(collection, vectors)."""
+    return vectors.groupBy("collection").agg(F.count("*").alias("vectors"))
+
+
 def latest(rows: DataFrame, keys: list[str], order: str = "updated_at") -> DataFrame:
     """One row for each key, the newest."""
     newest = Window.partitionBy(*keys).orderBy(F.desc(order))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions.text import content_snippet
-from .operators import cache, chunking, fusion, graph, index, lexical, trace, vector
+from .operators import analytics, cache, chunking, fusion, graph, index, lexical, trace, vector
 from .operators.segments import SegmentedTable
 from .session import remove
 from .sources import tree
@@ -282,6 +282,39 @@ class Workspace:
             chosen = trace.best(trace.merged(chosen, self.stage(text, deep=True)), self.config.trace.limit)
         return chosen, trace.citations(chosen, self.table("symbols"))
 
+    def told(self, text: str, deep: bool = False, write=None) -> trace.Told:
+        """A summary of a trace, kept for the index's generation. One that a writer made is used again by all; one of the rule
+        only where no writer is asked for."""
+        key, held = cache.key_of("told", query=text, deep=deep, limits=self.config.trace), self.cached()
+        kept = held.get(key)
+        kept = trace.Told(*json.loads(kept)) if kept else None
+        if kept is not None and (write is None or kept.source == "written"):
+            return kept
+        paths, cited = self.trace(text, deep)
+        rows = [r.asDict(recursive=True) for r in paths.orderBy(F.desc("score"), "root").collect()]  # the few that are shown
+        told = trace.told(text, rows, [(r.path, r.line) for r in cited.orderBy("place").collect()], write)
+        self._cache(held.put_one(key, json.dumps([told.text, told.source, told.error]), lasting=False))
+        return told
+
+    def guide(self, text: str, files: int = 8) -> DataFrame:
+        """The files to read first: the best hit of each."""
+        return analytics.guide(self.query(text).select("chunk_id", "path", "score"), files)
+
+    def directory(self, text: str, now: int | None = None) -> str | None:
+        """The folder that a query points to, by its hits and by how often and how lately it was chosen. The choice counts."""
+        now = int(time.time()) if now is None else now
+        best = analytics.directory_vote(self.query(text).select("chunk_id", "path", "score"), self.table("frecency"), F.lit(now)).first()
+        if best is None:
+            return None
+        state, garbage = self._begun()
+        seen = self.segmented("frecency", state)
+        mine = F.col("path") == best.directory
+        row = analytics.record_accesses(seen.read().filter(mine), self.spark.createDataFrame([(best.directory, now)], "path string, at long"))
+        self._keep(state, "frecency", seen.appended(row, row.select("path")))
+        self._save(state)
+        remove(self.spark, *garbage)
+        return best.directory
+
     def get(self, target: str) -> DataFrame:
         """A chunk by `path:line`, by path (its first chunk) or by its id."""
         chunks = self.table("chunks")

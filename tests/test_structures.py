@@ -222,3 +222,58 @@ def test_columns_of_names(spark):
     rows = [("foo food foo", "foo", 1), ("food _foo foo", "foo", 11), ("é foo(1)", "foo", 4), ("afoo", "foo", None), ("a.b", "a.b", 1), ("axb a.b", "a.b", 5), ("x", " ", None), ("", "x", None), (None, "x", None)]
     got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, line string, name string, want int").select("i", server_logs.identifier_column(F.col("line"), F.col("name")).alias("c"))
     assert [r.c for r in got.orderBy("i").collect()] == [r[2] for r in rows]
+
+
+def test_told_by_a_writer_or_the_rule():
+    step = {"edge_kind": "call", "from_symbol": "a", "target_name": "b", "path": "src/a.rs", "line": 3}
+    paths = [{"root": "a", "score": 1.0, "steps": [step]}]
+    plain = trace.told("q", paths, [("src/a.rs", 3)])
+    assert plain.source == "rule" and "a -> b" in plain.text and plain.error is None
+    assert trace.told("q", paths, [], lambda *a: " well ") == trace.Told("well", "written")
+    assert trace.told("q", paths, [], lambda *a: " ").error == "the writer said nothing"
+
+    def broken(*a):
+        raise OSError("no\nway")
+
+    assert trace.told("q", paths, [("src/a.rs", 3)], broken) == trace.Told(plain.text, "rule", "no way")
+    assert trace.told("q", [], [], lambda *a: "never asked").source == "rule"
+
+
+def test_settings_are_made_and_read_back(tmp_path):
+    from lexivec import config
+
+    path = tmp_path / "deep" / "settings.toml"
+    assert config.ensure(path) == config.Config() and path.exists()
+    changed = config.Config(embed=config.EmbedConfig(model='q"uote', dimensions=7), weights=config.EdgeWeights(import_=0.25))
+    config.save(path, changed)
+    assert config.ensure(path) == changed
+
+
+def test_collections(spark):
+    from lexivec.operators import vector
+
+    held = spark.createDataFrame([("p", "m", 8, 1, "c1"), ("p", "m", 16, 2, "c2")], "provider string, model string, dim int, updated_at int, collection string")
+    chunks = spark.createDataFrame([("a.rs", 1, "text")], "path string, start_line int, content string")
+    embed = lambda texts: [[1.0] * 5 for _ in texts]
+    assert vector.wanted_dimension(9, held, "p", "m", chunks, embed) == 9
+    assert vector.wanted_dimension(None, held, "p", "m", chunks, embed) == 16
+    assert vector.wanted_dimension(None, held, "p", "other", chunks, embed) == 5
+    with pytest.raises(ValueError):
+        vector.wanted_dimension(None, held, "p", "other", chunks.limit(0), embed)
+    vectors = spark.createDataFrame([("c1", 1), ("c2", 2), ("c2", 3)], "collection string, v int")
+    left = vector.dropped(held, vectors, "c2")
+    assert [t.count() for t in left] == [1, 1] and {r.collection: r.vectors for r in vector.counted(vectors).collect()} == {"c1": 1, "c2": 2}
+
+
+def test_folders_and_summaries_of_a_workspace(spark, tmp_path):
+    root, asked = tmp_path / "repo", []
+    write(root, {"a/x.rs": "fn alpha() {\n    beta();\n}\n", "b/y.rs": "fn beta() {}\n// alpha\n"})
+    w = Workspace(spark, str(tmp_path / "ws"))
+    w.index(str(root))
+    assert {r.path for r in w.guide("alpha").collect()} <= {"a/x.rs", "b/y.rs"}
+    first = w.directory("alpha", now=1000)
+    assert first in ("a", "b") and w.directory("alpha", now=2000) == first
+    assert [tuple(r) for r in w.table("frecency").collect()] == [(first, 2.0, 2000)]
+    rule = w.told("alpha")
+    assert rule.source == "rule" and w.told("alpha", write=lambda *a: asked.append(1) or "said").text == "said"
+    assert w.told("alpha", write=lambda *a: asked.append(1) or "again").text == "said" and w.told("alpha").text == "said" and asked == [1]
