@@ -137,13 +137,16 @@ def _file_system(root: str):
     return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
 
 
+#: Folders that a task lists before it hands on the rest.
+FOLDERS = 2000
 FOUND = "path string, is_folder boolean, size long, mtime long"
 
 
 def walk(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
-    """(path, size, mtime) of all files under `root`, hidden ones too, without links. Tasks list the folders of one depth side
-    by side; a depth's entries go to the shared folder. Excluded folders aren't entered."""
-    root = root.rstrip("/")
+    """(path, size, mtime) of all files under `root`, hidden ones too, without links. A task goes down from its folders until it
+    has listed FOLDERS of them and hands the rest on; these are dealt out anew, round by round, and each round's entries go to
+    the shared folder. Excluded folders aren't entered."""
+    root, shut = root.rstrip("/"), tuple([*paths.EXCLUDED, *(p.rstrip("/") + "/" for p in exclude or [])])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -151,27 +154,30 @@ def walk(spark: SparkSession, root: str, exclude: list[str] | None = None) -> Da
         from pyarrow import fs
 
         system, base = _file_system(root)
-        local = isinstance(system, fs.LocalFileSystem)
-        for frame in frames:
-            for folder in frame["path"]:
-                rows = []
-                for info in system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base)):
-                    if local and os.path.islink(info.path):
-                        continue
-                    if info.type in (fs.FileType.File, fs.FileType.Directory):
-                        rows.append((f"{folder}/{info.base_name}" if folder else info.base_name, info.type == fs.FileType.Directory, info.size or 0, (info.mtime_ns or 0) // 10**9))
-                yield pd.DataFrame(rows, columns=["path", "is_folder", "size", "mtime"])
-
-    place, depth, found = f"{work_folder(spark)}/lexivec/walk-{uuid.uuid4().hex}", 0, []
-    frontier = spark.createDataFrame([("",)], "path string")
+        local, todo, listed = isinstance(system, fs.LocalFileSystem), [p for frame in frames for p in frame["path"]], 0
+        while todo and listed < FOLDERS:
+            folder, rows = todo.pop(), []
+            listed += 1
+            for info in system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base)):
+                path = f"{folder}/{info.base_name}" if folder else info.base_name
+                if local and os.path.islink(info.path):
+                    continue
+                if info.type == fs.FileType.File:
+                    rows.append((path, False, info.size or 0, (info.mtime_ns or 0) // 10**9))
+                elif info.type == fs.FileType.Directory and not f"{path}/".startswith(shut):
+                    todo.append(path)
+            yield pd.DataFrame(rows, columns=["path", "is_folder", "size", "mtime"])
+        yield pd.DataFrame([(p, True, 0, 0) for p in todo], columns=["path", "is_folder", "size", "mtime"])
+
+    place, found = f"{work_folder(spark)}/lexivec/walk-{uuid.uuid4().hex}", []
+    frontier = spark.createDataFrame([("",)], "path string").coalesce(1)
     while True:
-        frontier.repartition("path").mapInPandas(run, FOUND).write.parquet(f"{place}/{depth}")
-        level = spark.read.schema(FOUND).parquet(f"{place}/{depth}")
-        found.append(level)
-        frontier = level.filter("is_folder").filter(~paths.is_excluded(F.concat("path", F.lit("/")), exclude)).select("path")
+        frontier.mapInPandas(run, FOUND).write.parquet(f"{place}/{len(found)}")
+        found.append(spark.read.schema(FOUND).parquet(f"{place}/{len(found)}"))
+        frontier = found[-1].filter("is_folder").select("path")
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, found).filter("not is_folder").drop("is_folder")
-        depth += 1
+        frontier = frontier.repartition("path")
 
 
 def contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
@@ -195,7 +201,7 @@ def contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
 def listing(spark: SparkSession, root: str, config: IndexConfig = IndexConfig(), ignore_text: str = "", exclude: list[str] | None = None) -> DataFrame:
     """(path, size, mtime) of the files under `root` that may be text files, without opening any but ignore files: those named
     `.gitignore` in every folder, and `.git/info/exclude`. `ignore_text` holds further lines for the root, after its own."""
-    found = walk(spark, root, [p for p in exclude or []])
+    found = walk(spark, root, exclude)
     path = F.col("path")
     named = found.filter((path == ".gitignore") | path.endswith("/.gitignore")).select("path")
     rules = rules_of(contents(spark, root, named.unionByName(spark.createDataFrame([(EXCLUDE_FILE,)], "path string"))).select("path", F.make_valid_utf8(F.col("raw").cast("string")).alias("content")))

@@ -70,6 +70,13 @@ def test_ignore_files_of_every_folder(spark, tmp_path):
     assert set(read) == got and read["c/[x].rs"] == ("text", "rust")
 
 
+def test_folders_are_handed_on(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "FOLDERS", 2)
+    names = {f"d{i}/e{j}/f{k}.rs" for i in range(3) for j in range(2) for k in range(2)} | {"top.rs"}
+    write(tmp_path, {n: "x" for n in names} | {"node_modules/a/b.rs": "x", "d0/node_modules/c.rs": "x"})
+    assert {r.path for r in tree.walk(spark, str(tmp_path), ["d2"]).collect()} == {n for n in names if not n.startswith("d2/")} | {"d0/node_modules/c.rs"}
+
+
 def test_rules_like_the_plain_matcher(spark):
     random.seed(4)
     lines = ["*.log", "!keep.log", "/build", "out/", "docs/**/x.md", "a/**", "**/foo", "[!a]b", "a?c", "!a/b", "b/", "# note", "", "!*.log"]
