@@ -36,7 +36,7 @@ SPACE = "▁"
 # Types of pieces in the model file.
 NORMAL, BYTE = 1, 6
 CHUNK = 1 << 20
-REMEMBERED_PAIRS = 1 << 17
+REMEMBERED_PAIRS = 1 << 18
 
 
 class Model:
