@@ -97,7 +97,9 @@ class Workspace:
     def index(self, root: str, ignore_text: str = "", exclude: list[str] | None = None, full: bool = False) -> dict:
         """Bring files, chunks, references and edges up to date; returns the counts of the run."""
         began, made = time.time(), []
+        remove(self.spark, f"{self.folder}/.scratch")  # of a run that broke off
         state, garbage = self._begun()
+        state["garbage"].append(f"{self.folder}/trace/{state['generation']}")
         if full:
             for name in ("files", "chunks", "references", "edges", "lexical"):
                 state["garbage"] += [f"{self.folder}/{name}/{s['name']}" for s in state["tables"].pop(name, [])]
