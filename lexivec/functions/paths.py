@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Folders at the root that are left out, extensions of binary files, languages by extension.
-EXCLUDED = [".git/", ".sx/", "target/", "test/", "tests/", "__test__/", "__tests__/", "node_modules/", "dist/", "build/", ".next/", ".turbo/", "vendor/", ".venv/"]
+# Fixed values (the second folder is this engine's own): folders at the root that are left out, extensions of binary files, languages by extension.
+EXCLUDED = [".git/", ".lexivec/", "target/", "test/", "tests/", "__test__/", "__tests__/", "node_modules/", "dist/", "build/", ".next/", ".turbo/", "vendor/", ".venv/"]
 BINARY = "png jpg jpeg gif bmp ico icns pdf zip gz tgz tar 7z rar jar class o a so dylib exe dll wasm mp3 mp4 mov avi mkv".split()
 LANGUAGES = {"rs": "rust", "ts": "ts", "tsx": "tsx", "js": "js", "jsx": "jsx", "py": "python", "go": "go", "md": "markdown", "markdown": "markdown"}
 

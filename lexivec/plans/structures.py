@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.text import content_snippet
-from ..operators import analytics, cache, fusion, graph, intervals, lexical, output, trace, vector
+from ..operators import analytics, cache, chunking, fusion, graph, intervals, lexical, output, trace, vector
 from ..operators.segments import SegmentedTable
 from ..session import work_folder
 from ..sources import server_logs, tree
@@ -200,7 +200,31 @@ def code_edges(spark, sf):
     return graph.edges(chunks).select("path", "edge_kind", "line", "dst_name", "confidence", "evidence")
 
 
-QUERIES = {f.__name__: f for f in (bm25_snippets, query_hits, bm25_after_edits, ignored_urls, module_of_url, url_folders, covering_symbols, hit_roots, narrowest_order, first_chunks, frecency_upsert, server_edges, beam_trace_resumed, kept_scores, chunk_by_id, chunk_keys, chosen_collection, embed_texts, paths_by_root, server_worthy, result_lines, server_output, identifier_columns, code_edges)}
+def binary_contents(spark, sf):
+    """Which contents count as binary: some have a NUL byte behind their text, within the first 8 KiB or beyond."""
+    docs = R._t(spark, sf, "documents")
+    raw = F.when(F.col("n_chars") % 7 == 0, F.concat(F.col("text").cast("binary"), F.lit(b"\0"))).otherwise(F.col("text").cast("binary"))
+    return docs.select("doc_id", tree.is_binary(raw).alias("is_binary"))
+
+
+def chunk_ids(spark, sf):
+    """Identity of chunks: place, kind and symbol, without the content."""
+    rows = R._windows(spark, sf)
+    return rows.select("path", "start_line", chunking.chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("kind"), F.col("symbol")).alias("chunk_id"))
+
+
+def vector_upsert(spark, sf):
+    """A collection after an upsert: the newest row of each key, and old rows of keys that got none."""
+    held = R._t(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("updated_at"), F.get("embedding", 0).cast("double").alias("first"))
+    fresh = held.filter("key % 3 = 0").withColumn("first", -F.col("first")).withColumn("updated_at", F.col("updated_at") + 5)
+    return vector.upsert(held, vector.latest(held.filter("key % 3 = 0").unionByName(fresh), ["key"]), ["key"])
+
+
+def result_files(spark, sf):
+    return output.as_files(R._by_source(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (bm25_snippets, query_hits, bm25_after_edits, ignored_urls, module_of_url, url_folders, covering_symbols, hit_roots, narrowest_order, first_chunks, frecency_upsert, server_edges, beam_trace_resumed, kept_scores, chunk_by_id, chunk_keys, chosen_collection, embed_texts, paths_by_root, server_worthy, result_lines, server_output, identifier_columns, code_edges, binary_contents, chunk_ids, vector_upsert, result_files)}
 
 
 def _instances(phrases: list[list[str]]) -> str:
@@ -280,4 +304,8 @@ found AS (
   UNION ALL SELECT path, 'sql_read', line, unnest(regexp_extract_all(l, '(?i)\\b(?:from|join)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1)), 0.77, trim(l), b FROM code)
 SELECT path, edge_kind, line, dst_name, max(coalesce(confidence, CASE WHEN dst_name = b THEN 0.45 ELSE 0.62 END))::DOUBLE AS confidence, evidence FROM found
 WHERE edge_kind <> 'call' OR dst_name NOT IN ({", ".join(f"'{x}'" for x in graph.NOT_CALLS)}) GROUP BY path, edge_kind, line, dst_name, evidence""",
+    "binary_contents": "SELECT doc_id, n_chars % 7 = 0 AND strlen(text) < 8192 AS is_binary FROM documents",
+    "chunk_ids": f"WITH {O.WINDOWS} SELECT path, start_line, sha256(path || chr(1) || start_line || chr(1) || end_line || chr(1) || 'block' || chr(1)) AS chunk_id FROM windows",
+    "vector_upsert": "SELECT vec_id AS key, label + CASE WHEN vec_id % 3 = 0 THEN 5 ELSE 0 END AS updated_at, embedding[1]::DOUBLE * CASE WHEN vec_id % 3 = 0 THEN -1 ELSE 1 END AS first FROM embeddings",
+    "result_files": f"WITH {O.TOK},\n{O.hits('a', [O.phrase(['the'])], 'f0', 200)} SELECT DISTINCT regexp_extract(path, '^([^/]*)/', 1) AS value FROM a",
 }
