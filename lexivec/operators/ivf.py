@@ -83,7 +83,7 @@ class VectorIndex:
             for name, schema in (("cells", "cell int, centroid array<double>, radius double, n long"), ("codes", f"cell int, key {kind}, code binary, scale double, lost double"), ("exact", f"part int, key {kind}, unit array<double>, cell int")):
                 spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}")
             return cls(spark, folder)
-        wanted = min(cells or max(1, math.isqrt(n)), MOST_CELLS)
+        wanted = max(2, min(cells or math.isqrt(n), MOST_CELLS))
         vector = array_to_vector("unit").alias("features")
         sample = unit.select(vector) if n <= SAMPLE else unit.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select(vector)
         model = KMeans(k=wanted, seed=7, maxIter=rounds, featuresCol="features", predictionCol="cell").fit(sample)
