@@ -21,6 +21,21 @@ def give_back() -> None:
         trim(0)
 
 
+#: What workers keep between tasks, by the operator that uses it.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """The place for what an operator's tasks keep in a worker. What other operators have kept there goes: a worker that turns
+    to the next step of a pipeline doesn't carry the vocabularies and caches of the last one along."""
+    others = [held for name, held in _KEPT.items() if name != owner and held]
+    for held in others:
+        held.clear()
+    if others:
+        give_back()
+    return _KEPT.setdefault(owner, {})
+
+
 def tidy(run: Callable) -> Callable:
     """A function for mapInArrow that gives memory back now and then, and at the end of its task."""
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import PieceCache, flat, hashes, ragged, slices, tidy
+from .bytetext import PieceCache, flat, hashes, kept, ragged, slices, tidy
 from .shared import read_table, small_batches
 
 SPACE = "▁"
@@ -243,14 +243,12 @@ class Stream:
         return out
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def model(path: str) -> Model:
-    """One for each worker and vocabulary."""
-    if path not in _MODELS:
-        _MODELS[path] = Model(path)
-    return _MODELS[path]
+    """One for each worker and vocabulary, while its tasks are of this operator."""
+    held = kept("pieces")
+    if path not in held:
+        held[path] = Model(path)
+    return held[path]
 
 
 def encode_parts(path: str, parts: Iterable[str]) -> Iterator[int]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .bytetext import PieceCache, flat, hashes, ragged, slices, tidy
+from .bytetext import PieceCache, flat, hashes, kept, ragged, slices, tidy
 from .shared import new_path, read_table, small_batches
 
 END_ID = 2
@@ -155,14 +155,12 @@ class Encoder:
         return ids, counts
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One for each worker and vocabulary, while its tasks are of this operator."""
+    held = kept("token ids")
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def _packed(vocabulary: str, end_id: int):

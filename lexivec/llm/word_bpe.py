@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import PieceCache, flat, hashes, mix, multipliers, ragged, slices, tidy
+from .bytetext import PieceCache, flat, hashes, kept, multipliers, ragged, slices, tidy
 from .shared import read_table, small_batches
 
 CHUNK = 1 << 20
@@ -359,14 +359,12 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
 
 
-_HELD: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
-    """One for each worker and file."""
-    if path not in _HELD:
-        _HELD[path] = Vocabulary(path)
-    return _HELD[path]
+    """One for each worker and file, while its tasks are of this operator."""
+    held = kept("word pieces")
+    if path not in held:
+        held[path] = Vocabulary(path)
+    return held[path]
 
 
 _SPACES = re.compile(rb"[ \n\r\t]")

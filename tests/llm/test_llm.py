@@ -13,7 +13,7 @@ import pytest
 from conftest import DATA, normal
 from pyspark.sql import functions as F
 
-from lexivec.llm import components, embeddings, jaccard, line_dedup, media, mixing, pieces, queries, secrets, sharding, shared, simple8b, token_ids, toxicity
+from lexivec.llm import bytetext, components, embeddings, jaccard, line_dedup, media, mixing, pieces, queries, secrets, sharding, shared, simple8b, token_ids, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -856,12 +856,19 @@ def test_the_query_commits_within_a_bounded_window():
     import pyarrow.parquet as pq
 
     path = P.path("piece_bpe_32k.model")
-    held = pieces._MODELS[path] = pieces.Model(path)
+    held = bytetext.kept("pieces")[path] = pieces.Model(path)
     docs = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"])
     rows = sum(b.num_rows for b in pieces._digest(path)(iter(docs.to_batches())))
     assert rows == docs.num_rows and held.commits > rows and held.widest <= held.longest
 
 
+def test_a_worker_keeps_what_its_operator_uses():
+    first = pieces.model(P.path("piece_bpe_32k.model"))
+    assert pieces.model(P.path("piece_bpe_32k.model")) is first
+    token_ids.encoder(P.path("byte_bpe_50k.json"))
+    assert not bytetext._KEPT["pieces"] and pieces.model(P.path("piece_bpe_32k.model")) is not first and not bytetext._KEPT["token ids"]
+
+
 def sentencepiece_library(path):
     import sentencepiece
 
