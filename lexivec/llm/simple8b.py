@@ -139,7 +139,16 @@ def decode(words: np.ndarray, n: int, dtype=np.uint64) -> np.ndarray:
     return out
 
 
+def decode_span(words: np.ndarray, offsets: np.ndarray, n: int, first: int, last: int, dtype=np.uint64) -> np.ndarray:
+    """Values `first` to `last` - 1 of a stream of `n`: only the words of the blocks that hold them are read, all at once."""
+    if first >= last:
+        return np.zeros(0, dtype=dtype)
+    block, after = first // BLOCK, -(-last // BLOCK)
+    end = int(offsets[after]) if after < len(offsets) else len(words)
+    values = decode(words[int(offsets[block]) : end], min(after * BLOCK, n) - block * BLOCK, dtype)
+    return values[first - block * BLOCK : last - block * BLOCK]
+
+
 def decode_block(words: np.ndarray, offsets: np.ndarray, n: int, block: int, dtype=np.uint64) -> np.ndarray:
     """One block of a stream, without touching the others."""
-    end = int(offsets[block + 1]) if block + 1 < len(offsets) else len(words)
-    return decode(words[int(offsets[block]) : end], min(BLOCK, n - block * BLOCK), dtype)
+    return decode_span(words, offsets, n, block * BLOCK, min((block + 1) * BLOCK, n), dtype)

@@ -2,10 +2,14 @@
 
 `write_ids` encodes texts, sorts them by id over range partitions, and writes one file per partition: a Parquet file whose
 rows are segments of about SEGMENT ids. A segment holds its documents' ids and lengths, the packed words, and for every
-block of 1,024 ids the word at which it starts, so a reader can decode any block alone. `read_ids` reads such files back.
-
-Defined results: a null text counts as empty and gives the end id alone; equal doc_ids stay separate rows, ordered by text;
-a null doc_id sorts first; an empty table gives no rows; other columns are not read.
+block of 1,024 ids the word at which it starts. Readers go from document to document and decode the blocks of about SPAN
+ids at a time from these places, so what they hold doesn't grow with a segment. `read_ids` gives whole documents back;
+`digest` takes the checksum of a document longer than SPAN part by part.
+
+Defined results: a null text counts as empty and gives the end id alone; equal doc_ids stay separate rows, ordered by text,
+and may lie in several files where their texts begin differently; a null doc_id sorts first, like one of its own; equal
+rows are separate documents with the same ids; a text is encoded whole, however long, and its segment holds all of it; an
+empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +34,10 @@ END_ID = 2
 SEGMENT = 1 << 19
 #: Bytes of text that are encoded at once.
 CHUNK = 4 << 20
+#: Ids that a reader decodes at once.
+SPAN = 1 << 16
+#: Characters of a text by which documents of one id are dealt to files.
+BEGINNING = 64
 
 #: Classes of bytes for the tokenizer's pattern. Bytes of UNSURE make a text go to the tokenizer whole.
 LETTER, DIGIT, SPACE, SIGN, UNSURE = range(5)
@@ -202,7 +210,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .repartitionByRange(files, "doc_id")
+        .repartitionByRange(files, "doc_id", F.substring("text", 1, BEGINNING))
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(tidy(_packed(vocabulary, end_id)), SEGMENT_SCHEMA)
         .write.option("compression", "zstd")
@@ -210,22 +218,45 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id
     )
 
 
+class Segment:
+    """A row of a file, read in spans of blocks."""
+
+    def __init__(self, row: dict):
+        self.words, self.offsets, self.n = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["block_starts"], "<u4"), row["n_ids"]
+        self.lens = np.frombuffer(row["doc_lens"], "<i8")
+        self.ends = np.cumsum(self.lens)
+        self.begins = self.ends - self.lens
+        self.doc_ids = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["doc_nulls"], np.uint8).astype(bool))
+
+    def ids(self, first: int, last: int) -> np.ndarray:
+        return simple8b.decode_span(self.words, self.offsets, self.n, first, last, np.dtype("<u4"))
+
+    def groups(self) -> Iterator[tuple[int, int]]:
+        """Neighbouring documents of at most SPAN ids, or one that is longer."""
+        at = 0
+        while at < len(self.lens):
+            end = max(at + 1, int(np.searchsorted(self.ends, self.begins[at] + SPAN, side="right")))
+            yield at, end
+            at = end
+
+    def checksums(self, at: int, end: int) -> list[int]:
+        first, last = int(self.begins[at]), int(self.ends[end - 1])
+        if last - first <= SPAN:
+            ids = self.ids(first, last)
+            return [zlib.crc32(ids[b - first : e - first]) for b, e in zip(self.begins[at:end].tolist(), self.ends[at:end].tolist())]
+        crc = 0  # one document
+        for k in range(first, last, SPAN):
+            crc = zlib.crc32(self.ids(k, min(k + SPAN, last)), crc)
+        return [crc]
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids = simple8b.decode(np.frombuffer(row["words"], "<u8"), row["n_ids"], np.dtype("<u4"))
-            lens = np.frombuffer(row["doc_lens"], "<i8")
-            begin = np.cumsum(lens) - lens
-            crc = [zlib.crc32(ids[b : b + n]) for b, n in zip(begin.tolist(), lens.tolist())]
-            n = len(lens)
+            segment = Segment(row)
+            crc = [x for at, end in segment.groups() for x in segment.checksums(at, end)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["doc_nulls"], np.uint8).astype(bool)),
-                    pa.array(np.full(n, row["part"])),
-                    pa.array(row["seg_start"] + begin),
-                    pa.array(lens),
-                    pa.array(np.array(crc, dtype=np.int64)),
-                ],
+                [segment.doc_ids, pa.array(np.full(len(crc), row["part"])), pa.array(row["seg_start"] + segment.begins), pa.array(segment.lens), pa.array(np.array(crc, dtype=np.int64))],
                 names=["doc_id", "part", "at", "n_tokens", "ids_crc32"],
             )
 
@@ -233,12 +264,12 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids = simple8b.decode(np.frombuffer(row["words"], "<u8"), row["n_ids"], np.dtype("<u4"))
-            lens = np.frombuffer(row["doc_lens"], "<i8")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["doc_nulls"], np.uint8).astype(bool)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32)), pa.array(ids.astype(np.int64)))],
-                names=["doc_id", "ids"],
-            )
+            segment = Segment(row)
+            for at, end in segment.groups():
+                first = int(segment.begins[at])
+                ids = segment.ids(first, int(segment.ends[end - 1]))
+                bounds = np.r_[0, segment.ends[at:end] - first].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([segment.doc_ids.slice(at, end - at), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int64)))], names=["doc_id", "ids"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

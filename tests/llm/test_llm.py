@@ -99,6 +99,57 @@ def test_token_files(spark, docs, empty):
     assert token_ids.digest(spark, other).count() == 0
 
 
+def test_simple8b_spans():
+    r = np.random.default_rng(8)
+    v = r.integers(0, 1 << 62, 5000, dtype=np.uint64) >> r.integers(0, 63, 5000).astype(np.uint64)
+    words, starts = simple8b.encode(v)
+    for first, last in [(0, 0), (0, 1), (0, 5000), (1023, 1025), (1024, 2048), (4999, 5000), (5000, 5000), *np.sort(r.integers(0, 5001, (40, 2))).tolist()]:
+        assert (simple8b.decode_span(words, starts, len(v), first, last) == v[first:last]).all()
+    # Words of other blocks aren't looked at.
+    torn = words.copy()
+    torn[: starts[2]] = torn[starts[3] :] = np.uint64((1 << 64) - 1)
+    assert (simple8b.decode_span(torn, starts, len(v), 2100, 3000) == v[2100:3000]).all()
+
+
+def test_token_segments_are_read_in_spans(monkeypatch):
+    monkeypatch.setattr(token_ids, "SPAN", 100)
+    r = np.random.default_rng(9)
+    lens = np.array([1, 99, 100, 101, 1, 5000, 1, 1, 98, 3])
+    ids = r.integers(0, 1 << 16, lens.sum()).astype("<u4")
+    words, starts = simple8b.encode(ids)
+    row = {"words": words.tobytes(), "block_starts": starts.astype("<u4").tobytes(), "n_ids": len(ids), "doc_lens": lens.astype("<i8").tobytes(), "doc_ids": np.arange(10, dtype="<i8").tobytes(), "doc_nulls": bytes(10), "part": 0, "seg_start": 7}
+    asked = []
+    span = simple8b.decode_span
+    monkeypatch.setattr(simple8b, "decode_span", lambda words, offsets, n, first, last, dtype: asked.append(last - first) or span(words, offsets, n, first, last, dtype))
+    cut = np.split(ids, np.cumsum(lens)[:-1])
+    batch = pa.RecordBatch.from_pylist([row])
+    digests = pa.Table.from_batches(token_ids._unpacked([batch])).to_pylist()
+    assert max(asked) <= 100
+    assert [(d["doc_id"], d["at"], d["n_tokens"], d["ids_crc32"]) for d in digests] == [(k, 7 + sum(lens[:k]), lens[k], zlib.crc32(c.tobytes())) for k, c in enumerate(cut)]
+    back = pa.Table.from_batches(token_ids._texts_of_ids([batch])).to_pylist()
+    assert [b["ids"] for b in back] == [c.tolist() for c in cut]
+
+
+def test_token_files_of_long_texts_and_one_id(spark):
+    """A text of several spans, one id with many texts in several files, repeated rows, and columns named like the format's."""
+    vocabulary = P.path("byte_bpe_50k.json")
+    rows = [(1, "some words " * 60_000, 5, "x")] + [(2, f"{k % 50} text", k, None) for k in range(100)] + [(None, f"{k} none", k, "y") for k in range(20)] + [(3, "", 0, ""), (3, None, 0, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part long, words string").repartition(4)
+    path = shared.new_path(spark, "t")
+    token_ids.write_ids(docs, path, vocabulary, files=6)
+    code = token_ids.encoder(vocabulary)
+    want, at = [], 0
+    for doc_id, text in sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        ids = [*code.whole(text).tolist(), 2]
+        want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert max(w[2] for w in want) > token_ids.SPAN
+    assert sorted(map(tuple, token_ids.digest(spark, path).collect()), key=lambda r: r[1]) == want
+    files = spark.read.schema(token_ids.SEGMENT_SCHEMA).parquet(path).collect()
+    held = [set(np.frombuffer(f.doc_ids, "<i8")[np.frombuffer(f.doc_nulls, np.uint8) == 0].tolist()) for f in files]
+    assert sum(2 in h for h in held) > 1
+
+
 # --- 2 mixing ---
 
 
