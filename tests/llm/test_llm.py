@@ -869,6 +869,47 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert all(got[i][0] <= want[i][0] for i in want) and set(got) == set(want)
 
 
+def test_embeddings_ties_chains_and_repeated_ids(spark):
+    """Planted: pairs at exactly 0.98 (49 / 50 over whole numbers), pairs just below, a chain, ids that repeat, and columns named
+    like those that the operator makes."""
+    r = np.random.default_rng(12)
+    rows = []
+
+    def put(vec_id, v, label):
+        rows.append((vec_id, [float(x) for x in v], label))
+
+    for k in range(40):
+        first, tie, below = np.zeros(16), np.zeros(16), np.zeros(16)
+        at = r.permutation(16)[:4]
+        first[at[0]] = 2.0 ** (k % 5)  # other lengths would round in brute force, in either direction
+        tie[at] = (49, 9, 3, 3)
+        below[at] = (48.99, 9, 3, 3)
+        put(3 * k, first, k)
+        put(3 * k + 1, tie, k)
+        put(3 * k + 2, -below if k % 2 else np.r_[below[1:], below[:1]], k)
+        put(2000 + k, first, 1000 + k)
+        put(1000 + k, below, 1000 + k)
+    angle = math.acos(0.98) * 0.9
+    for k in range(12):  # neighbours link, others don't
+        v = np.zeros(16)
+        v[3], v[9] = math.cos(k * angle), math.sin(k * angle)
+        put(511 - k, v, 7777)
+    put(700, rows[0][1], 0)
+    put(700, rows[1][1], 0)
+    df = spark.createDataFrame([(*x, 1, 2, "a", True) for x in rows], "vec_id long, embedding array<double>, label int, cls long, h long, n_links string, ok boolean")
+    got = collections.Counter((x.vec_id, x.n_links, x.component_id, x.kept) for x in embeddings.near_duplicates(df).collect())
+    assert sum(got.values()) == len(rows)
+    # Repeated ids are told apart for the brute-force version, and named alike again.
+    apart = [(x[0] if i < len(rows) - 1 else 701, *x[1:]) for i, x in enumerate(rows)]
+    want = collections.Counter()
+    for vec_id, (n, component) in brute_links(apart).items():
+        vec_id, component = min(vec_id, 700) if vec_id in (700, 701) else vec_id, min(component, 700) if component in (700, 701) else component
+        want[vec_id, n, component, vec_id == component] += 1
+    assert got == want
+    assert all(want[3 * k + 1, 1, 3 * k, False] for k in range(1, 40)) and all(want[1000 + k, 0, 1000 + k, True] for k in range(40))
+    assert want[500, 1, 500, True] and sum(n for (_, _, component, _), n in want.items() if component == 500) == 12
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
