@@ -19,7 +19,9 @@ import package func type var if else match async await use mod crate self super
 
 
 def folded(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """In lower case and without accents. Texts of ASCII alone, told by their bytes, have none to take off."""
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))
 
 
 def tokens(text: Column) -> Column:

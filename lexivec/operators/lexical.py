@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_path, path_prefix
-from ..functions.text import fold_words, let, match_snippet, phrase_starts, tokens
+from ..functions.text import fold_words, folded, let, match_snippet, phrase_starts, tokens
 from ..session import remove
 from .intervals import narrowest
-from .segments import Segment, SegmentedTable, joined, ordered, written
+from .segments import BROADCAST_KEYS, Segment, SegmentedTable, joined, ordered, written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 NEAR_DEFAULT = 10
@@ -183,6 +183,14 @@ def _matches(node: Node, starts: dict[int, Column]) -> Column:
     return out
 
 
+def _may_match(node: Node, text: Column) -> Column:
+    """Whether the folded text holds, at any place, the words that the query needs. It is wider than the query, never narrower."""
+    if node.op == "phrase":
+        return reduce(lambda x, y: x & y, [text.contains(w) for w in node.phrase.words])
+    parts = [_may_match(p, text) for p in (node.parts[:1] if node.op == "not" else node.parts)]
+    return reduce((lambda x, y: x | y) if node.op == "or" else (lambda x, y: x & y), parts)
+
+
 def _within(last: Column, reach: int, p: Column) -> Column:
     return (p <= last) & (p >= last - reach)
 
@@ -230,13 +238,15 @@ def scored(chunks: DataFrame, node: Node, keep: list[str] | None = None) -> Data
         return F.struct(c["length"].alias("length"), _matches(node, own).alias("hit"), *[F.size(c[f"s{i}"]).alias(f"f{i}") for i in range(len(found))])
 
     # The tokens of a row are made once, its phrases are searched once, and only counts leave the expression.
-    wide = chunks.select(*keep, let(let(tokens(F.col("content")), placed), counted).alias("_c"))
+    wide_of = lambda rows: rows.select(*keep, let(let(tokens(F.col("content")), placed), counted).alias("_c"))
+    wide = wide_of(chunks)
     sums = [F.sum(F.when(F.col(f"_c.f{i}") > 0, 1).otherwise(0)).alias(f"_n{i}") for i in range(len(found))]
     stats = wide.agg(F.count("*").alias("_total"), F.avg("_c.length").alias("_average"), *sums)  # one row
     score = F.lit(0.0)
     for i in range(len(found)):
         score = score + bm25(F.col(f"_c.f{i}"), F.col("_c.length"), F.col(f"_n{i}"), F.col("_total"), F.col("_average"))
-    hits = wide.filter("_c.hit")
+    # Statistics take the tokens of every row; of the others only rows that hold the words are cut into tokens again.
+    hits = wide_of(chunks.filter(_may_match(node, folded(F.col("content"))))).filter("_c.hit")
     return hits.crossJoin(F.broadcast(stats)).select(*keep, score.alias("score"))
 
 
