@@ -26,7 +26,7 @@ def _folder(spark, name: str) -> str:
 
 def bm25_snippets(spark, sf):
     """Hits with the best window of their text, phrases in one pair of brackets."""
-    return lexical.search(R.corpus(spark, sf), SHOWN, 50, literal=False, digits=6, index=R.held_index(spark, sf), snippets="phrases").select("chunk_id", "score", "snippet")
+    return lexical.search(R.corpus(spark, sf), SHOWN, 50, literal=False, digits=6, index=R.ready_index(spark, sf), snippets="phrases").select("chunk_id", "score", "snippet")
 
 
 def query_hits(spark, sf):
@@ -87,7 +87,7 @@ def covering_symbols(spark, sf):
 
 def hit_roots(spark, sf):
     """Roots of hits that have no symbol of their own: the narrowest window around line 4."""
-    hits = lexical.search(R.corpus(spark, sf), "the", 200, digits=6, index=R.held_index(spark, sf))
+    hits = lexical.search(R.corpus(spark, sf), "the", 200, digits=6, index=R.ready_index(spark, sf))
     return graph.roots(hits.select(F.col("chunk_id").cast("string").alias("chunk_id"), "path", F.lit(4).cast("long").alias("start_line"), "score"), _window_symbols(spark, sf)).select("symbol_id", "score")
 
 
