@@ -662,12 +662,14 @@ def search_batch(chunks: DataFrame, queries: DataFrame, limit: int, digits: int
         held = index.alive(index.postings).select("term", "chunk_id", F.size("positions").alias("tf"), "length")
     else:
         held, total = postings(chunks), chunks.agg(F.count("*").alias("total"), F.avg(F.size(tokens(F.col("content")))).alias("average"))
-    wanted = held.join(words.select("term").distinct(), "term", "left_semi")
+    # A chunk's postings go to one task: sums by query and chunk are made and cut to the best there, and only these move on.
+    wanted = held.join(words.select("term").distinct(), "term", "left_semi").repartition("chunk_id")
     n = wanted.groupBy("term").agg(F.count("*").alias("n"))
-    each = wanted.join(n, "term").join(words, "term").crossJoin(F.broadcast(total))
+    small = F.broadcast if words.count() <= BROADCAST_KEYS else lambda rows: rows
+    each = wanted.join(small(n), "term").join(small(words), "term").crossJoin(F.broadcast(total))
     summed = each.groupBy("query_id", "chunk_id").agg(F.round(F.sum(bm25(F.col("tf"), F.col("length"), F.col("n"), F.col("total"), F.col("average"))), digits).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return summed.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= limit)
+    return summed.withColumn("rank", rank).filter(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("long"))
 
 
 def get_chunk(chunks: DataFrame, chunk_id) -> DataFrame:

@@ -41,3 +41,8 @@ def test_rows_left_out_before_tokens_are_made_match_nothing(spark, text):
     index = lexical.search(chunks, text, 256, literal=False, index=R.lexical.Index.build(chunks, S._folder(spark, "growth")))
     may = {r.chunk_id for r in chunks.filter(lexical._may_match(node, folded(F.col("content")))).collect()}
     assert hits and hits == {r.chunk_id for r in index.collect()} and hits <= may < set(range(256))
+
+
+def test_a_batch_cuts_lists_before_they_move(spark):
+    told = planned(R.bm25_batch_benchmark(spark, DATA))
+    assert "WindowGroupLimit" in told
