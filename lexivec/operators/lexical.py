@@ -320,7 +320,7 @@ class Index(SegmentedTable):
         toks = dealt.select("chunk_id", "path", "language", tokens(F.col("content")).alias("t"))
         toks = toks.select("chunk_id", "path", "language", F.size("t").alias("length"), is_test_path(F.col("path")).alias("hidden"), "t")
         each = toks.select("chunk_id", "length", "language", "hidden", "path", "t")
-        each = each.mapInArrow(_by_term, f"chunk_id {self.id_type}, length int, language string, hidden boolean, term string, positions array<int>, path string")
+        each = each.mapInArrow(_by_term, f"chunk_id {self.id_type}, length int, language string, hidden boolean, term string, positions array<int>, path string, tf int")
         sums, none = Observation(), F.col("term").isNull()
         each.observe(sums, F.count(F.when(none, 1)).alias("chunks"), F.coalesce(F.sum(F.when(none, F.col("length"))), F.lit(0)).alias("tokens"), F.count("term").alias("postings")).write.parquet(raw)
         came, raw_rows = sums.get, spark.read.parquet(raw)
@@ -339,17 +339,24 @@ class Index(SegmentedTable):
         """Write postings by impact, the bounds of their tiers, and the keys that go."""
         spark, folder = self.spark, f"{self.folder}/{name}"
         mean = (self.tokens + tokens_) / max(1, self.total + chunks) or 1.0
-        tf = F.size("positions")
-        rows = rows.withColumn("_step", F.floor(IMPACT_STEPS * tf / (tf + K1 * (1 - B + B * F.col("length") / mean))).cast("int"))
+        tf = F.col("tf") if "tf" in rows.columns else F.size("positions")  # a number is read without the places
+        step = F.floor(IMPACT_STEPS * tf / (tf + K1 * (1 - B + B * F.col("length") / mean))).cast("int")
         # At most IMPACT_STEPS rows for each term of more than TIER postings; all others stay in tier 0.
-        counted = rows.groupBy("term", "_step").agg(F.count("*").alias("n"))
+        counted = rows.groupBy("term", step.alias("_step")).agg(F.count("*").alias("n"))
         by_term = Window.partitionBy("term")
         above = F.sum("n").over(by_term.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1))
         tiers = counted.select("term", "_step", F.coalesce(above, F.lit(0)).alias("above"), F.sum("n").over(by_term).alias("all")).filter(F.col("all") > TIER)
         tiers = tiers.select("term", "_step", F.floor(F.log2(1 + F.col("above") / TIER)).cast("int").alias("tier")).filter("tier > 0")
         # No term has over TIER postings if all together don't.
-        placed = rows.join(tiers, ["term", "_step"], "left").withColumn("tier", F.coalesce("tier", F.lit(0))) if n > TIER else rows.withColumn("tier", F.lit(0))
+        placed = rows.withColumn("tier", F.lit(0))
+        if n > TIER:
+            # One row for each frequent term; postings are not dealt by term for them unless these are many.
+            frequent = tiers.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("_step", "tier"))).alias("_tiers"))
+            few = written(frequent, f"{folder}/tiers") <= BROADCAST_KEYS
+            frequent = spark.read.schema("term string, _tiers map<int, int>").parquet(f"{folder}/tiers")
+            placed = rows.join(F.broadcast(frequent) if few else frequent, "term", "left").withColumn("tier", F.coalesce(F.try_element_at("_tiers", step), F.lit(0)))
         kept = written(ordered(placed.select(*self.columns), self.sort, n), f"{folder}/rows", **{"parquet.page.row.count.limit": PAGE_ROWS})
+        remove(spark, f"{folder}/tiers")
         held = spark.read.schema(self.schema).parquet(f"{folder}/rows")
         bounds = held.groupBy("term", "tier").agg(F.count("*").alias("n"), F.max(F.size("positions")).alias("most"), F.min(F.col("length") / F.size("positions")).alias("thinnest"))
         if minus is not None:
@@ -563,10 +570,10 @@ def snippet(content: Column, node: Node) -> Column:
 def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each chunk and term, with its places, and one without a term for each chunk, with its path. Tokens are
     grouped before anything is shuffled."""
-    names = ["chunk_id", "length", "language", "hidden", "term", "positions", "path"]
+    names = ["chunk_id", "length", "language", "hidden", "term", "positions", "path", "tf"]
     for batch in batches:
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32())), batch.column(4)], names=names)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32())), batch.column(4), pa.nulls(n, pa.int32())], names=names)
         lists = batch.column(5)
         count = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
         total = int(count.sum())
@@ -581,7 +588,7 @@ def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term = coded.dictionary.take(pa.array(np.asarray(coded.indices)[order[first]]))
         places = pa.ListArray.from_arrays(pa.array(np.r_[first, total].astype(np.int32)), pa.array(at))
         held = [batch.column(i).take(pa.array(row[order[first]])) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([*held, term, places, pa.nulls(len(first), pa.string())], names=names)
+        yield pa.RecordBatch.from_arrays([*held, term, places, pa.nulls(len(first), pa.string()), pa.array(np.diff(np.r_[first, total]).astype(np.int32))], names=names)
 
 
 def among(column: str, values: list, most: int = 16) -> Column:

@@ -46,3 +46,14 @@ def test_rows_left_out_before_tokens_are_made_match_nothing(spark, text):
 def test_a_batch_cuts_lists_before_they_move(spark):
     told = planned(R.bm25_batch_benchmark(spark, DATA))
     assert "WindowGroupLimit" in told
+
+
+def test_postings_meet_tiers_without_a_shuffle(spark, monkeypatch, tmp_path):
+    told, was = [], lexical.ordered
+    monkeypatch.setattr(lexical, "TIER", 4)
+    monkeypatch.setattr(lexical, "ordered", lambda rows, by, n: (told.append(plan(rows)), was(rows, by, n))[1])
+    rows = [(i, f"p/{i}", "the " * (1 + i % 5) + f"w{i % 7}") for i in range(60)]
+    index = lexical.Index.build(spark.createDataFrame(rows, "chunk_id long, path string, content string"), str(tmp_path / "index"))
+    placed = next(x for x in told if "_tiers" in x)
+    assert "strategy=broadcast" in placed and "_step" not in placed
+    assert {r.tier for r in index.terms.filter("term = 'the'").collect()} > {0}
