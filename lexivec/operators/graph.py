@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from . import intervals
 
 # Patterns of edges with their confidence, and words before a bracket that are no calls.
 CALL = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("
+#: Edges that a task holds as Python's objects at once.
+PIECE_EDGES = 4096
 CALL_CONFIDENCE, SELF_CALL_CONFIDENCE = 0.62, 0.45
 NOT_CALLS = "if for while switch match return fn func def class struct enum trait impl let new use import from catch throw".split()
 IMPORTS = {
@@ -85,8 +88,12 @@ def edges(chunks: DataFrame) -> DataFrame:
                 yield edge(kind, m.start(1), m[1], confidence)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in EDGE.split(", ")]
         for frame in frames:
-            yield pd.DataFrame([e for row in frame.itertuples(index=False) for e in of_chunk(*row)], columns=[c.split()[0] for c in EDGE.split(", ")])
+            # Edges leave in pieces: what a worker holds depends neither on a batch's rows nor on their edges.
+            found = (e for row in frame.itertuples(index=False) for e in of_chunk(*row))
+            while piece := list(islice(found, PIECE_EDGES)):
+                yield pd.DataFrame(piece, columns=names)
 
     named = symbols(chunks).select("symbol_id", "chunk_id", "short_name").join(chunks, "chunk_id")
     found = named.select("symbol_id", "path", "language", "short_name", "start_line", F.coalesce("content", F.lit("")).alias("content")).mapInPandas(run, EDGE)

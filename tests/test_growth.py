@@ -57,3 +57,14 @@ def test_postings_meet_tiers_without_a_shuffle(spark, monkeypatch, tmp_path):
     placed = next(x for x in told if "_tiers" in x)
     assert "strategy=broadcast" in placed and "_step" not in placed
     assert {r.tier for r in index.terms.filter("term = 'the'").collect()} > {0}
+
+
+def test_edges_leave_in_pieces(spark, monkeypatch):
+    held = []
+    frames = type(spark.range(0))
+    was = frames.mapInPandas
+    monkeypatch.setattr(frames, "mapInPandas", lambda self, f, *a: (held.append(f), was(self, f, *a))[1])
+    S.code_edges(spark, DATA)
+    frame = pd.DataFrame([("s", "p", "python", "f", 1, "g(1)\n" * 20_000)], columns=["symbol_id", "path", "language", "short_name", "start_line", "content"])
+    pieces = [len(x) for x in held[0](iter([frame]))]
+    assert sum(pieces) == 20_000 and max(pieces) <= graph.PIECE_EDGES
