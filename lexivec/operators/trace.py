@@ -32,6 +32,8 @@ def bonus(target: Column, evidence: Column, terms: list[str]) -> Column:
     return F.least(F.lit(MOST_BONUS), out)
 
 
+#: States of a stored level up to which its edges are picked by a broadcast of them.
+FEW_STATES = 10_000
 EMITTED = f"root string, score double, depth long, last string, state_ord int, edge_ord int, steps array<{STEP}>"
 STATE = f"root string, current string, from_symbol string, score double, state_ord int, visited array<string>, steps array<{STEP}>"
 
@@ -46,18 +48,34 @@ class BeamSearch:
     """
 
     def __init__(self, roots: DataFrame, symbols: DataFrame, edges: DataFrame, terms: list[str], beam: int, weights: EdgeWeights = EdgeWeights(), digits: int | None = None, folder: str | None = None, checkpoint_every: int = 4):
-        names = symbols.select(F.col("symbol_id").alias("dst_symbol_id"), F.col("short_name").alias("to_symbol"))
-        place = F.row_number().over(Window.partitionBy("src_symbol_id").orderBy(F.desc("confidence"), "line", "edge_id"))
-        ahead = edges.withColumn("edge_ord", place).filter(F.col("edge_ord") <= beam).join(names, "dst_symbol_id", "left")
-        ahead = ahead.select(F.col("src_symbol_id").alias("current"), "edge_ord", "edge_id", "dst_symbol_id", "to_symbol", F.coalesce("to_symbol", "dst_name").alias("target_name"), "edge_kind", "path", "line", "confidence", "evidence")
-        gain = edge_weight(F.col("edge_kind"), weights) * F.col("confidence") + bonus(F.coalesce("target_name", F.lit("")), F.coalesce("evidence", F.lit("")), terms)
-        self.ahead, self.beam, self.digits, self.folder, self.checkpoint_every = ahead.withColumn("gain", gain), beam, digits, folder, checkpoint_every
+        self.names = symbols.select(F.col("symbol_id").alias("dst_symbol_id"), F.col("short_name").alias("to_symbol"))
+        self.edges, self.terms, self.weights = edges, terms, weights
+        self.beam, self.digits, self.folder, self.checkpoint_every = beam, digits, folder, checkpoint_every
         self.spark, self.depth, self.emitted = roots.sparkSession, 0, []
         state = roots.select(F.col("symbol_id").alias("root"), F.col("symbol_id").alias("current"), "score").join(symbols.select(F.col("symbol_id").alias("current"), F.col("short_name").alias("from_symbol")), "current", "left")
         self.state = state.select("root", "current", "from_symbol", "score", F.lit(0).alias("state_ord"), F.array("root").alias("visited"), F.array().cast(f"array<{STEP}>").alias("steps"))
         while folder and exists(self.spark, f"{folder}/{self.depth + 1}/state/_SUCCESS"):
             self.depth += 1
             self._take(self.depth)
+        if folder and not self.depth:
+            self.state.write.mode("overwrite").parquet(f"{folder}/0/state")
+            self.state = self.spark.read.schema(STATE).parquet(f"{folder}/0/state")
+
+    def _ahead(self) -> DataFrame:
+        """The first edges of symbols with the gain of each. A stored level of few states ranks and names its own edges alone."""
+        few = lambda rows: F.broadcast(rows.distinct())
+        edges, names = self.edges, self.names
+        narrow = bool(self.folder) and self.state.count() <= FEW_STATES
+        if narrow:
+            edges = edges.join(few(self.state.select(F.col("current").alias("src_symbol_id"))), "src_symbol_id", "left_semi")
+        place = F.row_number().over(Window.partitionBy("src_symbol_id").orderBy(F.desc("confidence"), "line", "edge_id"))
+        first = edges.withColumn("edge_ord", place).filter(F.col("edge_ord") <= self.beam)
+        if narrow:
+            names = names.join(few(first.select("dst_symbol_id")), "dst_symbol_id", "left_semi")
+        ahead = first.join(names, "dst_symbol_id", "left")
+        ahead = ahead.select(F.col("src_symbol_id").alias("current"), "edge_ord", "edge_id", "dst_symbol_id", "to_symbol", F.coalesce("to_symbol", "dst_name").alias("target_name"), "edge_kind", "path", "line", "confidence", "evidence")
+        gain = edge_weight(F.col("edge_kind"), self.weights) * F.col("confidence") + bonus(F.coalesce("target_name", F.lit("")), F.coalesce("evidence", F.lit("")), self.terms)
+        return ahead.withColumn("gain", gain)
 
     def _take(self, depth: int) -> None:
         read = lambda part, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{depth}/{part}")
@@ -68,7 +86,7 @@ class BeamSearch:
         depth = self.depth
         step = F.struct("edge_kind", "from_symbol", "to_symbol", "target_name", "path", F.col("line").cast("long").alias("line"), "confidence", "evidence")
         score = F.col("score") + F.col("gain") - STEP_COST * depth
-        new = self.state.join(self.ahead, "current").select("root", "dst_symbol_id", "to_symbol", "state_ord", "edge_ord", "visited", (F.round(score, self.digits) if self.digits is not None else score).alias("score"), F.concat("steps", F.array(step)).cast(f"array<{STEP}>").alias("steps"))
+        new = self.state.join(self._ahead(), "current").select("root", "dst_symbol_id", "to_symbol", "state_ord", "edge_ord", "visited", (F.round(score, self.digits) if self.digits is not None else score).alias("score"), F.concat("steps", F.array(step)).cast(f"array<{STEP}>").alias("steps"))
         emitted = new.select("root", "score", F.lit(depth).cast("long").alias("depth"), F.col("dst_symbol_id").alias("last"), "state_ord", "edge_ord", "steps")
         order = Window.partitionBy("root").orderBy(F.desc("score"), "state_ord", "edge_ord")
         going = new.filter(F.col("dst_symbol_id").isNotNull() & ~F.array_contains("visited", F.col("dst_symbol_id")))

@@ -72,3 +72,11 @@ def test_edges_leave_in_pieces(spark, monkeypatch):
     frame = pd.DataFrame([("s", "p", "python", "f", 1, "g(1)\n" * 20_000)], columns=["symbol_id", "path", "language", "short_name", "start_line", "content"])
     pieces = [len(x) for x in held[0](iter([frame]))]
     assert sum(pieces) == 20_000 and max(pieces) <= graph.PIECE_EDGES
+
+
+def test_a_stored_level_ranks_its_own_edges(spark, tmp_path):
+    roots, symbols, edges = R._graph(spark, DATA)
+    search = trace.BeamSearch(roots, symbols, edges, R.BEAM_TERMS, R.BEAM, digits=12, folder=str(tmp_path / "trace"))
+    told = plan(search._extended()[0])
+    assert "LeftSemi" in told
+    assert search.to(2).count() == trace.BeamSearch(roots, symbols, edges, R.BEAM_TERMS, R.BEAM, digits=12).to(2).count()
