@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöøōőŕřśšşťùúûüūůűųýÿźżž"
 PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiinnnoooooooorrssstuuuuuuuuyyzzz"
 assert len(ACCENTED) == len(PLAIN)
-TOKEN = r"[\p{L}\p{N}]+"
+# Capitals that lower() turns into two characters, or differently by what stands beside them.
+LOWERED = {"İ": "i", "Σ": "σ"}
+# Letters and digits of Unicode 14 and 15, which the JVM may not have as such yet.
+NEWER = """870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7d0-a7d1 a7d3 a7d5-a7d9 a7f2-a7f4
+10570-1057a 1057c-1058a 1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 105bb-105bc 10780-10785 10787-107b0
+107b2-107ba 10f70-10f81 11071-11072 11075 1123f-11240 11740-11746 11ab0-11abf 11f02 11f04-11f10 11f12-11f33 11f50-11f59
+12f90-12ff0 1342f 13441-13446 16a70-16abe 16ac0-16ac9 1aff0-1aff3 1aff5-1affb 1affd-1affe 1b11f-1b122 1b132 1b155
+1d2c0-1d2d3 1df00-1df1e 1df25-1df2a 1e030-1e06d 1e290-1e2ad 1e4d0-1e4eb 1e4f0-1e4f9 1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee
+1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 31350-323af""".split()
+TOKEN = r"[\p{L}\p{N}[\x{870}-\x{323af}&&[%s]]]+" % "".join("-".join(r"\x{%s}" % end for end in span.split("-")) for span in NEWER)
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 # Words that never expand a query.
 STOP_WORDS = """the and for with this that from into impl pub fn let const static struct enum trait class def return
@@ -19,9 +28,9 @@ import package func type var if else match async await use mod crate self super
 
 
 def folded(text: Column) -> Column:
-    """In lower case and without accents. Texts of ASCII alone, told by their bytes, have none to take off."""
-    low = F.lower(text)
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))
+    """In lower case and without accents, each letter by itself. Texts of ASCII alone, told by their bytes, have none to take off."""
+    alone = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), LOWERED.items(), text)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(F.lower(alone), ACCENTED, PLAIN))
 
 
 def tokens(text: Column) -> Column:
@@ -37,7 +46,7 @@ def fold_words(text: str) -> list[str]:
     """The tokens of a query, on the driver."""
     import re
 
-    return re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(ACCENTED, PLAIN)))
+    return re.findall(r"[^\W_]+", text.translate(str.maketrans(LOWERED)).lower().translate(str.maketrans(ACCENTED, PLAIN)))
 
 
 def let(value: Column, body) -> Column:

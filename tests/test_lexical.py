@@ -1,7 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexivec.functions import text as T
 from lexivec.operators import lexical
 
 ROWS = [("a", "src/a.rs", "rust", "the quick brown fox"), ("b", "src/b.go", "go", "the lazy Café dog, the end"), ("c", "Src/c.py", "python", "store_driver stores quick things"), ("d", "tests/d.rs", "rust", "quick fox"), ("e", "x/e.md", "markdown", None), ("f", "x/f.md", "markdown", "")]
@@ -35,6 +37,14 @@ def test_accents_and_case_fold(chunks):
     assert ids(lexical.search(chunks, "CAFE")) == ["b"]
 
 
+def test_letters_fold_one_by_one(spark):
+    rows = spark.createDataFrame([("a", "İSTANBUL ΟΔΟΣ"), ("b", "istanbul"), ("c", "a\u0870b")], "chunk_id string, content string").withColumn("path", F.lit("p"))
+    assert sorted(ids(lexical.search(rows, "istanbul"))) == sorted(ids(lexical.search(rows, "İstanbul"))) == ["a", "b"]
+    assert ids(lexical.search(rows, "ΟΔΟΣ")) == ids(lexical.search(rows, "οδοσ")) == ["a"]
+    assert ids(lexical.search(rows, "a\u0870b")) == ["c"] and ids(lexical.search(rows, "a")) == []
+    assert [r.s for r in rows.select(T.match_snippet(F.col("content"), ["istanbul"]).alias("s")).collect()] == ["[İSTANBUL] ΟΔΟΣ", "[istanbul]", None]
+
+
 def test_underscored_word_is_a_phrase(chunks):
     assert ids(lexical.search(chunks, "store_driver")) == ["c"]
 
